@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("lifespans",)
+FAMILIES = ("lifespans", "scoring", "elements", "tracks")
 
 
 def all_queries():
