@@ -137,8 +137,8 @@ def smooth(df: DataFrame, by: Sequence[str], values: Sequence[str], window: int,
     for v in values:
         if kind == "boxcar":
             # Offsets past an end read the end value: clamp the index instead of padding.
-            body = (f"aggregate(sequence(-(_w div 2), _w div 2), 0D, (s, d) -> s + element_at(map_from_entries(_n_{v}), "
-                    f"least(greatest({position} + d, 0), _t - 1))) / _w")
+            body = (f"aggregate(sequence(-(_w div 2), _w div 2), 0D, (s, d) -> s + element_at(_n_{v}, CAST("
+                    f"least(greatest({position} + d, 0), _t - 1) - _n_{v}[0].p + 1 AS INT)).v) / _w")
         else:
             body = _savgol_sql(v, window, order, position)
         outs.append(F.expr(f"CASE WHEN _w <= 1 THEN {v} ELSE {body} END").alias(v))
@@ -158,8 +158,8 @@ def _savgol_sql(v: str, window: int, order: int, position: str) -> str:
         inner = ", ".join(f"{o}, array({', '.join(repr(c) + 'D' for c in cs)})" for o, cs in rows.items())
         table.append(f"{w}, map({inner})")
     kernel = f"map({', '.join(table)})[_w][CAST({position} - {centre} AS INT)]"
-    taken = (f"transform(filter(_n_{v}, e -> abs(e.p - {centre}) <= {half}), e -> e.v)")
-    return f"aggregate(zip_with({kernel}, {taken}, (k, x) -> k * x), 0D, (s, x) -> s + x)"
+    taken = f"slice(_n_{v}, CAST({centre} - {half} - _n_{v}[0].p + 1 AS INT), CAST(_w AS INT))"
+    return f"aggregate(zip_with({kernel}, {taken}, (k, e) -> k * e.v), 0D, (s, x) -> s + x)"
 
 
 def context_window(df: DataFrame, by: Sequence[str], value: str, n: int, order: str = "frame",

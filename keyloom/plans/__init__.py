@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("lifespans", "scoring", "elements", "tracks")
+FAMILIES = ("lifespans", "scoring", "elements", "tracks", "geometry", "events")
 
 
 def all_queries():

@@ -35,17 +35,17 @@ SEG_SQL = f"""{TRACK_SQL}, k AS (
 def _sample_sql(mode):
     m = f"'{mode}'" if mode else "interp"
     return f"""WITH {SEG_SQL}
-SELECT user_id, frame, round(CASE WHEN f0 IS NULL THEN fv WHEN f1 IS NULL OR {m} = 'hold' THEN p1
+SELECT user_id, frame, CASE WHEN f0 IS NULL THEN fv WHEN f1 IS NULL OR {m} = 'hold' THEN p1
   WHEN {m} = 'catmullrom' THEN 0.5::DOUBLE * (2 * p1 + (p2 - p0) * u + (2 * p0 - 5 * p1 + 4 * p2 - p3) * u * u
        + (-p0 + 3 * p1 - 3 * p2 + p3) * u * u * u)
-  ELSE p1 * (1 - u) + p2 * u END, 6) AS value FROM s"""
+  ELSE p1 * (1 - u) + p2 * u END AS value FROM s"""
 
 
 def _sampled(mode):
     def run(spark, sf):
         frames, keys = keyed(spark, sf)
         return T.sample_track(keys, frames, ["user_id"], mode).selectExpr(
-            "user_id", "frame", "round(value[0], 6) AS value")
+            "user_id", "frame", "value[0] AS value")
     return run
 
 
