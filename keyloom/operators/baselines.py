@@ -6,9 +6,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.distribution import mode_of, value_counts
-from .lifespans import noisy_mask, shift_mask
-from ..functions.ordered import with_totals
+from ..functions.distribution import value_counts
+from ..functions.ordered import positions, spread, stencil, with_totals
 
 
 def mode_baseline(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -44,22 +43,34 @@ def always_true_baseline(cells: DataFrame, by: Sequence[str], flag: str) -> Data
 
 
 def lifespan_variants(cells: DataFrame, noise: Sequence[float] = (), seed: int = 0) -> tuple[DataFrame, list[str]]:
-    """One boolean column per ablation of ``live``: always, coverage rule, dilate, erode, noise."""
+    """One boolean column per ablation of ``live``: always, coverage rule, dilate, erode, noise.
+
+    All noise rates share one hash rank inside the (element, live) pool, so more rates cost a
+    comparison each, not another ranking.
+    """
     track = ["element_id", "shape_id"]
-    out = with_totals(cells, ["element_id", "frame"], {"_any": ("max", F.col("live"))},
+    out = with_totals(cells, ["element_id", "frame"], {"coverage_alive": ("max", F.col("live"))},
                       F.pmod(F.xxhash64("shape_id"), F.lit(16)))
-    out = out.select(*cells.columns, F.col("live").alias("exact"), F.lit(True).alias("always_alive"),
-                     F.col("_any").alias("coverage_alive"))
-    names = ["exact", "always_alive", "coverage_alive"]
-    for mode in ("dilate", "erode"):
-        out = shift_mask(out, track, mode, "live", name=mode)
-        names.append(mode)
+    out = stencil(out, track, "frame", {
+        "_prev": lambda w: F.lag("live").over(w), "_next": lambda w: F.lead("live").over(w)}, 1)
+    names = ["exact", "always_alive", "coverage_alive", "dilate", "erode"]
+    made = ["live AS exact", "true AS always_alive", "coverage_alive",
+            "live OR coalesce(_prev, false) OR coalesce(_next, false) AS dilate",
+            "live AND coalesce(_prev, true) AND coalesce(_next, true) AS erode"]
+    out = out.selectExpr(*cells.columns, *made)
+    if not noise:
+        return out, names
+    key = [*track, "frame"]
+    out = with_totals(out, ["element_id"], {"_cells": ("count", F.lit(1))}, spread(*key))
+    out = out.withColumn("_h", F.xxhash64(F.lit(seed), *key))
+    out = positions(out, ["element_id", "live"], ["_h", *key], F.shiftright("_h", 52), "_rank")
+    flips = []
     for rate in noise:
-        for direction in ("fp", "fn"):
-            name = f"{direction}_{round(rate * 100)}pct"
-            out = noisy_mask(out, ["element_id"], rate, direction, seed, [*track, "frame"], "live", name)
-            names.append(name)
-    return out, names
+        hit = f"_rank < bround({rate}D * _cells)"
+        pct = round(rate * 100)
+        flips += [f"live OR {hit} AS fp_{pct}pct", f"live AND NOT {hit} AS fn_{pct}pct"]
+        names += [f"fp_{pct}pct", f"fn_{pct}pct"]
+    return out.selectExpr(*cells.columns, *names[:5], *flips), names
 
 
 def ablate(cells: DataFrame, pixels: DataFrame, variants: Sequence[str]) -> DataFrame:

@@ -83,10 +83,13 @@ def accumulate_cov(layers: DataFrame, by: Sequence[str], clip_each: bool = True,
 
 
 def frame_coverage(pixels: DataFrame, frames: DataFrame, by: Sequence[str], area: int) -> DataFrame:
-    """Mean coverage per frame (6 places, half-even) and whether anything is on screen."""
+    """Mean coverage per frame (6 places, half-even) and whether anything is on screen.
+
+    The sum is rounded first, so the result does not depend on the order partitions arrive in.
+    """
     s = pixels.groupBy(*by).agg(F.sum("cov").alias("_s"))
     return frames.join(s, list(by), "left").select(
-        *frames.columns, F.expr(f"bround(coalesce(_s, 0D) / {area}, 6) AS coverage"),
+        *frames.columns, F.expr(f"bround(round(coalesce(_s, 0D), 9) / {area}, 6) AS coverage"),
         F.expr("coalesce(_s, 0D) > 0 AS on_screen"))
 
 

@@ -118,7 +118,7 @@ def cumulative_weights(elements: DataFrame) -> DataFrame:
                     F.expr("CASE WHEN _hi > 1 - 1e-9 THEN 1D ELSE _hi END").alias("hi"))
 
 
-def batch_schedule(spark, elements: DataFrame, frames: DataFrame, steps: int, batch: int,
+def batch_schedule(steps: DataFrame, elements: DataFrame, frames: DataFrame, batch: int,
                    mode: str, seed: int) -> DataFrame:
     """``(step, element_id, frame)``: one weighted element per step, then ``batch`` positions.
 
@@ -133,8 +133,7 @@ def batch_schedule(spark, elements: DataFrame, frames: DataFrame, steps: int, ba
     if batch < 1:
         raise ValueError("batch must be positive")
     grid = 4096
-    picks = spark.range(1, steps + 1).select(
-        F.col("id").alias("step"), uniform(seed, F.col("id")).alias("u"))
+    picks = steps.select("step", uniform(seed, "step").alias("u"))
     picks = picks.withColumn("_b", F.floor(F.col("u") * grid))
     lanes = cumulative_weights(elements).withColumn("_b", F.explode(F.sequence(
         F.floor(F.col("lo") * grid), F.least(F.floor(F.col("hi") * grid), F.lit(grid - 1)))))
@@ -190,12 +189,11 @@ def training_rows(schedule: DataFrame, cells: DataFrame, elements: DataFrame, n_
     widest = elements.agg(F.max("n_shapes")).first()[0]
     if n_slots < (widest or 0):
         raise ValueError(f"n_slots {n_slots} is below the widest element ({widest} shapes)")
-    real = schedule.join(cells, ["element_id", "frame"])
-    pad = schedule.join(elements.select("element_id", "n_shapes"), "element_id").where(
-        F.col("n_shapes") < n_slots).select(
-        "step", "element_id", "frame",
-        F.explode(F.sequence(F.col("n_shapes").cast("int"), F.lit(n_slots - 1))).alias("slot"))
-    return real.select("step", "element_id", "frame", F.col("slot").cast("int"), "live", "is_key",
-                       F.lit(True).alias("exists")).unionByName(
-        pad.select("*", F.lit(False).alias("live"), F.lit(False).alias("is_key"),
-                   F.lit(False).alias("exists")))
+    wide = schedule.join(elements.select("element_id", "n_shapes"), "element_id").select(
+        "step", "element_id", "frame", (F.col("n_shapes")).alias("_n"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias("slot"))
+    no = F.lit(False)
+    return wide.join(cells.select("element_id", "frame", "slot", "live", "is_key"),
+                     ["element_id", "frame", "slot"], "left").select(
+        "step", "element_id", "frame", "slot", F.coalesce("live", no).alias("live"),
+        F.coalesce("is_key", no).alias("is_key"), (F.col("slot") < F.col("_n")).alias("exists"))

@@ -50,13 +50,13 @@ CELLS_SQL = """cells AS (
   FROM cells WINDOW w AS (PARTITION BY element_id, shape_id ORDER BY frame)), d AS (
   SELECT element_id, frame, y, x, coalesce(max(cov) FILTER (exact), 0) AS exact, coalesce(max(cov) FILTER (always_alive), 0) AS always_alive,
          coalesce(max(cov) FILTER (coverage_alive), 0) AS coverage_alive, coalesce(max(cov) FILTER (dilate), 0) AS dilate,
-         coalesce(max(cov) FILTER (erode), 0) AS erode FROM px JOIN v USING (element_id, shape_id, frame) GROUP BY ALL), sc AS (
-  SELECT element_id, frame, max(exact) > 0 AS on_screen, unnest(['exact', 'always_alive', 'coverage_alive', 'dilate', 'erode']) AS variant,
-         unnest([coalesce(sum(least(exact, exact)) / nullif(sum(greatest(exact, exact)), 0), 1),
-                 coalesce(sum(least(always_alive, exact)) / nullif(sum(greatest(always_alive, exact)), 0), 1),
-                 coalesce(sum(least(coverage_alive, exact)) / nullif(sum(greatest(coverage_alive, exact)), 0), 1),
-                 coalesce(sum(least(dilate, exact)) / nullif(sum(greatest(dilate, exact)), 0), 1),
-                 coalesce(sum(least(erode, exact)) / nullif(sum(greatest(erode, exact)), 0), 1)]) AS soft_iou FROM d GROUP BY ALL)"""
+         coalesce(max(cov) FILTER (erode), 0) AS erode FROM px JOIN v USING (element_id, shape_id, frame) GROUP BY ALL), wide AS (
+  SELECT element_id, frame, max(exact) > 0 AS on_screen, """ + ", ".join(
+    f"coalesce(sum(least({v}, exact)) / nullif(sum(greatest({v}, exact)), 0), 1) AS {v}"
+    for v in ("exact", "always_alive", "coverage_alive", "dilate", "erode")).replace(" AS exact,", " AS exact_,") + """
+  FROM d GROUP BY 1, 2), sc AS (
+  SELECT element_id, frame, on_screen, unnest(['exact', 'always_alive', 'coverage_alive', 'dilate', 'erode']) AS variant,
+         unnest([exact_, always_alive, coverage_alive, dilate, erode]) AS soft_iou FROM wide)"""
 
 
 def ablation_input(spark, sf):
@@ -199,7 +199,8 @@ def _schedule(spark, sf, mode):
         "user_id AS element_id", "frame")
     pool = positions(pool, ["element_id"], ["frame"], chunk_id("frame"), "pos")
     el = pool.groupBy("element_id").agg(F.expr("count(1) AS n_frames")).withColumn("n_shapes", F.expr("element_id % 7 + 1"))
-    return S.batch_schedule(spark, S.element_weight(el, "sqrt"), pool, 2000, 6, mode, 1), el
+    steps = load(spark, sf, "events").select((F.col("event_id") + 1).alias("step"))
+    return S.batch_schedule(steps, S.element_weight(el, "sqrt"), pool, 6, mode, 1), el
 
 
 for _mode in S.SAMPLING_MODES:

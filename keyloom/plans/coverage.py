@@ -9,7 +9,7 @@ from .registry import query
 from .scoring import rounded
 from .tables import PIXELS_SQL, frame_list, load, pixels
 
-BOTH_SQL = f"""{PIXELS_SQL}, both AS (
+BOTH_SQL = f"""{PIXELS_SQL}, pairs AS (
   SELECT frame, y, x, coalesce(a.cov, 0) AS a, coalesce(b.cov, 0) AS b
   FROM (SELECT * FROM pixels WHERE side = 'O') a FULL JOIN (SELECT * FROM pixels WHERE side = 'F') b USING (frame, y, x))"""
 
@@ -19,7 +19,7 @@ def sides(spark, sf):
     return p.where("side = 'O'"), p.where("side = 'F'"), frame_list(spark, sf)
 
 
-@query("soft_iou", f"""WITH {BOTH_SQL}, s AS (SELECT frame, sum(least(a, b)) / sum(greatest(a, b)) AS v FROM both GROUP BY 1)
+@query("soft_iou", f"""WITH {BOTH_SQL}, s AS (SELECT frame, sum(least(a, b)) / sum(greatest(a, b)) AS v FROM pairs GROUP BY 1)
 SELECT s_suppkey AS frame, round(coalesce(v, 1), 6) AS soft_iou FROM supplier LEFT JOIN s ON frame = s_suppkey""")
 def soft_iou(spark, sf):
     a, b, f = sides(spark, sf)
@@ -27,7 +27,7 @@ def soft_iou(spark, sf):
 
 
 @query("hard_iou", f"""WITH {BOTH_SQL}, s AS (
-  SELECT frame, count(*) FILTER (a > 0.5 AND b > 0.5)::DOUBLE / nullif(count(*) FILTER (a > 0.5 OR b > 0.5), 0) AS v FROM both GROUP BY 1)
+  SELECT frame, count(*) FILTER (a > 0.5 AND b > 0.5)::DOUBLE / nullif(count(*) FILTER (a > 0.5 OR b > 0.5), 0) AS v FROM pairs GROUP BY 1)
 SELECT s_suppkey AS frame, round(coalesce(v, 1), 6) AS iou FROM supplier LEFT JOIN s ON frame = s_suppkey""")
 def hard_iou(spark, sf):
     a, b, f = sides(spark, sf)
@@ -40,7 +40,7 @@ def union_cov(spark, sf):
 
 
 @query("coverage_diff", f"""WITH {BOTH_SQL} SELECT frame, y, x, round(greatest(a - b, 0), 6) AS over,
-  round(greatest(b - a, 0), 6) AS under, least(a, b) AS agree FROM both""")
+  round(greatest(b - a, 0), 6) AS under, least(a, b) AS agree FROM pairs""")
 def coverage_diff(spark, sf):
     a, b, _ = sides(spark, sf)
     return rounded(C.coverage_diff(a, b, ["frame"]))
@@ -67,7 +67,7 @@ def accumulate_cov(spark, sf):
 
 
 @query("frame_coverage", f"""WITH {PIXELS_SQL}, s AS (SELECT frame, sum(cov) AS s FROM pixels WHERE side = 'O' GROUP BY 1)
-SELECT s_suppkey AS frame, round_even(coalesce(s, 0) / 896, 6) AS coverage, coalesce(s, 0) > 0 AS on_screen
+SELECT s_suppkey AS frame, round_even(round(coalesce(s, 0), 9) / 896, 6) AS coverage, coalesce(s, 0) > 0 AS on_screen
 FROM supplier LEFT JOIN s ON frame = s_suppkey""")
 def frame_coverage(spark, sf):
     a, _, f = sides(spark, sf)
