@@ -354,7 +354,7 @@ RAM_MB_PER_LAYER = 36.0
 def project_scale(shots: DataFrame, steps: int = 40000, batch: int = 6) -> DataFrame:
     """Layers, disk, memory and epochs for a shot count; ``frames`` is the corpus frame count."""
     return shots.select(
-        "*", F.expr(f"shots * {LAYERS_PER_SHOT} AS layers")).select(
-        "*", F.expr(f"layers * {DISK_MB_PER_LAYER} / 1000 AS disk_gb"),
-        F.expr(f"layers * {RAM_MB_PER_LAYER} / 1000 AS ram_gb"),
+        "*", F.expr(f"shots * {LAYERS_PER_SHOT}D AS layers")).select(
+        "*", F.expr(f"layers * {DISK_MB_PER_LAYER}D / 1000 AS disk_gb"),
+        F.expr(f"layers * {RAM_MB_PER_LAYER}D / 1000 AS ram_gb"),
         F.expr(f"try_divide({steps} * {batch}D, frames) AS epochs"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-FAMILIES = ("lifespans", "scoring", "elements", "tracks", "geometry", "events", "coverage", "baselines", "quality")
+FAMILIES = ("sources", "lifespans", "scoring", "elements", "tracks", "geometry", "events", "coverage",
+            "baselines", "quality")
 
 
 def all_queries():

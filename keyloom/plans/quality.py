@@ -54,8 +54,9 @@ def pair_elements(spark, sf):
 
 # Claims come from the orders: few shots, many claims per channel, some margins under 0.05.
 CLAIM_SQL = """p AS (
-  SELECT o_custkey % 50 AS shot, o_orderkey % 12 AS element_id, max(o_totalprice) / 500000 AS score, count(*) AS evidence,
-         CASE WHEN max(o_totalprice) / 500000 >= 0.5 THEN 'c' || (o_orderkey % 12) // 3 END AS channel FROM orders GROUP BY ALL), pr AS (
+  SELECT *, CASE WHEN score >= 0.5 THEN 'c' || CAST(element_id // 3 AS VARCHAR) END AS channel FROM (
+    SELECT o_custkey % 50 AS shot, o_orderkey % 12 AS element_id, max(o_totalprice) / 500000 AS score, count(*) AS evidence
+    FROM orders GROUP BY 1, 2)), pr AS (
   SELECT *, CASE WHEN channel IS NULL THEN 'silver' ELSE 'gold' END AS grade,
          CASE WHEN channel IS NULL THEN 'unmatched: best ' || printf('%.4f', score) END AS reason FROM p), c AS (
   SELECT *, row_number() OVER w AS r, lead(score) OVER w AS nx, count(*) OVER (PARTITION BY shot, channel) AS n,
@@ -70,7 +71,7 @@ CLAIM_SQL = """p AS (
   UNION ALL SELECT shot, element_id, channel, score, evidence, grade, reason FROM pr WHERE channel IS NULL), findings AS (
   SELECT shot, kind, channel AS subject, winner || ' wins by ' || printf('%.4f', margin) AS detail FROM k WHERE r = 1 AND n > 1
   UNION ALL SELECT shot, 'orphan', channel, 'claimed by no element' FROM (
-    SELECT DISTINCT o_custkey % 50 AS shot, 'c' || o_orderkey % 5 AS channel FROM orders
+    SELECT DISTINCT o_custkey % 50 AS shot, 'c' || CAST(o_orderkey % 5 AS VARCHAR) AS channel FROM orders
     EXCEPT SELECT shot, channel FROM pr)
   UNION ALL SELECT shot, 'unmatched', CAST(element_id AS VARCHAR), 'best ' || printf('%.4f', score) || ' on ' || evidence || 'f'
   FROM fin WHERE grade = 'silver' AND reason IS NOT NULL)"""
