@@ -55,8 +55,9 @@ def stencil(df: DataFrame, by: Sequence[str], order: str,
     stages = [exprs] if isinstance(exprs, Mapping) else list(exprs)
     home = chunk_id(order, size)
     o = F.col(order)
-    spread = df.withColumn("_chunk", F.explode(F.array_distinct(F.array(
-        home, chunk_id(o - reach, size), chunk_id(o + reach, size)))))
+    lo, hi = chunk_id(o - reach, size), chunk_id(o + reach, size)
+    near = F.sequence(lo, hi) if reach >= size else F.array_distinct(F.array(home, lo, hi))
+    spread = df.withColumn("_chunk", F.explode(near))
     w = Window.partitionBy(*by, "_chunk", *within).orderBy(order)
     out = spread
     for stage in stages:

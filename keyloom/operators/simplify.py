@@ -229,17 +229,17 @@ def basis_weights(keys: DataFrame, frames: DataFrame, by: Sequence[str], size: i
     both = packed.withColumn("_ask", F.lit(False)).unionByName(asked).groupBy(*by, "frame").agg(
         F.first("s", ignorenulls=True).alias("s"), F.bool_or("_ask").alias("_ask"))
     hit = last_known(both, by, "frame", {"_s": F.col("s")}, size, keep=[*by, "frame", "_ask"]).where("_ask")
-    hit = hit.select(*by, F.col("frame").alias("f"), "_s.*").withColumn(
-        "u", F.expr("CASE WHEN f1 > f0 THEN (f - f0) / CAST(f1 - f0 AS DOUBLE) ELSE 0D END"))
+    hit = hit.select(*by, "frame", "_s.*").withColumn(
+        "_u", F.expr("CASE WHEN f1 > f0 THEN (frame - f0) / CAST(f1 - f0 AS DOUBLE) ELSE 0D END"))
     e = lambda k, w: f"named_struct('k', CAST({k} AS BIGINT), 'w', CAST({w} AS DOUBLE))"
     cr = ("array(" + ", ".join((
-        e("CASE WHEN kidx > 0 THEN kidx - 1 ELSE kidx END", "0.5D * (-u + 2 * u * u - u * u * u)"),
-        e("kidx", "0.5D * (2 - 5 * u * u + 3 * u * u * u)"),
-        e("kidx + 1", "0.5D * (u + 4 * u * u - 3 * u * u * u)"),
-        e("CASE WHEN f2 IS NOT NULL THEN kidx + 2 ELSE kidx + 1 END", "0.5D * (-u * u + u * u * u)"))) + ")")
-    lin = f"array({e('kidx', '1 - u')}, {e('kidx + 1', 'u')})"
+        e("CASE WHEN kidx > 0 THEN kidx - 1 ELSE kidx END", "0.5D * (-_u + 2 * _u * _u - _u * _u * _u)"),
+        e("kidx", "0.5D * (2 - 5 * _u * _u + 3 * _u * _u * _u)"),
+        e("kidx + 1", "0.5D * (_u + 4 * _u * _u - 3 * _u * _u * _u)"),
+        e("CASE WHEN f2 IS NOT NULL THEN kidx + 2 ELSE kidx + 1 END", "0.5D * (-_u * _u + _u * _u * _u)"))) + ")")
+    lin = f"array({e('kidx', '1 - _u')}, {e('kidx + 1', '_u')})"
     one = lambda k: f"array({e(k, '1')})"
-    rows = hit.select(*by, F.col("f").alias("frame"), F.explode(F.expr(
+    rows = hit.select(*by, F.col("frame"), F.explode(F.expr(
         f"CASE WHEN kidx IS NULL THEN {one('0')} WHEN f1 IS NULL OR interp = 'hold' THEN {one('kidx')} "
         f"WHEN interp = 'catmullrom' THEN {cr} ELSE {lin} END")).alias("_e"))
     return rows.groupBy(*by, "frame", F.col("_e.k").alias("k")).agg(F.sum("_e.w").alias("w")).where("w <> 0")
@@ -263,9 +263,8 @@ def refit(raw: DataFrame, keys: DataFrame, by: Sequence[str], value: str = "valu
     rhs = a.join(raw.select(*by, "frame", F.col(value).alias("_y")), [*by, "frame"]).groupBy(
         *by, F.col("k").alias("i")).agg(F.expr("sum(w * _y) AS y"))
     eq = gram.groupBy(*by, "i").agg(F.collect_list(F.struct("j", "a")).alias("row")).join(rhs, [*by, "i"])
-    home = F.floor(F.col("i") / chunk)
-    spread = eq.withColumn("_chunk", F.explode(F.array_distinct(F.array(
-        home, F.floor((F.col("i") - halo) / chunk), F.floor((F.col("i") + halo) / chunk)))))
+    spread = eq.withColumn("_chunk", F.explode(F.sequence(
+        F.floor((F.col("i") - halo) / chunk), F.floor((F.col("i") + halo) / chunk))))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         at = {int(i): n for n, i in enumerate(pdf["i"])}

@@ -16,9 +16,9 @@ from ..functions.ordered import CHUNK, chunk_id, last_known, positions, stencil,
 
 # Uniform Catmull-Rom and linear rules over the segment's own end values p1, p2.
 _CATMULL = ("zip_with(zip_with(p0, p1, (a, b) -> struct(a, b)), zip_with(p2, p3, (c, d) -> struct(c, d)), "
-            "(l, r) -> 0.5D * (2 * l.b + (r.c - l.a) * u + (2 * l.a - 5 * l.b + 4 * r.c - r.d) * u * u "
-            "+ (-l.a + 3 * l.b - 3 * r.c + r.d) * u * u * u))")
-_LINEAR = "zip_with(p1, p2, (a, b) -> a * (1 - u) + b * u)"
+            "(l, r) -> 0.5D * (2 * l.b + (r.c - l.a) * _u + (2 * l.a - 5 * l.b + 4 * r.c - r.d) * _u * _u "
+            "+ (-l.a + 3 * l.b - 3 * r.c + r.d) * _u * _u * _u))")
+_LINEAR = "zip_with(p1, p2, (a, b) -> a * (1 - _u) + b * _u)"
 
 
 def with_key_index(keys: DataFrame, by: Sequence[str], size: int = CHUNK) -> DataFrame:
@@ -44,7 +44,7 @@ def segments(keys: DataFrame, by: Sequence[str], size: int = CHUNK) -> DataFrame
 def _value(mode: str | None) -> str:
     """SQL for the sampled value; ``mode`` overrides the keys' own interpolation."""
     m = "interp" if mode is None else f"'{mode}'"
-    flat = "f1 IS NULL OR f <= f0 OR f1 = f0"
+    flat = "f1 IS NULL OR frame <= f0 OR f1 = f0"
     same = "size(p0) = size(p1) AND size(p1) = size(p2) AND size(p2) = size(p3)"
     return (f"CASE WHEN {flat} OR {m} = 'hold' THEN p1 "
             f"WHEN {m} = 'catmullrom' AND {same} THEN {_CATMULL} ELSE {_LINEAR} END")
@@ -70,9 +70,9 @@ def sample_track(keys: DataFrame, frames: DataFrame, by: Sequence[str], mode: st
     found = last_known(both, by, "frame", {"_seg": F.col("seg")}, size, keep=[*by, "frame", "_ask"])
     first = seg.where("kidx = 0").select(*by, F.col("p1").alias("_first"))
     out = found.where("_ask").join(first, list(by))
-    u = "(f - f0) / CAST(f1 - f0 AS DOUBLE)"
-    flat = out.select(*by, "frame", "_first", F.col("frame").alias("f"), "_seg.*")
-    flat = flat.withColumn("u", F.expr(f"CASE WHEN f1 > f0 THEN {u} ELSE 0D END"))
+    u = "(frame - f0) / CAST(f1 - f0 AS DOUBLE)"
+    flat = out.select(*by, "frame", "_first", "_seg.*")
+    flat = flat.withColumn("_u", F.expr(f"CASE WHEN f1 > f0 THEN {u} ELSE 0D END"))
     return flat.select(*by, "frame", F.expr(
         f"CASE WHEN f0 IS NULL THEN _first ELSE {_value(mode)} END").alias("value"))
 
