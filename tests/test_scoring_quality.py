@@ -19,7 +19,7 @@ def test_training_blocks(spark):
     got = {(r["run"], r["block"]): r for r in SC.by_training_status(rows).collect()}
     assert set(got) == {("r", "trained"), ("r", "held"), ("r", "all"), ("q", "trained")}
     assert abs(got["r", "trained"]["mean_soft_iou"] - .95) < 1e-12 and got["r", "trained"]["headline"]
-    assert got["r", "held"]["mean_soft_iou"] == .21 and got["r", "all"]["worst_element"] == "c"
+    assert abs(got["r", "held"]["mean_soft_iou"] - .21) < 1e-12 and got["r", "all"]["worst_element"] == "c"
     nothing = rows.where("element_id = 'c'")
     assert {r["block"]: r["headline"] for r in SC.by_training_status(nothing).collect()} == {"all": True, "held": False}
 
