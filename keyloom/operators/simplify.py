@@ -30,25 +30,34 @@ GROUP_LIMIT = 4096
 LOOK_AHEAD = 256
 
 
+def chord_errors(pts: np.ndarray, scale: np.ndarray | None, a: int, lo: int, hi: int) -> np.ndarray:
+    """Worst point distance inside each chord ``a-b`` for every end ``b`` in ``[lo, hi)``."""
+    b, t = np.arange(lo, hi), np.arange(a + 1, hi - 1)
+    if not len(t):
+        return np.zeros(len(b))
+    u = ((t[None, :] - a) / (b[:, None] - a))[:, :, None, None]
+    d = np.sqrt((((1.0 - u) * pts[a] + u * pts[b][:, None] - pts[t][None]) ** 2).sum(-1))
+    if scale is not None:
+        d = d * scale[t][None, :, None]
+    d[t[None, :] >= b[:, None]] = 0.0
+    return d.max(axis=(1, 2))
+
+
 def chord_error(pts: np.ndarray, scale: np.ndarray | None, a: int, b: int) -> float:
-    """Worst point distance between the chord ``a-b`` and the frames inside it."""
-    if b - a < 2:
-        return 0.0
-    u = (np.arange(a + 1, b) - a)[:, None, None] / (b - a)
-    d = np.sqrt((((1.0 - u) * pts[a] + u * pts[b] - pts[a + 1:b]) ** 2).sum(-1))
-    return float((d if scale is None else d * scale[a + 1:b, None]).max())
+    return float(chord_errors(pts, scale, a, b, b + 1)[0])
 
 
 def reach(pts, scale, budget: float, a: int) -> tuple[int, bool]:
     """Furthest feasible end from ``a`` and whether the search ended inside the rows given."""
-    best, misses, b = a + 1, 0, a + 1
-    while b < len(pts) and misses < REACH_PATIENCE:
-        if chord_error(pts, scale, a, b) <= budget:
-            best, misses = b, 0
-        else:
-            misses += 1
-        b += 1
-    return best, misses >= REACH_PATIENCE
+    best, misses, lo, block = a + 1, 0, a + 1, REACH_PATIENCE
+    while lo < len(pts):
+        hi = min(lo + block, len(pts))
+        for b, err in enumerate(chord_errors(pts, scale, a, lo, hi), lo):
+            best, misses = (b, 0) if err <= budget else (best, misses + 1)
+            if misses >= REACH_PATIENCE:
+                return best, True
+        lo, block = hi, min(2 * block, 32)
+    return best, False
 
 
 def minimax_knots(pts, scale, budget: float) -> list[int]:
@@ -56,7 +65,8 @@ def minimax_knots(pts, scale, budget: float) -> list[int]:
     t = len(pts)
     cost = np.full((t, t), np.inf)
     for a in range(t):
-        cost[a, a:] = [chord_error(pts, scale, a, b) for b in range(a, t)]
+        cost[a, a] = 0.0
+        cost[a, a + 1:] = chord_errors(pts, scale, a, a + 1, t)
     level, came = cost[0].copy(), []
     while level[-1] > budget and len(came) < t - 1:
         via = np.maximum(level[:, None], cost)
@@ -182,13 +192,15 @@ def simplify(track: DataFrame, by: Sequence[str], tol: float, inv_tol: str | Non
     scale = F.col(inv_tol).cast("double") if inv_tol else F.lit(None).cast("double")
     rows = track.select(*by, F.col("pos").cast("long").alias("pos"), F.col("frame").cast("long").alias("frame"),
                         "pts", scale.alias("inv_tol"))
+    solve = _solve_group(tol, by)
+    ddl = f"{key_ddl}, pos long, frame long, method string"
+    # A position at or past the limit is what makes a track long, so this is one pushed filter.
+    if track.where(F.col("pos") >= limit).isEmpty():
+        return rows.groupBy(*by).applyInPandas(solve, ddl)
     rows = with_totals(rows, by, {"_t": ("count", F.lit(1))}, chunk_id("pos"))
     short = rows.where(F.col("_t") <= limit).select(*by, "pos", "frame", "pts", "inv_tol")
-    out = short.groupBy(*by).applyInPandas(
-        _solve_group(tol, by), f"{key_ddl}, pos long, frame long, method string")
+    out = short.groupBy(*by).applyInPandas(solve, ddl)
     long = rows.where(F.col("_t") > limit)
-    if long.isEmpty():
-        return out
     knots = _long_knots(long, by, tol, key_ddl, chunk)
     return out.unionByName(knots.join(long.select(*by, "pos", "frame"), [*by, "pos"]).select(
         *by, "pos", "frame", F.lit("greedy").alias("method")))
