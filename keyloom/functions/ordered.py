@@ -166,6 +166,18 @@ def spread(*key: str) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(SPREAD))
 
 
+def lookup(big: DataFrame, small: DataFrame, on: Sequence[str], key: Sequence[str],
+           how: str = "inner", salts: int = SPREAD) -> DataFrame:
+    """Join a table of one row per ``on`` to a large one whose ``on`` values may be very uneven.
+
+    The one-row side is repeated per salt and the large side picks a salt from its own ``key``,
+    so a heavy value is shared by ``salts`` tasks.
+    """
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = big.withColumn("_salt", F.pmod(F.xxhash64(*key), F.lit(salts)).cast("int"))
+    return left.join(right, [*on, "_salt"], how).drop("_salt")
+
+
 def spread_chunks(df: DataFrame, value: Column, buckets: int = 1024) -> tuple[DataFrame, Column]:
     """Equal-width buckets over a numeric column's global range, for use as a ``chunk``.
 

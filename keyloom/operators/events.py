@@ -12,7 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.ordered import CHUNK, chunk_id, last_known, positions, stencil, with_totals
+from ..functions.ordered import CHUNK, chunk_id, last_known, lookup, positions, stencil, with_totals
 
 
 def matched_events(pred: DataFrame, truth: DataFrame, by: Sequence[str], tol: int,
@@ -70,16 +70,15 @@ def match_events(pred: DataFrame, truth: DataFrame, by: Sequence[str], tol: int,
     return m.select(*by, "n_pred", "n_truth", "hits", *[F.expr(s) for s in SCORES])
 
 
-def live_span(live: DataFrame, by: Sequence[str]) -> DataFrame:
-    return live.where("live").groupBy(*by).agg(F.expr("min(frame) AS lo"), F.expr("max(frame) AS hi"))
-
-
 def truth_keys(keys: DataFrame, live: DataFrame, by: Sequence[str], mode: str) -> DataFrame:
     """Artist keys to score against. ``clipped``: moved into the live span, de-duplicated;
     ``strict``: only those already inside. Tracks never live drop out of both."""
     if mode not in ("clipped", "strict"):
         raise ValueError(f"unknown mode {mode!r}")
-    k = keys.select(*by, "frame").join(live_span(live, by), list(by))
+    rows = keys.select(*by, "frame", F.lit(None).cast("long").alias("_l")).unionByName(
+        live.where("live").select(*by, "frame", F.col("frame").cast("long").alias("_l")))
+    k = with_totals(rows, by, {"lo": ("min", F.col("_l")), "hi": ("max", F.col("_l"))}, chunk_id("frame"))
+    k = k.where("_l IS NULL AND lo IS NOT NULL")
     if mode == "clipped":
         return k.selectExpr(*by, "least(greatest(frame, lo), hi) AS frame").distinct()
     return k.where("frame BETWEEN lo AND hi").select(*by, "frame").distinct()
@@ -99,7 +98,7 @@ def random_keys(live: DataFrame, counts: DataFrame, by: Sequence[str], seed: int
     """As many live frames as ``counts.n`` asks for, by hash rank: reproducible at any scale."""
     pool = live.where("live").select(*by, "frame").withColumn("_h", F.xxhash64(F.lit(seed), *by, "frame"))
     ranked = positions(pool, by, ["_h", "frame"], F.shiftright("_h", 52), "_rank")
-    return ranked.join(counts.select(*by, "n"), list(by)).where("_rank < n").select(*by, "frame")
+    return lookup(ranked, counts.select(*by, "n"), by, ["_h"]).where("_rank < n").select(*by, "frame")
 
 
 def random_key_baseline(live: DataFrame, chosen: DataFrame, truth: DataFrame, by: Sequence[str],

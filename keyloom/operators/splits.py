@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.expr import uniform
-from ..functions.ordered import chunk_id, positions, running_sum, spread, stencil, with_totals
+from ..functions.ordered import chunk_id, lookup, positions, running_sum, stencil, with_totals
 
 DEFAULT_HOLDOUT_EVERY = 7
 SAMPLING_MODES = ("random", "pairs", "runs")
@@ -133,25 +133,21 @@ def batch_schedule(steps: DataFrame, elements: DataFrame, frames: DataFrame, bat
     if batch < 1:
         raise ValueError("batch must be positive")
     grid = 4096
-    picks = steps.select("step", uniform(seed, "step").alias("u"))
-    picks = picks.withColumn("_b", F.floor(F.col("u") * grid))
-    lanes = cumulative_weights(elements).withColumn("_b", F.explode(F.sequence(
-        F.floor(F.col("lo") * grid), F.least(F.floor(F.col("hi") * grid), F.lit(grid - 1)))))
-    chosen = picks.join(lanes, "_b").where("u >= lo AND u < hi").select("step", "element_id")
     pool = frames.select("element_id", "frame", "pos")
+    sizes = pool.groupBy("element_id").agg(F.expr("count(1) AS n"))
     if mode == "pairs":
-        nxt = stencil(pool, ["element_id"], "pos", {
-            "_n": lambda w: F.lead("frame").over(w)}, 1)
+        nxt = stencil(pool, ["element_id"], "pos", {"_n": lambda w: F.lead("frame").over(w)}, 1)
         anchors = nxt.where("_n = frame + 1").select("element_id", "frame", "pos")
         anchors = positions(anchors, ["element_id"], ["pos"], chunk_id("pos"), "apos")
         a_size = anchors.groupBy("element_id").agg(F.expr("count(1) AS a_n"))
-    size = pool.groupBy("element_id").agg(F.expr("count(1) AS n"))
-    sched = chosen.join(size, "element_id")
-    if mode == "pairs":
-        sched = sched.join(a_size, "element_id", "left").na.fill(0, ["a_n"])
-        sched = sched.withColumn("_pairs", F.expr("n > 2 AND a_n > 0"))
+        sizes = sizes.join(a_size, "element_id", "left").na.fill(0, ["a_n"]).withColumn("_pairs", F.expr("n > 2 AND a_n > 0"))
     else:
-        sched = sched.withColumn("_pairs", F.lit(False)).withColumn("a_n", F.lit(0))
+        sizes = sizes.select("*", F.lit(0).alias("a_n"), F.lit(False).alias("_pairs"))
+    # Pool sizes travel with the pick ranges, so an often-picked element needs no join by element.
+    lanes = cumulative_weights(elements).join(sizes, "element_id").withColumn("_b", F.explode(F.sequence(
+        F.floor(F.col("lo") * grid), F.least(F.floor(F.col("hi") * grid), F.lit(grid - 1)))))
+    picks = steps.select("step", uniform(seed, "step").alias("u")).withColumn("_b", F.floor(F.col("u") * grid))
+    sched = picks.join(lanes, "_b").where("u >= lo AND u < hi").select("step", "element_id", "n", "a_n", "_pairs")
     contiguous = F.expr("n > 2") if mode == "runs" else F.lit(False)
     sched = sched.select(
         "*", contiguous.alias("_run"), F.expr("CASE WHEN _pairs THEN a_n ELSE n END").alias("m"),
@@ -189,7 +185,7 @@ def training_rows(schedule: DataFrame, cells: DataFrame, elements: DataFrame, n_
     widest = elements.agg(F.max("n_shapes")).first()[0]
     if n_slots < (widest or 0):
         raise ValueError(f"n_slots {n_slots} is below the widest element ({widest} shapes)")
-    wide = schedule.join(elements.select("element_id", "n_shapes"), "element_id").select(
+    wide = lookup(schedule, elements.select("element_id", "n_shapes"), ["element_id"], ["step"]).select(
         "step", "element_id", "frame", (F.col("n_shapes")).alias("_n"),
         F.explode(F.sequence(F.lit(0), F.lit(n_slots - 1))).alias("slot"))
     no = F.lit(False)

@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.expr import ratio
 from ..functions.ordered import CHUNK, chunk_id, last_known, positions, stencil, with_totals
 
+BEFORE_ALL = -2147483647
+"""A frame earlier than any real one."""
+
 # Uniform Catmull-Rom and linear rules over the segment's own end values p1, p2.
 _CATMULL = ("zip_with(zip_with(p0, p1, (a, b) -> struct(a, b)), zip_with(p2, p3, (c, d) -> struct(c, d)), "
             "(l, r) -> 0.5D * (2 * l.b + (r.c - l.a) * _u + (2 * l.a - 5 * l.b + 4 * r.c - r.d) * _u * _u "
@@ -60,7 +63,9 @@ def sample_track(keys: DataFrame, frames: DataFrame, by: Sequence[str], mode: st
     if mode not in (None, "hold", "linear", "catmullrom"):
         raise ValueError(f"unknown interpolation {mode!r}")
     seg = segments(keys, by, size)
-    packed = seg.select(*by, F.col("f0").alias("frame"),
+    # The first segment is also planted before every frame, so early requests find it too.
+    packed = seg.select(*by, F.explode(F.expr(
+        f"CASE WHEN kidx = 0 THEN array({BEFORE_ALL}, f0) ELSE array(f0) END")).alias("frame"),
                         F.struct("f0", "f1", "interp", "p0", "p1", "p2", "p3").alias("seg"),
                         F.lit(False).alias("_ask"))
     asked = frames.select(*by, "frame", F.lit(None).cast(packed.schema["seg"].dataType).alias("seg"),
@@ -68,13 +73,11 @@ def sample_track(keys: DataFrame, frames: DataFrame, by: Sequence[str], mode: st
     both = packed.unionByName(asked).groupBy(*by, "frame").agg(
         F.first("seg", ignorenulls=True).alias("seg"), F.bool_or("_ask").alias("_ask"))
     found = last_known(both, by, "frame", {"_seg": F.col("seg")}, size, keep=[*by, "frame", "_ask"])
-    first = seg.where("kidx = 0").select(*by, F.col("p1").alias("_first"))
-    out = found.where("_ask").join(first, list(by))
+    out = found.where("_ask AND _seg IS NOT NULL")
     u = "(frame - f0) / CAST(f1 - f0 AS DOUBLE)"
-    flat = out.select(*by, "frame", "_first", "_seg.*")
+    flat = out.select(*by, "frame", "_seg.*")
     flat = flat.withColumn("_u", F.expr(f"CASE WHEN f1 > f0 THEN {u} ELSE 0D END"))
-    return flat.select(*by, "frame", F.expr(
-        f"CASE WHEN f0 IS NULL THEN _first ELSE {_value(mode)} END").alias("value"))
+    return flat.select(*by, "frame", F.expr(_value(mode)).alias("value"))
 
 
 def dense_axis(spans: DataFrame, by: Sequence[str], lo: str = "lo", hi: str = "hi",
@@ -215,15 +218,12 @@ def temporal_error(df: DataFrame, by: Sequence[str], point: Sequence[str],
 def fill_track(df: DataFrame, by: Sequence[str], values: Sequence[str], order: str = "frame",
                size: int = CHUNK) -> DataFrame:
     """Carry the last known value forward; leading blanks take the first known value."""
-    ahead = last_known(df, by, order, {f"_f_{v}": F.col(v) for v in values}, size)
-    firsts = df.where(F.col(values[0]).isNotNull()).groupBy(*by).agg(*[
-        F.min_by(v, order).alias(f"_b_{v}") for v in values])
-    # Only rows before the first known value need it, so join just those.
-    known = ahead.where(F.col(f"_f_{values[0]}").isNotNull())
-    blank = ahead.where(F.col(f"_f_{values[0]}").isNull()).join(firsts, list(by), "left")
     keep = [c for c in df.columns if c not in values]
-    return known.select(*keep, *[F.col(f"_f_{v}").alias(v) for v in values]).unionByName(
-        blank.select(*keep, *[F.col(f"_b_{v}").alias(v) for v in values]))
+    ahead = last_known(df, by, order, {f"_f_{v}": F.col(v) for v in values}, size)
+    # Looking forward, the next known value of a leading blank is the first known one.
+    both = last_known(ahead, by, order, {f"_b_{v}": F.col(v) for v in values}, size, backward=True,
+                      keep=[*keep, *[f"_f_{v}" for v in values]])
+    return both.select(*keep, *[F.coalesce(f"_f_{v}", f"_b_{v}").alias(v) for v in values])
 
 
 def segment_cost(df: DataFrame, by: Sequence[str], coords: Sequence[str], max_span: int,
