@@ -168,3 +168,44 @@ WHERE x < least(128, 100 + frame % 40) AND y < least(8, 4 + frame % 5)""")
 def align(spark, sf):
     ext = frame_list(spark, sf).selectExpr("frame", "128 AS w1", "8 AS h1", "100 + frame % 40 AS w2", "4 + frame % 5 AS h2")
     return C.align(pixels(spark, sf), ext, ["frame"])
+
+
+def _filled_sql(name, keep):
+    """Sub-pixel fill of the polygons after keeping the points ``keep`` selects."""
+    return f"""{name}_p AS (
+  SELECT vec_id, i AS idx, 16 + embedding[2*i+1]::DOUBLE * 60 AS x, 12 + embedding[2*i+2]::DOUBLE * 45 AS y FROM (
+    SELECT *, 4 + vec_id % 29 AS n, {keep} AS k FROM embeddings), range(32) r(i)
+  WHERE i < n AND (k >= n OR list_contains(list_transform(range(k), lambda q: round_even(q * (n - 1)::DOUBLE / (k - 1), 0)), i))), {name}_e AS (
+  SELECT vec_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2
+  FROM {name}_p WINDOW w AS (PARTITION BY vec_id ORDER BY idx)), {name}_c AS (
+  SELECT vec_id, r, x + ((r + 0.5) / 2 - y) * (x2 - x) / (y2 - y) AS cx FROM {name}_e, range(48) g(r)
+  WHERE (y <= (r + 0.5) / 2) <> (y2 <= (r + 0.5) / 2)), {name} AS (
+  SELECT vec_id, r // 2 AS y, s // 2 AS x, count(*) / 4 AS cov FROM (
+    SELECT vec_id, r, s, count(*) FILTER (cx <= (s + 0.5) / 2) AS n FROM {name}_c, range(64) h(s) GROUP BY ALL) WHERE n % 2 = 1 GROUP BY ALL)"""
+
+
+_POINT_VARIANTS = {"drop_1": "n - 1", "drop_20pct": "floor(n * 0.8)"}
+
+
+@query("ablate_points", "WITH " + _filled_sql("exact", "4 + vec_id % 29") + ", "
+       + _filled_sql("drop_1", "greatest(3, 3 + vec_id % 29)") + ", "
+       + _filled_sql("drop_20pct", "greatest(3, CAST(floor((4 + vec_id % 29) * 0.8) AS INTEGER))")
+       + " " + " UNION ALL ".join(f"""SELECT '{v}' AS variant, vec_id, round(coalesce(s, 1), 6) AS soft_iou FROM embeddings LEFT JOIN (
+  SELECT vec_id, sum(least(coalesce(a.cov, 0), coalesce(b.cov, 0))) / sum(greatest(coalesce(a.cov, 0), coalesce(b.cov, 0))) AS s
+  FROM exact a FULL JOIN {v} b USING (vec_id, y, x) GROUP BY 1) USING (vec_id)""" for v in _POINT_VARIANTS))
+def ablate_points(spark, sf):
+    """Soft IoU of re-drawing each polygon with fewer control points, survivors left in place."""
+    from ..functions.ordered import chunk_id, positions, with_totals
+    from ..operators.geometry import decimate
+    poly = polygons(spark, sf)
+    ids = load(spark, sf, "embeddings").select("vec_id")
+    exact = C.fill_coverage(poly, ["vec_id"], 32, 24)
+    out = None
+    for variant, keep in _POINT_VARIANTS.items():
+        kept = decimate(poly.withColumn("n", F.col("cnt")), keep).select("vec_id", "x", "y", "idx")
+        kept = positions(kept, ["vec_id"], ["idx"], chunk_id("idx"), "pos")
+        kept = with_totals(kept, ["vec_id"], {"cnt": ("count", F.lit(1))}, chunk_id("pos"))
+        drawn = C.fill_coverage(kept.selectExpr("vec_id", "pos AS idx", "cnt", "x", "y"), ["vec_id"], 32, 24)
+        s = C.soft_iou(drawn, exact, ids, ["vec_id"]).select(F.lit(variant).alias("variant"), "vec_id", "soft_iou")
+        out = s if out is None else out.unionByName(s)
+    return rounded(out)

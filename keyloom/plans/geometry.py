@@ -280,3 +280,33 @@ def apply_group_transforms(spark, sf):
     gm = m.where("vec_id % 8 < 4").selectExpr("label AS element_id", "vec_id % 4 AS group_id", "vec_id AS frame", "matrix")
     out = G.apply_group_transforms(anc, groups, gm)
     return rounded(out.selectExpr("element_id", "carrier", "group_id", "frame", "shapes", "matrix[0] AS m00"))
+
+
+@query("bezier_points", """WITH e AS (SELECT vec_id, vec_id % 2 = 0 AS closed, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings), s AS (
+  SELECT *, i, (i + 1) % 10 AS j, k / 4 AS t, i * 4 + k AS sample FROM e, range(10) a(i), range(5) b(k)
+  WHERE (closed OR i < 9) AND (k < 4 OR (NOT closed AND i = 8)))
+SELECT vec_id, CAST(sample AS INTEGER) AS sample,
+  round(pow(1 - t, 3) * e[6*i+1] + 3 * (1 - t) * (1 - t) * t * e[6*i+5] + 3 * (1 - t) * t * t * e[6*j+3] + pow(t, 3) * e[6*j+1], 6) AS x,
+  round(pow(1 - t, 3) * e[6*i+2] + 3 * (1 - t) * (1 - t) * t * e[6*i+6] + 3 * (1 - t) * t * t * e[6*j+4] + pow(t, 3) * e[6*j+2], 6) AS y FROM s""")
+def bezier_points(spark, sf):
+    """Ten anchors per vector, each followed by its in-handle and out-handle."""
+    e = load(spark, sf, "embeddings").selectExpr("vec_id", "transform(embedding, v -> CAST(v AS DOUBLE)) AS e")
+    p = e.selectExpr("vec_id", "e", "explode(sequence(0, 9)) AS idx").selectExpr(
+        "vec_id", "idx", "10 AS n", "vec_id % 2 = 0 AS closed",
+        *[f"e[6 * idx + {i}] AS {c}" for i, c in enumerate(("x", "y", "ix", "iy", "ox", "oy"))])
+    return rounded(G.bezier_points(p, ["vec_id"], 4))
+
+
+@query("probe_temporal_error", f"""WITH {POINTS_SQL}, {MATS_SQL}, {PROJ_SQL}, {PROBES_SQL}, e AS (
+  SELECT probe, vec_id, vec_id % 3 <> 0 AS live, {_P[0]} - px AS ex, {_P[1]} - py AS ey
+  FROM proj, (SELECT * FROM probes WHERE label = 0)), l AS (
+  SELECT *, lag(ex) OVER w AS lx, lag(ey) OVER w AS ly, lag(live) OVER w AS ll, lag(vec_id) OVER w AS lf
+  FROM e WINDOW w AS (PARTITION BY probe ORDER BY vec_id))
+SELECT probe, round(coalesce((sum(abs(ex - lx) + abs(ey - ly)) FILTER (live AND ll AND vec_id - lf = 1))
+  / nullif(2 * count(*) FILTER (live AND ll AND vec_id - lf = 1), 0), 0) * 256, 6) AS probe_temporal_error FROM l GROUP BY probe""")
+def probe_temporal_error(spark, sf):
+    """Every vector's map is one frame of a predicted transform track; the truth stands still."""
+    probes = G.group_probes(points(spark, sf), ["label"], "point_idx % 5 <> 0").where("label = 0").drop("label")
+    m = G.proj_encode(mats(spark, sf), name="pred").selectExpr(
+        "vec_id AS frame", "pred", "array(1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D) AS truth", "vec_id % 3 <> 0 AS live")
+    return rounded(G.probe_temporal_error(m.crossJoin(F.broadcast(probes)), ["probe"], ["probe"], 256.0))

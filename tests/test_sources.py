@@ -121,3 +121,13 @@ def test_versions(spark, tmp_path):
     assert versions.read_version(spark, root, "v1", "splits") is None
     with pytest.raises(versions.StorageUnavailable):
         versions.version_exists(spark, "nosuchfs://bucket", "v1")
+
+
+def test_score_sink(spark, tmp_path):
+    table = spark.createDataFrame([("A", 2, "second", "0.5000", "0.0100"), ("A", 1, "first", "--", "")],
+                                  "section string, ordinal int, label string, value string, spread string")
+    summary = spark.createDataFrame([("r", 0.5)], "run string, mean_soft_iou double")
+    versions.write_scores(summary, table, str(tmp_path / "s"))
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "s" / "table")).collect()]
+    assert [line.split()[0] for line in lines] == ["first", "second"] and "--" in lines[0]
+    assert spark.read.json(str(tmp_path / "s" / "summary")).first()["mean_soft_iou"] == 0.5
