@@ -15,15 +15,20 @@ Three regimes, all giving the same answer as one pass over the track:
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import sys
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.lineage import cut
 from ..functions.ordered import CHUNK, chunk_id, last_known, positions, stencil, with_totals
 
+# The group functions travel with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 DP_MAX_FRAMES = 64
 REACH_PATIENCE = 8
 GROUP_LIMIT = 4096
