@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_automaton, mixing, token_counts, token_store
+from . import bpe_automaton, line_dedup, mixing, segment_topk, token_counts, token_store
 from .shared import shared_dir
 
 
@@ -15,12 +15,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_lines(table(spark, sf_dir, "documents")).select(
+        "doc.doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
 def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens"
     token_store.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
     return token_store.read_tokens(spark, path)
 
 
+def op3_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -34,6 +43,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_token_store, op6_mixing, op8_bpe_automaton, op10_token_counts)}
+    f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_segment_topk, op6_mixing, op8_bpe_automaton, op10_token_counts)}
 
-ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE, "op3_segment_topk": segment_topk.ORACLE, "op6_mixing": mixing.ORACLE}
