@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_automaton, line_dedup, mixing, segment_topk, token_counts, token_store
+from . import bpe_automaton, line_dedup, mixing, quality_rules, segment_topk, token_counts, token_store
 from .shared import shared_dir
 
 
@@ -38,12 +38,17 @@ def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents")).select(
+        "doc.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_segment_topk, op6_mixing, op8_bpe_automaton, op10_token_counts)}
+    f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_segment_topk, op6_mixing, op8_bpe_automaton, op9_quality_rules, op10_token_counts)}
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE, "op3_segment_topk": segment_topk.ORACLE, "op6_mixing": mixing.ORACLE}
