@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_automaton, line_dedup, mixing, quality_rules, segment_topk, token_counts, token_store
+from . import bpe_automaton, line_dedup, mixing, near_dups, page_wrappers, quality_rules, segment_topk, token_counts, token_store
 from .shared import shared_dir
 
 
@@ -30,6 +30,14 @@ def op3_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op5_page_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_wrappers.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -48,7 +56,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_segment_topk, op6_mixing, op8_bpe_automaton, op9_quality_rules, op10_token_counts)}
+    f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_segment_topk, op4_near_dups, op5_page_wrappers, op6_mixing, op8_bpe_automaton, op9_quality_rules, op10_token_counts)}
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE, "op3_segment_topk": segment_topk.ORACLE, "op6_mixing": mixing.ORACLE}
