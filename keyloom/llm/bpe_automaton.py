@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Recent, keep, slices
+from .shared import Kept, keep, slices
 
 KEPT = 250_000
 
@@ -122,8 +122,8 @@ class Tokenizer:
         self.final = {s[:-e]: i for s, i in usable if s.endswith(self.end)}
         self.longest = max(map(len, [*self.inner, *self.final]))
         self.prefixes = {s[:k] for s in [*self.inner, *self.final] for k in range(1, len(s) + 1)}
-        self.words = Recent(KEPT)
-        self.pieces = Recent(KEPT)
+        self.words = Kept(KEPT, lambda w: self.word("".join(map(self.sym.__getitem__, w.encode().decode("latin-1")))))
+        self.pieces = Kept(KEPT, self.piece)
 
     def _arcs(self, word: str, at: int) -> list[tuple[int, int]]:
         """Tokens that match at a position as (next position, id), the longest last."""
@@ -166,13 +166,7 @@ class Tokenizer:
         """Ids of a stretch without special tokens."""
         # Lower case is taken per character, as the vocabulary file's rule does: a final sigma stays a plain one.
         text = "".join(map(str.lower, unicodedata.normalize("NFC", text))) if not text.isascii() else text.lower()
-        out: list[int] = []
-        for w in self.split.findall(text):
-            ids = self.words.get(w)
-            if ids is None:
-                ids = self.words.put(w, self.word("".join(map(self.sym.__getitem__, w.encode().decode("latin-1")))))
-            out.extend(ids)
-        return out
+        return [i for w in self.split.findall(text) for i in self.words[w]]
 
     def piece(self, piece: str) -> bytes:
         ids: list[int] = []
@@ -186,11 +180,7 @@ class Tokenizer:
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers. A space is dropped by the split and never composes, so
         the stretches between spaces are encoded apart."""
-        parts = text.split(" ")
-        known = self.pieces.new
-        for p in self.pieces.missing(parts):
-            known[p] = self.piece(p)
-        return b"".join([known[p] for p in parts])
+        return b"".join(map(self.pieces.__getitem__, text.split(" ")))
 
     def decode(self, ids: bytes) -> bytes:
         return b" ".join(self.labels[np.frombuffer(ids, "<u4")].tolist())

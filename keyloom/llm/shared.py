@@ -6,7 +6,7 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import numpy as np
@@ -54,35 +54,24 @@ def keep(key: Any, make: Callable[[], Any]) -> Any:
     return kept[key]
 
 
-class Recent:
-    """A bounded cache in two generations: what was not asked for during a whole generation is dropped."""
+class Kept(dict):
+    """A bounded table that makes absent values, in two generations: what was not asked for during a whole
+    generation is dropped."""
 
-    def __init__(self, size: int):
-        self.size, self.new, self.old = size, {}, {}
+    def __init__(self, size: int, make: Callable[[Any], Any]):
+        super().__init__()
+        self.size, self.make, self.old = size, make, {}
 
-    def get(self, key: Any) -> Any:
-        value = self.new.get(key)
-        if value is None and (value := self.old.get(key)) is not None:
-            self.put(key, value)
+    def __missing__(self, key: Any) -> Any:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
-    def put(self, key: Any, value: Any) -> Any:
-        if len(self.new) >= self.size:
-            self.new, self.old = {}, self.new
-        self.new[key] = value
-        return value
-
-    def missing(self, keys: Iterable[Any]) -> set[Any]:
-        """Keys to be added to ``new`` by the caller; after that ``new`` holds all of ``keys``."""
-        keys = set(keys)
-        absent = {k for k in keys if k not in self.new}
-        if len(self.new) + len(absent) > self.size:
-            self.new, self.old = {}, self.new
-            absent = keys
-        found = {k for k in absent if k in self.old}
-        self.new.update((k, self.old[k]) for k in found)
-        return absent - found
-
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive pieces of a batch of about ``limit`` bytes in ``column`` each, one row at least."""

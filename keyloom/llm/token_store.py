@@ -17,6 +17,7 @@ are all kept, ordered by text; an empty table gives empty files; other columns a
 
 from __future__ import annotations
 
+import array
 import json
 import os
 import re
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .shared import Recent, keep, slices
+from .bpe_automaton import byte_symbols
+from .shared import Kept, keep, slices
 
 BLOCK = 64
 SEGMENT_IDS = 1 << 18
-CACHED = 250_000
+CACHED = 300_000
+LATIN = "\u0250"
 
 SEGMENTS = ("part int, seg int, n_docs int, n_ids long, before long, doc_ids array<bigint>, id_bytes int, "
             "ids binary, low_bits int, low binary, high binary, picks binary")
@@ -100,14 +103,16 @@ _CUT = re.compile(r"(?= \S)")
 
 
 class Encoder:
-    """``tokenizers`` with a bounded cache of space-led chunks.
+    """``tokenizers`` with bounded tables of chunks and words.
 
     A byte-level pre-tokenizer without prefix space always starts a new piece at a space that a
-    non-space follows, so such chunks can be encoded apart and joined. Texts with a special token's
-    string, and vocabularies with another pre-tokenizer, are encoded whole.
+    non-space follows, so a text is the chunks between such spaces, one after the other. A chunk of Latin
+    script is split as the pre-tokenizer does and its words go to the library's BPE model; other
+    chunks, texts with a special token's string, and vocabularies of another kind are encoded whole.
     """
 
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
@@ -115,44 +120,48 @@ class Encoder:
         self.tok.no_padding()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
+        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
         self.dtype = "<u2" if self.tok.get_vocab_size() <= 1 << 16 else "<u4"
         self.by_chunk = (spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
-                         and not pre.get("add_prefix_space") and not any(
+                         and not pre.get("add_prefix_space") and model["type"] == "BPE" and not model.get("dropout") and not any(
                              t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"]
                              for t in spec.get("added_tokens", [])))
+        self.kind = "H" if self.dtype == "<u2" else "I"
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        self.recent = Recent(CACHED)
+        # The pre-tokenizer's pattern, and the characters that stand for bytes.
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+        self.signs = dict(enumerate(byte_symbols()))
+        self.model = self.tok.model
+        self.words = Kept(CACHED, self.word)
+        self.chunks = Kept(CACHED, self.chunk)
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for i in range(0, len(texts), 4096):
-            for e in self.tok.encode_batch_fast(texts[i:i + 4096], add_special_tokens=False):
-                out.append(np.array(e.ids, self.dtype).tobytes())
-        return out
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def word(self, word: str) -> bytes:
+        signs = word.encode().decode("latin-1").translate(self.signs)
+        return array.array(self.kind, [t.id for t in self.model.tokenize(signs)]).tobytes()
+
+    def chunk(self, chunk: str) -> bytes | None:
+        """Ids of a chunk given without its space; None where a space before it is no sure boundary."""
+        if not chunk or chunk[0].isspace():
+            return None
+        if max(chunk) >= LATIN:
+            return self.whole([" " + chunk])[0]
+        return b"".join(map(self.words.__getitem__, self.split.findall(" " + chunk)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
         if not self.by_chunk:
             return self.whole(texts)
-        parts = [t.split(" ") for t in texts]
-        need: set[str] = set()
-        for p in parts:
-            need.update(p)
-        missing = self.recent.missing(need)
-        known = self.recent.new
-        # A space before white space or before nothing is no sure boundary: None sends the text to the slow way.
-        good = [p for p in missing if p and not p[0].isspace()]
-        known.update(dict.fromkeys(missing))
-        known.update(zip(good, self.whole([" " + p for p in good])))
-        heads = self.whole([p[0] for p in parts])
         out = []
-        for text, p, head in zip(texts, parts, heads):
+        for text in texts:
+            head, *rest = text.split(" ")
             if any(s in text for s in self.special):
                 out.append(self.whole([text])[0])
                 continue
             try:
-                out.append(head + b"".join([known[x] for x in p[1:]]))
+                out.append(self.whole([head])[0] + b"".join(map(self.chunks.__getitem__, rest)))
             except TypeError:
                 out.append(b"".join(self.whole(_CUT.split(text))))
         return out
