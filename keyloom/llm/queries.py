@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe_automaton, line_dedup, mixing, near_dups, page_wrappers, quality_rules, segment_topk, token_counts, token_store
+from . import (bpe_automaton, line_dedup, mixing, near_dups, page_wrappers, quality_rules, segment_topk, token_counts, token_store,
+               toxicity)
 from .shared import shared_dir
 
 
@@ -42,6 +43,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -56,7 +61,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_token_store, op3_segment_topk, op4_near_dups, op5_page_wrappers, op6_mixing, op8_bpe_automaton, op9_quality_rules, op10_token_counts)}
+    f.__name__: f for f in (
+        op1_line_dedup, op2_token_store, op3_segment_topk, op4_near_dups, op5_page_wrappers, op6_mixing, op7_toxicity,
+        op8_bpe_automaton, op9_quality_rules, op10_token_counts)}
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE, "op3_segment_topk": segment_topk.ORACLE, "op6_mixing": mixing.ORACLE}
