@@ -54,13 +54,38 @@ def test_project_ingest_quarantines(spark, delivery):
     assert sorted(r["container"] for r in t["docs"].collect()) == ["plain", "zlib"]
     assert all((r["duration"], r["start_frame"], r["width"]) == (40, 1001, 2880) for r in t["docs"].collect())
     bad = {r["path"].rsplit("/", 1)[1]: r["error"] for r in t["quarantine"].collect()}
-    assert "declares 9" in bad["broken.sfx"] and "point count" in bad["mixed.sfx"]
+    assert bad == {"broken.sfx": "length_mismatch", "mixed.sfx": "point_count"}
     one = t["nodes"].where("path LIKE '%project.sfx'").orderBy("node_id").collect()
     assert [(r["node_id"], r["kind"], r["name"]) for r in one] == [("0", "layer", "Hero"), ("0/0", "shape", "A"), ("0/1", "layer", "Inner")]
     k = t["keys"].where("path LIKE '%project.sfx'").collect()
     assert {(r["track"], r["frame"]) for r in k} == {("path", 1), ("path", 3), ("opacity", 0), ("opacity", 5)}
 
 
+def test_project_details(spark):
+    shape = ('<Object type="Shape" label="{0}"><Properties><Property id="path"><Key frame="2"><Path closed="False"><Point>(1,2)</Point></Path></Key></Property>'
+             '<Property id="strokeWidth"><Value>2.5 px</Value></Property><Property id="feather"><Key frame="1">4 5</Key></Property>'
+             '<Property id="invert"><Value> True</Value></Property></Properties></Object>')
+    layer = ('<Object type="Layer" id="L9"><Properties><Property id="transform.scale"><Value>1.000001 1</Value></Property>'
+             '<Property id="transform.rotate"><Value>30</Value></Property><Property id="feather"><Key frame="1">4</Key></Property>'
+             '<Property id="objects"><Object type="Shape" label="none"/>' + shape.format("in") + '</Property></Properties></Object>')
+    xml = ('<!-- p --><P><Source/><Source width="10" height="20"/><Node type="RotoNode"><Properties><Property id="objects">'
+           + shape.format("top") + layer + "</Property></Properties></Node></P>")
+    bad = {"short": b"abc", "noise": b"abcdefgh", "xml": b"<!-- --><P><Q></P>", "size": b"<!-- --><P/>",
+           "type": xml.replace('"Shape" label="none"', '"Disc"').encode(), "frame": xml.replace('frame="2"', "").encode(),
+           "kind": xml.replace('label="in"', 'label="in" shape_type="oval"').encode(), "width": xml.replace("<Point>(1,2)", "<Point>(1,2,3,4)</Point><Point>(1,2)").encode()}
+    t = projects.ingest_projects(projects.parse_projects(spark.createDataFrame([("ok", xml.encode()), *bad.items()], "path string, content binary")))
+    assert {r["path"]: r["error"] for r in t["quarantine"].collect()} == {
+        "short": "too_short", "noise": "not_zlib", "xml": "not_xml", "size": "no_source_size", "type": "object_type", "frame": "key_frame",
+        "kind": "shape_type", "width": "point_width"}
+    assert [tuple(r) for r in t["docs"].collect()] == [("ok", "plain", 10, 20, 0, 24.0, 1001)]
+    nodes = [(r["node_id"], r["parent_id"], r["ordinal"], r["kind"], r["name"], r["closed"], r["invert"], r["stroke_width"]) for r in t["nodes"].orderBy("node_id").collect()]
+    assert nodes == [("0", None, 0, "layer", "<bare:top>", None, False, None), ("0/0", "0", 0, "shape", "top", False, True, 2.5),
+                     ("1", None, 1, "layer", "L9", None, False, None), ("1/0", "1", 0, "shape", "in", False, True, 2.5)]
+    keys = sorted((r["node_id"], r["track"], r["frame"], r["interp"], r["n_points"], r["value"]) for r in t["keys"].collect())
+    assert keys == [("0/0", "feather", 1, "linear", 1, [4.0]), ("0/0", "path", 2, "linear", 1, [1.0, 2.0]), ("1", "rotate", 0, "hold", 1, [30.0]),
+                    ("1/0", "feather", 1, "linear", 1, [4.0]), ("1/0", "path", 2, "linear", 1, [1.0, 2.0])]
+
+
 def test_pick_candidate_ladder(spark):
     c = spark.createDataFrame([
         ("a", "a/project.sfx", "project.sfx", 5, True, None, 1), ("a", "a/z.sfx", "z.sfx", 9, True, 0.9, 9),
