@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 CHUNK = 65536
 """Positions per chunk: large enough that ordinary tracks are one chunk."""
@@ -32,15 +32,29 @@ def _shared(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(*[F.col(k) for k in keys])
 
 
+def _touch(column: Column, kind: T.DataType) -> Column:
+    """A number that reads a column of any type, so that its maximum keeps a fixed-width buffer."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.octet_length(column)
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return F.size(column)
+    if isinstance(kind, T.StructType) and kind.fields:
+        return _touch(column.getField(kind.fields[0].name), kind.fields[0].dataType)
+    return column if isinstance(kind, (T.NumericType, T.BooleanType)) else column.isNull()
+
+
 def _summary(shared: DataFrame, keys: Sequence[str], aggs: Sequence[Column]) -> DataFrame:
     """Per-chunk aggregates over the shared exchange.
 
-    The filter is always true. It keeps column pruning from narrowing this branch's exchange,
-    which would make it differ from the detail branch's and force a second upstream run.
+    The filter is always true. It keeps column pruning from narrowing this branch's exchange, which would make
+    it differ from the detail branch's and force a second upstream run. It reads a number per
+    column, so the aggregate stays a hash aggregate and takes columns of every type.
     """
-    every = F.max(F.struct(*shared.columns))
-    return (shared.groupBy(*keys).agg(*aggs, every.alias("_any")).where("_any IS NOT NULL")
-            .drop("_any"))
+    others = [f for f in shared.schema.fields if f.name not in keys]
+    seen = [F.max(_touch(F.col(f"`{f.name}`"), f.dataType)).alias(f"_any{i}") for i, f in enumerate(others)]
+    out = shared.groupBy(*keys).agg(*aggs, *seen)
+    names = [f"_any{i}" for i in range(len(others))]
+    return (out.where(F.pmod(F.hash(*names), F.lit(7)) >= 0) if names else out).drop(*names)
 
 
 def stencil(df: DataFrame, by: Sequence[str], order: str,

@@ -80,29 +80,36 @@ def assemble_program(shapes: DataFrame, template_keys: DataFrame, pred_keys: Dat
 
 
 def sweep(cells: DataFrame, by: Sequence[str], grid: DataFrame, prob: str = "p", truth: str = "truth",
-          max_gap: int = 8, size: int = 65536) -> DataFrame:
+          size: int = 65536) -> DataFrame:
     """Decode the same probabilities under every (on, off, gap) and score each cell of the grid.
 
-    ``grid`` is the small parameter table; off above on is not a cell. Grid columns join the track
-    key, so every decode is the ordinary operator over more tracks.
+    ``grid`` is the small parameter table; off above on is not a cell. Cells of the grid are columns, so
+    the rows are shuffled once per step whatever the grid's size, and a threshold pair is decoded once for
+    all its gaps. Gaps are measured to the live frames on both sides, however far those are.
     """
-    g = grid.where("off <= on").select(
-        F.col("on").cast("double").alias("on"), F.col("off").cast("double").alias("off"), "gap")
-    params = ["on", "off", "gap"]
-    key = [*by, *params]
-    wide = cells.select(*by, "frame", prob, truth).crossJoin(F.broadcast(g))
     from ..functions.ordered import last_known
-    mark = F.expr(f"CASE WHEN {prob} > on THEN true WHEN {prob} <= off THEN false END")
-    live = last_known(wide, key, "frame", {"_s": mark}, size, keep=[*key, "frame", truth]).select(
-        *key, "frame", truth, F.coalesce("_s", F.lit(False)).alias("live"))
-    at = F.when(F.col("live"), F.col("frame"))
-    st = stencil(live, key, "frame", [{
-        "_p": lambda w: F.max(at).over(w.rangeBetween(-max_gap, 0)),
-        "_n": lambda w: F.min(at).over(w.rangeBetween(0, max_gap))}, {
-        "_d": lambda w: F.expr("live OR coalesce(gap > 1 AND _n - _p - 1 < gap, false)")}, {
-        "_dp": lambda w: F.lag("_d").over(w), "_tp": lambda w: F.lag(truth).over(w)}], max_gap + 1, size)
-    return st.groupBy(*params).agg(
-        F.expr("count(1) AS cells"), F.expr(f"count_if(_d = {truth}) / count(1) AS accuracy"),
-        F.expr(f"count_if(_d AND NOT {truth}) / count(1) AS fp_rate"),
-        F.expr(f"count_if(NOT _d AND {truth}) / count(1) AS fn_rate"),
-        F.expr(f"count_if(_d <> _dp) / greatest(1, count_if({truth} <> _tp)) AS transition_ratio"))
+    points = sorted({(float(r[0]), float(r[1]), int(r[2])) for r in grid.where("off <= on").select("on", "off", "gap").collect()})
+    if not points:
+        return cells.sparkSession.createDataFrame([], "on double, off double, gap int, cells long, accuracy double, fp_rate double, "
+                                                  "fn_rate double, transition_ratio double")
+    pairs = sorted({p[:2] for p in points})
+    states = {f"_s{i}": F.expr(f"CASE WHEN {prob} > {on}D THEN true WHEN {prob} <= {off}D THEN false END") for i, (on, off) in enumerate(pairs)}
+    keep = [*by, "frame", truth]
+    live = last_known(cells.select(*by, "frame", prob, truth), by, "frame", states, size, keep=keep).select(
+        *keep, *[F.coalesce(s, F.lit(False)).alias(f"_l{s[2:]}") for s in states])
+    lives = [f"_l{i}" for i in range(len(pairs))]
+    at = lambda way: {f"_{way}{i}": F.when(F.col(n), F.col("frame")) for i, n in enumerate(lives)}
+    near = last_known(live, by, "frame", at("p"), size, keep=[*keep, *lives])
+    near = last_known(near, by, "frame", at("n"), size, backward=True, keep=[*keep, *lives, *at("p")])
+    closed = near.select(*keep, *[
+        F.expr(f"_l{i} OR coalesce({gap} > 1 AND _n{i} - _p{i} - 1 < {gap}, false)").alias(f"_d{k}")
+        for k, (on, off, gap) in enumerate(points) for i in [pairs.index((on, off))]])
+    marks = [truth, *[f"_d{k}" for k in range(len(points))]]
+    st = stencil(closed, by, "frame", {f"_b_{m}": lambda w, m=m: F.lag(m).over(w) for m in marks}, 1, size)
+    one = st.agg(F.expr("count(1) AS cells"), *[F.expr(
+        f"struct({on}D AS on, {off}D AS off, {gap} AS gap, count_if(_d{k} = {truth}) / count(1) AS accuracy, "
+        f"count_if(_d{k} AND NOT {truth}) / count(1) AS fp_rate, count_if(NOT _d{k} AND {truth}) / count(1) AS fn_rate, "
+        f"count_if(_d{k} <> _b__d{k}) / greatest(1, count_if({truth} <> _b_{truth})) AS transition_ratio)").alias(f"_c{k}")
+        for k, (on, off, gap) in enumerate(points)])
+    rows = one.where("cells > 0").select("cells", F.explode(F.array(*[f"_c{k}" for k in range(len(points))])).alias("c"))
+    return rows.select("c.on", "c.off", "c.gap", "cells", "c.accuracy", "c.fp_rate", "c.fn_rate", "c.transition_ratio")

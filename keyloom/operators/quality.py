@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import os
 from collections.abc import Mapping, Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.lineage import cut
 from ..functions.ordered import chunk_id, positions, with_totals
 
 MATCH_MIN = 0.50
@@ -212,7 +214,7 @@ def ledger_summary(ledger: DataFrame) -> DataFrame:
 
 def assert_green(ledger: DataFrame) -> None:
     """Fail on any RED row, naming the items. The ledger has one row per check."""
-    red = [r["item"] for r in ledger.where("status = 'RED'").select("item").take(100)]
+    red = [r["item"] for r in ledger.where("status = 'RED'").select("item").collect()]
     if red:
         raise ValueError(f"ledger is not green: {sorted(red)}")
 
@@ -297,7 +299,7 @@ def check_quotable(runs: DataFrame, allow_local: bool = False) -> DataFrame:
     """The runs with their environment, or an error naming the local ones."""
     out = quotability(runs)
     if not allow_local:
-        bad = [str(r[0]) for r in out.where("NOT quotable").select("run").orderBy("run").take(20)]
+        bad = [str(r[0]) for r in out.where("NOT quotable").select("run").orderBy("run").collect()]
         if bad:
             raise ValueError(f"refusing to quote local runs: {', '.join(bad)}")
     return out.drop("quotable")
@@ -322,20 +324,24 @@ def validate_requests(requests: DataFrame, rungs: DataFrame, versions: DataFrame
                "CASE WHEN _v IS NULL THEN concat('dataset ', dataset_version, ' is not in storage') END)), '; ') AS reasons"))
 
 
-def resolve_configs(base: DataFrame, overrides: DataFrame, max_depth: int = 16) -> DataFrame:
+def resolve_configs(base: DataFrame, overrides: DataFrame) -> DataFrame:
     """Every rung's resolved ``(rung, key, value)``: base plus the overrides along its chain.
 
     ``overrides`` (rung, parent, key, value) is a catalogue of a few rows per rung; the chain is
-    walked level by level, the nearest override wins.
+    walked level by level to its end, the nearest override wins. A rung that is its own ancestor is an error.
     """
     edges = overrides.select("rung", "parent").distinct()
+    edges = cut(edges)
     chain = edges.select("rung", F.col("rung").alias("at"), F.lit(0).alias("dist"))
     frontier = chain
-    for d in range(1, max_depth + 1):
-        frontier = frontier.join(edges.select(F.col("rung").alias("at"), "parent"), "at").where(
-            "parent IS NOT NULL").select("rung", F.col("parent").alias("at"), F.lit(d).alias("dist"))
+    for d in count(1):
+        frontier = cut(frontier.join(edges.select(F.col("rung").alias("at"), "parent"), "at").where(
+            "parent IS NOT NULL").select("rung", F.col("parent").alias("at"), F.lit(d).alias("dist")))
         if frontier.isEmpty():
             break
+        loops = sorted(str(r[0]) for r in frontier.where("rung = at").select("rung").distinct().collect())
+        if loops:
+            raise ValueError(f"rungs that inherit from themselves: {loops}")
         chain = chain.unionByName(frontier)
     own = chain.join(overrides.select(F.col("rung").alias("at"), "key", "value"), "at").where("key IS NOT NULL").groupBy(
         "rung", "key").agg(F.expr("min_by(value, dist) AS value"))

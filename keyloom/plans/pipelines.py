@@ -120,7 +120,7 @@ SWEEP_SQL = f"""{life.CELLS_SQL}, {GRID_SQL}, w AS (SELECT * FROM cells, grid WH
 
 def _sweep(spark, sf):
     grid = spark.createDataFrame(GRID, "on double, off double, gap int")
-    return P.sweep(life.cells(spark, sf, "p", "truth"), ["user_id"], grid, max_gap=3)
+    return P.sweep(life.cells(spark, sf, "p", "truth"), ["user_id"], grid)
 
 
 @query("sweep", f"""WITH {SWEEP_SQL} SELECT "on", "off", gap, cells, round(accuracy, 6) AS accuracy, round(fp_rate, 6) AS fp_rate,

@@ -1,14 +1,16 @@
 """Nested JSON documents to long rows and back.
 
 A document is ``{session, layers: [{label, uuid, mode, invert, shapes, children, order}]}``; the
-``order`` list restores how shapes and layers interleave. Nesting depth is small and bounded, so
-both directions work level by level.
+``order`` list restores how shapes and layers interleave. Both directions work level by level, to
+whatever depth the documents have.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.lineage import cut
+
 _LAYERS = "array<variant>"
 
 
@@ -20,14 +22,14 @@ def _nodes(level: DataFrame, kind: str) -> DataFrame:
         F.expr("coalesce(variant_get(v, '$.invert', 'boolean'), false)").alias("invert"))
 
 
-def flatten_ir(docs: DataFrame, json: str = "json", max_depth: int = 32) -> dict[str, DataFrame]:
+def flatten_ir(docs: DataFrame, json: str = "json") -> dict[str, DataFrame]:
     """``(doc_id, json)`` to ``nodes`` and ``path_keys``. Node ids are ordinal paths."""
     parsed = docs.select("doc_id", F.parse_json(json).alias("v"))
     level = parsed.select("doc_id", F.posexplode(F.variant_get("v", "$.layers", _LAYERS)).alias("ordinal", "v")).select(
         "doc_id", F.col("ordinal").cast("string").alias("node_id"), F.lit(None).cast("string").alias("parent_id"),
         "ordinal", F.lit(0).alias("depth"), "v")
     nodes, shapes = [], []
-    for _ in range(max_depth):
+    while True:
         nodes.append(_nodes(level, "layer"))
         inside = level.select(
             "doc_id", F.col("node_id").alias("parent_id"), (F.col("depth") + 1).alias("depth"),
@@ -46,11 +48,9 @@ def flatten_ir(docs: DataFrame, json: str = "json", max_depth: int = 32) -> dict
         own = slots.where("what = 'shape'").drop("what")
         shapes.append(own)
         nodes.append(_nodes(own, "shape"))
-        level = slots.where("what <> 'shape'").drop("what")
+        level = cut(slots.where("what <> 'shape'").drop("what"))
         if level.isEmpty():
             break
-    else:
-        raise ValueError(f"document nested deeper than {max_depth}")
     every, drawn = nodes[0], shapes[0]
     for n in nodes[1:]:
         every = every.unionByName(n)
@@ -64,7 +64,7 @@ def flatten_ir(docs: DataFrame, json: str = "json", max_depth: int = 32) -> dict
     return {"nodes": every, "path_keys": keys}
 
 
-def nest_ir(docs: DataFrame, nodes: DataFrame, path_keys: DataFrame, max_depth: int = 32) -> DataFrame:
+def nest_ir(docs: DataFrame, nodes: DataFrame, path_keys: DataFrame) -> DataFrame:
     """Long rows back to one JSON document per ``doc_id``, deepest level first."""
     keys = path_keys.groupBy("doc_id", "node_id").agg(F.expr(
         "concat('[', array_join(transform(array_sort(collect_list(struct(frame, interp, closed, to_json(value) AS v))), "
@@ -73,8 +73,8 @@ def nest_ir(docs: DataFrame, nodes: DataFrame, path_keys: DataFrame, max_depth:
     text = (f"concat('\"label\":', {quoted('label')}, ',\"uuid\":', {quoted('coalesce(uuid, \"\")')}, "
             f"',\"mode\":', {quoted('mode')}, ',\"invert\":', invert)")
     deepest = nodes.agg(F.max("depth")).first()[0]
-    if deepest is None or deepest > max_depth:
-        raise ValueError("no nodes" if deepest is None else f"deeper than {max_depth}")
+    if deepest is None:
+        raise ValueError("no nodes")
     done = None
     for d in range(deepest, -1, -1):
         at = nodes.where(F.col("depth") == d)

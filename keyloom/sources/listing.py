@@ -15,7 +15,9 @@ def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", glob).load(root)
              .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")))
-    rel = F.regexp_replace("path", r"^.*?" + root.rstrip("/").replace("/", r"\/") + "/", "")
+    prefix = F.lit(root.rstrip("/") + "/")
+    rel = F.when(F.contains("path", prefix), F.expr("substr(path, locate(prefix, path) + length(prefix))")).otherwise(F.col("path"))
+    files = files.withColumn("prefix", prefix)
     return files.select(
         "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size", "mtime",
         F.split_part(rel, F.lit("/"), F.lit(1)).alias("shot"),
@@ -59,7 +61,7 @@ def pick_candidate(shots: DataFrame, cands: DataFrame) -> DataFrame:
 def require_keys(df: DataFrame, wanted: DataFrame, column: str, what: str = "keys") -> DataFrame:
     """``df`` limited to the wanted keys; unknown ones are an error listing them sorted."""
     missing = wanted.select(column).distinct().join(df.select(column).distinct(), column, "left_anti")
-    names = [str(r[0]) for r in missing.orderBy(column).take(50)]
+    names = [str(r[0]) for r in missing.orderBy(column).collect()]
     if names:
         raise ValueError(f"unknown {what}: {names}")
     return df.join(wanted.select(column).distinct(), column, "left_semi")

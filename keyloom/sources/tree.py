@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.lineage import cut
+
 
-def ancestors(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def ancestors(nodes: DataFrame) -> DataFrame:
     """``(node_id, ancestor_id, distance)`` for ``(node_id, parent_id)``, one join per level.
 
-    Rounds follow the tree's depth, not its size; a chain past ``max_depth`` is an error.
+    Rounds follow the tree's depth, not its size; each level is written to reliable storage, so none is run
+    twice. A node that is its own ancestor is an error.
     """
-    edges = nodes.where("parent_id IS NOT NULL").select("node_id", "parent_id")
+    edges = cut(nodes.where("parent_id IS NOT NULL").select("node_id", "parent_id"))
     up = edges.select(F.col("node_id").alias("at"), F.col("parent_id").alias("next"))
     level = edges.select("node_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("distance"))
     out = level
-    for d in range(2, max_depth + 2):
-        level = level.join(up, F.col("ancestor_id") == F.col("at")).select(
-            "node_id", F.col("next").alias("ancestor_id"), F.lit(d).alias("distance"))
+    for d in count(2):
+        level = cut(level.join(up, F.col("ancestor_id") == F.col("at")).select(
+            "node_id", F.col("next").alias("ancestor_id"), F.lit(d).alias("distance")))
         if level.isEmpty():
             return out
+        loops = level.where("node_id = ancestor_id").select("node_id").take(1)
+        if loops:
+            raise ValueError(f"the tree has a cycle through {loops[0][0]}")
         out = out.unionByName(level)
-    raise ValueError(f"tree is deeper than {max_depth}: cycle?")
 
 
 def walk(nodes: DataFrame, chain: DataFrame) -> DataFrame:
@@ -46,7 +53,7 @@ def isolate(nodes: DataFrame, chain: DataFrame, roots: DataFrame) -> DataFrame:
 
 def resolve(elements: DataFrame, layers: DataFrame) -> DataFrame:
     """Match by uuid first, then by name; an unmatched element raises naming both when read."""
-    by_uuid = layers.where("uuid IS NOT NULL").select("shot", "uuid", F.col("node_id").alias("_u"))
+    by_uuid = layers.where("uuid <> ''").groupBy("shot", "uuid").agg(F.expr("min_by(node_id, ordinal) AS _u"))
     by_name = layers.groupBy("shot", "name").agg(F.expr("min_by(node_id, ordinal) AS _n"))
     j = elements.join(by_uuid, ["shot", "uuid"], "left").join(by_name, ["shot", "name"], "left")
     return j.select(elements.columns + [

@@ -171,3 +171,23 @@ def test_ledger(spark):
     with pytest.raises(ValueError, match="interp"):
         Q.assert_green(Q.build_ledger([good, bad]))
     assert Q.ledger_summary(Q.build_ledger([good, bad])).first()["red"] == 1
+
+
+def test_configs_resolve_to_the_end_of_a_long_chain(spark):
+    base = spark.createDataFrame([("k", "base"), ("z", "base")], "key string, value string")
+    rows = [("r0", None, "k", "root")] + [(f"r{i}", f"r{i - 1}", "z" if i == 20 else None, "mid" if i == 20 else None) for i in range(1, 40)]
+    table = "rung string, parent string, key string, value string"
+    got = {(r["rung"], r["key"]): r["value"] for r in Q.resolve_configs(base, spark.createDataFrame(rows, table)).collect()}
+    assert got["r39", "k"] == "root" and got["r39", "z"] == "mid" and got["r19", "z"] == "base"
+    loop = spark.createDataFrame([("a", "b", None, None), ("b", "c", None, None), ("c", "b", None, None)], table)
+    with pytest.raises(ValueError, match=r"\['b', 'c'\]"):
+        Q.resolve_configs(base, loop)
+
+
+def test_sweep_takes_its_reach_from_the_grid(spark):
+    from keyloom.operators import pipelines
+    rows = [(1, f, 0.0 if 10 <= f < 30 else 1.0, True) for f in range(40)]
+    cells = spark.createDataFrame(rows, "user_id int, frame int, p double, truth boolean")
+    grid = spark.createDataFrame([(0.5, 0.5, 30), (0.5, 0.5, 20), (0.5, 0.5, 21), (0.4, 0.6, 1)], "on double, off double, gap int")
+    got = {r["gap"]: (r["cells"], r["accuracy"], r["transition_ratio"]) for r in pipelines.sweep(cells, ["user_id"], grid).collect()}
+    assert got == {30: (40, 1.0, 0.0), 21: (40, 1.0, 0.0), 20: (40, 0.5, 2.0)}

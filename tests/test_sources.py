@@ -100,6 +100,10 @@ def test_pick_candidate_ladder(spark):
 
 def test_require_keys_names_the_missing(spark):
     df = spark.createDataFrame([("a",), ("b",)], "shot string")
+    many = spark.range(200).selectExpr("concat('m', id) AS shot")
+    with pytest.raises(ValueError) as info:
+        listing.require_keys(df, many, "shot", "shots")
+    assert info.value.args[0].count("'m") == 200
     with pytest.raises(ValueError, match=r"\['x', 'y'\]"):
         listing.require_keys(df, spark.createDataFrame([("y",), ("a",), ("x",)], "shot string"), "shot", "shots")
 
@@ -122,8 +126,10 @@ def test_ir_round_trip_keeps_interleaving(spark):
 
 def test_tree_depth_guard(spark):
     loop = spark.createDataFrame([("a", "b"), ("b", "a")], "node_id string, parent_id string")
-    with pytest.raises(ValueError, match="deeper"):
-        tree.ancestors(loop, 3)
+    with pytest.raises(ValueError, match="cycle"):
+        tree.ancestors(loop)
+    deep = spark.createDataFrame([(i, i - 1 if i else None) for i in range(70)], "node_id int, parent_id int")
+    assert tree.ancestors(deep).agg(F.max("distance")).first()[0] == 69
 
 
 def test_resolve_raises_with_both_names(spark):
@@ -133,6 +139,20 @@ def test_resolve_raises_with_both_names(spark):
         tree.resolve(els, layers).collect()
 
 
+def test_resolve_takes_the_first_of_a_repeated_uuid(spark):
+    els = spark.createDataFrame([("s", "u1", "n"), ("s", "", "n")], "shot string, uuid string, name string")
+    layers = spark.createDataFrame([("s", "u1", "a", 7, 1), ("s", "u1", "b", 5, 0), ("s", "", "c", 9, 3), ("s", None, "n", 6, 2)],
+                                   "shot string, uuid string, name string, node_id int, ordinal int")
+    assert sorted((r["uuid"], r["node_id"], r["matched_by"]) for r in tree.resolve(els, layers).collect()) == [("", 6, "name"), ("u1", 5, "uuid")]
+
+
+def test_listing_root_is_literal(spark, tmp_path):
+    root = tmp_path / "a+b (1)"
+    (root / "shotX").mkdir(parents=True)
+    (root / "shotX" / "f.txt").write_text("x")
+    assert [r["shot"] for r in listing.list_files(spark, str(root)).collect()] == ["shotX"]
+
+
 def test_versions(spark, tmp_path):
     root = str(tmp_path)
     df = spark.createDataFrame([("a", 1, 0), ("b", 2, 0)], "shot string, element_id int, frame int")
