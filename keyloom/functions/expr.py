@@ -18,6 +18,16 @@ def half_even(c: Column | str, digits: int = 0) -> Column:
     return F.bround(col(c), digits)
 
 
+def seeded(seed: int, *key: str) -> Column:
+    """A seeded order of rows that every engine can compute: the MD5 of seed and key as text."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[col(k).cast("string") for k in key]))
+
+
+def seeded_chunk(order: Column | str) -> Column:
+    """4,096 chunks that follow the order of ``seeded``."""
+    return F.conv(F.substring(col(order), 1, 3), 16, 10).cast("long")
+
+
 def ratio(num: Column, den: Column, empty=None) -> Column:
     """``num / den`` with ``empty`` where the denominator is zero or null."""
     out = F.try_divide(num.cast("double"), den.cast("double"))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.distribution import value_counts
+from ..functions.expr import seeded, seeded_chunk
 from ..functions.ordered import positions, spread, stencil, with_totals
 
 
@@ -62,8 +63,8 @@ def lifespan_variants(cells: DataFrame, noise: Sequence[float] = (), seed: int =
         return out, names
     key = [*track, "frame"]
     out = with_totals(out, ["element_id"], {"_cells": ("count", F.lit(1))}, spread(*key))
-    out = out.withColumn("_h", F.xxhash64(F.lit(seed), *key))
-    out = positions(out, ["element_id", "live"], ["_h", *key], F.shiftright("_h", 52), "_rank")
+    out = out.withColumn("_h", seeded(seed, *key))
+    out = positions(out, ["element_id", "live"], ["_h", *key], seeded_chunk("_h"), "_rank")
     flips = []
     for rate in noise:
         hit = f"_rank < bround({rate}D * _cells)"

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.expr import seeded, seeded_chunk
 from ..functions.ordered import CHUNK, chunk_id, last_known, lookup, positions, stencil, with_totals
 
 
@@ -96,8 +97,8 @@ def key_summary(matches: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def random_keys(live: DataFrame, counts: DataFrame, by: Sequence[str], seed: int) -> DataFrame:
     """As many live frames as ``counts.n`` asks for, by hash rank: reproducible at any scale."""
-    pool = live.where("live").select(*by, "frame").withColumn("_h", F.xxhash64(F.lit(seed), *by, "frame"))
-    ranked = positions(pool, by, ["_h", "frame"], F.shiftright("_h", 52), "_rank")
+    pool = live.where("live").select(*by, "frame").withColumn("_h", seeded(seed, *by, "frame"))
+    ranked = positions(pool, by, ["_h", "frame"], seeded_chunk("_h"), "_rank")
     return lookup(ranked, counts.select(*by, "n"), by, ["_h"]).where("_rank < n").select(*by, "frame")
 
 

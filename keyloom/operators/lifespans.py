@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.expr import clip, half_even, ratio
+from ..functions.expr import clip, half_even, ratio, seeded, seeded_chunk
 from ..functions.ordered import (CHUNK, last_known, positions, running_sum, spread, stencil,
                                  with_totals)
 
@@ -159,9 +159,9 @@ def noisy_mask(df: DataFrame, by: Sequence[str], rate: float, direction: str, se
         raise ValueError(f"unknown direction {direction!r}")
     eligible = ~F.col(flag) if direction == "fp" else F.col(flag)
     sized = with_totals(df, by, {"_cells": ("count", F.lit(1))}, spread(*key))
-    sized = sized.withColumn("_h", F.xxhash64(F.lit(seed), *key))
+    sized = sized.withColumn("_h", seeded(seed, *key))
     pool = positions(sized.withColumn("_pool", eligible), [*by, "_pool"], ["_h", *key],
-                     F.shiftright("_h", 52), "_rank")
+                     seeded_chunk("_h"), "_rank")
     flip = F.col("_pool") & (F.col("_rank") < half_even(F.lit(rate) * F.col("_cells")))
     return pool.select(*df.columns,
                        F.when(flip, ~F.col(flag)).otherwise(F.col(flag)).alias(name))

@@ -161,9 +161,12 @@ def coverage_rule(spark, sf):
         "element", "cells", "live_cells", F.round("agreement", 6).alias("agreement"))
 
 
-@query("noisy_mask")
+@query("noisy_mask", f"""WITH {CELLS_SQL}, h AS (
+  SELECT element, user_id, frame, truth, count(*) OVER (PARTITION BY element) AS n, row_number() OVER (
+    PARTITION BY element, truth ORDER BY md5(concat_ws(':', '7', user_id, frame)), user_id, frame) - 1 AS rk FROM cells)
+SELECT element, user_id, frame, truth, truth OR rk < round_even(0.03 * n, 0) AS noisy FROM h""")
 def noisy_mask(spark, sf):
-    """Hash-ranked flips: another engine's hash picks other cells, so no SQL twin."""
+    """Flips ranked by a seeded order."""
     c = cells(spark, sf, "element", "truth")
     return L.noisy_mask(c, ["element"], 0.03, "fp", 7, ["user_id", "frame"], "truth").select(
         "element", "user_id", "frame", "truth", "noisy")
