@@ -39,24 +39,37 @@ def always_true(spark, sf):
     return rounded(B.always_true_baseline(c, ["element"], "live"))
 
 
-CELLS_SQL = """cells AS (
+PLAIN = ("exact", "always_alive", "coverage_alive", "dilate", "erode")
+NOISE = (0.01, 0.03, 0.10)
+
+
+def ablation_sql(noise=()):
+    """Cells, pixels and soft IoU per variant (``sc``); noise flips the first cells in a seeded order."""
+    flips = {}
+    for rate in noise:
+        hit = f"rk < round_even({rate}::DOUBLE * n, 0)"
+        flips |= {f"fp_{round(rate * 100)}pct": f"live OR {hit}", f"fn_{round(rate * 100)}pct": f"live AND NOT ({hit})"}
+    names = [*PLAIN, *flips]
+    ranked = """, count(*) OVER (PARTITION BY element_id) AS n, row_number() OVER (PARTITION BY element_id, live ORDER BY
+         md5(concat_ws(':', '7', element_id, shape_id, frame)), element_id, shape_id, frame) - 1 AS rk""" if noise else ""
+    made = "".join(f", {e} AS {v}" for v, e in flips.items())
+    drawn = ", ".join(f"coalesce(max(cov) FILTER ({v}), 0) AS {v}" for v in names)
+    scored = ", ".join(f"coalesce(sum(least({v}, exact)) / nullif(sum(greatest({v}, exact)), 0), 1) AS {v}_" for v in names)
+    return f"""cells AS (
   SELECT l_suppkey % 20 AS element_id, l_linenumber AS shape_id, l_orderkey % 16 AS frame, max(l_tax) > 0.06 AS live
   FROM lineitem GROUP BY ALL), px AS (
   SELECT l_suppkey % 20 AS element_id, l_linenumber AS shape_id, l_orderkey % 16 AS frame, l_partkey % 16 AS y, (l_partkey // 16) % 32 AS x,
-         max(l_discount) * 10 AS cov FROM lineitem GROUP BY ALL), v AS (
+         max(l_discount) * 10 AS cov FROM lineitem GROUP BY ALL), v0 AS (
   SELECT *, live AS exact, true AS always_alive, bool_or(live) OVER (PARTITION BY element_id, frame) AS coverage_alive,
          live OR lag(live, 1, false) OVER w OR lead(live, 1, false) OVER w AS dilate,
-         live AND lag(live, 1, true) OVER w AND lead(live, 1, true) OVER w AS erode
-  FROM cells WINDOW w AS (PARTITION BY element_id, shape_id ORDER BY frame)), d AS (
-  SELECT element_id, frame, y, x, coalesce(max(cov) FILTER (exact), 0) AS exact, coalesce(max(cov) FILTER (always_alive), 0) AS always_alive,
-         coalesce(max(cov) FILTER (coverage_alive), 0) AS coverage_alive, coalesce(max(cov) FILTER (dilate), 0) AS dilate,
-         coalesce(max(cov) FILTER (erode), 0) AS erode FROM px JOIN v USING (element_id, shape_id, frame) GROUP BY ALL), wide AS (
-  SELECT element_id, frame, max(exact) > 0 AS on_screen, """ + ", ".join(
-    f"coalesce(sum(least({v}, exact)) / nullif(sum(greatest({v}, exact)), 0), 1) AS {v}"
-    for v in ("exact", "always_alive", "coverage_alive", "dilate", "erode")).replace(" AS exact,", " AS exact_,") + """
-  FROM d GROUP BY 1, 2), sc AS (
-  SELECT element_id, frame, on_screen, unnest(['exact', 'always_alive', 'coverage_alive', 'dilate', 'erode']) AS variant,
-         unnest([exact_, always_alive, coverage_alive, dilate, erode]) AS soft_iou FROM wide)"""
+         live AND lag(live, 1, true) OVER w AND lead(live, 1, true) OVER w AS erode{ranked}
+  FROM cells WINDOW w AS (PARTITION BY element_id, shape_id ORDER BY frame)), v AS (SELECT *{made} FROM v0), d AS (
+  SELECT element_id, frame, y, x, {drawn} FROM px JOIN v USING (element_id, shape_id, frame) GROUP BY ALL), wide AS (
+  SELECT element_id, frame, max(exact) > 0 AS on_screen, {scored} FROM d GROUP BY 1, 2), sc AS (
+  SELECT element_id, frame, on_screen, unnest({names}) AS variant, unnest([{", ".join(f"{v}_" for v in names)}]) AS soft_iou FROM wide)"""
+
+
+CELLS_SQL = ablation_sql()
 
 
 def ablation_input(spark, sf):
@@ -75,7 +88,7 @@ def ablate(spark, sf):
     return rounded(B.ablate(wide, px, names))
 
 
-@query("ablation_totals", f"""WITH {CELLS_SQL}, el AS (
+TOTALS_SQL = """, el AS (
   SELECT variant, element_id, count(*) AS frames, avg(soft_iou) AS mean, coalesce(avg(soft_iou) FILTER (on_screen), avg(soft_iou)) AS mean_on,
          count(*) FILTER (soft_iou < 0.9) AS below FROM sc GROUP BY ALL), t AS (
   SELECT variant, sum(mean * frames) / sum(frames) AS mean, sum(mean_on * frames) / sum(frames) AS mean_onscreen,
@@ -83,18 +96,21 @@ def ablate(spark, sf):
          CAST(sum(below) AS BIGINT) AS frames_below_090 FROM el GROUP BY 1)
 SELECT variant, round(mean, 6) AS mean, round(mean_onscreen, 6) AS mean_onscreen, worst_element,
   round(worst_element_onscreen, 6) AS worst_element_onscreen, frames_below_090,
-  round((SELECT mean_onscreen FROM t WHERE variant = 'exact') - mean_onscreen, 6) AS cost_vs_exact_onscreen FROM t""")
+  round((SELECT mean_onscreen FROM t WHERE variant = 'exact') - mean_onscreen, 6) AS cost_vs_exact_onscreen FROM t"""
+
+
+@query("ablation_totals", f"WITH {CELLS_SQL}{TOTALS_SQL}")
 def ablation_totals(spark, sf):
     cells, px = ablation_input(spark, sf)
     wide, names = B.lifespan_variants(cells)
     return rounded(B.ablation_totals(B.ablate(wide, px, names)))
 
 
-@query("ablate_noise")
+@query("ablate_noise", f"WITH {ablation_sql(NOISE)}{TOTALS_SQL}")
 def ablate_noise(spark, sf):
-    """Seeded one-direction noise at 1, 3 and 10 %; no SQL twin for the hash ranking."""
+    """Seeded one-direction noise at 1, 3 and 10 %."""
     cells, px = ablation_input(spark, sf)
-    wide, names = B.lifespan_variants(cells, (0.01, 0.03, 0.10), 7)
+    wide, names = B.lifespan_variants(cells, NOISE, 7)
     return rounded(B.ablation_totals(B.ablate(wide, px, names)))
 
 
