@@ -52,14 +52,14 @@ def chord_error(pts: np.ndarray, scale: np.ndarray | None, a: int, b: int) -> fl
     return float(chord_errors(pts, scale, a, b, b + 1)[0])
 
 
-def reach(pts, scale, budget: float, a: int) -> tuple[int, bool]:
-    """Furthest feasible end from ``a`` and whether the search ended inside the rows given."""
-    best, misses, lo, block = a + 1, 0, a + 1, REACH_PATIENCE
+def reach(pts, scale, budget: float, a: int, patience: int = REACH_PATIENCE) -> tuple[int, bool]:
+    """Furthest feasible end from ``a`` before ``patience`` misses in a row, and whether the search ended inside the rows given."""
+    best, misses, lo, block = a + 1, 0, a + 1, patience
     while lo < len(pts):
         hi = min(lo + block, len(pts))
         for b, err in enumerate(chord_errors(pts, scale, a, lo, hi), lo):
             best, misses = (b, 0) if err <= budget else (best, misses + 1)
-            if misses >= REACH_PATIENCE:
+            if misses >= patience:
                 return best, True
         lo, block = hi, min(2 * block, 32)
     return best, False
@@ -91,25 +91,25 @@ def _arrays(pdf: pd.DataFrame):
     return pdf, pts.reshape(len(pdf), -1, 2), (None if np.isnan(scale).any() else scale)
 
 
-def _solve_group(tol: float, keys: list[str]):
+def _solve_group(tol: float, keys: list[str], dp_frames: int, patience: int):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, pts, scale = _arrays(pdf)
         budget = tol if scale is None else 1.0
         if len(pdf) <= 2:
             knots, method = list(range(len(pdf))), "trivial"
-        elif len(pdf) <= DP_MAX_FRAMES:
+        elif len(pdf) <= dp_frames:
             knots, method = minimax_knots(pts, scale, budget), "dp"
         else:
             knots, method = [0], "greedy"
             while knots[-1] < len(pdf) - 1:
-                knots.append(reach(pts, scale, budget, knots[-1])[0])
+                knots.append(reach(pts, scale, budget, knots[-1], patience)[0])
         out = pdf.iloc[knots][[*keys, "pos", "frame"]].copy()
         out["method"] = method
         return out
     return solve
 
 
-def _next_knots(tol: float, keys: list[str], chunk: int):
+def _next_knots(tol: float, keys: list[str], chunk: int, patience: int):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf, pts, scale = _arrays(pdf)
         pos, total = pdf["pos"].to_numpy(), int(pdf["_t"].iloc[0])
@@ -121,7 +121,7 @@ def _next_knots(tol: float, keys: list[str], chunk: int):
             if pos[a] == total - 1:
                 rows.append((pos[a], pos[a], True))
                 continue
-            b, settled = reach(pts, scale, tol if scale is None else 1.0, a)
+            b, settled = reach(pts, scale, tol if scale is None else 1.0, a, patience)
             rows.append((pos[a], pos[a] + (b - a), bool(settled or ends_here)))
         out = pd.DataFrame(rows, columns=["pos", "nxt", "done"])
         for k in keys:
@@ -131,7 +131,7 @@ def _next_knots(tol: float, keys: list[str], chunk: int):
     return solve
 
 
-def _long_knots(rows: DataFrame, by: list[str], tol: float, key_ddl: str, chunk: int) -> DataFrame:
+def _long_knots(rows: DataFrame, by: list[str], tol: float, key_ddl: str, chunk: int, patience: int) -> DataFrame:
     """Knots of long tracks: chunk-local next-knot maps chained by pointer doubling."""
     ahead, todo, settled = LOOK_AHEAD, None, None
     while True:
@@ -140,7 +140,7 @@ def _long_knots(rows: DataFrame, by: list[str], tol: float, key_ddl: str, chunk:
         if todo is not None:
             spread = spread.join(todo, [*by, "_chunk"], "left_semi")
         hops = cut(spread.groupBy(*by, "_chunk").applyInPandas(
-            _next_knots(tol, by, chunk), f"{key_ddl}, _chunk long, pos long, nxt long, done boolean"))
+            _next_knots(tol, by, chunk, patience), f"{key_ddl}, _chunk long, pos long, nxt long, done boolean"))
         state = hops.groupBy(*by, "_chunk").agg(F.bool_and("done").alias("ok"))
         good = hops.join(state.where("ok"), [*by, "_chunk"], "left_semi").drop("done")
         settled = good if settled is None else settled.unionByName(good)
@@ -189,15 +189,21 @@ def _long_knots(rows: DataFrame, by: list[str], tol: float, key_ddl: str, chunk:
 
 
 def simplify(track: DataFrame, by: Sequence[str], tol: float, inv_tol: str | None = None,
-             chunk: int = GROUP_LIMIT, limit: int = GROUP_LIMIT) -> DataFrame:
-    """``(by, pos, frame, method)`` of the chosen knots, first and last always included."""
+             chunk: int = GROUP_LIMIT, limit: int = GROUP_LIMIT, dp_frames: int = DP_MAX_FRAMES,
+             patience: int = REACH_PATIENCE) -> DataFrame:
+    """``(by, pos, frame, method)`` of the chosen knots, first and last always included.
+
+    Tracks of up to ``dp_frames`` frames get the fewest knots by dynamic programming, longer ones by greedy reach, which
+    gives up after ``patience`` infeasible ends in a row. Tracks beyond ``limit`` rows are cut into chunks of ``chunk``
+    rows; the answer does not depend on either.
+    """
     by = list(by)
     types = dict(track.dtypes)
     key_ddl = ", ".join(f"{k} {types[k]}" for k in by)
     scale = F.col(inv_tol).cast("double") if inv_tol else F.lit(None).cast("double")
     rows = track.select(*by, F.col("pos").cast("long").alias("pos"), F.col("frame").cast("long").alias("frame"),
                         "pts", scale.alias("inv_tol"))
-    solve = _solve_group(tol, by)
+    solve = _solve_group(tol, by, dp_frames, patience)
     ddl = f"{key_ddl}, pos long, frame long, method string"
     # A position at or past the limit is what makes a track long, so this is one pushed filter.
     if track.where(F.col("pos") >= limit).isEmpty():
@@ -206,7 +212,7 @@ def simplify(track: DataFrame, by: Sequence[str], tol: float, inv_tol: str | Non
     short = rows.where(F.col("_t") <= limit).select(*by, "pos", "frame", "pts", "inv_tol")
     out = short.groupBy(*by).applyInPandas(solve, ddl)
     long = rows.where(F.col("_t") > limit)
-    knots = _long_knots(long, by, tol, key_ddl, chunk)
+    knots = _long_knots(long, by, tol, key_ddl, chunk, patience)
     return out.unionByName(knots.join(long.select(*by, "pos", "frame"), [*by, "pos"]).select(
         *by, "pos", "frame", F.lit("greedy").alias("method")))
 
