@@ -68,7 +68,8 @@ def _marked(tag: str, rest: str, inside: bool) -> tuple[str, bool]:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)} if rest and not rest.isspace() else {}
     names = found.get("class", "").split()
     words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
-    skip = (tag in SKIPPED or tag == "header" and not inside or bool(words & MARKS) and tag not in ("html", "body")
+    top = not inside and (tag == "header" or "header" in words)
+    skip = (tag in SKIPPED or top and tag not in ("html", "body") or bool(words & MARKS) and tag not in ("html", "body")
             or found.get("role", "").lower() in ROLES or "hidden" in found)
     return ".".join([tag, *names[:1]]), skip
 

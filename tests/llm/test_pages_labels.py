@@ -44,6 +44,7 @@ def test_article_tag_and_header_inside():
     html = ("<body><header>Top</header><article><header><h1>Own</h1></header><p>Text&nbsp;one<ul><li>a<li>b</ul><div class=related>x</div>"
             "<figure><figcaption>cap</figcaption></figure></article>")
     assert pw.main_text(html, None) == "Own\nText one\na\nb\ncap"
+    assert pw.main_text('<div class="site-header">Top</div><main><div class="post-header"><h1>A</h1></div><p>B</main>', None) == "A\nB"
 
 
 def test_toxicity_on_held_out_rows(spark):
