@@ -184,6 +184,19 @@ def fingerprint(spark, sf):
     return Q.fingerprint(load(spark, sf, "orders"))
 
 
+PIECES = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT::HUGEINT * n) AS s{i}" for i in range(4))
+
+
+@query("fingerprint_keys", f"""WITH h AS (SELECT sha256('{{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderpriority":"'
+    || o_orderpriority || '","o_orderstatus":"' || o_orderstatus || '"}}') AS h FROM orders), c AS (SELECT h, count(*) AS n FROM h GROUP BY 1), p AS (
+  SELECT substr(h, 1, 4) AS b, sum(n) AS n, {PIECES} FROM c GROUP BY 1)
+SELECT substr(sha256('[' || string_agg('{{"b":"' || b || '","n":' || n || ',"s0":' || s0 || ',"s1":' || s1 || ',"s2":' || s2 || ',"s3":' || s3 || '}}',
+    ',' ORDER BY b) || ']'), 1, 16) AS fingerprint, CAST(sum(n) AS BIGINT) AS rows FROM p""")
+def fingerprint_keys(spark, sf):
+    """Content hash of the columns that both engines write alike."""
+    return Q.fingerprint(load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"))
+
+
 RUNS_SQL = """runs AS (SELECT o_orderkey AS run_id, o_orderpriority AS rung, o_custkey % 9 AS seed,
   CASE o_orderstatus WHEN 'F' THEN 'completed' WHEN 'O' THEN 'running' ELSE 'failed' END AS status,
   CASE WHEN o_custkey % 3 > 0 THEN 'staging' ELSE 'local' END AS environment, o_orderdate AS created FROM orders)"""
