@@ -8,11 +8,11 @@ find all links that matter for the components:
 
 1. every member of a bucket against its hub, the member that is in the most and largest buckets (the
    document that copies were made from is such a one);
-2. members outside the hub's component ("strays") against the bucket's members: for each stray and foreign component
-   the most alike pair;
-3. strays that are left against all members of other components.
+2. members outside the hub's component ("strays") against the bucket's members of other components, for each stray the
+   most alike pair;
+3. strays that are left against all members of other components, with 864 further hashes before the exact test.
 
-After round 3 every pair that shares a bucket is verified, or dropped by the posterior bound, or lies within one
+After the last round every pair that shares a bucket is verified, or dropped by the posterior bound, or lies within one
 component. A pair at the similarity itself shares no bucket with probability 2.5e-7. Strays are dealt in
 blocks of 256, so neither a bucket nor a hub is gathered in one task.
 
@@ -36,7 +36,7 @@ from .components import components
 from .shared import keep, slices, stored
 
 PERCENT = 75
-MISS = 1e-5
+MISS = 1e-4
 BLOCK = 256
 
 
@@ -115,11 +115,23 @@ def as_signature() -> Callable[[bytes], np.ndarray]:
     return lambda blob: np.frombuffer(blob, "<u2")
 
 
+def long_signatures(data: DataFrame) -> DataFrame:
+    """(node, more): the further hashes of each node's text."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        perms = keep("more permutations", lambda: shingles.permutations(shingles.MORE, 7))
+        for batch in batches:
+            for part in slices(batch, "data"):
+                more = [shingles.signature(shingles.shingle_set(t), perms).astype(np.uint8).tobytes() for t in part.column("data").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(more, pa.binary())], names=["node", "more"])
+    return data.mapInArrow(run, "node long, more binary")
+
+
 def strays_against_members(buckets: DataFrame, labels: DataFrame, hubs: DataFrame, nodes: DataFrame, bounds: list[tuple[int, int]],
-                           best_only: bool) -> DataFrame:
+                           best_only: bool, further: list[tuple[int, int]]) -> DataFrame:
     """Pairs (a, b) of a stray and a member of another component that the posterior bound keeps.
 
-    ``buckets``: key, band, node; ``labels``: node, component; ``hubs``: key, hub.
+    ``buckets``: key, band, node; ``labels``: node, component; ``hubs``: key, hub; ``nodes``: node, sig, and more, whose
+    hashes are compared after those of sig, by the bounds of ``further`` (an empty ``more`` is not compared).
     """
     members = buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     major = hubs.join(labels.withColumnRenamed("node", "hub"), "hub", "left").select(
@@ -128,11 +140,11 @@ def strays_against_members(buckets: DataFrame, labels: DataFrame, hubs: DataFram
     # With two members, the pair is the one that round 1 verified.
     open_keys = (members.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stray").cast("long")).alias("strays"))
                  .where((F.col("n") > 2) & (F.col("strays") > 0)).select("key", F.ceil(F.col("strays") / BLOCK).alias("blocks")))
-    members = members.join(open_keys, "key").join(nodes.select("node", "sig"), "node")
+    members = members.join(open_keys, "key").join(nodes.select("node", "sig", "more"), "node")
     asking = members.where("stray").select("key", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"), F.lit(0).alias("side"),
-                                           "band", "node", "component", "sig")
+                                           "band", "node", "component", "sig", "more")
     asked = members.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("side"),
-                           "band", "node", "component", "sig")
+                           "band", "node", "component", "sig", "more")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, strays, best = None, [], {}
@@ -141,7 +153,7 @@ def strays_against_members(buckets: DataFrame, labels: DataFrame, hubs: DataFram
             return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            cols = [batch.column(n).to_pylist() for n in ("key", "block", "side", "band", "node", "component", "sig")]
+            cols = [batch.column(n).to_pylist() for n in ("key", "block", "side", "band", "node", "component", "sig", "more")]
             rows = list(zip(*cols))
             found: list[tuple[int, int]] = []
             i = 0
@@ -160,6 +172,7 @@ def strays_against_members(buckets: DataFrame, labels: DataFrame, hubs: DataFram
                     continue
                 band = group[0][3]
                 sig = np.frombuffer(b"".join(r[6] for r in group), "<u2").reshape(-1, shingles.HASHES)
+                more = np.frombuffer(b"".join(r[7] for r in group), np.uint8).reshape(len(group), -1)
                 node, comp = np.array([r[4] for r in group]), np.array([r[5] for r in group])
                 for s in strays:
                     own = np.frombuffer(s[6], "<u2")
@@ -168,6 +181,12 @@ def strays_against_members(buckets: DataFrame, labels: DataFrame, hubs: DataFram
                         matches = matches + (sig[left, start:m] == own[start:m]).sum(1)
                         ok = matches >= least
                         left, matches, start = left[ok], matches[ok], m
+                    own_more = np.frombuffer(s[7], np.uint8)
+                    for m, least in further if len(own_more) else ():
+                        matches = matches + (more[left, start - shingles.HASHES:m - shingles.HASHES]
+                                             == own_more[start - shingles.HASHES:m - shingles.HASHES]).sum(1)
+                        ok = matches >= least
+                        left, matches, start = left[ok], matches[ok], m
                     if not len(left):
                         continue
                     # A pair that shares several buckets is taken up in the first of them.
@@ -177,15 +196,13 @@ def strays_against_members(buckets: DataFrame, labels: DataFrame, hubs: DataFram
                         pair = (s[4], int(node[t]))
                         if not best_only:
                             found.append(pair)
-                        elif m > best.get((s[4], int(comp[t])), (-1,))[0]:
-                            best[s[4], int(comp[t])] = (m, *pair)
+                        elif m > best.get(s[4], (-1,))[0]:
+                            best[s[4]] = (m, *pair)
             yield flush(found)
         yield flush([best_pair[1:] for best_pair in best.values()])
 
     dealt = asking.unionByName(asked).repartition("key", "block").sortWithinPartitions("key", "block", "side")
     pairs = dealt.mapInArrow(run, "a long, b long")
-    if best_only:
-        return pairs.distinct()
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -234,13 +251,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, miss: float = MISS,
     links = stored(meet(survivors, data, as_set, alike).select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         of_doc.select("u", F.explode("all").alias("v"))), "links")
     done, labels = survivors, stored(components(links), "labels")
+    further = shingles.least_matches(percent / 100, miss, shingles.HASHES + 216, 216, shingles.HASHES + shingles.MORE)
+    short = nodes.withColumn("more", F.lit(b""))
     for best_only in (True, False):
-        more = strays_against_members(buckets, labels, hubs, nodes, bounds, best_only)
+        signed = short if best_only else nodes.join(long_signatures(data), "node")
+        more = strays_against_members(buckets, labels, hubs, signed, bounds, best_only, further)
         known = done.unionByName(done.select(F.col("b").alias("a"), F.col("a").alias("b")))
         more = stored(more.join(known, ["a", "b"], "left_anti"), "survivors")
         found = stored(meet(more, data, as_set, alike).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
-        links, done = links.unionByName(found), done.unionByName(more)
-        labels = stored(components(links), "labels")
+        done = done.unionByName(more)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = stored(components(links), "labels")
 
     named = nodes.join(labels, "node", "left").select("digest", "least", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

@@ -26,17 +26,21 @@ def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     return np.unique(out)
 
 
-def permutations() -> tuple[np.ndarray, np.ndarray]:
-    rng = np.random.default_rng(20240229)
-    return (rng.integers(0, 1 << 31, HASHES, np.uint32) * np.uint32(2) + np.uint32(1))[:, None], \
-        rng.integers(0, 1 << 32, HASHES, np.uint32)[:, None]
+MORE = 864
+"""Further hashes, of 8 bits, for nodes that many others resemble."""
+
+
+def permutations(n: int = HASHES, seed: int = 20240229) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(seed)
+    return (rng.integers(0, 1 << 31, n, np.uint32) * np.uint32(2) + np.uint32(1))[:, None], \
+        rng.integers(0, 1 << 32, n, np.uint32)[:, None]
 
 
 def signature(shingles: np.ndarray, perms: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The low 16 bits of the least value of every permutation over the set."""
     a, b = perms
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.full(HASHES, np.uint32(0xFFFFFFFF))
+    out = np.full(len(a), np.uint32(0xFFFFFFFF))
     for i in range(0, len(x), 1024):
         np.minimum(out, (x[None, i:i + 1024] * a + b).min(axis=1), out=out)
     return (out ^ (out >> np.uint32(16))).astype("<u2")
@@ -49,15 +53,15 @@ def band_keys(signatures: np.ndarray) -> np.ndarray:
     return ((packed ^ band) * np.uint64(0xFF51AFD7ED558CCD)).astype(np.int64)
 
 
-def least_matches(similarity: float, miss: float, step: int = 32) -> list[tuple[int, int]]:
-    """For each prefix of ``step``, 2 ``step``, ... hashes the fewest matches that keep a pair.
+def least_matches(similarity: float, miss: float, start: int = 32, step: int = 32, end: int = HASHES) -> list[tuple[int, int]]:
+    """For each prefix of ``start``, ``start + step``, ... hashes the fewest matches that keep a pair.
 
     With a uniform prior, ``k`` matches in ``m`` leave the similarity a Beta(k + 1, m - k + 1) posterior, so
     P(similarity >= s | k of m) = P(Binomial(m + 1, s) <= k). Below ``miss`` the pair is dropped.
     """
     from math import comb
     out = []
-    for m in range(step, HASHES + 1, step):
+    for m in range(start, end + 1, step):
         tail, k = 0.0, -1
         while tail < miss:
             k += 1
