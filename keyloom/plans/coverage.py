@@ -19,6 +19,14 @@ def sides(spark, sf):
     return p.where("side = 'O'"), p.where("side = 'F'"), frame_list(spark, sf)
 
 
+SIDES_SQL = "sides AS (SELECT side, s_suppkey AS frame FROM supplier, (SELECT DISTINCT side FROM pixels))"
+
+
+def side_frames(spark, sf):
+    """``(side, frame)``: every frame once per side that has pixels."""
+    return frame_list(spark, sf).crossJoin(F.broadcast(pixels(spark, sf).select("side").distinct())).select("side", "frame")
+
+
 @query("soft_iou", f"""WITH {BOTH_SQL}, s AS (SELECT frame, sum(least(a, b)) / sum(greatest(a, b)) AS v FROM pairs GROUP BY 1)
 SELECT s_suppkey AS frame, round(coalesce(v, 1), 6) AS soft_iou FROM supplier LEFT JOIN s ON frame = s_suppkey""")
 def soft_iou(spark, sf):
@@ -74,6 +82,13 @@ def frame_coverage(spark, sf):
     return C.frame_coverage(a, f, ["frame"], 896)
 
 
+@query("frame_coverage_all", f"""WITH {PIXELS_SQL}, {SIDES_SQL}, s AS (SELECT side, frame, sum(cov) AS s FROM pixels GROUP BY ALL)
+SELECT side, frame, round_even(round(coalesce(s, 0), 9) / 896, 6) AS coverage, coalesce(s, 0) > 0 AS on_screen
+FROM sides LEFT JOIN s USING (side, frame)""")
+def frame_coverage_all(spark, sf):
+    return C.frame_coverage(pixels(spark, sf), side_frames(spark, sf), ["side", "frame"], 896)
+
+
 @query("quantise", """SELECT doc_id, round_even(least(greatest(n_chars / 30000, 0), 1) * 65535, 0) / 65535 AS cov FROM documents""")
 def quantise(spark, sf):
     return C.quantise(load(spark, sf, "documents").selectExpr("doc_id", "n_chars / 30000 AS cov"))
@@ -90,6 +105,15 @@ def shift_cov(spark, sf):
     return rounded(C.shift_cov(a, ["frame"], "1.25D", "0.5D", 128, 8))
 
 
+@query("shift_cov_all", f"""WITH {PIXELS_SQL}, t AS (
+  SELECT side, frame, CAST(floor(y + 0.5) AS BIGINT) + j AS y, CAST(floor(x + 1.25) AS BIGINT) + i AS x,
+         cov * (CASE i WHEN 1 THEN (x + 1.25) - floor(x + 1.25) ELSE 1 - ((x + 1.25) - floor(x + 1.25)) END) * 0.5 AS c
+  FROM pixels, range(2) a(i), range(2) b(j))
+SELECT side, frame, y, x, round(sum(c), 6) AS cov FROM t WHERE x BETWEEN 0 AND 127 AND y BETWEEN 0 AND 7 GROUP BY ALL""")
+def shift_cov_all(spark, sf):
+    return rounded(C.shift_cov(pixels(spark, sf), ["side", "frame"], "1.25D", "0.5D", 128, 8))
+
+
 INK_SQL = """ink AS (SELECT DISTINCT l_suppkey % 20 AS element_id, l_linenumber AS shape_id, l_orderkey % 16 AS frame,
   l_partkey % 16 AS y, (l_partkey // 16) % 32 AS x FROM lineitem), pile AS (
   SELECT *, count(*) OVER (PARTITION BY element_id, frame, y, x) AS s FROM ink), vis AS (
@@ -163,6 +187,16 @@ def with_opacity(spark, sf):
     return rounded(C.with_opacity(a.select("frame", F.col("y").cast("long").alias("y"), "x", "cov"), shapes, ["frame"], 128, 8))
 
 
+@query("with_opacity_all", f"""WITH {PIXELS_SQL}, {SIDES_SQL}, s AS (
+  SELECT *, frame % 11 / 10 AS opacity, frame % 5 = 0 AS invert FROM sides)
+SELECT side, frame, y, x, round(cov * opacity, 6) AS cov FROM pixels JOIN s USING (side, frame) WHERE NOT invert AND cov * opacity > 0
+UNION ALL SELECT s.side, s.frame, gy, gx, round((1 - coalesce(cov, 0)) * opacity, 6) FROM s CROSS JOIN range(8) a(gy) CROSS JOIN range(128) b(gx)
+LEFT JOIN pixels p ON p.side = s.side AND p.frame = s.frame AND p.y = gy AND p.x = gx WHERE invert AND (1 - coalesce(cov, 0)) * opacity > 0""")
+def with_opacity_all(spark, sf):
+    shapes = side_frames(spark, sf).selectExpr("side", "frame", "frame % 11 / 10 AS opacity", "frame % 5 = 0 AS invert")
+    return rounded(C.with_opacity(pixels(spark, sf).withColumn("y", F.col("y").cast("long")), shapes, ["side", "frame"], 128, 8))
+
+
 @query("align", f"""WITH {PIXELS_SQL} SELECT side, frame, y, x, cov FROM pixels
 WHERE x < least(128, 100 + frame % 40) AND y < least(8, 4 + frame % 5)""")
 def align(spark, sf):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.ordered import chunk_id, positions
 from ..operators import geometry as G
 from .registry import query
 from .scoring import rounded
@@ -263,25 +264,42 @@ def decimate(spark, sf):
     return G.decimate(control(spark, sf).select("vec_id", "idx", "n"), "floor(n * 0.8)").select("vec_id", "idx")
 
 
-@query("apply_group_transforms", f"""WITH {MATS_SQL}, anc AS (
-  SELECT label AS element_id, vec_id AS shape_id, unnest([vec_id % 5, 100 + vec_id % 11, 200 + vec_id % 13]) AS node_id,
-         unnest([0, 1, 2]) AS depth, unnest([false, vec_id % 2 = 0, false]) AS has_transform FROM embeddings), car AS (
-  SELECT element_id, shape_id, arg_max(node_id, (has_transform, depth)) AS carrier FROM anc GROUP BY ALL), pairs AS (
-  SELECT element_id, carrier, shape_id % 4 AS group_id, count(*) AS shapes FROM car GROUP BY ALL), gm AS (
-  SELECT label AS element_id, vec_id % 4 AS group_id, vec_id AS frame, m FROM mats WHERE vec_id % 8 < 4)
-SELECT element_id, carrier, group_id, frame, shapes, round(m[1], 6) AS m00 FROM pairs JOIN gm USING (element_id, group_id)""")
-def apply_group_transforms(spark, sf):
+def _carried(spark, sf, kept):
+    """Shapes of every label under their carriers, and the matrices ``kept`` selects."""
     m = mats(spark, sf)
     anc = m.selectExpr("label AS element_id", "vec_id AS shape_id", "explode(array(" + ", ".join(
         f"named_struct('node_id', {n}, 'depth', {d}, 'has_transform', {h})" for n, d, h in (
             ("vec_id % 5", 0, "false"), ("100 + vec_id % 11", 1, "vec_id % 2 = 0"), ("200 + vec_id % 13", 2, "false")))
         + ")) AS a").selectExpr("element_id", "shape_id", "a.*")
     groups = m.selectExpr("label AS element_id", "vec_id AS shape_id", "vec_id % 4 AS group_id")
-    gm = m.where("vec_id % 8 < 4").selectExpr("label AS element_id", "vec_id % 4 AS group_id", "vec_id AS frame", "matrix")
+    gm = m.where(kept).selectExpr("label AS element_id", "vec_id % 4 AS group_id", "vec_id AS frame", "matrix")
     out = G.apply_group_transforms(anc, groups, gm)
     return rounded(out.selectExpr("element_id", "carrier", "group_id", "frame", "shapes", "matrix[0] AS m00"))
 
 
+@query("apply_group_transforms", f"""WITH {MATS_SQL}, anc AS (
+  SELECT label AS element_id, vec_id AS shape_id, unnest([vec_id % 5, 100 + vec_id % 11, 200 + vec_id % 13]) AS node_id,
+         unnest([0, 1, 2]) AS depth, unnest([false, vec_id % 2 = 0, false]) AS has_transform FROM embeddings), car AS (
+  SELECT element_id, shape_id, arg_max(node_id, (has_transform, depth)) AS carrier FROM anc GROUP BY ALL), pairs AS (
+  SELECT element_id, carrier, shape_id % 4 AS group_id, count(*) AS shapes FROM car GROUP BY ALL), gm AS (
+  SELECT label AS element_id, vec_id % 4 AS group_id, vec_id AS frame, m FROM mats WHERE vec_id % 8 < 4)
+SELECT element_id, carrier, group_id, frame, shapes, round(m[1], 6) AS m00 FROM pairs JOIN gm USING (element_id, group_id)""")
+def apply_group_transforms(spark, sf):
+    return _carried(spark, sf, "vec_id % 8 < 4")
+
+
+@query("apply_group_transforms_all", f"""WITH {MATS_SQL}, anc AS (
+  SELECT label AS element_id, vec_id AS shape_id, unnest([vec_id % 5, 100 + vec_id % 11, 200 + vec_id % 13]) AS node_id,
+         unnest([0, 1, 2]) AS depth, unnest([false, vec_id % 2 = 0, false]) AS has_transform FROM embeddings), car AS (
+  SELECT element_id, shape_id, arg_max(node_id, (has_transform, depth)) AS carrier FROM anc GROUP BY ALL), pairs AS (
+  SELECT element_id, carrier, shape_id % 4 AS group_id, count(*) AS shapes FROM car GROUP BY ALL)
+SELECT element_id, carrier, group_id, vec_id AS frame, shapes, round(m[1], 6) AS m00
+FROM pairs JOIN mats ON label = element_id AND vec_id % 4 = group_id""")
+def apply_group_transforms_all(spark, sf):
+    """Every matrix, on every carrier of its element and group."""
+    return _carried(spark, sf, "true")
+
+
 @query("bezier_points", """WITH e AS (SELECT vec_id, vec_id % 2 = 0 AS closed, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings), s AS (
   SELECT *, i, (i + 1) % 10 AS j, k / 4 AS t, i * 4 + k AS sample FROM e, range(10) a(i), range(5) b(k)
   WHERE (closed OR i < 9) AND (k < 4 OR (NOT closed AND i = 8)))
@@ -310,3 +328,19 @@ def probe_temporal_error(spark, sf):
     m = G.proj_encode(mats(spark, sf), name="pred").selectExpr(
         "vec_id AS frame", "pred", "array(1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D) AS truth", "vec_id % 3 <> 0 AS live")
     return rounded(G.probe_temporal_error(m.crossJoin(F.broadcast(probes)), ["probe"], ["probe"], 256.0))
+
+
+@query("probe_temporal_error_all", f"""WITH {POINTS_SQL}, {MATS_SQL}, {PROJ_SQL}, {PROBES_SQL}, e AS (
+  SELECT label, probe, frame, vec_id % 3 <> 0 AS live, {_P[0]} - px AS ex, {_P[1]} - py AS ey
+  FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame FROM proj) JOIN probes USING (label)), l AS (
+  SELECT *, lag(ex) OVER w AS lx, lag(ey) OVER w AS ly, lag(live) OVER w AS ll
+  FROM e WINDOW w AS (PARTITION BY label, probe ORDER BY frame))
+SELECT label, probe, round(coalesce((sum(abs(ex - lx) + abs(ey - ly)) FILTER (live AND ll))
+  / nullif(2 * count(*) FILTER (live AND ll), 0), 0) * 256, 6) AS probe_temporal_error FROM l GROUP BY ALL""")
+def probe_temporal_error_all(spark, sf):
+    """The maps of each label, in vector order, are the frames of its track; its own probes ride on them."""
+    probes = G.group_probes(points(spark, sf), ["label"], "point_idx % 5 <> 0")
+    m = positions(mats(spark, sf), ["label"], ["vec_id"], chunk_id("vec_id"), "frame")
+    m = G.proj_encode(m, name="pred").selectExpr(
+        "label", "frame", "pred", "array(1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D) AS truth", "vec_id % 3 <> 0 AS live")
+    return rounded(G.probe_temporal_error(m.join(probes, "label"), ["label", "probe"], ["label", "probe"], 256.0))

@@ -38,6 +38,12 @@ def simplify_count(spark, sf):
     return knots.where("method = 'dp'").groupBy("user_id").agg(F.expr("count(1) AS n_knots"))
 
 
+@query("simplify_count_all")
+def simplify_count_all(spark, sf):
+    """Knots of every track, short or long, and how they were found; checked against brute force in the tests."""
+    return S.simplify(curve(spark, sf), ["user_id"], TOL).groupBy("user_id", "method").agg(F.expr("count(1) AS n_knots"))
+
+
 @query("selection")
 def selection(spark, sf):
     t = curve(spark, sf)
