@@ -51,7 +51,8 @@ CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|math|object|xmp)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
                    r".*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
                    re.DOTALL | re.IGNORECASE)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+# A name up to "=", "/" or white space, and its whole value: what stands inside a value is never a name.
+ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 GROUP, SLOT = "()", "#"
 LONGEST_GROUP = 4
 
@@ -65,12 +66,15 @@ class Element:
 
 def _marked(tag: str, rest: str, inside: bool) -> tuple[str, bool]:
     """An element's label, and whether it is not of the article; ``inside`` an article, a header is its own."""
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)} if rest and not rest.isspace() else {}
+    found: dict[str, str] = {}
+    if rest and not rest.isspace():
+        for m in ATTRIBUTE.finditer(rest):
+            found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     names = found.get("class", "").split()
     words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
     top = not inside and (tag == "header" or "header" in words)
-    skip = (tag in SKIPPED or top and tag not in ("html", "body") or bool(words & MARKS) and tag not in ("html", "body")
-            or found.get("role", "").lower() in ROLES or "hidden" in found)
+    skip = tag not in ("html", "body") and (
+        tag in SKIPPED or top or bool(words & MARKS) or found.get("role", "").strip().lower() in ROLES or "hidden" in found)
     return ".".join([tag, *names[:1]]), skip
 
 
