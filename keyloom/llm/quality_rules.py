@@ -6,7 +6,11 @@ same say, whatever its length. Pass 2 compares each document with its language's
 Jensen-Shannon distance (base 2, 0 to 1) and rejects it if
 
 * the character distance exceeds ``char_limit`` and the text has ``min_chars`` code points at least, or
-* the word distance exceeds ``word_limit`` and it has ``min_words`` words at least.
+* the word distance exceeds the language's word limit and it has the language's least number of words.
+
+The word limit is ``word_share`` of the distance that a text without any common word has from the language's reference, so it
+follows from the whole corpus and bites whatever part common words have there. The least number of words is ``MIN_WORDS``,
+or more where common words are rarer: ``MIN_COMMON`` of them must be expected, else a good text is as far off by chance.
 
 References cover the languages of ``COMMON``, and one more that pools all other documents, which is compared
 by characters only; they are a few dozen integers each, whatever the input. Sums are of integers, so
@@ -39,7 +43,7 @@ CLASSES = 5
 """Numbers and lower-case or caseless letters, upper-case letters, white space and controls, prose punctuation, other signs."""
 PROSE = ".,;:'\"?()-"
 SYMBOLS = "#*$%&|<>"
-CHAR_LIMIT, WORD_LIMIT, MIN_CHARS, MIN_WORDS = 0.135, 0.36, 200, 100
+CHAR_LIMIT, WORD_SHARE, MIN_CHARS, MIN_WORDS, MIN_COMMON = 0.135, 0.8, 200, 100, 24
 PARTS = 1_000_000
 
 
@@ -139,22 +143,35 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray | None
     return out
 
 
+def word_bounds(refs: dict, word_share: float = WORD_SHARE) -> dict[str, tuple[float, float]]:
+    """Per language of ``COMMON`` the word limit and the least number of words; none where no common word was met."""
+    out = {}
+    for lang, (_, common) in refs.items():
+        if common is not None and common[:-1].sum() > 0:
+            bare = np.zeros(len(common))
+            bare[-1] = 1
+            out[lang] = word_share * distance(bare, common), max(MIN_WORDS, MIN_COMMON * common.sum() / common[:-1].sum())
+    return out
+
+
 def verdict(text: str, c: dict[str, int], words: dict[bytes, int], lang: str | None, refs: dict,
-            char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> tuple[float, float, bool]:
+            bounds: dict[str, tuple[float, float]], char_limit: float = CHAR_LIMIT) -> tuple[float, float, bool]:
     """Character distance, word distance and whether the document is near its language's reference."""
     lang = lang if lang in COMMON else OTHER
     chars, common = refs.get(lang, (None, None))
+    word_limit, least = bounds.get(lang, (1.0, float("inf")))
     dc = distance(char_histogram(text), chars) if chars is not None and len(text) >= MIN_CHARS else 0.0
-    dw = distance(word_histogram(words, c["n_words"], lang), common) if common is not None and c["n_words"] >= MIN_WORDS else 0.0
+    dw = distance(word_histogram(words, c["n_words"], lang), common) if c["n_words"] >= least else 0.0
     return dc, dw, dc <= char_limit and dw <= word_limit
 
 
-def judge(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT, id_col: str = "doc_id",
+def judge(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_share: float = WORD_SHARE, id_col: str = "doc_id",
           text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """All columns of ``docs`` under ``doc``, then the base counts, base_failed, char_distance, word_distance and kept."""
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")
     lang = F.col(lang_col).cast("string").alias("lang")
     refs = references(docs.select(text, lang))
+    bounds = word_bounds(refs, word_share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +181,7 @@ def judge(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_limit: float = W
                     c, words = base_counts(text)
                     failed = fails_base(c)
                     dc, dw, near = (0.0, 0.0, False) if failed else verdict(
-                        text.decode("utf-8", "replace"), c, words, lang, refs, char_limit, word_limit)
+                        text.decode("utf-8", "replace"), c, words, lang, refs, bounds, char_limit)
                     rows.append((*c.values(), failed, dc, dw, near))
                 cols = [pa.array(x, t) for x, t in zip(zip(*rows), types)]
                 yield pa.RecordBatch.from_arrays([part.column("doc"), *cols], names=["doc", *names])
