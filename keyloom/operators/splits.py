@@ -125,7 +125,7 @@ def batch_schedule(steps: DataFrame, elements: DataFrame, frames: DataFrame, bat
     The weighted pick is a range lookup: both sides are bucketed on the unit interval, so it is
     an equi-join. ``frames`` holds the training pool with a dense ``pos`` per element, so picking
     positions is arithmetic on the pool size and then an equi-join, never a scan of the pool per
-    step. ``random`` draws distinct positions with a stride permutation of the pool; ``pairs``
+    step. ``random`` draws distinct positions, every subset of the pool alike; ``pairs``
     anchors on positions whose successor frame is also kept; ``runs`` takes one contiguous run.
     """
     if mode not in SAMPLING_MODES:
@@ -153,18 +153,15 @@ def batch_schedule(steps: DataFrame, elements: DataFrame, frames: DataFrame, bat
         "*", contiguous.alias("_run"), F.expr("CASE WHEN _pairs THEN a_n ELSE n END").alias("m"),
         F.expr(f"CASE WHEN _pairs THEN least(greatest(1, {batch} div 2), a_n) ELSE least({batch}, n) END")
         .alias("k"))
-    # Distinct draws: start + i * stride (mod m) with a stride coprime to m visits m positions
-    # before repeating; a run has stride 1 and a start that keeps it inside the pool.
-    h1 = F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "step"), F.expr("CASE WHEN _run THEN m - k + 1 ELSE m END"))
-    sched = sched.withColumn("_s", h1).withColumn("_st", F.expr(
-        f"CASE WHEN _run OR m = 1 THEN 1L ELSE element_at(filter(transform(sequence(0L, 63L), i -> "
-        f"1 + pmod(xxhash64({seed}, 'stride', step, i), m - 1)), s -> "
-        f"aggregate(sequence(1, 40), struct(s AS a, m AS b), (acc, _) -> "
-        f"CASE WHEN acc.b = 0 THEN acc ELSE struct(acc.b AS a, acc.a % acc.b AS b) END, "
-        f"acc -> acc.a) = 1), 1) END"))
-    sched = sched.withColumn("_st", F.coalesce("_st", F.lit(1)))
-    drawn = sched.select("step", "element_id", "_pairs", F.explode(F.expr(
-        "transform(sequence(0L, CAST(k AS BIGINT) - 1), i -> pmod(_s + i * _st, m))")).alias("pos"))
+    # Distinct draws by Floyd's rule: for j = m - k .. m - 1 take a hashed position of 0..j, or j itself if that was
+    # taken, so that every k-subset is equally likely; a run is a hashed start that keeps it inside the pool.
+    sched = sched.withColumn("_pos", F.expr(
+        f"CASE WHEN _run THEN transform(sequence(0L, k - 1L), i -> "
+        f"pmod(xxhash64({seed}, 'start', step), m - k + 1) + i) ELSE "
+        f"aggregate(sequence(CAST(m - k AS BIGINT), CAST(m - 1 AS BIGINT)), CAST(array() AS ARRAY<BIGINT>), (acc, j) -> "
+        f"array_append(acc, CASE WHEN array_contains(acc, pmod(xxhash64({seed}, 'draw', step, j), j + 1)) THEN j "
+        f"ELSE pmod(xxhash64({seed}, 'draw', step, j), j + 1) END)) END"))
+    drawn = sched.select("step", "element_id", "_pairs", F.explode("_pos").alias("pos"))
     plain = drawn.where("NOT _pairs").join(pool, ["element_id", "pos"]).select(
         "step", "element_id", "frame")
     if mode != "pairs":
