@@ -158,16 +158,16 @@ def run_path(spark, sf):
     return L.run_path(o).select("o_orderkey", "run_path", "dataset_path")
 
 
-def project_files(spark, sf):
-    """One project a vector: a layer with opacity and a shape of two outlines; every tenth lacks a point in the second."""
+def project_files(spark, sf, n=4):
+    """One project a vector: a layer with opacity and a shape of two outlines of ``n`` points; every tenth lacks a point in the second."""
     def outline(frame, first, n):
         pts = f"transform(sequence(0, {n} - 1), i -> concat('<Point>(', v[{first} + 2 * i], ',', v[{first} + 1 + 2 * i], ')</Point>'))"
         return f"'<Key frame=\"{frame}\" interp=\"hold\"><Path closed=\"True\">', array_join({pts}, ''), '</Path></Key>'"
     e = load(spark, sf, "embeddings").selectExpr("vec_id", "label", "transform(embedding, x -> CAST(round(100 * CAST(x AS DOUBLE)) AS INT)) AS v")
-    second = outline(1, 8, "CASE WHEN vec_id % 10 = 7 THEN 3 ELSE 4 END")
+    second = outline(1, 2 * n, f"CASE WHEN vec_id % 10 = 7 THEN {n - 1} ELSE {n} END")
     return e.selectExpr("CAST(vec_id AS STRING) AS path", f"""encode(concat('<!-- p --><P><Source width="', 100 + label, '" height="50"/><Node type="RotoNode">',
       '<Properties><Property id="objects"><Object type="Layer" label="L', vec_id, '"><Properties><Property id="opacity"><Key frame="', label, '">',
-      vec_id % 101, '</Key></Property><Property id="objects"><Object type="Shape" label="S"><Properties><Property id="path">', {outline(5, 0, 4)}, {second},
+      vec_id % 101, '</Key></Property><Property id="objects"><Object type="Shape" label="S"><Properties><Property id="path">', {outline(5, 0, n)}, {second},
       '</Property></Properties></Object></Property></Properties></Object></Property></Properties></Node></P>'), 'UTF-8') AS content""")
 
 
@@ -181,6 +181,17 @@ def project_ingest(spark, sf):
     return keys.selectExpr("path", "node_id", "track", "frame", "interp", "n_points", "aggregate(value, 0D, (a, x) -> a + x) AS total")
 
 
+@query("project_ingest_all", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(round(100 * x::DOUBLE) AS INTEGER)) AS v
+  FROM embeddings WHERE vec_id % 10 <> 7)
+SELECT CAST(vec_id AS VARCHAR) AS path, '0' AS node_id, 'opacity' AS track, label AS frame, 'linear' AS interp, 1 AS n_points, (vec_id % 101)::DOUBLE AS total FROM e
+UNION ALL SELECT CAST(vec_id AS VARCHAR), '0/0', 'path', 5, 'hold', 16, list_sum(v[1:32])::DOUBLE FROM e
+UNION ALL SELECT CAST(vec_id AS VARCHAR), '0/0', 'path', 1, 'hold', 16, list_sum(v[33:64])::DOUBLE FROM e""")
+def project_ingest_all(spark, sf):
+    """Whole vectors: all 32 points over the two outlines."""
+    keys = projects.ingest_projects(projects.parse_projects(project_files(spark, sf, 16)))["keys"]
+    return keys.selectExpr("path", "node_id", "track", "frame", "interp", "n_points", "aggregate(value, 0D, (a, x) -> a + x) AS total")
+
+
 @query("project_nodes", """SELECT CAST(vec_id AS VARCHAR) AS path, '0' AS node_id, 'layer' AS kind, 'L' || vec_id AS name, 100 + label AS width
   FROM embeddings WHERE vec_id % 10 <> 7 UNION ALL SELECT CAST(vec_id AS VARCHAR), '0/0', 'shape', 'S', 100 + label FROM embeddings WHERE vec_id % 10 <> 7""")
 def project_nodes(spark, sf):
