@@ -109,7 +109,9 @@ def with_repeats(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = W
         F.coalesce(rank <= F.col("__p_last"), F.lit(False)))
     repeats = (F.col("__p_whole") + extra.cast("long")).alias("repeats")
     if keep_columns:
-        return joined.select(*[F.col(f"`{c}`") for c in kept], repeats.alias("__repeats"))
+        # Where whole repetitions meet the target, a document without words gets no extra one either. ``mix`` follows its SQL there.
+        more = extra & (F.col("__p_target") > F.col("__p_whole") * F.col("__p_source_size"))
+        return joined.select(*[F.col(f"`{c}`") for c in kept], (F.col("__p_whole") + more.cast("long")).alias("__repeats"))
     return joined.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"),
                          F.col("__p_source_size").alias("source_size"), F.col("__p_target").alias("target"), repeats)
 
