@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import (bpe_automaton, line_dedup, mixing, near_dups, page_wrappers, quality_rules, segment_topk, token_counts, token_store,
-               toxicity)
+from . import (bpe_automaton, importance, line_dedup, mixing, near_dups, page_wrappers, quality_rules, segment_topk, token_counts,
+               token_store, toxicity, vector_codes, warc)
 from .shared import shared_dir
 
 
@@ -60,10 +60,24 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write_deduplicated(table(spark, sf_dir, "pages"), shared_dir(spark))
+    return warc.read_archive(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_line_dedup, op2_token_store, op3_segment_topk, op4_near_dups, op5_page_wrappers, op6_mixing, op7_toxicity,
-        op8_bpe_automaton, op9_quality_rules, op10_token_counts)}
+        op8_bpe_automaton, op9_quality_rules, op10_token_counts, op11_warc_revisits, op12_vector_codes, op13_importance)}
 
 ORACLES: dict[str, str] = {
-    "op1_line_dedup": line_dedup.ORACLE, "op3_segment_topk": segment_topk.ORACLE, "op6_mixing": mixing.ORACLE}
+    "op1_line_dedup": line_dedup.ORACLE, "op3_segment_topk": segment_topk.ORACLE, "op6_mixing": mixing.ORACLE,
+    "op11_warc_revisits": warc.ORACLE, "op12_vector_codes": vector_codes.ORACLE}

@@ -11,7 +11,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 WHITE = b" \t\n\x0b\x0c\r"
 """The white space of every word and line rule here: U+0020 and U+0009 to U+000D."""
@@ -86,3 +86,22 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
 
 def shape(**columns: str) -> str:
     return ", ".join(f"{k} {v}" for k, v in columns.items())
+
+
+HOT_SHARE = 1000
+
+
+def attach(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """``rows`` with one more column, ``fact``: the row of ``facts`` for its key, or null.
+
+    ``facts`` has one row per ``key`` and, in ``n``, how many of ``rows`` have it. Keys with more than a thousandth of
+    all counted rows, 1,000 at most, go by broadcast; the others meet in an ordinary join, where none is large. Nulls are a
+    key like others. Both tables are read twice, so they should be stored.
+    """
+    facts = facts.select(F.col(key).alias("_key"), F.struct(*facts.columns).alias("fact"), "n")
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") * HOT_SHARE > total
+    hot, cold = F.broadcast(facts.where(is_hot).drop("n")), facts.where(~is_hot).drop("n")
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    rest = rows.join(hot, same, "left_anti").join(cold, same, "left")
+    return rows.join(hot, same).unionByName(rest).drop("_key")
