@@ -3,8 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def work_dir(spark: SparkSession) -> str:
+    """A new folder below the one that the session names in ``spark.checkpoint.dir``; without one, a local test's own."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        root = tempfile.mkdtemp(prefix="keyloom-")
+    return f"{root.rstrip('/')}/keyloom-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

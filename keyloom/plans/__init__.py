@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 FAMILIES = ("sources", "lifespans", "scoring", "elements", "tracks", "geometry", "events", "coverage",
-            "baselines", "quality", "pipelines")
+            "baselines", "quality", "pipelines", "datasets")
 
 
 def all_queries():
