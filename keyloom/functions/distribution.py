@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .ordered import running_sum, spread_chunks
+from .ordered import RANGES, range_chunks, running_sum
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: Column | str) -> DataFrame:
@@ -20,29 +20,41 @@ def value_counts(df: DataFrame, by: Sequence[str], value: Column | str) -> DataF
             .groupBy(*by, "_value").agg(F.count(F.lit(1)).alias("_n")))
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: Column | str,
-                    probs: Mapping[str, float], buckets: int = 1024) -> DataFrame:
-    """One row per group with linearly interpolated quantiles under the given names."""
+def quantile_table(df: DataFrame, by: Sequence[str], measures: Mapping[str, Mapping[str, float]],
+                   ranges: int = RANGES) -> DataFrame:
+    """One row per group with linearly interpolated quantiles: ``measures`` maps a value expression to ``{name: probability}``.
+
+    All measures share one pass: values are counted per (group, measure, value), cut into ranges with about as many distinct
+    values each, however unevenly they lie, and ranked by counts. A group without values of a measure has nulls there.
+    """
     by = list(by)
     group = by or ["_all"]
     src = df if by else df.withColumn("_all", F.lit(0))
-    counts = value_counts(src, group, value)
-    wide, bucket = spread_chunks(counts, F.col("_value"), buckets)
-    hits = running_sum(wide, group, ["_value"], bucket, {"_upto": F.col("_n")}, totals=True
+    values = F.array(*[F.struct(F.lit(i).alias("_m"), F.expr(v).cast("double").alias("_value")) for i, v in enumerate(measures)])
+    rows = src.select(*group, F.explode(values).alias("_v")).select(*group, "_v.*").where(F.col("_value").isNotNull())
+    counts = range_chunks(rows.groupBy(*group, "_m", "_value").agg(F.count(F.lit(1)).alias("_n")), ["_m", "_value"], "_range", ranges)
+    hits = running_sum(counts, [*group, "_m"], ["_value"], F.col("_range"), {"_upto": F.col("_n")}, totals=True
                        ).withColumnRenamed("_upto_total", "_total")
     start, stop = F.col("_upto") - F.col("_n"), F.col("_upto")
     aggs, outs = [], []
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
-        lo, hi = F.floor(pos), F.ceil(pos)
-        aggs += [F.max(F.when((lo >= start) & (lo < stop), F.col("_value"))).alias(f"_lo_{name}"),
-                 F.max(F.when((hi >= start) & (hi < stop), F.col("_value"))).alias(f"_hi_{name}"),
-                 F.max(pos - F.floor(pos)).alias(f"_f_{name}")]
-        lo_c, hi_c, f_c = (F.col(f"_{t}_{name}").cast("double") for t in ("lo", "hi", "f"))
-        outs.append((lo_c + (hi_c - lo_c) * f_c).alias(name))
+    for i, probs in enumerate(measures.values()):
+        own = F.col("_m") == i
+        for name, p in probs.items():
+            pos = F.lit(float(p)) * (F.col("_total") - 1)
+            lo, hi = F.floor(pos), F.ceil(pos)
+            aggs += [F.max(F.when(own & (lo >= start) & (lo < stop), F.col("_value"))).alias(f"_lo_{name}"),
+                     F.max(F.when(own & (hi >= start) & (hi < stop), F.col("_value"))).alias(f"_hi_{name}"),
+                     F.max(F.when(own, pos - F.floor(pos))).alias(f"_f_{name}")]
+            lo_c, hi_c, f_c = (F.col(f"_{t}_{name}") for t in ("lo", "hi", "f"))
+            outs.append((lo_c + (hi_c - lo_c) * f_c).alias(name))
     return hits.groupBy(*group).agg(*aggs).select(*by, *outs)
 
 
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float], buckets: int = RANGES) -> DataFrame:
+    """One row per group with linearly interpolated quantiles under the given names."""
+    return quantile_table(df, by, {value: probs}, buckets)
+
+
 def mode_of(df: DataFrame, by: Sequence[str], value: Column | str, name: str = "mode",
             tie: str = "smallest") -> DataFrame:
     """Most frequent value per group; ties go to the smallest (or largest) value."""

@@ -23,6 +23,11 @@ def seeded(seed: int, *key: str) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[col(k).cast("string") for k in key]))
 
 
+def hashed(seed: int, *key: Column | str) -> Column:
+    """A whole number in [0, 2^52) that every engine can compute: the first 13 hex digits of ``seeded``."""
+    return F.conv(F.substring(seeded(seed, *key), 1, 13), 16, 10).cast("long")
+
+
 def seeded_chunk(order: Column | str) -> Column:
     """4,096 chunks that follow the order of ``seeded``."""
     return F.conv(F.substring(col(order), 1, 3), 16, 10).cast("long")

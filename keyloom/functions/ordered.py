@@ -10,6 +10,9 @@ consecutive positions and partition on ``(track, chunk)`` instead:
                  per chunk.
 ``running_sum``  prefix sums, same two-level shape.
 ``positions``    dense 0-based positions in an arbitrary order, same two-level shape.
+
+A chunk follows the order: equal steps of a position or time (``chunk_id``), or, for keys of any type and spread,
+ranges with about the same number of rows each (``range_chunks``).
 """
 
 from __future__ import annotations
@@ -81,16 +84,16 @@ def stencil(df: DataFrame, by: Sequence[str], order: str,
 
 def last_known(df: DataFrame, by: Sequence[str], order: str, marks: Mapping[str, Column],
                size: int = CHUNK, inclusive: bool = True, backward: bool = False,
-               keep: Sequence[str] | None = None) -> DataFrame:
+               keep: Sequence[str] | None = None, chunk: Column | None = None) -> DataFrame:
     """For each row, the latest non-null value of each mark at or before it.
 
     ``inclusive=False`` looks strictly before; ``backward=True`` looks at or after instead.
     ``keep`` names the input columns the result carries (default: all); columns that are only
-    read by the marks should be left out so they are not shuffled.
+    read by the marks should be left out so they are not shuffled. ``chunk`` replaces the chunks of ``size`` order units.
     """
     keep = list(df.columns if keep is None else keep)
     base = df.select(*keep, *[c for c in [*by, order] if c not in keep],
-                     chunk_id(order, size).alias("_chunk"),
+                     (chunk_id(order, size) if chunk is None else chunk).alias("_chunk"),
                      *[m.alias(f"_m_{n}") for n, m in marks.items()])
     base = _shared(base, [*by, "_chunk"])
     rank = F.col(order)
@@ -192,20 +195,33 @@ def lookup(big: DataFrame, small: DataFrame, on: Sequence[str], key: Sequence[st
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
-def spread_chunks(df: DataFrame, value: Column, buckets: int = 1024) -> tuple[DataFrame, Column]:
-    """Equal-width buckets over a numeric column's global range, for use as a ``chunk``.
+RANGES = 1024
+DRAWS = 32
+STEP = 32
+
+
+def range_chunks(df: DataFrame, order: Sequence[str], name: str = "_range", ranges: int = RANGES) -> DataFrame:
+    """``df`` with a chunk number that follows ``order`` (nulls first), for columns of any orderable type.
 
-    The range is one row, so the cross join that attaches it is a broadcast of one row.
+    The boundaries between chunks are evenly spaced in a sample of ``DRAWS`` rows a range, drawn by the hash of the key, so
+    chunks hold about the same number of distinct keys whatever their distribution. The sample is one row on its way
+    to the tasks, with at most ``ranges - 1`` keys. Rows with equal keys share a chunk.
     """
-    span = df.agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-    out = df.crossJoin(F.broadcast(span))
-    width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(F.lit(1.0))
-    bucket = F.floor((value.cast("double") - F.col("_lo")) / width * buckets).cast("long")
-    return out, bucket
+    sample = df.select(F.struct(*order).alias("_k")).orderBy(F.xxhash64("_k"), "_k").limit(ranges * DRAWS)
+    # Of 1,024 sorted boundaries, every 32nd finds the block, and the block finds the place: 64 comparisons a row.
+    bounds = sample.agg(F.array_sort(F.collect_list("_k")).alias("_s")).selectExpr(
+        f"transform(sequence(1, {ranges} - 1), i -> get(_s, CAST(i * size(_s) DIV {ranges} AS INT))) AS _fine").selectExpr(
+        "_fine", f"transform(sequence(1, size(_fine) DIV {STEP}), i -> get(_fine, i * {STEP} - 1)) AS _coarse"
+        if ranges > STEP else "slice(_fine, 1, 0) AS _coarse")
+    key = F.struct(*order)
+    wide = df.crossJoin(F.broadcast(bounds)).withColumn("_c", F.size(F.filter("_coarse", lambda x: x <= key)))
+    block = F.slice("_fine", F.col("_c") * STEP + 1, F.lit(STEP))
+    place = (F.col("_c") * STEP + F.size(F.filter(block, lambda x: x <= key))).cast("long")
+    return wide.withColumn(name, place).drop("_fine", "_coarse", "_c")
 
 
 def ranked(df: DataFrame, by: Sequence[str], first: Column, order: Sequence[str | Column],
-           name: str, buckets: int = 1024) -> DataFrame:
-    """0-based rank where ``first`` is the numeric leading sort key, ascending."""
-    wide, bucket = spread_chunks(df, first, buckets)
-    return positions(wide, by, order, bucket, name).select(*df.columns, name)
+           name: str, ranges: int = RANGES) -> DataFrame:
+    """0-based rank where ``first`` is the leading sort key, ascending, of any type."""
+    wide = range_chunks(df.withColumn("_first_key", first), ["_first_key"], "_range", ranges)
+    return positions(wide, by, order, F.col("_range"), name).select(*df.columns, name)

@@ -2,7 +2,7 @@
 
 Averages never travel alone: every aggregate also carries its worst case. Unmeasured stays null.
 Groups may be arbitrarily large, so only mergeable aggregates are used, and quantiles go through
-``exact_quantiles``.
+``quantile_table``.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.distribution import exact_quantiles
+from ..functions.distribution import quantile_table
 from ..functions.expr import ratio, sigmoid, softplus, weighted_mean
 
 
@@ -42,9 +42,8 @@ def element_rows(scores: DataFrame, by: Sequence[str] = ELEMENT_KEY,
 def with_quantiles(rows: DataFrame, scores: DataFrame, by: Sequence[str] = ELEMENT_KEY) -> DataFrame:
     """Attach the exact 5th percentile of soft IoU and 95th of point error."""
     by = list(by)
-    p05 = exact_quantiles(scores, by, "soft_iou", {"p05_soft_iou": 0.05})
-    p95 = exact_quantiles(scores, by, "point_err", {"p95_point_err_px": 0.95})
-    return rows.join(p05, by).join(p95, by)
+    return rows.join(quantile_table(scores, by, {
+        "soft_iou": {"p05_soft_iou": 0.05}, "point_err": {"p95_point_err_px": 0.95}}), by, "left")
 
 
 def element_summary(scores: DataFrame, by: Sequence[str] = ELEMENT_KEY) -> DataFrame:

@@ -6,8 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.expr import uniform
-from ..functions.ordered import chunk_id, lookup, positions, running_sum, stencil, with_totals
+from ..functions.expr import hashed
+from ..functions.lineage import cut
+from ..functions.ordered import chunk_id, last_known, lookup, positions, range_chunks, running_sum, stencil, with_totals
 
 DEFAULT_HOLDOUT_EVERY = 7
 SAMPLING_MODES = ("random", "pairs", "runs")
@@ -99,32 +100,46 @@ def element_weight(elements: DataFrame, mode: str) -> DataFrame:
         *elements.columns, F.expr("_w / _total").alias("weight"))
 
 
+TICKS = 1 << 52
+"""The whole of all weights, in whole numbers, so that pick ranges meet without gaps."""
+
+
 def block_offsets(elements: DataFrame, order: str = "element_id") -> DataFrame:
-    """Exclusive running sums: where each element's block of shapes and groups starts."""
-    keyed = elements.withColumn("_all", F.lit(0))
-    bucket = F.col(order) if dict(elements.dtypes)[order] != "string" else F.lit(0)
-    bucket = F.floor(bucket / 4096).cast("long") if dict(elements.dtypes)[order] != "string" else bucket
-    out = running_sum(keyed, ["_all"], [order], bucket,
-                      {"shape_base": F.col("n_shapes"), "group_base": F.col("n_groups")},
-                      inclusive=False)
-    return out.drop("_all")
+    """Exclusive running sums in the order of a unique key of any type: where each element's block of shapes and groups starts."""
+    keyed = range_chunks(cut(elements).withColumn("_all", F.lit(0)), [order])
+    out = running_sum(keyed, ["_all"], [order], F.col("_range"),
+                      {"shape_base": F.col("n_shapes"), "group_base": F.col("n_groups")}, inclusive=False)
+    return out.drop("_all", "_range")
 
 
 def cumulative_weights(elements: DataFrame) -> DataFrame:
-    """Half-open pick ranges ``[lo, hi)`` over [0, 1) in element order."""
-    w = running_sum(elements.withColumn("_all", F.lit(0)), ["_all"], ["element_id"],
-                    F.floor(F.col("element_id") / 4096).cast("long"), {"_hi": F.col("weight")})
-    return w.select("element_id", "n_frames", (F.col("_hi") - F.col("weight")).alias("lo"),
-                    F.expr("CASE WHEN _hi > 1 - 1e-9 THEN 1D ELSE _hi END").alias("hi"))
+    """Half-open pick ranges ``[lo, hi)`` over 0 .. ``TICKS`` in element order; without those that weigh nothing."""
+    ticks = elements.select("element_id", "n_frames", F.round(F.col("weight") * TICKS).cast("long").alias("_w"), F.lit(0).alias("_all"))
+    out = running_sum(range_chunks(cut(ticks.where("_w > 0")), ["element_id"]), ["_all"], ["element_id"], F.col("_range"), {"hi": F.col("_w")})
+    return out.select("element_id", "n_frames", (F.col("hi") - F.col("_w")).alias("lo"), "hi")
+
+
+def weighted_picks(steps: DataFrame, lanes: DataFrame, seed: int) -> DataFrame:
+    """``(step, own)``: for every step the columns of the lane whose range holds the step's draw.
+
+    Draws and lanes are merged on one axis, cut where the rows are, and each draw looks back to the last lane before it; so
+    neither a heavy lane nor many light ones make a large group.
+    """
+    own = F.struct(*lanes.columns)
+    # A draw beyond the last range, by rounding, belongs to it.
+    marks = lanes.select((F.col("lo") * 2).alias("at"), own.alias("own"), F.lit(None).cast(steps.schema["step"].dataType).alias("step"))
+    asks = steps.select((hashed(seed, "step") * 2 + 1).alias("at"), F.lit(None).cast(marks.schema["own"].dataType).alias("own"), "step")
+    axis = range_chunks(marks.unionByName(asks).withColumn("_all", F.lit(0)), ["at"])
+    return last_known(axis, ["_all"], "at", {"_own": F.col("own")}, keep=["step"], chunk=F.col("_range")).where(
+        "step IS NOT NULL").select("step", F.col("_own").alias("own"))
 
 
 def batch_schedule(steps: DataFrame, elements: DataFrame, frames: DataFrame, batch: int,
                    mode: str, seed: int) -> DataFrame:
     """``(step, element_id, frame)``: one weighted element per step, then ``batch`` positions.
 
-    The weighted pick is a range lookup: both sides are bucketed on the unit interval, so it is
-    an equi-join. ``frames`` holds the training pool with a dense ``pos`` per element, so picking
-    positions is arithmetic on the pool size and then an equi-join, never a scan of the pool per
+    Draws are hashes that any engine can compute. ``frames`` holds the training pool with a dense ``pos`` per
+    element, so picking positions is arithmetic on the pool size and then an equi-join, never a scan of the pool per
     step. ``random`` draws distinct positions, every subset of the pool alike; ``pairs``
     anchors on positions whose successor frame is also kept; ``runs`` takes one contiguous run.
     """
@@ -132,7 +147,6 @@ def batch_schedule(steps: DataFrame, elements: DataFrame, frames: DataFrame, bat
         raise ValueError(f"unknown sampling mode {mode!r}, want one of {SAMPLING_MODES}")
     if batch < 1:
         raise ValueError("batch must be positive")
-    grid = 4096
     pool = frames.select("element_id", "frame", "pos")
     sizes = pool.groupBy("element_id").agg(F.expr("count(1) AS n"))
     if mode == "pairs":
@@ -143,11 +157,10 @@ def batch_schedule(steps: DataFrame, elements: DataFrame, frames: DataFrame, bat
         sizes = sizes.join(a_size, "element_id", "left").na.fill(0, ["a_n"]).withColumn("_pairs", F.expr("n > 2 AND a_n > 0"))
     else:
         sizes = sizes.select("*", F.lit(0).alias("a_n"), F.lit(False).alias("_pairs"))
-    # Pool sizes travel with the pick ranges, so an often-picked element needs no join by element.
-    lanes = cumulative_weights(elements).join(sizes, "element_id").withColumn("_b", F.explode(F.sequence(
-        F.floor(F.col("lo") * grid), F.least(F.floor(F.col("hi") * grid), F.lit(grid - 1)))))
-    picks = steps.select("step", uniform(seed, "step").alias("u")).withColumn("_b", F.floor(F.col("u") * grid))
-    sched = picks.join(lanes, "_b").where("u >= lo AND u < hi").select("step", "element_id", "n", "a_n", "_pairs")
+    # Pool sizes travel with the pick ranges, so an often-picked element needs no join by element. Elements are written
+    # once, as their order and ranges read them several times.
+    lanes = cut(cumulative_weights(elements).join(sizes, "element_id").select("lo", "element_id", "n", "a_n", "_pairs"))
+    sched = weighted_picks(steps, lanes, seed).select("step", "own.element_id", "own.n", "own.a_n", "own._pairs")
     contiguous = F.expr("n > 2") if mode == "runs" else F.lit(False)
     sched = sched.select(
         "*", contiguous.alias("_run"), F.expr("CASE WHEN _pairs THEN a_n ELSE n END").alias("m"),
@@ -155,12 +168,14 @@ def batch_schedule(steps: DataFrame, elements: DataFrame, frames: DataFrame, bat
         .alias("k"))
     # Distinct draws by Floyd's rule: for j = m - k .. m - 1 take a hashed position of 0..j, or j itself if that was
     # taken, so that every k-subset is equally likely; a run is a hashed start that keeps it inside the pool.
+    def draw(*key: str) -> str:
+        text = ", ".join(f"CAST({k} AS STRING)" for k in (str(seed), *key))
+        return f"CAST(conv(substr(md5(concat_ws(':', {text})), 1, 13), 16, 10) AS BIGINT)"
+    own = f"({draw(chr(39) + 'draw' + chr(39), 'step', 'j')} % (j + 1))"
     sched = sched.withColumn("_pos", F.expr(
-        f"CASE WHEN _run THEN transform(sequence(0L, k - 1L), i -> "
-        f"pmod(xxhash64({seed}, 'start', step), m - k + 1) + i) ELSE "
+        f"CASE WHEN _run THEN transform(sequence(0L, k - 1L), i -> {draw(chr(39) + 'start' + chr(39), 'step')} % (m - k + 1) + i) ELSE "
         f"aggregate(sequence(CAST(m - k AS BIGINT), CAST(m - 1 AS BIGINT)), CAST(array() AS ARRAY<BIGINT>), (acc, j) -> "
-        f"array_append(acc, CASE WHEN array_contains(acc, pmod(xxhash64({seed}, 'draw', step, j), j + 1)) THEN j "
-        f"ELSE pmod(xxhash64({seed}, 'draw', step, j), j + 1) END)) END"))
+        f"array_append(acc, CASE WHEN array_contains(acc, {own}) THEN j ELSE {own} END)) END"))
     drawn = sched.select("step", "element_id", "_pairs", F.explode("_pos").alias("pos"))
     plain = drawn.where("NOT _pairs").join(pool, ["element_id", "pos"]).select(
         "step", "element_id", "frame")
@@ -190,3 +205,49 @@ def training_rows(schedule: DataFrame, cells: DataFrame, elements: DataFrame, n_
                      ["element_id", "frame", "slot"], "left").select(
         "step", "element_id", "frame", "slot", F.coalesce("live", no).alias("live"),
         F.coalesce("is_key", no).alias("is_key"), (F.col("slot") < F.col("_n")).alias("exists"))
+
+
+def training_targets(schedule: DataFrame, cells: DataFrame, points: DataFrame, shapes: DataFrame, elements: DataFrame,
+                     n_slots: int = 0, width: int = 0) -> DataFrame:
+    """The targets of every scheduled frame, one row per (step, element, frame, slot), ragged parts as arrays.
+
+    ``cells`` (element_id, frame, slot, live, is_key), ``points`` (element_id, frame, slot, point_idx, x, y), ``shapes``
+    (element_id, slot, point_count, descriptor ARRAY<DOUBLE>) and ``elements`` (element_id, n_shapes, shape_base) meet the schedule on
+    their own keys, so no element is gathered: the largest group is one outline at one frame.
+
+    With a bank of ``n_slots`` shared slots, rows are padded up to it, a slot's query is its number, and only ``live`` has
+    something to say about padding (False). Without one every element has its own ``n_shapes`` slots and a shape's query is
+    ``shape_base + slot``. ``outline`` is x0, y0, x1, ... in point order; with ``width`` it is padded with zeros to that many points and
+    ``point_mask`` tells the real ones. A bank or width that is too narrow is an error when read.
+    """
+    size = lookup(schedule, elements.select("element_id", "n_shapes", "shape_base"), ["element_id"], ["step"])
+    last = F.lit(n_slots) if n_slots else F.col("n_shapes")
+    fits = F.when(F.col("n_shapes") <= last, last).otherwise(F.raise_error(F.concat(
+        F.lit(f"n_slots {n_slots} is below the shapes of "), F.col("element_id").cast("string"))).cast("int"))
+    wide = size.select("step", "element_id", "frame", "n_shapes", "shape_base", F.explode(F.sequence(F.lit(0), fits.cast("int") - 1)).alias("slot"))
+    wide = wide.where(F.col("n_shapes") > 0) if not n_slots else wide
+    drawn = points.groupBy("element_id", "frame", "slot").agg(F.array_sort(F.collect_list(F.struct("point_idx", "x", "y"))).alias("_p"))
+    outline = drawn.select("element_id", "frame", "slot", F.flatten(F.transform("_p", lambda p: F.array(p.x, p.y))).alias("outline"))
+    rows = (wide.join(cells.select("element_id", "frame", "slot", "live", "is_key"), ["element_id", "frame", "slot"], "left")
+            .join(outline, ["element_id", "frame", "slot"], "left"))
+    rows = lookup(rows, shapes.select("element_id", "slot", "point_count", "descriptor"), ["element_id", "slot"], ["step"], "left")
+    no, real = F.lit(False), F.col("slot") < F.col("n_shapes")
+    flat, n = F.coalesce("outline", F.array().cast("array<double>")), F.coalesce("point_count", F.lit(0)).cast("int")
+    if width:
+        few = F.when(n <= width, n).otherwise(F.raise_error(F.lit(f"width {width} is below the points of a shape")).cast("int"))
+        flat = F.concat(flat, F.array_repeat(F.lit(0.0), F.lit(2 * width) - F.size(flat)))
+        mask = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: i < few)
+    else:
+        mask = F.array_repeat(F.lit(True), n)
+    return rows.select(
+        "step", "element_id", "frame", "slot", (F.col("slot") if n_slots else F.col("shape_base") + F.col("slot")).cast("long").alias("query"),
+        real.alias("exists"), F.coalesce(F.col("live") & real, no).alias("live"), F.coalesce("is_key", no).alias("is_key"),
+        F.when(real, F.col("point_count")).alias("point_count"), F.when(real, F.col("descriptor")).alias("descriptor"),
+        F.when(real, flat).alias("outline"), F.when(real, mask).alias("point_mask"))
+
+
+def group_targets(schedule: DataFrame, groups: DataFrame, elements: DataFrame) -> DataFrame:
+    """The group side of a scheduled frame: ``groups`` (element_id, frame, group, transform, live) with each group's query."""
+    based = lookup(schedule, elements.select("element_id", "group_base"), ["element_id"], ["step"])
+    return based.join(groups, ["element_id", "frame"]).select(
+        "step", "element_id", "frame", "group", (F.col("group_base") + F.col("group")).cast("long").alias("query"), "transform", "live")

@@ -210,6 +210,111 @@ def block_offsets(spark, sf):
     return S.block_offsets(elements(spark, sf))
 
 
+NAMED_SQL = """named AS (SELECT source || '__' || lang AS element_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) - 1 AS frame,
+  count(*) OVER (PARTITION BY source, lang) AS t, doc_id, n_chars FROM documents), pool AS (
+  SELECT element_id, frame, row_number() OVER (PARTITION BY element_id ORDER BY frame) - 1 AS pos FROM named
+  WHERE NOT (t > 2 AND frame % 7 = 3 AND frame > 0 AND frame < t - 1)), el AS (
+  SELECT element_id, count(*) AS n_frames, length(element_id) % 7 + 1 AS n_shapes, length(element_id) % 3 + 1 AS n_groups FROM pool GROUP BY 1)"""
+
+
+def named_frames(spark, sf):
+    """Elements with names for ids: one per source and language, with its documents as frames."""
+    d = load(spark, sf, "documents").selectExpr("concat(source, '__', lang) AS element_id", "doc_id", "n_chars")
+    return positions(d, ["element_id"], ["doc_id"], chunk_id("doc_id"), "frame")
+
+
+def named_pool(spark, sf):
+    """The training pool of the named elements, and their sizes."""
+    pool = S.frame_split(named_frames(spark, sf), ["element_id"]).where("NOT held").select("element_id", "frame")
+    pool = positions(pool, ["element_id"], ["frame"], chunk_id("frame"), "pos")
+    return pool, pool.groupBy("element_id").agg(
+        F.expr("count(1) AS n_frames"), F.expr("CAST(length(element_id) % 7 + 1 AS BIGINT) AS n_shapes"),
+        F.expr("CAST(length(element_id) % 3 + 1 AS BIGINT) AS n_groups"))
+
+
+@query("block_offsets_named", f"""WITH {NAMED_SQL}
+SELECT element_id, n_frames, n_shapes, n_groups, CAST(coalesce(sum(n_shapes) OVER w, 0) AS BIGINT) AS shape_base,
+  CAST(coalesce(sum(n_groups) OVER w, 0) AS BIGINT) AS group_base
+FROM el WINDOW w AS (ORDER BY element_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+def block_offsets_named(spark, sf):
+    return S.block_offsets(named_pool(spark, sf)[1])
+
+
+def schedule_sql(mode: str, steps: str) -> str:
+    """Weighted picks by hashed ticks, then Floyd's draws step by step; ``steps`` selects the column step."""
+    draw = "CAST('0x' || substr(md5('1:{0}:' || step{1}), 1, 13) AS BIGINT)"
+    paired, run = ("n > 2 AND a_n > 0" if mode == "pairs" else "false"), ("n > 2" if mode == "runs" else "false")
+    return f"""{NAMED_SQL}, w AS (
+  SELECT *, CAST(round(sqrt(n_frames * n_shapes) / sum(sqrt(n_frames * n_shapes)) OVER () * 4503599627370496) AS BIGINT) AS ticks FROM el), lanes AS (
+  SELECT element_id, n_frames AS n, CAST(sum(ticks) OVER (ORDER BY element_id) - ticks AS BIGINT) AS lo FROM w WHERE ticks > 0), anchors AS (
+  SELECT element_id, frame, row_number() OVER (PARTITION BY element_id ORDER BY pos) - 1 AS apos
+  FROM (SELECT *, lead(frame) OVER (PARTITION BY element_id ORDER BY pos) AS nxt FROM pool) WHERE nxt = frame + 1), picks AS (
+  SELECT step, CAST('0x' || substr(md5('1:' || step), 1, 13) AS BIGINT) AS tick FROM ({steps})), s AS (
+  SELECT step, element_id, {paired} AS paired, {run} AS run, CASE WHEN {paired} THEN a_n ELSE n END AS m,
+         CASE WHEN {paired} THEN least(3, a_n) ELSE least(6, n) END AS k
+  FROM (SELECT step, element_id, n, coalesce(a_n, 0) AS a_n FROM picks ASOF JOIN lanes ON picks.tick >= lanes.lo
+        LEFT JOIN (SELECT element_id, count(*) AS a_n FROM anchors GROUP BY 1) USING (element_id))), fl AS (
+  SELECT *, m - k AS j, CAST([] AS BIGINT[]) AS acc FROM s WHERE NOT run
+  UNION ALL SELECT step, element_id, paired, run, m, k, j + 1, list_append(acc, CASE WHEN list_contains(acc, h) THEN j ELSE h END)
+  FROM (SELECT *, {draw.format("draw", " || ':' || j")} % (j + 1) AS h FROM fl WHERE j < m)), drawn AS (
+  SELECT step, element_id, paired, unnest(acc) AS pos FROM fl WHERE j = m
+  UNION ALL SELECT step, element_id, paired, {draw.format("start", "")} % (m - k + 1) + i FROM s, range(6) r(i) WHERE run AND i < k), schedule AS (
+  SELECT step, element_id, frame FROM drawn JOIN pool USING (element_id, pos) WHERE NOT paired
+  UNION ALL SELECT step, d.element_id, frame + o FROM drawn d JOIN anchors a ON a.element_id = d.element_id AND apos = pos, range(2) t(o) WHERE paired)"""
+
+
+def _named_schedule(spark, sf, mode, steps):
+    pool, el = named_pool(spark, sf)
+    return S.batch_schedule(steps, S.element_weight(el, "sqrt"), pool, 6, mode, 1), el
+
+
+for _mode in S.SAMPLING_MODES:
+    query(f"batch_schedule_{_mode}", f"WITH RECURSIVE {schedule_sql(_mode, 'SELECT event_id + 1 AS step FROM events')} SELECT step, element_id, frame FROM schedule")(
+        lambda spark, sf, _m=_mode: _named_schedule(spark, sf, _m, load(spark, sf, "events").selectExpr("event_id + 1 AS step"))[0])
+
+
+@query("training_targets", f"""WITH RECURSIVE {schedule_sql("pairs", "SELECT page_id + 1 AS step FROM pages")}, based AS (
+  SELECT *, coalesce(sum(n_shapes) OVER (ORDER BY element_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shape_base FROM el), slots AS (
+  SELECT s.*, n_shapes, shape_base, slot, doc_id, n_chars, slot % 3 + 2 AS pc
+  FROM schedule s JOIN based USING (element_id) JOIN named n USING (element_id, frame), range(8) r(slot))
+SELECT step, element_id, frame, slot, slot AS query, slot < n_shapes AS exists, slot < n_shapes AND (doc_id + slot) % 3 <> 0 AS live,
+  slot < n_shapes AND frame % n_shapes = slot AS is_key, CASE WHEN slot < n_shapes THEN pc END AS point_count,
+  CASE WHEN slot < n_shapes THEN pc || '/4,' || slot END AS descriptor,
+  CASE WHEN slot < n_shapes THEN array_to_string(list_transform(range(4), lambda i: CASE WHEN i < pc THEN (n_chars + i) || ',' || (frame * 10 + slot) ELSE '0,0' END), ',') END AS outline,
+  CASE WHEN slot < n_shapes THEN array_to_string(list_transform(range(4), lambda i: CASE WHEN i < pc THEN 'true' ELSE 'false' END), ',') END AS point_mask
+FROM slots""")
+def training_targets(spark, sf):
+    """Points, masks, descriptors and queries of every scheduled frame, padded to a bank of eight slots and four points."""
+    sched, el = _named_schedule(spark, sf, "pairs", load(spark, sf, "pages").selectExpr("page_id + 1 AS step"))
+    slots = named_frames(spark, sf).join(el.select("element_id", "n_shapes"), "element_id").select(
+        "*", F.explode(F.expr("sequence(0, CAST(n_shapes AS INT) - 1)")).alias("slot"))
+    cells = slots.selectExpr("element_id", "frame", "slot", "(doc_id + slot) % 3 <> 0 AS live", "frame % n_shapes = slot AS is_key")
+    points = slots.select("element_id", "frame", "slot", "n_chars", F.explode(F.expr("sequence(0, slot % 3 + 1)")).alias("point_idx")).selectExpr(
+        "element_id", "frame", "slot", "point_idx", "CAST(n_chars + point_idx AS DOUBLE) AS x", "CAST(frame * 10 + slot AS DOUBLE) AS y")
+    shapes = el.select("element_id", F.explode(F.expr("sequence(0, CAST(n_shapes AS INT) - 1)")).alias("slot")).selectExpr(
+        "element_id", "slot", "slot % 3 + 2 AS point_count", "array((slot % 3 + 2) / 4D, CAST(slot AS DOUBLE)) AS descriptor")
+    rows = S.training_targets(sched, cells, points, shapes, S.block_offsets(el), n_slots=8, width=4)
+    whole = "array_join(transform({0}, v -> CAST(CAST(v AS BIGINT) AS STRING)), ',')"
+    return rows.selectExpr(
+        "step", "element_id", "frame", "slot", "query", "exists", "live", "is_key", "point_count",
+        "concat(CAST(descriptor[0] * 4 AS INT), '/4,', CAST(descriptor[1] AS INT)) AS descriptor",
+        f"{whole.format('outline')} AS outline", "array_join(transform(point_mask, v -> CAST(v AS STRING)), ',') AS point_mask")
+
+
+@query("training_groups", f"""WITH RECURSIVE {schedule_sql("random", "SELECT page_id + 1 AS step FROM pages")}, based AS (
+  SELECT *, coalesce(sum(n_groups) OVER (ORDER BY element_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS group_base FROM el)
+SELECT step, element_id, frame, g AS "group", CAST(group_base + g AS BIGINT) AS query, n_chars AS moved, (doc_id + g) % 2 = 0 AS live
+FROM schedule JOIN based USING (element_id) JOIN named n USING (element_id, frame), range(3) r(g) WHERE g < n_groups""")
+def training_groups(spark, sf):
+    """Transforms of the groups of every scheduled frame, with their queries in the running table of groups."""
+    sched, el = _named_schedule(spark, sf, "random", load(spark, sf, "pages").selectExpr("page_id + 1 AS step"))
+    groups = named_frames(spark, sf).join(el.select("element_id", "n_groups"), "element_id").select(
+        "*", F.explode(F.expr("sequence(0, CAST(n_groups AS INT) - 1)")).alias("group")).selectExpr(
+        "element_id", "frame", "group", "array(1D, 0D, CAST(n_chars AS DOUBLE), 0D, 1D, 0D) AS transform", "(doc_id + group) % 2 = 0 AS live")
+    return S.group_targets(sched, groups, S.block_offsets(el)).selectExpr(
+        "step", "element_id", "frame", "group", "query", "CAST(transform[2] AS BIGINT) AS moved", "live")
+
+
 def _schedule(spark, sf, mode):
     pool = S.frame_split(track(spark, sf).select("user_id", "frame"), ["user_id"]).where("NOT held").selectExpr(
         "user_id AS element_id", "frame")
@@ -219,10 +324,6 @@ def _schedule(spark, sf, mode):
     return S.batch_schedule(steps, S.element_weight(el, "sqrt"), pool, 6, mode, 1), el
 
 
-for _mode in S.SAMPLING_MODES:
-    query(f"batch_schedule_{_mode}")(lambda spark, sf, _m=_mode: _schedule(spark, sf, _m)[0])
-
-
 @query("training_rows")
 def training_rows(spark, sf):
     """Scheduled frames with their real shapes, padded with non-existent slots to the bank size."""
