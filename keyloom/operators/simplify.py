@@ -1,20 +1,19 @@
-"""Fewest-keys track simplification and least-squares key values.
+"""Fewest-keys track simplification.
 
 Input rows are one frame of one track: ``(by, pos, frame, pts ARRAY<DOUBLE>)`` with ``pts`` the
 flattened x, y of every point and ``pos`` a dense 0-based position. ``inv_tol`` (1 / tolerance) is
 an optional per-frame column; without it the tolerance is uniform.
 
-Three regimes, all giving the same answer as one pass over the track:
-
 * up to 64 frames: exact minimax dynamic programme, one bounded group per track;
-* up to ``GROUP_LIMIT`` frames: furthest-reach greedy, one bounded group per track;
-* longer: every chunk computes the greedy's next knot for its own frames, the chunk exits are
-  chained by pointer doubling, and chunks then list the knots on the chain. No group is larger
-  than a chunk plus the look-ahead one chord needs.
+* longer: furthest-reach greedy, which walks a track once (``Walk``). Tracks beyond ``GROUP_LIMIT`` rows are walked
+  chunk by chunk: every round takes the next chunk of each of them, from the state that the last one left, so
+  no task holds more than a chunk and the frames that still confine the current chord. Rounds follow the
+  longest track's number of chunks; the answer does not depend on them.
 """
 
 from __future__ import annotations
 
+import pickle
 import sys
 from collections.abc import Sequence
 
@@ -23,8 +22,9 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.lineage import cut
-from ..functions.ordered import CHUNK, chunk_id, last_known, positions, stencil, with_totals
+from ..functions.lineage import work_dir
+from ..functions.ordered import CHUNK, chunk_id, last_known, with_totals
+from .refit import basis_weights, refit  # noqa: F401  (the other half of rebuilding a track)
 
 # The group functions travel with the job, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -32,7 +32,18 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 DP_MAX_FRAMES = 64
 REACH_PATIENCE = 8
 GROUP_LIMIT = 4096
-LOOK_AHEAD = 256
+CHUNK_BYTES = 32 << 20
+"""A round's share of one track, at most ``CHUNK`` rows."""
+DIRECTIONS = 128
+MARGIN = 1e-10
+MAX_BLOCK = 256
+
+
+def _misses(start: np.ndarray, ends: np.ndarray, between: np.ndarray, u: np.ndarray, scale: np.ndarray | None) -> np.ndarray:
+    """Largest point distance of every (end, row between): u is the row's share of the way to the end."""
+    u = u[:, :, None, None]
+    d = np.sqrt((((1.0 - u) * start + u * ends[:, None] - between[None]) ** 2).sum(-1)).max(-1)
+    return d if scale is None else d * scale[None]
 
 
 def chord_errors(pts: np.ndarray, scale: np.ndarray | None, a: int, lo: int, hi: int) -> np.ndarray:
@@ -40,31 +51,15 @@ def chord_errors(pts: np.ndarray, scale: np.ndarray | None, a: int, lo: int, hi:
     b, t = np.arange(lo, hi), np.arange(a + 1, hi - 1)
     if not len(t):
         return np.zeros(len(b))
-    u = ((t[None, :] - a) / (b[:, None] - a))[:, :, None, None]
-    d = np.sqrt((((1.0 - u) * pts[a] + u * pts[b][:, None] - pts[t][None]) ** 2).sum(-1))
-    if scale is not None:
-        d = d * scale[t][None, :, None]
+    d = _misses(pts[a], pts[b], pts[t], (t[None, :] - a) / (b[:, None] - a), None if scale is None else scale[t])
     d[t[None, :] >= b[:, None]] = 0.0
-    return d.max(axis=(1, 2))
+    return d.max(axis=1)
 
 
 def chord_error(pts: np.ndarray, scale: np.ndarray | None, a: int, b: int) -> float:
     return float(chord_errors(pts, scale, a, b, b + 1)[0])
 
 
-def reach(pts, scale, budget: float, a: int, patience: int = REACH_PATIENCE) -> tuple[int, bool]:
-    """Furthest feasible end from ``a`` before ``patience`` misses in a row, and whether the search ended inside the rows given."""
-    best, misses, lo, block = a + 1, 0, a + 1, patience
-    while lo < len(pts):
-        hi = min(lo + block, len(pts))
-        for b, err in enumerate(chord_errors(pts, scale, a, lo, hi), lo):
-            best, misses = (b, 0) if err <= budget else (best, misses + 1)
-            if misses >= patience:
-                return best, True
-        lo, block = hi, min(2 * block, 32)
-    return best, False
-
-
 def minimax_knots(pts, scale, budget: float) -> list[int]:
     """Fewest knots within budget, then the smallest worst chord, then the earliest frames."""
     t = len(pts)
@@ -84,118 +79,204 @@ def minimax_knots(pts, scale, budget: float) -> list[int]:
     return sorted(knots)
 
 
-def _arrays(pdf: pd.DataFrame):
+class Rows:
+    """Consecutive rows of a track: positions, frames, points (n, P, 2) and tolerance scales (or none)."""
+
+    def __init__(self, pos: np.ndarray, frame: np.ndarray, pts: np.ndarray, scale: np.ndarray | None):
+        self.pos, self.frame, self.pts, self.scale = pos, frame, pts, scale
+
+    def __len__(self) -> int:
+        return len(self.pos)
+
+    def take(self, which) -> Rows:
+        return Rows(self.pos[which], self.frame[which], self.pts[which], None if self.scale is None else self.scale[which])
+
+    def then(self, other: Rows) -> Rows:
+        scale = None if self.scale is None else np.concatenate([self.scale, other.scale])
+        return Rows(np.concatenate([self.pos, other.pos]), np.concatenate([self.frame, other.frame]),
+                    np.concatenate([self.pts, other.pts]), scale)
+
+
+class Walk:
+    """Greedy knots of one track whose rows arrive in order of position.
+
+    From a knot, the next one is the furthest row that a chord may reach before ``patience`` rows in a row may not be reached. A
+    chord may reach a row if every row between lies within tolerance of it. A row between, at distance n from the knot,
+    confines the chord's slope to a disc of radius tolerance / n around its own slope. A disc that contains all that the
+    others leave open, as seen along ``DIRECTIONS`` directions and with a margin far above rounding, can never refuse a chord that
+    they allow, so its row is forgotten. On a still track a few dozen rows are left of any number. What is left is
+    compared by the same expression as all rows would be, so the knots are the same. With a tolerance of zero nothing is forgotten.
+    """
+
+    def __init__(self, budget: float, patience: int = REACH_PATIENCE):
+        self.budget, self.patience = budget, patience
+        self.rows: Rows | None = None      # from the best end so far (or the knot itself) on
+        self.knot: Rows | None = None      # one row
+        self.bounds: Rows | None = None    # rows between that may still refuse a chord
+        self.front, self.misses, self.block, self.checked = 0, 0, patience, 0
+        self.found: list[tuple[int, int]] = []
+
+    def state(self) -> bytes:
+        """What a later task needs to go on."""
+        plain = {k: (v.pos, v.frame, v.pts, v.scale) if isinstance(v, Rows) else v for k, v in vars(self).items()}
+        return pickle.dumps(plain)
+
+    @staticmethod
+    def resumed(state: bytes) -> Walk:
+        walk = Walk(0.0)
+        for k, v in pickle.loads(state).items():
+            setattr(walk, k, Rows(*v) if isinstance(v, tuple) else v)
+        return walk
+
+    def feed(self, rows: Rows) -> None:
+        if not len(rows):
+            return
+        if self.rows is None:
+            self.rows = rows
+            self._begin()
+        else:
+            self.rows = self.rows.then(rows)
+        while self.front + 1 < len(self.rows):
+            self._scan(min(self.front + 1 + self.block, len(self.rows)))
+
+    def finish(self) -> None:
+        """No row follows: what was reached is a knot, up to the last row."""
+        while self.rows is not None and self.rows.pos[0] != self.knot.pos[0]:
+            self._begin()
+            while self.front + 1 < len(self.rows):
+                self._scan(min(self.front + 1 + self.block, len(self.rows)))
+
+    def _begin(self) -> None:
+        """The first remembered row becomes a knot."""
+        self.knot = self.rows.take(slice(0, 1))
+        self.bounds = self.rows.take(slice(0, 0))
+        self.front, self.misses, self.block, self.checked = 0, 0, self.patience, 0
+        self.found.append((int(self.knot.pos[0]), int(self.knot.frame[0])))
+
+    def _scan(self, hi: int) -> None:
+        lo, best = self.front + 1, 0
+        for b, ok in enumerate(self._allowed(lo, hi).tolist(), lo):
+            best, self.misses = (b, 0) if ok else (best, self.misses + 1)
+            if self.misses >= self.patience:
+                self.rows = self.rows.take(slice(best, None))
+                self._begin()
+                return
+        self.bounds = self.bounds.then(self.rows.take(slice(lo, hi)))
+        if len(self.bounds) > 2 * self.checked + 64:
+            self._forget()
+        self.front = hi - 1
+        self.block = min(2 * self.block, max(self.patience, min(MAX_BLOCK, 16384 // self.rows.pts.shape[1])))
+        if best:
+            self.rows = self.rows.take(slice(best, None))
+            self.front -= best
+
+    def _allowed(self, lo: int, hi: int) -> np.ndarray:
+        """Whether a chord from the knot may end at each of the rows lo .. hi - 1."""
+        a, start, ends = self.knot.pos[0], self.knot.pts[0], self.rows.take(slice(lo, hi))
+        far = (ends.pos - a)[:, None]
+        inside = ends.take(slice(0, len(ends) - 1))
+        worst = np.zeros(len(ends))
+        if len(inside):
+            d = _misses(start, ends.pts, inside.pts, (inside.pos - a)[None, :] / far, inside.scale)
+            d[inside.pos[None, :] >= ends.pos[:, None]] = 0.0
+            worst = d.max(axis=1)
+        per = max(1, (1 << 21) // (len(ends) * start.size))
+        for k in range(0, len(self.bounds), per):
+            some = self.bounds.take(slice(k, k + per))
+            d = _misses(start, ends.pts, some.pts, (some.pos - a)[None, :] / far, some.scale)
+            worst = np.maximum(worst, d.max(axis=1))
+        return worst <= self.budget
+
+    def _forget(self) -> None:
+        start, b = self.knot.pts[0], self.bounds
+        n = (b.pos - self.knot.pos[0]).astype(float)
+        with np.errstate(divide="ignore"):
+            radius = (self.budget if b.scale is None else self.budget / b.scale) / n
+        size = np.abs(b.pts).max(axis=(1, 2)) + np.abs(start).max()
+        angle = np.arange(DIRECTIONS) * (2 * np.pi / DIRECTIONS)
+        ways = np.stack([np.cos(angle), np.sin(angle)])
+        least = radius * np.cos(np.pi / DIRECTIONS) - MARGIN * (radius + size / n)
+        keep = np.zeros(len(b), bool)
+        for p in range(0, b.pts.shape[1], 64):
+            along = ((b.pts[:, p:p + 64] - start[p:p + 64]) / n[:, None, None]) @ ways
+            open_to = (along + radius[:, None, None]).min(axis=0)
+            keep |= ((open_to[None] - along).max(axis=2) > least[:, None]).any(axis=1)
+        self.bounds = b.take(keep & np.isfinite(radius))
+        self.checked = len(self.bounds)
+
+
+def _rows_of(pdf: pd.DataFrame) -> Rows:
     pdf = pdf.sort_values("pos")
-    pts = np.stack(pdf["pts"].to_numpy()).astype(float)
-    scale = pdf["inv_tol"].to_numpy(float)
-    return pdf, pts.reshape(len(pdf), -1, 2), (None if np.isnan(scale).any() else scale)
+    pts, scale = np.stack(pdf["pts"].to_numpy()).astype(float), pdf["inv_tol"].to_numpy(float)
+    return Rows(pdf["pos"].to_numpy(np.int64), pdf["frame"].to_numpy(np.int64), pts.reshape(len(pdf), -1, 2),
+                None if np.isnan(scale).any() else scale)
 
 
 def _solve_group(tol: float, keys: list[str], dp_frames: int, patience: int):
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, pts, scale = _arrays(pdf)
-        budget = tol if scale is None else 1.0
-        if len(pdf) <= 2:
-            knots, method = list(range(len(pdf))), "trivial"
-        elif len(pdf) <= dp_frames:
-            knots, method = minimax_knots(pts, scale, budget), "dp"
+        rows = _rows_of(pdf)
+        budget = tol if rows.scale is None else 1.0
+        if 2 < len(rows) <= dp_frames:
+            own = rows.take(minimax_knots(rows.pts, rows.scale, budget))
+            found, method = list(zip(own.pos.tolist(), own.frame.tolist())), "dp"
         else:
-            knots, method = [0], "greedy"
-            while knots[-1] < len(pdf) - 1:
-                knots.append(reach(pts, scale, budget, knots[-1], patience)[0])
-        out = pdf.iloc[knots][[*keys, "pos", "frame"]].copy()
+            walk = Walk(budget, patience)
+            walk.feed(rows)
+            walk.finish()
+            found, method = walk.found, "greedy" if len(rows) > 2 else "trivial"
+        out = pd.DataFrame(found, columns=["pos", "frame"])
+        for k in reversed(keys):
+            out.insert(0, k, pdf[k].iloc[0])
         out["method"] = method
         return out
     return solve
 
 
-def _next_knots(tol: float, keys: list[str], chunk: int, patience: int):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, pts, scale = _arrays(pdf)
-        pos, total = pdf["pos"].to_numpy(), int(pdf["_t"].iloc[0])
-        home = int(pdf["_chunk"].iloc[0])
-        own = int((pos < (home + 1) * chunk).sum())
-        ends_here = pos[-1] == total - 1
-        rows = []
-        for a in range(own):
-            if pos[a] == total - 1:
-                rows.append((pos[a], pos[a], True))
-                continue
-            b, settled = reach(pts, scale, tol if scale is None else 1.0, a, patience)
-            rows.append((pos[a], pos[a] + (b - a), bool(settled or ends_here)))
-        out = pd.DataFrame(rows, columns=["pos", "nxt", "done"])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        out["_chunk"] = home
-        return out[[*keys, "_chunk", "pos", "nxt", "done"]]
-    return solve
-
-
 def _long_knots(rows: DataFrame, by: list[str], tol: float, key_ddl: str, chunk: int, patience: int) -> DataFrame:
-    """Knots of long tracks: chunk-local next-knot maps chained by pointer doubling."""
-    ahead, todo, settled = LOOK_AHEAD, None, None
-    while True:
-        spread = rows.withColumn("_chunk", F.explode(F.sequence(
-            F.greatest(chunk_id(F.col("pos") - ahead, chunk), F.lit(0)), chunk_id("pos", chunk))))
-        if todo is not None:
-            spread = spread.join(todo, [*by, "_chunk"], "left_semi")
-        hops = cut(spread.groupBy(*by, "_chunk").applyInPandas(
-            _next_knots(tol, by, chunk, patience), f"{key_ddl}, _chunk long, pos long, nxt long, done boolean"))
-        state = hops.groupBy(*by, "_chunk").agg(F.bool_and("done").alias("ok"))
-        good = hops.join(state.where("ok"), [*by, "_chunk"], "left_semi").drop("done")
-        settled = good if settled is None else settled.unionByName(good)
-        todo = state.where("NOT ok").select(*by, "_chunk")
-        if todo.isEmpty():
-            break
-        ahead *= 4                              # chords longer than the look-ahead: widen those chunks
-    # Exit of every frame: first knot past its chunk, by following hops inside the chunk.
-    def exits(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos", ascending=False)
-        edge, known, out = (int(pdf["_chunk"].iloc[0]) + 1) * chunk, {}, []
-        for p, n in zip(pdf["pos"], pdf["nxt"]):
-            known[p] = p if n == p else (n if n >= edge else known[n])
-            out.append(known[p])
-        return pdf[by].assign(pos=pdf["pos"], exit=out)
-    jump = cut(settled.groupBy(*by, "_chunk").applyInPandas(exits, f"{key_ddl}, pos long, exit long"))
-    heads = jump.select(*by, F.col("exit").alias("pos")).distinct().unionByName(
-        jump.where("pos = 0").select(*by, "pos")).distinct()
-    jump = cut(jump.join(heads, [*by, "pos"], "left_semi"))
-    on_path = jump.where("pos = 0").select(*by, "pos")
-    size = -1
-    while True:
-        on_path = cut(on_path.unionByName(on_path.join(jump, [*by, "pos"]).select(
-            *by, F.col("exit").alias("pos"))).distinct())
-        now = on_path.count()
-        if now == size:
-            break
-        size = now
-        far = jump.select(*by, F.col("pos").alias("exit"), F.col("exit").alias("_e2"))
-        jump = cut(jump.join(far, [*by, "exit"]).select(*by, "pos", F.col("_e2").alias("exit")))
-    entry = on_path.select(*by, chunk_id("pos", chunk).alias("_chunk"), F.col("pos").alias("_in"))
-
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        hop = dict(zip(pdf["pos"], pdf["nxt"]))
-        at, seen = int(pdf["_in"].iloc[0]), []
-        while at in hop:
-            seen.append(at)
-            if hop[at] == at:
-                break
-            at = hop[at]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(seen) for k in by}, "pos": seen})
-    # A chunk can be entered once per track, but an entry may also be the track's last frame.
-    entry = entry.groupBy(*by, "_chunk").agg(F.min("_in").alias("_in"))
-    return settled.join(entry, [*by, "_chunk"]).groupBy(*by, "_chunk").applyInPandas(
-        follow, f"{key_ddl}, pos long")
+    """``(by, pos, frame)`` of the knots of long tracks; every round walks the next chunk of each."""
+    spark, folder = rows.sparkSession, work_dir(rows.sparkSession)
+    cut = rows.withColumn("_chunk", chunk_id("pos", chunk))
+    cut.write.partitionBy("_chunk").parquet(f"{folder}/rows")
+    written = spark.read.schema(cut.schema).parquet(f"{folder}/rows")
+    types = dict(rows.dtypes)
+
+    def step(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({c: [] for c in [*by, "pos", "frame", "state"]})
+        own = _rows_of(pdf)
+        walk = Walk.resumed(before["state"].iloc[0]) if len(before) else Walk(tol if own.scale is None else 1.0, patience)
+        walk.feed(own)
+        last = own.pos[-1] == pdf["_t"].iloc[0] - 1
+        if last:
+            walk.finish()
+        found, walk.found = walk.found, []
+        out = pd.DataFrame(found, columns=["pos", "frame"]).astype("Int64")
+        out["state"] = None
+        if not last:
+            out.loc[len(out)] = [pd.NA, pd.NA, walk.state()]
+        for k in reversed(by):
+            out.insert(0, k, pdf[k].iloc[0])
+        return out
+
+    ddl = f"{key_ddl}, pos long, frame long, state binary"
+    state = spark.createDataFrame([], ", ".join([*[f"{k} {types[k]}" for k in by], "state binary"]))
+    last = written.agg(F.max("_chunk")).first()[0]
+    for c in range((last if last is not None else -1) + 1):
+        here = written.where(F.col("_chunk") == c).drop("_chunk")
+        here.groupBy(*by).cogroup(state.groupBy(*by)).applyInPandas(step, ddl).write.parquet(f"{folder}/walk/round={c}")
+        state = spark.read.schema(ddl).parquet(f"{folder}/walk/round={c}").where("state IS NOT NULL").select(*by, "state")
+    return spark.read.schema(ddl).parquet(f"{folder}/walk").where("pos IS NOT NULL").select(*by, "pos", "frame") if last is not None else \
+        rows.select(*by, "pos", "frame").limit(0)
 
 
 def simplify(track: DataFrame, by: Sequence[str], tol: float, inv_tol: str | None = None,
-             chunk: int = GROUP_LIMIT, limit: int = GROUP_LIMIT, dp_frames: int = DP_MAX_FRAMES,
+             chunk: int | None = None, limit: int = GROUP_LIMIT, dp_frames: int = DP_MAX_FRAMES,
              patience: int = REACH_PATIENCE) -> DataFrame:
     """``(by, pos, frame, method)`` of the chosen knots, first and last always included.
 
     Tracks of up to ``dp_frames`` frames get the fewest knots by dynamic programming, longer ones by greedy reach, which
-    gives up after ``patience`` infeasible ends in a row. Tracks beyond ``limit`` rows are cut into chunks of ``chunk``
-    rows; the answer does not depend on either.
+    gives up after ``patience`` infeasible ends in a row. Tracks beyond ``limit`` rows are walked in chunks of ``chunk``
+    rows (by default what ``CHUNK_BYTES`` hold); the answer does not depend on either.
     """
     by = list(by)
     types = dict(track.dtypes)
@@ -205,20 +286,24 @@ def simplify(track: DataFrame, by: Sequence[str], tol: float, inv_tol: str | Non
                         "pts", scale.alias("inv_tol"))
     solve = _solve_group(tol, by, dp_frames, patience)
     ddl = f"{key_ddl}, pos long, frame long, method string"
-    # A position at or past the limit is what makes a track long, so this is one pushed filter.
-    if track.where(F.col("pos") >= limit).isEmpty():
+    # A position at or past the limit is what makes a track long.
+    long = rows.where(F.col("pos") >= limit).agg(F.max(F.size("pts")).alias("width")).first()[0]
+    if long is None:
         return rows.groupBy(*by).applyInPandas(solve, ddl)
+    chunk = chunk or max(GROUP_LIMIT, min(CHUNK, CHUNK_BYTES // (8 * max(1, long))))
     rows = with_totals(rows, by, {"_t": ("count", F.lit(1))}, chunk_id("pos"))
     short = rows.where(F.col("_t") <= limit).select(*by, "pos", "frame", "pts", "inv_tol")
-    out = short.groupBy(*by).applyInPandas(solve, ddl)
-    long = rows.where(F.col("_t") > limit)
-    knots = _long_knots(long, by, tol, key_ddl, chunk, patience)
-    return out.unionByName(knots.join(long.select(*by, "pos", "frame"), [*by, "pos"]).select(
-        *by, "pos", "frame", F.lit("greedy").alias("method")))
+    knots = _long_knots(rows.where(F.col("_t") > limit), by, tol, key_ddl, chunk, patience)
+    return short.groupBy(*by).applyInPandas(solve, ddl).unionByName(knots.withColumn("method", F.lit("greedy")))
 
 
-def selection(track: DataFrame, knots: DataFrame, by: Sequence[str], size: int = CHUNK) -> DataFrame:
-    """Per track: knot count, worst point error of the chosen chords, exactness, method."""
+def selection(track: DataFrame, knots: DataFrame, by: Sequence[str], size: int = CHUNK, tol: float | None = None,
+              inv_tol: str | None = None) -> DataFrame:
+    """Per track: knot count, worst point error of the chosen chords, exactness, method.
+
+    The error is a distance in the track's own units also where the tolerance varied. With ``tol`` the range of tolerances in
+    use is reported too: that value, or the frames' own, 1 / ``inv_tol``.
+    """
     by = list(by)
     marked = track.select(*by, "pos", "pts").join(
         knots.select(*by, "pos", F.lit(True).alias("_k")), [*by, "pos"], "left")
@@ -231,75 +316,12 @@ def selection(track: DataFrame, knots: DataFrame, by: Sequence[str], size: int =
            f"i -> {miss}[2 * i] + {miss}[2 * i + 1]))) ELSE 0D END")
     worst = both.groupBy(*by).agg(F.max(F.expr(err)).alias("max_error"))
     count = knots.groupBy(*by).agg(F.expr("count(1) AS n_knots"), F.expr("max(method) AS method"))
-    return count.join(worst, by).withColumn("exact", F.col("method") != "greedy")
-
-
-REFIT_CHUNK = 512
-REFIT_HALO = 64
-
-
-def basis_weights(keys: DataFrame, frames: DataFrame, by: Sequence[str], size: int = CHUNK) -> DataFrame:
-    """``(by, frame, k, w)``: weight of key ``k`` in the interpolated value at ``frame``.
-
-    At most four keys touch a frame, so the basis stays sparse rows.
-    """
-    by = list(by)
-    idx = positions(keys.select(*by, "frame", "interp"), by, ["frame"], chunk_id("frame", size), "kidx")
-    seg = stencil(idx, by, "kidx", {"f1": lambda w: F.lead("frame").over(w),
-                                    "f2": lambda w: F.lead("frame", 2).over(w)}, 2, size)
-    packed = seg.select(*by, "frame", F.struct("kidx", F.col("frame").alias("f0"), "f1", "f2", "interp").alias("s"))
-    asked = frames.select(*by, "frame", F.lit(None).cast(packed.schema["s"].dataType).alias("s"), F.lit(True).alias("_ask"))
-    both = packed.withColumn("_ask", F.lit(False)).unionByName(asked).groupBy(*by, "frame").agg(
-        F.first("s", ignorenulls=True).alias("s"), F.bool_or("_ask").alias("_ask"))
-    hit = last_known(both, by, "frame", {"_s": F.col("s")}, size, keep=[*by, "frame", "_ask"]).where("_ask")
-    hit = hit.select(*by, "frame", "_s.*").withColumn(
-        "_u", F.expr("CASE WHEN f1 > f0 THEN (frame - f0) / CAST(f1 - f0 AS DOUBLE) ELSE 0D END"))
-    e = lambda k, w: f"named_struct('k', CAST({k} AS BIGINT), 'w', CAST({w} AS DOUBLE))"
-    cr = ("array(" + ", ".join((
-        e("CASE WHEN kidx > 0 THEN kidx - 1 ELSE kidx END", "0.5D * (-_u + 2 * _u * _u - _u * _u * _u)"),
-        e("kidx", "0.5D * (2 - 5 * _u * _u + 3 * _u * _u * _u)"),
-        e("kidx + 1", "0.5D * (_u + 4 * _u * _u - 3 * _u * _u * _u)"),
-        e("CASE WHEN f2 IS NOT NULL THEN kidx + 2 ELSE kidx + 1 END", "0.5D * (-_u * _u + _u * _u * _u)"))) + ")")
-    lin = f"array({e('kidx', '1 - _u')}, {e('kidx + 1', '_u')})"
-    one = lambda k: f"array({e(k, '1')})"
-    rows = hit.select(*by, F.col("frame"), F.explode(F.expr(
-        f"CASE WHEN kidx IS NULL THEN {one('0')} WHEN f1 IS NULL OR interp = 'hold' THEN {one('kidx')} "
-        f"WHEN interp = 'catmullrom' THEN {cr} ELSE {lin} END")).alias("_e"))
-    return rows.groupBy(*by, "frame", F.col("_e.k").alias("k")).agg(F.sum("_e.w").alias("w")).where("w <> 0")
-
-
-def refit(raw: DataFrame, keys: DataFrame, by: Sequence[str], value: str = "value",
-          chunk: int = REFIT_CHUNK, halo: int = REFIT_HALO) -> DataFrame:
-    """Least-squares key values ``(by, kidx, frame, value)`` for fixed key frames and modes.
-
-    The normal equations are sums, so they are built by aggregation; keys more than three apart
-    never share a frame, so the system is banded. It is solved in chunks of keys that overlap by
-    ``halo`` on both sides: the influence of a key decays by more than 3x per key, which puts the
-    cut below double precision, and no group grows with the track.
-    """
-    by = list(by)
-    types = dict(keys.dtypes)
-    a = basis_weights(keys, raw, by)
-    pairs = a.select(*by, "frame", F.col("k").alias("i"), F.col("w").alias("wi")).join(
-        a.select(*by, "frame", F.col("k").alias("j"), F.col("w").alias("wj")), [*by, "frame"])
-    gram = pairs.groupBy(*by, "i", "j").agg(F.expr("sum(wi * wj) AS a"))
-    rhs = a.join(raw.select(*by, "frame", F.col(value).alias("_y")), [*by, "frame"]).groupBy(
-        *by, F.col("k").alias("i")).agg(F.expr("sum(w * _y) AS y"))
-    eq = gram.groupBy(*by, "i").agg(F.collect_list(F.struct("j", "a")).alias("row")).join(rhs, [*by, "i"])
-    spread = eq.withColumn("_chunk", F.explode(F.sequence(
-        F.floor((F.col("i") - halo) / chunk), F.floor((F.col("i") + halo) / chunk))))
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = {int(i): n for n, i in enumerate(pdf["i"])}
-        m = np.zeros((len(at), len(at)))
-        for n, row in enumerate(pdf["row"]):
-            for e in row:
-                if e["j"] in at:
-                    m[n, at[e["j"]]] = e["a"]
-        x = np.linalg.lstsq(m, pdf["y"].to_numpy(float), rcond=None)[0]
-        own = (pdf["i"] // chunk == pdf["_chunk"]).to_numpy()
-        return pdf[by].assign(kidx=pdf["i"], value=x)[own]
-    key_ddl = ", ".join(f"{k} {types[k]}" for k in by)
-    solved = spread.groupBy(*by, "_chunk").applyInPandas(solve, f"{key_ddl}, kidx long, value double")
-    where = positions(keys.select(*by, "frame"), by, ["frame"], chunk_id("frame"), "kidx")
-    return where.join(solved, [*by, "kidx"]).select(*by, "kidx", "frame", "value")
+    out = count.join(worst, by).withColumn("exact", F.col("method") != "greedy")
+    if tol is None:
+        return out
+    if inv_tol is None:
+        return out.withColumns({"tol_min": F.lit(float(tol)), "tol_max": F.lit(float(tol))})
+    used = track.groupBy(*by).agg(F.min(1 / F.col(inv_tol)).alias("_lo"), F.max(1 / F.col(inv_tol)).alias("_hi"))
+    # A track of one or two frames is given back as it is, under the tolerance that was asked for.
+    own = lambda c: F.when(F.col("method") == "trivial", F.lit(float(tol))).otherwise(F.col(c))
+    return out.join(used, by).withColumns({"tol_min": own("_lo"), "tol_max": own("_hi")}).drop("_lo", "_hi")

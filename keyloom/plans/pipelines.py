@@ -20,9 +20,40 @@ def curve(spark, sf):
     return track(spark, sf, "value").selectExpr("user_id", "frame AS pos", "frame", "array(value, 0D) AS pts")
 
 
-@query("simplify")
+def knots_sql(tracks: str, budget: str) -> str:
+    """Knots of the tracks b (user_id, pos, frame, v, s): minimax programme up to 64 frames, greedy reach with patience 8 beyond.
+
+    ``s`` scales an error before it is compared with ``budget``; ``tracks`` are the CTEs that end in b.
+    """
+    share = "((m.pos - a.pos)::DOUBLE / (e.pos - a.pos))"
+    return f"""WITH RECURSIVE {tracks}, n AS (SELECT user_id, max(pos) AS last, count(*) AS t FROM b GROUP BY 1), cost AS (
+  SELECT a.user_id, a.pos AS a, e.pos AS e, coalesce(max(abs((1.0::DOUBLE - {share}) * a.v + {share} * e.v - m.v) * m.s), 0) AS cost
+  FROM b a JOIN b e ON e.user_id = a.user_id AND e.pos > a.pos LEFT JOIN b m ON m.user_id = a.user_id AND m.pos > a.pos AND m.pos < e.pos GROUP BY 1, 2, 3), c AS (
+  SELECT cost.* FROM cost JOIN n USING (user_id) WHERE t BETWEEN 3 AND 64
+  UNION ALL SELECT user_id, pos, pos, 0 FROM b JOIN n USING (user_id) WHERE t BETWEEN 3 AND 64), lvl AS (
+  SELECT 0 AS k, c.user_id, e, cost AS w, 0::BIGINT AS came, max(CASE WHEN e = last THEN cost END) OVER (PARTITION BY c.user_id) AS wl
+  FROM c JOIN n USING (user_id) WHERE a = 0
+  UNION ALL SELECT k, user_id, e, m[1], m[2], max(CASE WHEN e = last THEN m[1] END) OVER (PARTITION BY user_id) FROM (
+    SELECT l.k + 1 AS k, l.user_id, c.e, any_value(n.last) AS last, min((greatest(l.w, c.cost), l.e)) AS m
+    FROM lvl l JOIN c ON c.user_id = l.user_id AND c.a = l.e JOIN n ON n.user_id = l.user_id WHERE l.wl > {budget} AND l.k < n.t - 1 GROUP BY 1, 2, 3)), back AS (
+  SELECT l.user_id, l.k, l.came AS via FROM lvl l JOIN n ON n.user_id = l.user_id AND l.e = n.last
+  JOIN (SELECT user_id, max(k) AS k FROM lvl GROUP BY 1) x ON x.user_id = l.user_id AND x.k = l.k WHERE l.k > 0
+  UNION ALL SELECT l.user_id, l.k, l.came FROM back p JOIN lvl l ON l.user_id = p.user_id AND l.k = p.k - 1 AND l.e = p.via WHERE l.k > 0), hop AS (
+  SELECT user_id, a, min(e) AS nxt FROM (SELECT *, lead(e) OVER (PARTITION BY user_id, a ORDER BY e) AS e2 FROM cost WHERE cost <= {budget})
+  WHERE e2 IS NULL OR e2 - e > 8 GROUP BY 1, 2), walk AS (
+  SELECT user_id, 0::BIGINT AS pos FROM n WHERE t > 64
+  UNION ALL SELECT w.user_id, nxt FROM walk w JOIN hop ON hop.user_id = w.user_id AND a = w.pos), knots AS (
+  SELECT user_id, pos, frame, CASE WHEN t <= 2 THEN 'trivial' WHEN t <= 64 THEN 'dp' ELSE 'greedy' END AS method FROM (
+    SELECT user_id, pos FROM b JOIN n USING (user_id) WHERE t <= 2 UNION SELECT user_id, unnest([0, last]) FROM n WHERE t BETWEEN 3 AND 64
+    UNION SELECT user_id, via FROM back UNION SELECT user_id, pos FROM walk) JOIN b USING (user_id, pos) JOIN n USING (user_id))"""
+
+
+CURVE_SQL = f"{TRACK_SQL}, b AS (SELECT user_id, CAST(frame AS BIGINT) AS pos, frame, value AS v, 1.0::DOUBLE AS s FROM track)"
+
+
+@query("simplify", f"{knots_sql(CURVE_SQL, str(TOL))} SELECT user_id, frame, method FROM knots")
 def simplify(spark, sf):
-    """Chosen knots per user; checked knot for knot against brute force in the tests."""
+    """Chosen knots per user."""
     return S.simplify(curve(spark, sf), ["user_id"], TOL).select("user_id", "frame", "method")
 
 
@@ -38,25 +69,50 @@ def simplify_count(spark, sf):
     return knots.where("method = 'dp'").groupBy("user_id").agg(F.expr("count(1) AS n_knots"))
 
 
-@query("simplify_count_all")
+@query("simplify_count_all", f"{knots_sql(CURVE_SQL, str(TOL))} SELECT user_id, method, count(*) AS n_knots FROM knots GROUP BY ALL")
 def simplify_count_all(spark, sf):
-    """Knots of every track, short or long, and how they were found; checked against brute force in the tests."""
+    """Knots of every track, short or long, and how they were found."""
     return S.simplify(curve(spark, sf), ["user_id"], TOL).groupBy("user_id", "method").agg(F.expr("count(1) AS n_knots"))
 
 
-@query("selection")
+@query("selection", f"""{knots_sql(CURVE_SQL, str(TOL))}, seg AS (
+  SELECT k.user_id, k.pos AS p0, lead(k.pos) OVER w AS p1, b.v AS v0, lead(b.v) OVER w AS v1 FROM knots k JOIN b USING (user_id, pos)
+  WINDOW w AS (PARTITION BY k.user_id ORDER BY k.pos)), err AS (
+  SELECT user_id, max(abs(v0 * (1 - (b.pos - p0)::DOUBLE / (p1 - p0)) + v1 * ((b.pos - p0)::DOUBLE / (p1 - p0)) - v)) AS e
+  FROM seg JOIN b USING (user_id) WHERE b.pos > p0 AND b.pos < p1 GROUP BY 1)
+SELECT user_id, count(*) AS n_knots, max(method) AS method, round(coalesce(any_value(e), 0), 6) AS max_error, max(method) <> 'greedy' AS exact,
+  {TOL}::DOUBLE AS tol_min, {TOL}::DOUBLE AS tol_max FROM knots LEFT JOIN err USING (user_id) GROUP BY 1""")
 def selection(spark, sf):
     t = curve(spark, sf)
-    return rounded(S.selection(t, S.simplify(t, ["user_id"], TOL), ["user_id"]))
+    return rounded(S.selection(t, S.simplify(t, ["user_id"], TOL), ["user_id"], tol=TOL))
 
 
-@query("simplify_biased")
-def simplify_biased(spark, sf):
-    """Local tolerance: tighter where a key is likely, looser elsewhere."""
+BIASED_SQL = f"""{TRACK_SQL}, local AS (
+  SELECT user_id, frame, value, CASE WHEN event_type = 'purchase' THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END AS p FROM track), b AS (
+  SELECT user_id, CAST(frame AS BIGINT) AS pos, frame, value AS v, 1 / ({TOL}::DOUBLE * least(greatest(
+    1.0::DOUBLE - 0.5::DOUBLE * p + 0.8::DOUBLE * (1.0::DOUBLE - p), 0.2::DOUBLE), 4.0::DOUBLE)) AS s FROM local)"""
+
+
+def _biased(spark, sf):
     from ..operators.tracks import local_tol
     t = track(spark, sf, "value", "event_type").withColumn("p", F.expr("CASE WHEN event_type = 'purchase' THEN 0.9D ELSE 0.1D END"))
-    t = local_tol(t, TOL, 0.5, 0.8).selectExpr("user_id", "frame AS pos", "frame", "array(value, 0D) AS pts", "1 / tol AS inv_tol")
-    return S.simplify(t, ["user_id"], TOL, "inv_tol").select("user_id", "frame", "method")
+    return local_tol(t, TOL, 0.5, 0.8).selectExpr("user_id", "frame AS pos", "frame", "array(value, 0D) AS pts", "1 / tol AS inv_tol")
+
+
+@query("simplify_biased", f"{knots_sql(BIASED_SQL, '1.0::DOUBLE')} SELECT user_id, frame, method FROM knots")
+def simplify_biased(spark, sf):
+    """Local tolerance: tighter where a key is likely, looser elsewhere."""
+    return S.simplify(_biased(spark, sf), ["user_id"], TOL, "inv_tol").select("user_id", "frame", "method")
+
+
+@query("selection_biased", f"""{knots_sql(BIASED_SQL, '1.0::DOUBLE')}
+SELECT user_id, count(DISTINCT knots.pos) AS n_knots, max(method) AS method, CASE WHEN max(method) = 'trivial' THEN {TOL}::DOUBLE ELSE round(min(1 / s), 6) END AS tol_min,
+  CASE WHEN max(method) = 'trivial' THEN {TOL}::DOUBLE ELSE round(max(1 / s), 6) END AS tol_max FROM knots JOIN b USING (user_id) GROUP BY 1""")
+def selection_biased(spark, sf):
+    """The range of tolerances that a biased choice was made under."""
+    t = _biased(spark, sf)
+    out = S.selection(t, S.simplify(t, ["user_id"], TOL, "inv_tol"), ["user_id"], tol=TOL, inv_tol="inv_tol")
+    return rounded(out.select("user_id", "n_knots", "method", "tol_min", "tol_max"))
 
 
 def _keys(t):
@@ -64,13 +120,37 @@ def _keys(t):
         "user_id", "frame", "CASE event_id % 2 WHEN 0 THEN 'linear' ELSE 'hold' END AS interp")
 
 
-@query("refit")
+REFIT_SQL = f"""WITH RECURSIVE {TRACK_SQL}, k AS (
+  SELECT user_id, frame, CASE event_id % 2 WHEN 0 THEN 'linear' ELSE 'hold' END AS interp,
+         row_number() OVER w - 1 AS i, lead(frame) OVER w AS f1 FROM track WHERE event_type = 'purchase' WINDOW w AS (PARTITION BY user_id ORDER BY frame)), part AS (
+  SELECT t.user_id, t.value AS y, coalesce(k.i, 0) AS i, CASE WHEN k.i IS NULL OR f1 IS NULL OR interp = 'hold' THEN 0
+         ELSE (t.frame - k.frame)::DOUBLE / (f1 - k.frame) END AS u FROM track t ASOF LEFT JOIN k ON k.user_id = t.user_id AND t.frame >= k.frame), eq AS (
+  SELECT user_id, i, sum(d) AS d, sum(e) AS e, sum(y) AS y FROM (
+    SELECT user_id, i, (1 - u) * (1 - u) AS d, (1 - u) * u AS e, (1 - u) * y AS y FROM part UNION ALL SELECT user_id, i + 1, u * u, 0, u * y FROM part WHERE u > 0)
+  WHERE user_id IN (SELECT user_id FROM k) GROUP BY 1, 2), fwd AS (
+  SELECT user_id, i, d, e, y FROM eq WHERE i = 0
+  UNION ALL SELECT q.user_id, q.i, q.d - f.e * f.e / f.d, q.e, q.y - f.e * f.y / f.d FROM fwd f JOIN eq q ON q.user_id = f.user_id AND q.i = f.i + 1), bwd AS (
+  SELECT f.user_id, f.i, y / d AS x FROM fwd f JOIN (SELECT user_id, max(i) AS i FROM fwd GROUP BY 1) l USING (user_id, i)
+  UNION ALL SELECT f.user_id, f.i, (f.y - f.e * b.x) / f.d FROM bwd b JOIN fwd f ON f.user_id = b.user_id AND f.i = b.i - 1)"""
+
+
+@query("refit", f"{REFIT_SQL} SELECT k.user_id, k.i AS kidx, k.frame, round(x, 6) AS value FROM bwd JOIN k USING (user_id, i)")
 def refit(spark, sf):
-    """Least-squares key values; checked against a dense solve in the tests."""
+    """Least-squares key values of mixed linear and hold keys."""
     t = track(spark, sf, "value", "event_type")
     return rounded(S.refit(t.select("user_id", "frame", "value"), _keys(t), ["user_id"]))
 
 
+@query("refit_residual", f"""WITH {TRACK_SQL} SELECT user_id, count(*) AS n_keys, 0.0::DOUBLE AS residual FROM track WHERE event_type = 'purchase' GROUP BY 1""")
+def refit_residual(spark, sf):
+    """Catmull-Rom, linear and hold keys: a least-squares solution leaves the normal equations without residual."""
+    from ..operators.refit import residual
+    t = track(spark, sf, "value", "event_type")
+    keys = t.where("event_type = 'purchase'").selectExpr("user_id", "frame", "element_at(array('catmullrom', 'linear', 'catmullrom', 'hold'), 1 + CAST(event_id % 4 AS INT)) AS interp")
+    raw = t.select("user_id", "frame", "value")
+    return rounded(residual(raw, keys, ["user_id"], S.refit(raw, keys, ["user_id"])))
+
+
 @query("refit_hold", f"""WITH {TRACK_SQL}, k AS (
   SELECT user_id, frame, row_number() OVER (PARTITION BY user_id ORDER BY frame) - 1 AS kidx FROM track WHERE event_type = 'purchase'), a AS (
   SELECT t.user_id, coalesce(k.kidx, 0) AS kidx, t.value FROM track t ASOF LEFT JOIN k ON k.user_id = t.user_id AND t.frame >= k.frame)
@@ -82,8 +162,18 @@ def refit_hold(spark, sf):
     return rounded(S.refit(t.select("user_id", "frame", "value"), keys, ["user_id"]))
 
 
-@query("rebuild")
+REBUILT_SQL = f"""{TRACK_SQL}, lv AS (
+  SELECT user_id, frame, value, row_number() OVER (PARTITION BY user_id ORDER BY frame) - 1 AS pos, count(*) OVER (PARTITION BY user_id) AS t
+  FROM track WHERE event_type <> 'error'), fit AS (SELECT *, CASE WHEN t < 3 THEN 1 ELSE least(5, CASE WHEN t % 2 = 1 THEN t ELSE t - 1 END) END AS w FROM lv), b AS (
+  SELECT f.user_id, f.pos, any_value(f.frame) AS frame, CASE WHEN any_value(f.w) <= 1 THEN any_value(f.value) ELSE sum(g.value) / any_value(f.w) END AS v, 1.0::DOUBLE AS s
+  FROM fit f, range(-2, 3) d(d), fit g WHERE abs(d) <= f.w // 2 AND g.user_id = f.user_id AND g.pos = least(greatest(f.pos + d, 0), f.t - 1) GROUP BY f.user_id, f.pos)"""
+
+
+@query("rebuild", f"""{knots_sql(REBUILT_SQL, str(TOL))}
+SELECT k.user_id, k.frame, CASE WHEN t.event_type = 'purchase' AND t.event_id % 2 = 1 THEN 'hold' ELSE 'linear' END AS interp, round(b.v, 6) AS x, 0.0::DOUBLE AS y
+FROM knots k JOIN b USING (user_id, pos) JOIN track t ON t.user_id = k.user_id AND t.frame = k.frame""")
 def rebuild(spark, sf):
+    """Live frames smoothed, thinned to knots and keyed with the artist's interpolation."""
     t = track(spark, sf, "value", "event_type").withColumn("live", F.expr("event_type <> 'error'"))
     pts = t.where("live").selectExpr("user_id", "frame", "value AS x", "0D AS y")
     return rounded(P.rebuild(pts, _keys(t), ["user_id"], TOL, 5))

@@ -103,12 +103,7 @@ def test_long_track_path_equals_single_group(spark):
     flat = np.concatenate([np.zeros((150, 1, 2)), walk[:100], np.repeat(walk[99:100], 80, axis=0)])
     df = tracks_df(spark, {"w": walk, "f": flat})
     whole = chosen(S.simplify(df, ["u"], 1.5))
-    old, S.LOOK_AHEAD = S.LOOK_AHEAD, 16
-    try:
-        pieces = chosen(S.simplify(df, ["u"], 1.5, chunk=32, limit=64))
-    finally:
-        S.LOOK_AHEAD = old
-    assert pieces == whole
+    assert chosen(S.simplify(df, ["u"], 1.5, chunk=32, limit=64)) == whole
     sel = {r["u"]: r for r in S.selection(df, S.simplify(df, ["u"], 1.5), ["u"], size=64).collect()}
     for n, t in (("w", walk), ("f", flat)):
         ks = whole[n]
@@ -135,7 +130,7 @@ def test_refit_chunks_agree(spark):
     raw = spark.createDataFrame([("t", i, float(v)) for i, v in enumerate(rng.normal(size=600))], "u string, frame int, value double")
     keys = spark.createDataFrame([("t", f, "linear") for f in range(0, 600, 4)], "u string, frame int, interp string")
     one = [r["value"] for r in S.refit(raw, keys, ["u"]).orderBy("kidx").collect()]
-    many = [r["value"] for r in S.refit(raw, keys, ["u"], chunk=20, halo=40).orderBy("kidx").collect()]
+    many = [r["value"] for r in S.refit(raw, keys, ["u"], chunk=20).orderBy("kidx").collect()]
     assert np.allclose(one, many, atol=1e-9)
 
 
