@@ -132,7 +132,12 @@ def fill_coverage(polylines: DataFrame, by: Sequence[str], width: int, height: i
     span = span.where("_i % 2 = 1 AND cx2 IS NOT NULL").select(
         *by, "r", F.expr(f"greatest(CAST(ceil(cx * {ss} - 0.5) AS BIGINT), 0L) AS s0"),
         F.expr(f"least(CAST(ceil(cx2 * {ss} - 0.5) AS BIGINT) - 1, {width * ss - 1}L) AS s1")).where("s1 >= s0")
-    px = span.select(*by, F.expr(f"r div {ss} AS y"), "s0", "s1", F.explode(F.expr(
+    return _span_pixels(span, by, ss)
+
+
+def _span_pixels(spans: DataFrame, by: Sequence[str], ss: int) -> DataFrame:
+    """Disjoint spans of sub-pixels ``(by, r, s0, s1)`` to coverage per pixel."""
+    px = spans.select(*by, F.expr(f"r div {ss} AS y"), "s0", "s1", F.explode(F.expr(
         f"sequence(s0 div {ss}, s1 div {ss})")).alias("x"))
     return px.groupBy(*by, "y", "x").agg(F.expr(
         f"sum(least(s1, x * {ss} + {ss - 1}) - greatest(s0, x * {ss}) + 1) / {float(ss * ss)}D AS cov"))
@@ -140,23 +145,49 @@ def fill_coverage(polylines: DataFrame, by: Sequence[str], width: int, height: i
 
 def stroke_coverage(polylines: DataFrame, by: Sequence[str], width: int, height: int, band: float,
                     ss: int = 2) -> DataFrame:
-    """Open polylines drawn as a band at least one pixel wide, same sub-pixel rule."""
+    """Open polylines drawn as a band at least one pixel wide, same sub-pixel rule.
+
+    A segment's band meets a scanline in one interval, which is solved for: the two round ends and the straight part between
+    them each give one, and together they have no gap. The sub-pixel centres at its ends are then tested by the distance
+    itself. Spans of a scanline are cut to what earlier ones leave over, so a sub-pixel is counted once and rows follow
+    the covered sub-pixels, not the segments' bounding boxes.
+    """
     half = max(float(band), 1.0) / 2
     seg = stencil(polylines.select(*by, "idx", "x", "y"), by, "idx", {
         "x2": lambda w: F.lead("x").over(w), "y2": lambda w: F.lead("y").over(w)}, 1).where("x2 IS NOT NULL")
-    def box(c, limit):
-        return (f"greatest(CAST(ceil((least({c}, {c}2) - {half}) * {ss} - 0.5) AS BIGINT), 0L)",
-                f"least(CAST(floor((greatest({c}, {c}2) + {half}) * {ss} - 0.5) AS BIGINT), {limit * ss - 1}L)")
-    (ylo, yhi), (xlo, xhi) = box("y", height), box("x", width)
-    rows = seg.where(f"{yhi} >= {ylo} AND {xhi} >= {xlo}").select("*", F.explode(F.expr(f"sequence({ylo}, {yhi})")).alias("sy"))
-    rows = rows.select("*", F.explode(F.expr(f"sequence({xlo}, {xhi})")).alias("sx"))
-    px, py = f"((sx + 0.5D) / {ss})", f"((sy + 0.5D) / {ss})"
-    len2 = "greatest(power(x2 - x, 2) + power(y2 - y, 2), 1e-18)"
-    t = f"least(greatest((({px} - x) * (x2 - x) + ({py} - y) * (y2 - y)) / {len2}, 0D), 1D)"
-    near = rows.where(F.expr(f"power({px} - x - {t} * (x2 - x), 2) + power({py} - y - {t} * (y2 - y), 2) <= {half * half}D"))
-    subs = near.select(*by, "sy", "sx").distinct()
-    return subs.groupBy(*by, F.expr(f"sy div {ss} AS y"), F.expr(f"sx div {ss} AS x")).agg(
-        F.expr(f"count(1) / {float(ss * ss)}D AS cov"))
+    ylo = f"greatest(CAST(ceil((least(y, y2) - {half}D) * {ss} - 0.5) AS BIGINT), 0L)"
+    yhi = f"least(CAST(floor((greatest(y, y2) + {half}D) * {ss} - 0.5) AS BIGINT), {height * ss - 1}L)"
+    rows = seg.where(f"{yhi} >= {ylo}").select(*by, "x", "y", "x2", "y2", F.expr("x2 - x AS dx"), F.expr("y2 - y AS dy"),
+                                              F.explode(F.expr(f"sequence({ylo}, {yhi})")).alias("r"))
+    rows = rows.withColumn("py", F.expr(f"(r + 0.5D) / {ss}")).withColumn("l2", F.expr("dx * dx + dy * dy"))
+
+    def end(x: str, y: str) -> tuple[str, str]:
+        left = f"{half * half}D - (py - {y}) * (py - {y})"
+        return tuple(f"CASE WHEN {left} >= 0 THEN {x} {sign} sqrt({left}) END" for sign in "-+")
+    never, always = "CAST(NULL AS DOUBLE)", "double('Infinity')"
+    strip = [f"CASE WHEN dy <> 0 THEN x + (py - y) * dx / dy {sign} {half}D * sqrt(l2) / abs(dy) "
+             f"WHEN abs(py - y) <= {half}D THEN {sign}{always} ELSE {never} END" for sign in "-+"]
+    ahead = ["(x - (py - y) * dy / dx)", "(x + (l2 - (py - y) * dy) / dx)"]
+    slab = [f"CASE WHEN dx <> 0 THEN {pick}({ahead[0]}, {ahead[1]}) WHEN (py - y) * dy BETWEEN 0 AND l2 THEN {sign}{always} ELSE {never} END"
+            for sign, pick in (("-", "least"), ("+", "greatest"))]
+    rows = rows.select("*", *[F.expr(e).alias(n) for n, e in zip(
+        ("a0", "a1", "b0", "b1", "s0", "s1", "p0", "p1"), (*end("x", "y"), *end("x2", "y2"), *strip, *slab))])
+    body = "s0 IS NOT NULL AND p0 IS NOT NULL AND l2 > 0 AND greatest(s0, p0) <= least(s1, p1)"
+    rows = rows.select(*by, "r", "x", "y", "dx", "dy", "py", F.expr(f"least(a0, b0, CASE WHEN {body} THEN greatest(s0, p0) END) AS lo"),
+                       F.expr(f"greatest(a1, b1, CASE WHEN {body} THEN least(s1, p1) END) AS hi")).where("lo IS NOT NULL")
+
+    def inside(s: str) -> str:
+        px = f"(({s} + 0.5D) / {ss})"
+        t = f"least(greatest((({px} - x) * dx + (py - y) * dy) / greatest(power(dx, 2) + power(dy, 2), 1e-18), 0D), 1D)"
+        return f"power({px} - x - {t} * dx, 2) + power(py - y - {t} * dy, 2) <= {half * half}D"
+    rows = rows.select("*", F.expr(f"CAST(ceil(lo * {ss} - 0.5) AS BIGINT) AS e0"), F.expr(f"CAST(floor(hi * {ss} - 0.5) AS BIGINT) AS e1"))
+    rows = rows.select(
+        *by, "r", F.expr(f"greatest(CASE WHEN {inside('(e0 - 1)')} THEN e0 - 1 WHEN {inside('e0')} THEN e0 ELSE e0 + 1 END, 0L) AS s0"),
+        F.expr(f"least(CASE WHEN {inside('(e1 + 1)')} THEN e1 + 1 WHEN {inside('e1')} THEN e1 ELSE e1 - 1 END, {width * ss - 1}L) AS s1")
+    ).where("s1 >= s0")
+    before = Window.partitionBy(*by, "r").orderBy("s0", "s1").rowsBetween(Window.unboundedPreceding, -1)
+    fresh = rows.withColumn("s0", F.greatest(F.col("s0"), F.coalesce(F.max("s1").over(before) + 1, F.col("s0")))).where("s1 >= s0")
+    return _span_pixels(fresh, by, ss)
 
 
 def with_opacity(pixels: DataFrame, shapes: DataFrame, by: Sequence[str], width: int, height: int) -> DataFrame:

@@ -108,6 +108,12 @@ def _fit(window: int) -> str:
     return f"greatest(1, {w} - CASE WHEN {w} % 2 = 0 THEN 1 ELSE 0 END)"
 
 
+def savgol_fit(window: int, order: int) -> np.ndarray:
+    """Rows of weights: coefficient k of the least-squares polynomial over one window, around its centre."""
+    half = window // 2
+    return np.linalg.pinv(np.vander(np.arange(-half, half + 1, dtype=float), min(order, window - 1) + 1, increasing=True))
+
+
 def savgol_weights(window: int, order: int) -> list[tuple[int, int, float]]:
     """``(out_offset, in_offset, weight)``: least-squares polynomial fit over one window."""
     half = window // 2
@@ -130,39 +136,59 @@ def smooth(df: DataFrame, by: Sequence[str], values: Sequence[str], window: int,
         raise ValueError(f"unknown smoothing kind {kind!r}")
     if window <= 1:
         return df
-    reach = window
     sized = with_totals(df, by, {"_t": ("count", F.lit(1))}, chunk_id(position, size))
     sized = sized.withColumn("_w", F.expr(f"CASE WHEN _t < 3 THEN 1 ELSE {_fit(window)} END"))
-    near = {f"_n_{v}": (lambda w, v=v: F.collect_list(F.struct(F.col(position).alias("p"), F.col(v).alias("v")))
-                        .over(w.rangeBetween(-reach, reach))) for v in values}
-    wide = stencil(sized, by, position, near, reach, size)
-    outs = []
-    for v in values:
-        if kind == "boxcar":
-            # Offsets past an end read the end value: clamp the index instead of padding.
-            body = (f"aggregate(sequence(-(_w div 2), _w div 2), 0D, (s, d) -> s + element_at(_n_{v}, CAST("
-                    f"least(greatest({position} + d, 0), _t - 1) - _n_{v}[0].p + 1 AS INT)).v) / _w")
-        else:
-            body = _savgol_sql(v, window, order, position)
-        outs.append(F.expr(f"CASE WHEN _w <= 1 THEN {v} ELSE {body} END").alias(v))
-    keep = [c for c in df.columns if c not in values]
-    return wide.select(*keep, *outs)
-
-
-def _savgol_sql(v: str, window: int, order: int, position: str) -> str:
-    """Weights are constants per (fitted width, offset of the output in its window)."""
-    half = "(_w div 2)"
-    centre = f"least(greatest({position}, {half}), _t - 1 - {half})"
-    table = []
-    for w in range(3, window + 1, 2):
-        rows = {}
-        for o, i, c in savgol_weights(w, order):
-            rows.setdefault(o, []).append(c)
-        inner = ", ".join(f"{o}, array({', '.join(repr(c) + 'D' for c in cs)})" for o, cs in rows.items())
-        table.append(f"{w}, map({inner})")
-    kernel = f"map({', '.join(table)})[_w][CAST({position} - {centre} AS INT)]"
-    taken = f"slice(_n_{v}, CAST({centre} - {half} - _n_{v}[0].p + 1 AS INT), CAST(_w AS INT))"
-    return f"aggregate(zip_with({kernel}, {taken}, (k, e) -> k * e.v), 0D, (s, x) -> s + x)"
+    stages = _boxcar_stages(values, window, position) if kind == "boxcar" else _savgol_stages(values, window, order, position)
+    wide = stencil(sized, by, position, stages, window, size)
+    outs = [F.when(F.col("_w") <= 1, F.col(v)).otherwise(F.col(f"_o_{v}")).alias(v) for v in values]
+    return wide.select(*[c for c in df.columns if c not in values], *outs)
+
+
+def _widths(window: int) -> list[int]:
+    """The widths in use: a track shorter than the window has its own, the largest odd one."""
+    return list(range(window if window % 2 else window - 1, 1, -2))
+
+
+def _boxcar_stages(values: Sequence[str], window: int, position: str) -> list[dict]:
+    """The rows in reach, summed by a frame of constant width; what lies past an end counts as the end value."""
+    def mean(w, v: str):
+        out = F.lit(None).cast("double")
+        for width in _widths(window):
+            half = width // 2
+            near = w.rangeBetween(-half, half)
+            before = F.greatest(F.lit(half) - F.col(position), F.lit(0)) * F.first(v).over(near)
+            after = F.greatest(F.col(position) + half - (F.col("_t") - 1), F.lit(0)) * F.last(v).over(near)
+            out = F.when(F.col("_w") == width, (F.sum(v).over(near) + before + after) / width).otherwise(out)
+        return out
+    return [{f"_o_{v}": lambda w, v=v: mean(w, v) for v in values}]
+
+
+def _savgol_stages(values: Sequence[str], window: int, order: int, position: str) -> list[dict]:
+    """Polynomial coefficients of each row's own window as constant-weight sums of its neighbours; rows near an end
+    read those of the first or last full window."""
+    top, terms = _widths(window)[0] // 2, min(order, window - 1) + 1
+    near = {f"_v_{v}_{d}": (lambda w, v=v, d=d: F.lag(v, -d).over(w)) for v in values for d in range(-top, top + 1)}
+
+    def coefficient(v: str, k: int):
+        out = F.lit(None).cast("double")
+        for width in _widths(window):
+            fit = savgol_fit(width, order)
+            if k < len(fit):
+                own = sum((F.lit(float(c)) * F.col(f"_v_{v}_{d}") for d, c in zip(range(-(width // 2), width // 2 + 1), fit[k])), F.lit(0.0))
+                out = F.when(F.col("_w") == width, own).otherwise(out)
+        return out
+    own = {f"_c_{v}_{k}": (lambda w, v=v, k=k: coefficient(v, k)) for v in values for k in range(terms)}
+    half = F.floor(F.col("_w") / 2)
+    first, last = F.col(position) == half, F.col(position) == F.col("_t") - 1 - half
+    ends = {f"_{side}_{v}_{k}": (lambda w, v=v, k=k, here=here, frame=frame: F.max(F.when(here, F.col(f"_c_{v}_{k}"))).over(w.rangeBetween(*frame)))
+            for side, here, frame in (("f", first, (0, top)), ("l", last, (-top, 0))) for v in values for k in range(terms)}
+
+    def value(v: str):
+        def at(side: str, away):
+            return sum((F.coalesce(F.col(f"_{side}_{v}_{k}"), F.lit(0.0)) * F.pow(away.cast("double"), F.lit(k)) for k in range(1, terms)), F.col(f"_{side}_{v}_0"))
+        return (F.when(F.col(position) < half, at("f", F.col(position) - half))
+                .when(F.col(position) > F.col("_t") - 1 - half, at("l", F.col(position) - (F.col("_t") - 1 - half))).otherwise(F.col(f"_c_{v}_0")))
+    return [near, own, ends, {f"_o_{v}": lambda w, v=v: value(v) for v in values}]
 
 
 def context_window(df: DataFrame, by: Sequence[str], value: str, n: int, order: str = "frame",
