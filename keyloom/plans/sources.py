@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.expr import element_name
+from ..functions.lineage import work_dir
 from ..sources import ir, listing as L, projects, tree
+from ..sources.files import put_files
 from .registry import query
 from .tables import load
 
@@ -38,6 +40,27 @@ def pick_candidate(spark, sf):
     return L.pick_candidate(shots, c)
 
 
+def delivery(spark, sf):
+    """Documents written as the files of a delivery: a project a document, or a frame of its source's mattes. The root."""
+    root = work_dir(spark)
+    rows = load(spark, sf, "documents").selectExpr(
+        "concat(source, CASE WHEN doc_id % 5 = 0 THEN concat('/splines/silhouette/project.', doc_id, '.sfx') WHEN doc_id % 5 < 4 "
+        "THEN concat('/mattes/', lang, '/m', doc_id % 3, '/x_V01.', 1000 + doc_id, '.exr') ELSE concat('/notes/', lang, '/', doc_id, '.txt') END) AS relpath",
+        "CAST(text AS BINARY) AS content")
+    put_files(rows, root).agg(F.sum("size")).collect()
+    return root
+
+
+@query("list_delivery", """SELECT source AS shot, CASE WHEN doc_id % 5 = 0 THEN 'project.' || doc_id || '.sfx' WHEN doc_id % 5 < 4 THEN 'x_V01.' || (1000 + doc_id) || '.exr'
+    ELSE doc_id || '.txt' END AS name, strlen(coalesce(text, '')) AS size, CASE WHEN doc_id % 5 = 0 THEN 'project' WHEN doc_id % 5 < 4 THEN 'matte' ELSE 'other' END AS kind,
+  CASE WHEN doc_id % 5 BETWEEN 1 AND 3 THEN lang ELSE '' END AS matte_kind, CASE WHEN doc_id % 5 BETWEEN 1 AND 3 THEN 'm' || doc_id % 3 ELSE '' END AS matte,
+  CASE WHEN doc_id % 5 BETWEEN 1 AND 3 THEN 1000 + doc_id END AS frame FROM documents""")
+def list_delivery(spark, sf):
+    """Every file of a delivery, found by tasks that walk its folders, with what its name says."""
+    files = L.classify_files(L.list_files(spark, delivery(spark, sf)))
+    return files.select("shot", "name", "size", "kind", "matte_kind", "matte", "frame")
+
+
 @query("classify_files", """WITH f AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'autosave.' || page_id || '.sfx' WHEN 1 THEN 'project.sfx'
   WHEN 2 THEN 'x_V01.' || (1000 + page_id) || '.exr' WHEN 3 THEN 'x_V01_' || (1000 + page_id) || '.exr' ELSE regexp_extract(url, '([^/]*)$', 1) END AS name FROM pages)
 SELECT page_id, name, regexp_matches(name, '^(project|backup|autosave)(\\.\\d+)?\\.sfx$') AS is_autosave, name = 'project.sfx' AS is_preferred,
@@ -139,6 +162,94 @@ def nest_flatten(spark, sf):
     return ir.flatten_ir(nested)["nodes"].select("doc_id", "node_id", "parent_id", "ordinal", "kind", "label")
 
 
+SCENE_SQL = """turns AS (SELECT conv_id AS doc_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS o, turn, length(text) AS len, role, text
+  FROM conversations), kids AS (SELECT doc_id, '0/' || o AS node_id, o, turn, len, text, role = 'assistant' AS is_layer FROM turns)"""
+
+
+def scene(spark, sf):
+    """Conversations as typed documents: assistants' turns are layers with transforms, the others' are shapes with paths."""
+    from ..functions.ordered import positions
+    c = positions(load(spark, sf, "conversations"), ["conv_id"], ["turn", "role", "text"], F.floor(F.col("turn") / 4096), "o")
+    kids = c.selectExpr("conv_id AS doc_id", "concat('0/', o) AS node_id", "CAST(o AS INT) AS o", "CAST(turn AS INT) AS turn", "length(text) AS len",
+                        "text", "role = 'assistant' AS is_layer")
+    docs = kids.select("doc_id").distinct()
+    nodes = docs.selectExpr("doc_id", "'0' AS node_id", "CAST(NULL AS STRING) AS parent_id", "0 AS ordinal", "0 AS depth", "'layer' AS kind", "'root' AS label",
+                            "'r' AS uuid", "'Add' AS mode", "false AS invert", "CAST(NULL AS STRING) AS shape_type", "CAST(NULL AS DOUBLE) AS stroke_width")
+    nodes = nodes.unionByName(kids.selectExpr(
+        "doc_id", "node_id", "'0' AS parent_id", "o AS ordinal", "1 AS depth", "CASE WHEN is_layer THEN 'layer' ELSE 'shape' END AS kind", "text AS label",
+        "concat('u', turn) AS uuid", "CASE WHEN o % 3 = 0 THEN 'Subtract' ELSE 'Add' END AS mode", "o % 4 = 1 AS invert",
+        "CASE WHEN NOT is_layer THEN IF(len % 2 = 0, 'Xspline', 'Bspline') END AS shape_type", "CASE WHEN NOT is_layer THEN turn / 4D END AS stroke_width"))
+
+    def key(track, ordinal, frame, interp, constant, value, closed="CAST(NULL AS BOOLEAN)", n="CAST(NULL AS INT)"):
+        return (f"struct('{track}' AS track, {ordinal} AS ordinal, CAST({frame} AS INT) AS frame, '{interp}' AS interp, {constant} AS constant, "
+                f"{closed} AS closed, {n} AS n_points, transform(array({value}), x -> CAST(x AS DOUBLE)) AS value)")
+    grid = lambda f: ", ".join(f"{i} + {f}" for i in range(16))
+    layer = [key("matrix", 0, "turn", "hold", "false", grid("o")), key("matrix", 1, "turn + 2", "linear", "false", grid("len")),
+             key("trs.position", 0, 0, "hold", "true", "turn, o"), key("trs.rotate", 0, "turn", "linear", "false", "len"),
+             key("trs.rotate", 1, "turn + 7", "catmullrom", "false", "len / 4D"), key("opacity", 0, 0, "hold", "true", "len % 101")]
+    shape = [key("path", 0, "turn", "linear", "false", "len, turn, o, 3, 1, 2, 5, 8", "o % 2 = 0", "2"),
+             key("path", 1, "turn + 3", "hold", "false", "turn, len, o, 4, 1, 2, 5, 9", "o % 2 = 0", "2"),
+             key("opacity", 0, "turn", "hold", "false", "100"), key("opacity", 1, "turn + 1", "linear", "false", "len % 101"),
+             key("feather", 0, 0, "hold", "true", "o / 2D, turn")]
+    keys = kids.select("doc_id", "node_id", F.explode(F.expr(f"CASE WHEN is_layer THEN array({', '.join(layer)}) ELSE array({', '.join(shape)}) END")).alias("k")
+                       ).select("doc_id", "node_id", "k.*")
+    keys = keys.unionByName(docs.select("doc_id", F.lit("0").alias("node_id"), F.expr(key("matrix", 0, 0, "hold", "true", grid("doc_id"))).alias("k")).select(
+        "doc_id", "node_id", "k.*"))
+    about = docs.selectExpr(
+        "doc_id", "struct(CAST(100 + doc_id AS INT) AS width, 50 AS height, 1001 AS startFrame, CAST(doc_id % 90 AS INT) AS duration, 23.5D AS frameRate) AS session",
+        "'3' AS schema_version", "IF(doc_id % 2 = 0, concat('a ', char(34), 'quoted', char(34), ' dialect'), NULL) AS dialect", "'plate' AS source_label", "concat('/p/', doc_id) AS source_path",
+        "CAST(doc_id AS STRING) AS source_file")
+    return about, nodes, keys
+
+
+def reread_scene(spark, sf):
+    """The scene as nested documents, read again."""
+    return ir.flatten_ir(ir.nest_ir(*scene(spark, sf)))
+
+
+@query("nest_nodes", f"""WITH {SCENE_SQL}
+SELECT doc_id, '0' AS node_id, NULL AS parent_id, 0 AS ordinal, 'layer' AS kind, 'root' AS label, 'r' AS uuid, 'Add' AS mode, false AS invert, NULL AS shape_type,
+  NULL::DOUBLE AS stroke_width FROM (SELECT DISTINCT doc_id FROM kids)
+UNION ALL SELECT doc_id, node_id, '0', CAST(o AS INTEGER), CASE WHEN is_layer THEN 'layer' ELSE 'shape' END, text, 'u' || turn, CASE WHEN o % 3 = 0 THEN 'Subtract' ELSE 'Add' END,
+  o % 4 = 1, CASE WHEN NOT is_layer THEN CASE WHEN len % 2 = 0 THEN 'Xspline' ELSE 'Bspline' END END, CASE WHEN NOT is_layer THEN turn / 4.0::DOUBLE END FROM kids""")
+def nest_nodes(spark, sf):
+    return reread_scene(spark, sf)["nodes"].drop("depth")
+
+
+def _key_sql(kind: str, track: str, ordinal: int, frame: str, interp: str, constant: str, value: str, closed="NULL::BOOLEAN", n="NULL::INTEGER") -> str:
+    return (f"SELECT doc_id, node_id, '{track}' AS track, {ordinal} AS ordinal, CAST({frame} AS INTEGER) AS frame, '{interp}' AS interp, {constant} AS constant, "
+            f"{closed} AS closed, {n} AS n_points, [{value}] AS v FROM kids WHERE {kind}")
+
+
+_GRID = lambda f: ", ".join(f"{i} + {f}" for i in range(16))
+SCENE_KEYS_SQL = " UNION ALL ".join([
+    _key_sql("is_layer", "matrix", 0, "turn", "hold", "false", _GRID("o")), _key_sql("is_layer", "matrix", 1, "turn + 2", "linear", "false", _GRID("len")),
+    _key_sql("is_layer", "trs.position", 0, "0", "hold", "true", "turn, o"), _key_sql("is_layer", "trs.rotate", 0, "turn", "linear", "false", "len"),
+    _key_sql("is_layer", "trs.rotate", 1, "turn + 7", "catmullrom", "false", "len / 4"), _key_sql("is_layer", "opacity", 0, "0", "hold", "true", "len % 101"),
+    _key_sql("NOT is_layer", "path", 0, "turn", "linear", "false", "len, turn, o, 3, 1, 2, 5, 8", "o % 2 = 0", "2"),
+    _key_sql("NOT is_layer", "path", 1, "turn + 3", "hold", "false", "turn, len, o, 4, 1, 2, 5, 9", "o % 2 = 0", "2"),
+    _key_sql("NOT is_layer", "opacity", 0, "turn", "hold", "false", "100"), _key_sql("NOT is_layer", "opacity", 1, "turn + 1", "linear", "false", "len % 101"),
+    _key_sql("NOT is_layer", "feather", 0, "0", "hold", "true", "o / 2, turn"),
+    "SELECT DISTINCT doc_id, '0', 'matrix', 0, 0, 'hold', true, NULL::BOOLEAN, NULL::INTEGER, [" + _GRID("doc_id") + "] FROM kids"])
+
+
+@query("nest_keys", f"""WITH {SCENE_SQL} SELECT doc_id, node_id, track, ordinal, frame, interp, constant, closed, n_points,
+  array_to_string(list_transform(v, lambda x: CAST(CAST(x * 4 AS BIGINT) AS VARCHAR)), ',') AS quarters FROM ({SCENE_KEYS_SQL})""")
+def nest_keys(spark, sf):
+    """Every key of every track: paths, matrices, transforms, opacity and feather."""
+    return reread_scene(spark, sf)["keys"].withColumn("quarters", F.expr(
+        "array_join(transform(value, x -> CAST(CAST(x * 4 AS BIGINT) AS STRING)), ',')")).drop("value")
+
+
+@query("nest_docs", f"""WITH {SCENE_SQL} SELECT DISTINCT doc_id, CAST(100 + doc_id AS INTEGER) AS width, 50 AS height, 1001 AS start_frame, CAST(doc_id % 90 AS INTEGER) AS duration,
+  23.5::DOUBLE AS frame_rate, '3' AS schema_version, CASE WHEN doc_id % 2 = 0 THEN 'a "quoted" dialect' END AS dialect, 'plate' AS source_label,
+  '/p/' || doc_id AS source_path, CAST(doc_id AS VARCHAR) AS source_file FROM kids""")
+def nest_docs(spark, sf):
+    return reread_scene(spark, sf)["docs"].selectExpr(
+        "doc_id", "session.width", "session.height", "session.startFrame AS start_frame", "session.duration", "session.frameRate AS frame_rate",
+        "schema_version", "dialect", "source_label", "source_path", "source_file")
+
+
 @query("sync_plan", """WITH s AS (SELECT doc_id, source || '/' || doc_id AS relpath, n_chars AS size FROM documents)
 SELECT relpath, size, CASE WHEN doc_id % 5 = 0 THEN 'copy: missing' WHEN doc_id % 7 = 0 THEN 'copy: changed' ELSE 'current' END AS action FROM s""")
 def sync_plan(spark, sf):

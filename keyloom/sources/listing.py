@@ -2,7 +2,18 @@
 
 from __future__ import annotations
 
+import fnmatch
+import sys
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+# The source travels with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fixed file-name rules. The frame number may follow a dot or an underscore.
 AUTOSAVE = r"^(project|backup|autosave)(\.\d+)?\.sfx$"
@@ -10,21 +21,77 @@ FRAME = r"[._](\d+)\.exr$"
 PREFERRED = "project.sfx"
 
 
-def list_files(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """``path, name, size, mtime, shot, kind`` of every file; contents are never read."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-             .option("pathGlobFilter", glob).load(root)
-             .select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mtime")))
-    prefix = F.lit(root.rstrip("/") + "/")
-    rel = F.when(F.contains("path", prefix), F.expr("substr(path, locate(prefix, path) + length(prefix))")).otherwise(F.col("path"))
-    files = files.withColumn("prefix", prefix)
+class DeliveryListing(DataSource):
+    """A file listing as a Spark source: ``spark.read.format("delivery_listing").load(root)``.
+
+    The driver lists the folders of the first ``depth`` levels (1 by default: the shots); tasks walk the rest folder by folder, so
+    no index of all files is ever in one place and no content is read. Options: ``depth``, ``glob`` on file names. Storage is
+    whatever pyarrow knows: local and mounted folders, S3, GCS, HDFS.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "delivery_listing"
+
+    def schema(self) -> str:
+        return "path string, relpath string, size long, mtime timestamp"
+
+    def reader(self, schema) -> DataSourceReader:
+        return ListingReader(self.options["path"], int(self.options.get("depth", 1)), self.options.get("glob", "*"))
+
+
+@dataclass
+class Folders(InputPartition):
+    """Folders that one task lists: whole trees, or their own files only."""
+    whole: list[str]
+    own: list[str]
+
+    def __post_init__(self):
+        super().__init__(None)
+
+
+class ListingReader(DataSourceReader):
+    def __init__(self, root: str, depth: int, glob: str):
+        self.root, self.depth, self.glob = root.rstrip("/"), depth, glob
+
+    def partitions(self) -> list[InputPartition]:
+        store, top = fs.FileSystem.from_uri(self.root)
+        own, level = [], [top]
+        for _ in range(self.depth):
+            own += level
+            level = [f.path for at in level for f in store.get_file_info(fs.FileSelector(at)) if f.type == fs.FileType.Directory]
+        out: list[InputPartition] = [Folders([], own[i:i + FOLDERS]) for i in range(0, len(own), FOLDERS)]
+        return out + [Folders(level[i:i + FOLDERS], []) for i in range(0, len(level), FOLDERS)]
+
+    def read(self, partition: Folders) -> Iterator[tuple]:
+        store, top = fs.FileSystem.from_uri(self.root)
+        todo = [(at, True) for at in partition.whole] + [(at, False) for at in partition.own]
+        while todo:
+            at, deep = todo.pop()
+            for f in store.get_file_info(fs.FileSelector(at)):
+                if f.type == fs.FileType.Directory:
+                    if deep:
+                        todo.append((f.path, True))
+                elif fnmatch.fnmatchcase(f.base_name, self.glob):
+                    rel = f.path[len(top.rstrip("/")) + 1:]
+                    yield f"{self.root}/{rel}", rel, f.size, f.mtime
+
+
+FOLDERS = 16
+"""Folders a task: a few, as one of them may hold most files."""
+
+
+def list_files(spark: SparkSession, root: str, glob: str = "*", depth: int = 1) -> DataFrame:
+    """``path, name, size, mtime, shot, kind, matte_kind, matte`` of every file; contents are never read."""
+    spark.dataSource.register(DeliveryListing)
+    files = spark.read.format("delivery_listing").option("glob", glob).option("depth", depth).load(root)
     return files.select(
         "path", F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size", "mtime",
-        F.split_part(rel, F.lit("/"), F.lit(1)).alias("shot"),
-        F.when(F.col("path").rlike(r"/splines/silhouette/[^/]+\.sfx$"), "project")
-         .when(F.col("path").rlike(r"/mattes/[^/]+/[^/]+/[^/]+\.exr$"), "matte").otherwise("other").alias("kind"),
-        F.regexp_extract("path", r"/mattes/([^/]+)/", 1).alias("matte_kind"),
-        F.regexp_extract("path", r"/mattes/[^/]+/([^/]+)/", 1).alias("matte"))
+        F.split_part("relpath", F.lit("/"), F.lit(1)).alias("shot"),
+        F.when(F.col("relpath").rlike(r"^[^/]+/splines/silhouette/[^/]+\.sfx$"), "project")
+         .when(F.col("relpath").rlike(r"^[^/]+/mattes/[^/]+/[^/]+/[^/]+\.exr$"), "matte").otherwise("other").alias("kind"),
+        F.regexp_extract("relpath", r"/mattes/([^/]+)/", 1).alias("matte_kind"),
+        F.regexp_extract("relpath", r"/mattes/[^/]+/([^/]+)/", 1).alias("matte"))
 
 
 def classify_files(files: DataFrame, name: str = "name") -> DataFrame:
