@@ -22,6 +22,8 @@ ENVIRONMENTS = ("local", "staging")
 RUN_STATUSES = ("pending", "running", "completed", "failed", "stopped")
 TERMINAL_STATUSES = ("completed", "failed", "stopped")
 ENV_VAR = "KEYLOOM_ENVIRONMENT"
+NAMED = 100
+"""Names in an error text; the rest is counted."""
 
 
 def pair_scores(elements: DataFrame, channels: DataFrame, area: int) -> DataFrame:
@@ -46,11 +48,18 @@ def pair_scores(elements: DataFrame, channels: DataFrame, area: int) -> DataFram
         F.expr("round(avg(s), 9) AS score"), F.expr("count(1) AS evidence"))
 
 
-def pair_elements(scores: DataFrame, elements: DataFrame) -> DataFrame:
+def pair_elements(scores: DataFrame, elements: DataFrame, usable: DataFrame | None = None) -> DataFrame:
     """Best viable channel per element with its grade and reason.
 
-    Fewer than two evidence frames is not viable; a best score under 0.50 is unmatched.
+    Fewer than two evidence frames is not viable; a best score under 0.50 is unmatched. With ``usable`` (shot, matte), the
+    mattes that passed ``usable_inputs``, an element of a shot that has none is told so.
     """
+    if usable is not None:
+        have = usable.select("shot").distinct()
+        none = elements.select("shot", "element_id").join(have, "shot", "left_anti")
+        return pair_elements(scores, elements.join(have, "shot", "left_semi")).unionByName(none.select(
+            "shot", "element_id", F.lit(None).cast("string").alias("channel"), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("evidence"),
+            F.lit("silver").alias("grade"), F.lit("no matte of this shot can be used").alias("reason")))
     viable = f"evidence >= {MIN_EVIDENCE}"
     best = scores.groupBy("shot", "element_id").agg(
         F.expr(f"min_by(struct(channel, score, evidence), struct(-score, channel)) FILTER (WHERE {viable}) AS v"),
@@ -189,6 +198,16 @@ def check_pairing(findings: DataFrame) -> DataFrame:
                       "count_if(kind = 'ambiguous') = 0")
 
 
+def check_round_trip(before: Mapping[str, DataFrame], after: Mapping[str, DataFrame], key: str = "doc_id") -> DataFrame:
+    """Documents read again after being written are the same, in every table and column."""
+    bad = None
+    for name, table in before.items():
+        own = table_difference(table, after[name].select(*table.columns)).select(key)
+        bad = own if bad is None else bad.unionByName(own)
+    one = next(iter(before.values())).select(key).distinct().join(bad.distinct().withColumn("_bad", F.lit(True)), key, "left")
+    return ledger_row(one, "round trip", "read(write(document)) is the document", "count_if(_bad)", "count_if(_bad) = 0")
+
+
 def check_conventions(meta: DataFrame, sets: DataFrame, flags: Sequence[str]) -> DataFrame:
     """Recorded flags must equal the named set's; a missing field is tolerated; one set per dataset."""
     s = sets.select("convention", *[F.col(f).alias(f"_{f}") for f in flags], F.lit(True).alias("_known"))
@@ -279,10 +298,12 @@ def latest_state(events: DataFrame) -> DataFrame:
 
 
 def environment(explicit: str | None = None) -> str:
-    env = explicit or os.environ.get(ENV_VAR) or "local"
-    if env not in ENVIRONMENTS:
-        raise ValueError(f"unknown environment {env!r}, want one of {ENVIRONMENTS}")
-    return env
+    """Where a run takes place: what the caller says, else the session's variable, else the first of ``ENVIRONMENTS``."""
+    candidates = [explicit, os.environ.get(ENV_VAR), ENVIRONMENTS[0]]
+    chosen = next(c for c in candidates if c)
+    if chosen in ENVIRONMENTS:
+        return chosen
+    raise ValueError(f"{chosen!r} names no environment; there are {' and '.join(ENVIRONMENTS)}")
 
 
 def with_environment(runs: DataFrame) -> DataFrame:
@@ -298,10 +319,11 @@ def quotability(runs: DataFrame) -> DataFrame:
 def check_quotable(runs: DataFrame, allow_local: bool = False) -> DataFrame:
     """The runs with their environment, or an error naming the local ones."""
     out = quotability(runs)
-    if not allow_local:
-        bad = [str(r[0]) for r in out.where("NOT quotable").select("run").orderBy("run").collect()]
-        if bad:
-            raise ValueError(f"refusing to quote local runs: {', '.join(bad)}")
+    local = out.where("NOT quotable").select("run")
+    first = [] if allow_local else [str(r[0]) for r in local.orderBy("run").limit(NAMED + 1).collect()]
+    if first:
+        rest = f" and {local.count() - NAMED} more" if len(first) > NAMED else ""
+        raise ValueError(f"local runs are trials and stay out of results: {', '.join(first[:NAMED])}{rest}")
     return out.drop("quotable")
 
 

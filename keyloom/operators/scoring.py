@@ -201,6 +201,34 @@ def results_table(runs: DataFrame, layout: DataFrame, provenance: DataFrame | No
         F.expr(fmt.format("_s", "")).alias("spread"))
 
 
+def results_report(runs: DataFrame, layout: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """``(section, ordinal, label, value, spread)`` of a report whose sections read blocks of their own.
+
+    ``runs`` are long ``(run, block, metric, value)`` rows; ``layout`` is the fixed catalogue ``(section, ordinal, label, block, metric,
+    decimals, needs)``. A section with ``needs`` appears only if some run has that metric in its block, and not as zero. Two more
+    sections follow when there is something to say: how many frames were on screen, and which shots and elements ``held`` (shot,
+    element_id) were kept from training.
+    """
+    agg = runs.groupBy("block", "metric").agg(F.expr("avg(value) AS _m"), F.expr("max(value) - min(value) AS _s"), F.expr("max(abs(value)) AS _any"))
+    need = agg.where("_any > 0").select("block", F.col("metric").alias("needs"), F.lit(True).alias("_there"))
+    fmt = "CASE WHEN {0} IS NULL THEN '{1}' ELSE format_string(concat('%.', decimals, 'f'), {0}) END"
+    body = layout.join(need, ["block", "needs"], "left").where("needs IS NULL OR _there").join(agg, ["block", "metric"], "left").select(
+        "section", "ordinal", "label", F.expr(fmt.format("_m", "--")).alias("value"), F.expr(fmt.format("_s", "")).alias("spread"))
+    seen = agg.where("block = 'all' AND metric IN ('frames_onscreen', 'frames_offscreen')").groupBy().agg(
+        F.expr("max(CASE WHEN metric = 'frames_onscreen' THEN _m END) AS _on"), F.expr("max(CASE WHEN metric = 'frames_offscreen' THEN _m END) AS _off"))
+    frames = seen.where("_on IS NOT NULL").select(
+        F.lit("FRAMES").alias("section"), F.lit(1).alias("ordinal"), F.lit("on screen / layer absent").alias("label"),
+        F.expr("format_string('%.0f / %.0f', _on, coalesce(_off, 0D))").alias("value"),
+        F.expr("format_string('%.1f%%', coalesce(100 * _off / (_on + _off), 0D))").alias("spread"))
+    out = body.unionByName(frames)
+    if held is None:
+        return out
+    kept = held.groupBy("shot").agg(F.expr("array_join(sort_array(collect_set(element_id)), ', ') AS value")).where("shot IS NOT NULL")
+    return out.unionByName(kept.select(
+        F.lit("HELD-OUT SHOTS").alias("section"), F.row_number().over(Window.orderBy("shot")).alias("ordinal"), F.col("shot").alias("label"),
+        "value", F.lit("").alias("spread")))
+
+
 def table_header(runs: DataFrame) -> DataFrame:
     """One row of warnings for a results table: seeds, environments, dataset fingerprints."""
     env = "coalesce(environment, 'unstamped')"

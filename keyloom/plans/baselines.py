@@ -315,22 +315,13 @@ def training_groups(spark, sf):
         "step", "element_id", "frame", "group", "query", "CAST(transform[2] AS BIGINT) AS moved", "live")
 
 
-def _schedule(spark, sf, mode):
-    pool = S.frame_split(track(spark, sf).select("user_id", "frame"), ["user_id"]).where("NOT held").selectExpr(
-        "user_id AS element_id", "frame")
-    pool = positions(pool, ["element_id"], ["frame"], chunk_id("frame"), "pos")
-    el = pool.groupBy("element_id").agg(F.expr("count(1) AS n_frames")).withColumn("n_shapes", F.expr("element_id % 7 + 1"))
-    steps = load(spark, sf, "events").select((F.col("event_id") + 1).alias("step"))
-    return S.batch_schedule(steps, S.element_weight(el, "sqrt"), pool, 6, mode, 1), el
-
-
-@query("training_rows")
+@query("training_rows", f"""WITH RECURSIVE {schedule_sql("pairs", "SELECT page_id + 1 AS step FROM pages")}
+SELECT step, element_id, frame, slot, slot < n_shapes AND (doc_id + slot) % 3 <> 0 AS live, slot < n_shapes AND frame % n_shapes = slot AS is_key, slot < n_shapes AS exists
+FROM schedule JOIN el USING (element_id) JOIN named n USING (element_id, frame), range(8) r(slot)""")
 def training_rows(spark, sf):
     """Scheduled frames with their real shapes, padded with non-existent slots to the bank size."""
-    sched, el = _schedule(spark, sf, "pairs")
-    cells = track(spark, sf, "event_type").selectExpr(
-        "user_id AS element_id", "frame", "explode(sequence(0, CAST(user_id % 7 AS INT))) AS slot",
-        "event_type <> 'error' AS live", "event_type = 'purchase' AS is_key")
-    rows = S.training_rows(sched, cells, el, 8)
-    return rows.groupBy("element_id").agg(F.expr("count(1) AS rows"), F.expr("count_if(exists) AS real_rows"),
-                                          F.expr("count_if(live) AS live_rows"), F.expr("count_if(is_key) AS key_rows"))
+    sched, el = _named_schedule(spark, sf, "pairs", load(spark, sf, "pages").selectExpr("page_id + 1 AS step"))
+    cells = named_frames(spark, sf).join(el.select("element_id", "n_shapes"), "element_id").select(
+        "*", F.explode(F.expr("sequence(0, CAST(n_shapes AS INT) - 1)")).alias("slot")).selectExpr(
+        "element_id", "frame", "slot", "(doc_id + slot) % 3 <> 0 AS live", "frame % n_shapes = slot AS is_key")
+    return S.training_rows(sched, cells, el, 8)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import coverage as C
 from .registry import query
 from .scoring import rounded
-from .tables import PIXELS_SQL, frame_list, load, pixels
+from .tables import HALVES_SQL, PIXELS_SQL, frame_list, load, pixels
 
 BOTH_SQL = f"""{PIXELS_SQL}, pairs AS (
   SELECT frame, y, x, coalesce(a.cov, 0) AS a, coalesce(b.cov, 0) AS b
@@ -74,18 +74,10 @@ def accumulate_cov(spark, sf):
     return rounded(C.accumulate_cov(layers, ["frame"]).where("cov > 1e-9"))
 
 
-@query("frame_coverage", f"""WITH {PIXELS_SQL}, s AS (SELECT frame, sum(cov) AS s FROM pixels WHERE side = 'O' GROUP BY 1)
-SELECT s_suppkey AS frame, round_even(round(coalesce(s, 0), 9) / 896, 6) AS coverage, coalesce(s, 0) > 0 AS on_screen
-FROM supplier LEFT JOIN s ON frame = s_suppkey""")
-def frame_coverage(spark, sf):
-    a, _, f = sides(spark, sf)
-    return C.frame_coverage(a, f, ["frame"], 896)
-
-
-@query("frame_coverage_all", f"""WITH {PIXELS_SQL}, {SIDES_SQL}, s AS (SELECT side, frame, sum(cov) AS s FROM pixels GROUP BY ALL)
+@query("frame_coverage", f"""WITH {PIXELS_SQL}, {SIDES_SQL}, s AS (SELECT side, frame, sum(cov) AS s FROM pixels GROUP BY ALL)
 SELECT side, frame, round_even(round(coalesce(s, 0), 9) / 896, 6) AS coverage, coalesce(s, 0) > 0 AS on_screen
-FROM sides LEFT JOIN s USING (side, frame)""")
-def frame_coverage_all(spark, sf):
+FROM sides LEFT JOIN s USING (side, frame)""", also="frame_coverage_all")
+def frame_coverage(spark, sf):
     return C.frame_coverage(pixels(spark, sf), side_frames(spark, sf), ["side", "frame"], 896)
 
 
@@ -95,22 +87,11 @@ def quantise(spark, sf):
 
 
 @query("shift_cov", f"""WITH {PIXELS_SQL}, t AS (
-  SELECT frame, CAST(floor(y + 0.5) AS BIGINT) + j AS y, CAST(floor(x + 1.25) AS BIGINT) + i AS x,
-         cov * (CASE i WHEN 1 THEN (x + 1.25) - floor(x + 1.25) ELSE 1 - ((x + 1.25) - floor(x + 1.25)) END)
-             * (CASE j WHEN 1 THEN 0.5 ELSE 0.5 END) AS c
-  FROM pixels, range(2) a(i), range(2) b(j) WHERE side = 'O')
-SELECT frame, y, x, round(sum(c), 6) AS cov FROM t WHERE x BETWEEN 0 AND 127 AND y BETWEEN 0 AND 7 GROUP BY ALL""")
-def shift_cov(spark, sf):
-    a, _, _ = sides(spark, sf)
-    return rounded(C.shift_cov(a, ["frame"], "1.25D", "0.5D", 128, 8))
-
-
-@query("shift_cov_all", f"""WITH {PIXELS_SQL}, t AS (
   SELECT side, frame, CAST(floor(y + 0.5) AS BIGINT) + j AS y, CAST(floor(x + 1.25) AS BIGINT) + i AS x,
          cov * (CASE i WHEN 1 THEN (x + 1.25) - floor(x + 1.25) ELSE 1 - ((x + 1.25) - floor(x + 1.25)) END) * 0.5 AS c
   FROM pixels, range(2) a(i), range(2) b(j))
-SELECT side, frame, y, x, round(sum(c), 6) AS cov FROM t WHERE x BETWEEN 0 AND 127 AND y BETWEEN 0 AND 7 GROUP BY ALL""")
-def shift_cov_all(spark, sf):
+SELECT side, frame, y, x, round(sum(c), 6) AS cov FROM t WHERE x BETWEEN 0 AND 127 AND y BETWEEN 0 AND 7 GROUP BY ALL""", also="shift_cov_all")
+def shift_cov(spark, sf):
     return rounded(C.shift_cov(pixels(spark, sf), ["side", "frame"], "1.25D", "0.5D", 128, 8))
 
 
@@ -145,9 +126,7 @@ def polygons(spark, sf):
     return control(spark, sf).selectExpr("vec_id", "idx", "n AS cnt", "16 + x * 60 AS x", "12 + y * 45 AS y")
 
 
-POLY_SQL = """poly AS (
-  SELECT vec_id, i AS idx, 4 + vec_id % 29 AS cnt, 16 + embedding[2*i+1]::DOUBLE * 60 AS x, 12 + embedding[2*i+2]::DOUBLE * 45 AS y
-  FROM embeddings, range(32) r(i) WHERE i < 4 + vec_id % 29), edge AS (
+POLY_SQL = f"""{HALVES_SQL}, poly AS (SELECT vec_id, idx, n AS cnt, 16 + x * 60 AS x, 12 + y * 45 AS y FROM halves), edge AS (
   SELECT vec_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2
   FROM poly WINDOW w AS (PARTITION BY vec_id ORDER BY idx))"""
 
@@ -162,9 +141,7 @@ def fill_coverage(spark, sf):
     return C.fill_coverage(polygons(spark, sf), ["vec_id"], 32, 24)
 
 
-@query("stroke_coverage", """WITH p AS (
-  SELECT vec_id, i AS idx, 16 + embedding[2*i+1]::DOUBLE * 60 AS x, 12 + embedding[2*i+2]::DOUBLE * 45 AS y
-  FROM embeddings, range(32) r(i) WHERE i < 4 + vec_id % 29), s AS (
+@query("stroke_coverage", f"""WITH {HALVES_SQL}, p AS (SELECT vec_id, idx, 16 + x * 60 AS x, 12 + y * 45 AS y FROM halves), s AS (
   SELECT vec_id, x, y, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM p WINDOW w AS (PARTITION BY vec_id ORDER BY idx)), d AS (
   SELECT vec_id, sx, sy, x, y, x2, y2, least(greatest((((sx + 0.5) / 2 - x) * (x2 - x) + ((sy + 0.5) / 2 - y) * (y2 - y))
          / greatest(pow(x2 - x, 2) + pow(y2 - y, 2), 1e-18), 0), 1) AS t
@@ -176,23 +153,12 @@ def stroke_coverage(spark, sf):
     return C.stroke_coverage(polygons(spark, sf), ["vec_id"], 32, 24, 1.5)
 
 
-@query("with_opacity", f"""WITH {PIXELS_SQL}, s AS (
-  SELECT s_suppkey AS frame, s_suppkey % 11 / 10 AS opacity, s_suppkey % 5 = 0 AS invert FROM supplier)
-SELECT frame, y, x, round(cov * opacity, 6) AS cov FROM pixels JOIN s USING (frame) WHERE side = 'O' AND NOT invert AND cov * opacity > 0
-UNION ALL SELECT s.frame, gy, gx, round((1 - coalesce(cov, 0)) * opacity, 6) FROM s CROSS JOIN range(8) a(gy) CROSS JOIN range(128) b(gx)
-LEFT JOIN pixels p ON p.side = 'O' AND p.frame = s.frame AND p.y = gy AND p.x = gx WHERE invert AND (1 - coalesce(cov, 0)) * opacity > 0""")
-def with_opacity(spark, sf):
-    a, _, _ = sides(spark, sf)
-    shapes = load(spark, sf, "supplier").selectExpr("s_suppkey AS frame", "s_suppkey % 11 / 10 AS opacity", "s_suppkey % 5 = 0 AS invert")
-    return rounded(C.with_opacity(a.select("frame", F.col("y").cast("long").alias("y"), "x", "cov"), shapes, ["frame"], 128, 8))
-
-
-@query("with_opacity_all", f"""WITH {PIXELS_SQL}, {SIDES_SQL}, s AS (
+@query("with_opacity", f"""WITH {PIXELS_SQL}, {SIDES_SQL}, s AS (
   SELECT *, frame % 11 / 10 AS opacity, frame % 5 = 0 AS invert FROM sides)
 SELECT side, frame, y, x, round(cov * opacity, 6) AS cov FROM pixels JOIN s USING (side, frame) WHERE NOT invert AND cov * opacity > 0
 UNION ALL SELECT s.side, s.frame, gy, gx, round((1 - coalesce(cov, 0)) * opacity, 6) FROM s CROSS JOIN range(8) a(gy) CROSS JOIN range(128) b(gx)
-LEFT JOIN pixels p ON p.side = s.side AND p.frame = s.frame AND p.y = gy AND p.x = gx WHERE invert AND (1 - coalesce(cov, 0)) * opacity > 0""")
-def with_opacity_all(spark, sf):
+LEFT JOIN pixels p ON p.side = s.side AND p.frame = s.frame AND p.y = gy AND p.x = gx WHERE invert AND (1 - coalesce(cov, 0)) * opacity > 0""", also="with_opacity_all")
+def with_opacity(spark, sf):
     shapes = side_frames(spark, sf).selectExpr("side", "frame", "frame % 11 / 10 AS opacity", "frame % 5 = 0 AS invert")
     return rounded(C.with_opacity(pixels(spark, sf).withColumn("y", F.col("y").cast("long")), shapes, ["side", "frame"], 128, 8))
 
@@ -207,9 +173,8 @@ def align(spark, sf):
 def _filled_sql(name, keep):
     """Sub-pixel fill of the polygons after keeping the points ``keep`` selects."""
     return f"""{name}_p AS (
-  SELECT vec_id, i AS idx, 16 + embedding[2*i+1]::DOUBLE * 60 AS x, 12 + embedding[2*i+2]::DOUBLE * 45 AS y FROM (
-    SELECT *, 4 + vec_id % 29 AS n, {keep} AS k FROM embeddings), range(32) r(i)
-  WHERE i < n AND (k >= n OR list_contains(list_transform(range(k), lambda q: round_even(q * (n - 1)::DOUBLE / (k - 1), 0)), i))), {name}_e AS (
+  SELECT vec_id, idx, x, y FROM (SELECT vec_id, idx, cnt AS n, x, y, CAST({keep} AS INTEGER) AS k FROM poly)
+  WHERE k >= n OR list_contains(list_transform(range(k), lambda q: round_even(q * (n - 1)::DOUBLE / (k - 1), 0)), idx)), {name}_e AS (
   SELECT vec_id, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS x2, coalesce(lead(y) OVER w, first_value(y) OVER w) AS y2
   FROM {name}_p WINDOW w AS (PARTITION BY vec_id ORDER BY idx)), {name}_c AS (
   SELECT vec_id, r, x + ((r + 0.5) / 2 - y) * (x2 - x) / (y2 - y) AS cx FROM {name}_e, range(48) g(r)
@@ -221,10 +186,9 @@ def _filled_sql(name, keep):
 _POINT_VARIANTS = {"drop_1": "n - 1", "drop_20pct": "floor(n * 0.8)"}
 
 
-@query("ablate_points", "WITH " + _filled_sql("exact", "4 + vec_id % 29") + ", "
-       + _filled_sql("drop_1", "greatest(3, 3 + vec_id % 29)") + ", "
-       + _filled_sql("drop_20pct", "greatest(3, CAST(floor((4 + vec_id % 29) * 0.8) AS INTEGER))")
-       + " " + " UNION ALL ".join(f"""SELECT '{v}' AS variant, vec_id, round(coalesce(s, 1), 6) AS soft_iou FROM embeddings LEFT JOIN (
+@query("ablate_points", f"WITH {POLY_SQL}, " + _filled_sql("exact", "cnt") + ", " + _filled_sql("drop_1", "greatest(3, cnt - 1)") + ", "
+       + _filled_sql("drop_20pct", "greatest(3, floor(cnt * 0.8))")
+       + " " + " UNION ALL ".join(f"""SELECT '{v}' AS variant, vec_id, round(coalesce(s, 1), 6) AS soft_iou FROM (SELECT DISTINCT vec_id FROM poly) LEFT JOIN (
   SELECT vec_id, sum(least(coalesce(a.cov, 0), coalesce(b.cov, 0))) / sum(greatest(coalesce(a.cov, 0), coalesce(b.cov, 0))) AS s
   FROM exact a FULL JOIN {v} b USING (vec_id, y, x) GROUP BY 1) USING (vec_id)""" for v in _POINT_VARIANTS))
 def ablate_points(spark, sf):
@@ -232,7 +196,7 @@ def ablate_points(spark, sf):
     from ..functions.ordered import chunk_id, positions, with_totals
     from ..operators.geometry import decimate
     poly = polygons(spark, sf)
-    ids = load(spark, sf, "embeddings").select("vec_id")
+    ids = poly.select("vec_id").distinct()
     exact = C.fill_coverage(poly, ["vec_id"], 32, 24)
     out = None
     for variant, keep in _POINT_VARIANTS.items():

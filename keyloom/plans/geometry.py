@@ -8,7 +8,7 @@ from ..functions.ordered import chunk_id, positions
 from ..operators import geometry as G
 from .registry import query
 from .scoring import rounded
-from .tables import POINTS_SQL, load, points
+from .tables import HALVES_SQL, halves, POINTS_SQL, load, points
 
 # Matrix of a vector: identity plus its first entries, rows and columns 2 left alone.
 MAT_SQL = ("[1 + e[1], e[2], 0, e[3] / 10, e[4], 1 + e[5], 0, e[6] / 10, 0, 0, 1, 0, e[7], e[8], 0, 1 + e[9]]")
@@ -158,14 +158,11 @@ def probe_error(spark, sf):
 
 
 def control(spark, sf):
-    """Control polygons: vector points, closed on even ids, 4 to 32 points."""
-    return points(spark, sf).selectExpr("vec_id", "label", "point_idx AS idx", "x", "y", "vec_id % 2 = 0 AS closed",
-                                        "CAST(4 + vec_id % 29 AS INT) AS n").where("idx < n")
+    """Control polygons: each vector's points as two outlines of 4 to 32 points, the first closed."""
+    return halves(spark, sf).selectExpr("vec_id", "label", "idx", "x", "y", "vec_id % 2 = 0 AS closed", "n")
 
 
-CURVE_SQL = f"""{POINTS_SQL}, ctl AS (
-  SELECT vec_id, label, point_idx AS idx, x, y, vec_id % 2 = 0 AS closed, CAST(4 + vec_id % 29 AS INTEGER) AS n FROM points
-  WHERE point_idx < 4 + vec_id % 29), segs AS (
+CURVE_SQL = f"""{HALVES_SQL}, ctl AS (SELECT *, vec_id % 2 = 0 AS closed FROM halves), segs AS (
   SELECT DISTINCT vec_id, label, closed, n, unnest(range(CASE WHEN closed THEN n ELSE n + 1 END)) AS seg FROM ctl), smp AS (
   SELECT *, unnest(range(CASE WHEN NOT closed AND seg = n THEN 5 ELSE 4 END)) AS k FROM segs), wts AS (
   SELECT vec_id, label, seg, k, j, CASE WHEN closed THEN (seg + j - 1 + n) % n ELSE least(greatest(seg + j - 2, 0), n - 1) END AS idx,
@@ -256,48 +253,35 @@ def resample_ring(spark, sf):
     return rounded(G.resample_ring(p, ["vec_id"], 48))
 
 
-@query("decimate", f"""WITH {POINTS_SQL}, c AS (
-  SELECT vec_id, point_idx AS idx, CAST(4 + vec_id % 29 AS INTEGER) AS n, greatest(3, CAST(floor((4 + vec_id % 29) * 0.8) AS INTEGER)) AS k
-  FROM points WHERE point_idx < 4 + vec_id % 29)
+@query("decimate", f"""WITH {HALVES_SQL}, c AS (SELECT vec_id, idx, n, greatest(3, CAST(floor(n * 0.8) AS INTEGER)) AS k FROM halves)
 SELECT vec_id, idx FROM c WHERE k >= n OR list_contains(list_transform(range(k), lambda i: round_even(i * (n - 1)::DOUBLE / (k - 1), 0)), idx)""")
 def decimate(spark, sf):
     return G.decimate(control(spark, sf).select("vec_id", "idx", "n"), "floor(n * 0.8)").select("vec_id", "idx")
 
 
-def _carried(spark, sf, kept):
-    """Shapes of every label under their carriers, and the matrices ``kept`` selects."""
+def _carried(spark, sf):
+    """Shapes of every label under their carriers, and all matrices."""
     m = mats(spark, sf)
     anc = m.selectExpr("label AS element_id", "vec_id AS shape_id", "explode(array(" + ", ".join(
         f"named_struct('node_id', {n}, 'depth', {d}, 'has_transform', {h})" for n, d, h in (
             ("vec_id % 5", 0, "false"), ("100 + vec_id % 11", 1, "vec_id % 2 = 0"), ("200 + vec_id % 13", 2, "false")))
         + ")) AS a").selectExpr("element_id", "shape_id", "a.*")
     groups = m.selectExpr("label AS element_id", "vec_id AS shape_id", "vec_id % 4 AS group_id")
-    gm = m.where(kept).selectExpr("label AS element_id", "vec_id % 4 AS group_id", "vec_id AS frame", "matrix")
+    gm = m.selectExpr("label AS element_id", "vec_id % 4 AS group_id", "vec_id AS frame", "matrix")
     out = G.apply_group_transforms(anc, groups, gm)
     return rounded(out.selectExpr("element_id", "carrier", "group_id", "frame", "shapes", "matrix[0] AS m00"))
 
 
 @query("apply_group_transforms", f"""WITH {MATS_SQL}, anc AS (
-  SELECT label AS element_id, vec_id AS shape_id, unnest([vec_id % 5, 100 + vec_id % 11, 200 + vec_id % 13]) AS node_id,
-         unnest([0, 1, 2]) AS depth, unnest([false, vec_id % 2 = 0, false]) AS has_transform FROM embeddings), car AS (
-  SELECT element_id, shape_id, arg_max(node_id, (has_transform, depth)) AS carrier FROM anc GROUP BY ALL), pairs AS (
-  SELECT element_id, carrier, shape_id % 4 AS group_id, count(*) AS shapes FROM car GROUP BY ALL), gm AS (
-  SELECT label AS element_id, vec_id % 4 AS group_id, vec_id AS frame, m FROM mats WHERE vec_id % 8 < 4)
-SELECT element_id, carrier, group_id, frame, shapes, round(m[1], 6) AS m00 FROM pairs JOIN gm USING (element_id, group_id)""")
-def apply_group_transforms(spark, sf):
-    return _carried(spark, sf, "vec_id % 8 < 4")
-
-
-@query("apply_group_transforms_all", f"""WITH {MATS_SQL}, anc AS (
   SELECT label AS element_id, vec_id AS shape_id, unnest([vec_id % 5, 100 + vec_id % 11, 200 + vec_id % 13]) AS node_id,
          unnest([0, 1, 2]) AS depth, unnest([false, vec_id % 2 = 0, false]) AS has_transform FROM embeddings), car AS (
   SELECT element_id, shape_id, arg_max(node_id, (has_transform, depth)) AS carrier FROM anc GROUP BY ALL), pairs AS (
   SELECT element_id, carrier, shape_id % 4 AS group_id, count(*) AS shapes FROM car GROUP BY ALL)
 SELECT element_id, carrier, group_id, vec_id AS frame, shapes, round(m[1], 6) AS m00
-FROM pairs JOIN mats ON label = element_id AND vec_id % 4 = group_id""")
-def apply_group_transforms_all(spark, sf):
+FROM pairs JOIN mats ON label = element_id AND vec_id % 4 = group_id""", also="apply_group_transforms_all")
+def apply_group_transforms(spark, sf):
     """Every matrix, on every carrier of its element and group."""
-    return _carried(spark, sf, "true")
+    return _carried(spark, sf)
 
 
 @query("bezier_points", """WITH e AS (SELECT vec_id, vec_id % 2 = 0 AS closed, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings), s AS (
@@ -316,28 +300,13 @@ def bezier_points(spark, sf):
 
 
 @query("probe_temporal_error", f"""WITH {POINTS_SQL}, {MATS_SQL}, {PROJ_SQL}, {PROBES_SQL}, e AS (
-  SELECT probe, vec_id, vec_id % 3 <> 0 AS live, {_P[0]} - px AS ex, {_P[1]} - py AS ey
-  FROM proj, (SELECT * FROM probes WHERE label = 0)), l AS (
-  SELECT *, lag(ex) OVER w AS lx, lag(ey) OVER w AS ly, lag(live) OVER w AS ll, lag(vec_id) OVER w AS lf
-  FROM e WINDOW w AS (PARTITION BY probe ORDER BY vec_id))
-SELECT probe, round(coalesce((sum(abs(ex - lx) + abs(ey - ly)) FILTER (live AND ll AND vec_id - lf = 1))
-  / nullif(2 * count(*) FILTER (live AND ll AND vec_id - lf = 1), 0), 0) * 256, 6) AS probe_temporal_error FROM l GROUP BY probe""")
-def probe_temporal_error(spark, sf):
-    """Every vector's map is one frame of a predicted transform track; the truth stands still."""
-    probes = G.group_probes(points(spark, sf), ["label"], "point_idx % 5 <> 0").where("label = 0").drop("label")
-    m = G.proj_encode(mats(spark, sf), name="pred").selectExpr(
-        "vec_id AS frame", "pred", "array(1D, 0D, 0D, 0D, 1D, 0D, 0D, 0D) AS truth", "vec_id % 3 <> 0 AS live")
-    return rounded(G.probe_temporal_error(m.crossJoin(F.broadcast(probes)), ["probe"], ["probe"], 256.0))
-
-
-@query("probe_temporal_error_all", f"""WITH {POINTS_SQL}, {MATS_SQL}, {PROJ_SQL}, {PROBES_SQL}, e AS (
   SELECT label, probe, frame, vec_id % 3 <> 0 AS live, {_P[0]} - px AS ex, {_P[1]} - py AS ey
   FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS frame FROM proj) JOIN probes USING (label)), l AS (
   SELECT *, lag(ex) OVER w AS lx, lag(ey) OVER w AS ly, lag(live) OVER w AS ll
   FROM e WINDOW w AS (PARTITION BY label, probe ORDER BY frame))
 SELECT label, probe, round(coalesce((sum(abs(ex - lx) + abs(ey - ly)) FILTER (live AND ll))
-  / nullif(2 * count(*) FILTER (live AND ll), 0), 0) * 256, 6) AS probe_temporal_error FROM l GROUP BY ALL""")
-def probe_temporal_error_all(spark, sf):
+  / nullif(2 * count(*) FILTER (live AND ll), 0), 0) * 256, 6) AS probe_temporal_error FROM l GROUP BY ALL""", also="probe_temporal_error_all")
+def probe_temporal_error(spark, sf):
     """The maps of each label, in vector order, are the frames of its track; its own probes ride on them."""
     probes = G.group_probes(points(spark, sf), ["label"], "point_idx % 5 <> 0")
     m = positions(mats(spark, sf), ["label"], ["vec_id"], chunk_id("vec_id"), "frame")

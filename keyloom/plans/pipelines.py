@@ -57,20 +57,8 @@ def simplify(spark, sf):
     return S.simplify(curve(spark, sf), ["user_id"], TOL).select("user_id", "frame", "method")
 
 
-@query("simplify_count", f"""WITH RECURSIVE {TRACK_SQL}, n AS (SELECT user_id, max(frame) AS last FROM track GROUP BY 1 HAVING count(*) BETWEEN 3 AND 64),
-cost AS (SELECT a.user_id, a.frame AS a, b.frame AS b FROM track a JOIN n USING (user_id) JOIN track b ON b.user_id = a.user_id AND b.frame > a.frame
-  LEFT JOIN track m ON m.user_id = a.user_id AND m.frame > a.frame AND m.frame < b.frame GROUP BY ALL
-  HAVING coalesce(max(abs(m.value - (a.value * (1 - (m.frame - a.frame) / (b.frame - a.frame)) + b.value * ((m.frame - a.frame) / (b.frame - a.frame))))), 0) <= {TOL}),
-path AS (SELECT user_id, 0 AS at, 1 AS k FROM n UNION SELECT p.user_id, c.b, k + 1 FROM path p JOIN cost c ON c.user_id = p.user_id AND c.a = p.at)
-SELECT p.user_id, CAST(min(k) AS BIGINT) AS n_knots FROM path p JOIN n ON n.user_id = p.user_id AND p.at = n.last GROUP BY 1""")
+@query("simplify_count", f"{knots_sql(CURVE_SQL, str(TOL))} SELECT user_id, method, count(*) AS n_knots FROM knots GROUP BY ALL", also="simplify_count_all")
 def simplify_count(spark, sf):
-    """Fewest knots for every track short enough for the exact solver, against graph search."""
-    knots = S.simplify(curve(spark, sf), ["user_id"], TOL)
-    return knots.where("method = 'dp'").groupBy("user_id").agg(F.expr("count(1) AS n_knots"))
-
-
-@query("simplify_count_all", f"{knots_sql(CURVE_SQL, str(TOL))} SELECT user_id, method, count(*) AS n_knots FROM knots GROUP BY ALL")
-def simplify_count_all(spark, sf):
     """Knots of every track, short or long, and how they were found."""
     return S.simplify(curve(spark, sf), ["user_id"], TOL).groupBy("user_id", "method").agg(F.expr("count(1) AS n_knots"))
 

@@ -52,6 +52,17 @@ def pair_elements(spark, sf):
     return rounded(pairings(spark, sf)[0])
 
 
+@query("pair_usable", f"""WITH {PAIR_SQL}, bad AS (SELECT DISTINCT shot FROM pairing WHERE shot % 3 = 1)
+SELECT shot, element_id, CASE WHEN bad.shot IS NULL THEN channel END AS channel, CASE WHEN bad.shot IS NULL THEN round(score, 6) ELSE 0 END AS score,
+  CASE WHEN bad.shot IS NULL THEN evidence ELSE 0 END AS evidence, CASE WHEN bad.shot IS NULL THEN grade ELSE 'silver' END AS grade,
+  CASE WHEN bad.shot IS NULL THEN reason ELSE 'no matte of this shot can be used' END AS reason FROM pairing LEFT JOIN bad USING (shot)""")
+def pair_usable(spark, sf):
+    """The same where every third shot delivered no usable matte."""
+    el, ch, ids = pair_inputs(spark, sf)
+    mattes = ids.select("shot").distinct().where("shot % 3 <> 1").withColumn("matte", F.lit("m"))
+    return rounded(Q.pair_elements(Q.pair_scores(el, ch, 64), ids, mattes))
+
+
 # Claims come from the orders: few shots, many claims per channel, some margins under 0.05.
 CLAIM_SQL = """p AS (
   SELECT *, CASE WHEN score >= 0.5 THEN 'c' || CAST(element_id // 3 AS VARCHAR) END AS channel FROM (
@@ -139,12 +150,19 @@ def invariants(spark, sf):
     ]).select("item", "measured", "status")
 
 
+def written_scene(spark, sf):
+    """The typed documents of the conversations, and the same read back from their nested form."""
+    from .sources import reread_scene, scene
+    docs, nodes, keys = scene(spark, sf)
+    return {"nodes": nodes, "keys": keys}, reread_scene(spark, sf)
+
+
 @query("ledger", f"""WITH {CLAIM_SQL}, s AS (
   SELECT source || '__' || lang AS e, source, count(*) AS n FROM documents GROUP BY ALL)
 SELECT 'scoring ceiling' AS item, 1.0::DOUBLE AS measured, 'GREEN' AS status
 UNION ALL SELECT 'quantisation', 0, 'GREEN'
 UNION ALL SELECT 'split record', 0, 'GREEN' UNION ALL SELECT 'held shots', 0, 'GREEN'
-UNION ALL SELECT 'render conventions', 0, 'GREEN'
+UNION ALL SELECT 'render conventions', 0, 'GREEN' UNION ALL SELECT 'round trip', 0, 'GREEN'
 UNION ALL SELECT 'pairing QC', count(*) FILTER (kind = 'ambiguous'), CASE WHEN count(*) FILTER (kind = 'ambiguous') = 0 THEN 'GREEN' ELSE 'RED' END FROM findings""")
 def ledger(spark, sf):
     from ..operators import coverage as C
@@ -164,6 +182,7 @@ def ledger(spark, sf):
         Q.check_quantised(C.quantise(px)).withColumn("measured", F.round("measured", 9)),
         Q.check_split(split, t.groupBy("element_id").agg(F.expr("count(1) AS n_frames"))),
         Q.check_held_shots(held), Q.check_conventions(meta, sets, ["stroke_open"]),
+        Q.check_round_trip(*written_scene(spark, sf)),
         Q.check_pairing(claims(spark, sf)[1])]).select("item", "measured", "status")
 
 

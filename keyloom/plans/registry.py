@@ -10,12 +10,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, also: str | None = None):
+    """Register a query and its SQL, under a second name too if it had one before."""
     def add(fn: Callable[[SparkSession, str], DataFrame]):
-        if name in QUERIES:
-            raise ValueError(f"query {name!r} is registered twice")
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLES[name] = sql
+        for n in filter(None, (name, also)):
+            if n in QUERIES:
+                raise ValueError(f"query {n!r} is registered twice")
+            QUERIES[n] = fn
+            if sql is not None:
+                ORACLES[n] = sql
         return fn
     return add

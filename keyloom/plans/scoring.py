@@ -240,6 +240,41 @@ def results_table(spark, sf):
     return S.results_table(long, layout)
 
 
+# Sections of a report over blocks of line items: what was trained on and what was held out.
+REPORT = [
+    ("TRAINED ELEMENTS", 1, "soft IoU, mean", "trained", "mean_soft_iou", 4, None), ("TRAINED ELEMENTS", 2, "soft IoU, on screen", "trained", "onscreen", 4, None),
+    ("TRAINED ELEMENTS", 3, "jitter px", "trained", "jitter_px", 3, None), ("LIFESPAN", 1, "cell accuracy", "trained", "lifespan_accuracy", 4, "lifespan_cells"),
+    ("POINT COUNT", 1, "exact match", "trained", "point_count_exact", 4, "point_count_exact"),
+    ("HELD-OUT ELEMENTS", 1, "soft IoU, mean", "held", "mean_soft_iou", 4, None), ("HELD-OUT ELEMENTS", 2, "cell accuracy", "held", "lifespan_accuracy", 4, None)]
+REPORT_SQL = "layout(section, ordinal, label, block, metric, decimals, needs) AS (VALUES " + ", ".join(
+    f"('{s}', {o}, '{lb}', '{b}', '{m}', {d}, {f'{chr(39)}{n}{chr(39)}' if n else 'NULL'})" for s, o, lb, b, m, d, n in REPORT) + ")"
+
+
+@query("results_report", f"""WITH b AS (SELECT l_returnflag AS run, unnest(['all', CASE WHEN l_suppkey % 4 = 0 THEN 'held' ELSE 'trained' END]) AS block, * FROM lineitem), w AS (
+  SELECT run, block, avg(1 - l_discount) AS mean_soft_iou, avg(CASE WHEN l_linestatus = 'O' THEN 1 - l_discount END) AS onscreen, count(*) AS lifespan_cells,
+         1 - avg(l_tax) AS lifespan_accuracy, count(*) FILTER (l_linestatus = 'O') AS frames_onscreen, count(*) FILTER (l_linestatus <> 'O') AS frames_offscreen FROM b GROUP BY ALL), l AS (
+  SELECT run, block, unnest(['mean_soft_iou', 'onscreen', 'lifespan_cells', 'lifespan_accuracy', 'frames_onscreen', 'frames_offscreen']) AS metric,
+         unnest([mean_soft_iou, onscreen, lifespan_cells, lifespan_accuracy, frames_onscreen, frames_offscreen]::DOUBLE[]) AS value FROM w), agg AS (
+  SELECT block, metric, avg(value) AS m, max(value) - min(value) AS s FROM l WHERE value IS NOT NULL GROUP BY ALL), {REPORT_SQL}
+SELECT section, ordinal, label, coalesce(CASE decimals WHEN 4 THEN printf('%.4f', m) ELSE printf('%.3f', m) END, '--') AS value,
+  coalesce(CASE decimals WHEN 4 THEN printf('%.4f', s) ELSE printf('%.3f', s) END, '') AS spread
+FROM layout y LEFT JOIN agg a ON a.block = y.block AND a.metric = y.metric WHERE needs IS NULL OR EXISTS (SELECT 1 FROM agg n WHERE n.block = y.block AND n.metric = y.needs)
+UNION ALL SELECT 'FRAMES', 1, 'on screen / layer absent', printf('%.0f / %.0f', o.m, f.m), printf('%.1f', 100 * f.m / (o.m + f.m)) || '%'
+  FROM (SELECT m FROM agg WHERE block = 'all' AND metric = 'frames_onscreen') o, (SELECT m FROM agg WHERE block = 'all' AND metric = 'frames_offscreen') f
+UNION ALL SELECT 'HELD-OUT SHOTS', CAST(row_number() OVER (ORDER BY shot) AS INTEGER), shot, els, '' FROM (
+  SELECT 'shot' || s_nationkey AS shot, string_agg('e' || s_suppkey, ', ' ORDER BY 'e' || s_suppkey) AS els FROM supplier WHERE s_suppkey % 4 = 0 GROUP BY 1)""")
+def results_report(spark, sf):
+    """A report by blocks: a lifespan section that is there, a point-count section that is not, frames and held-out shots."""
+    li = load(spark, sf, "lineitem").withColumn("block", F.explode(F.expr("array('all', CASE WHEN l_suppkey % 4 = 0 THEN 'held' ELSE 'trained' END)")))
+    wide = li.groupBy(F.col("l_returnflag").alias("run"), "block").agg(*[F.expr(e) for e in (
+        "avg(1 - l_discount) AS mean_soft_iou", "avg(CASE WHEN l_linestatus = 'O' THEN 1 - l_discount END) AS onscreen", "count(1) AS lifespan_cells",
+        "1 - avg(l_tax) AS lifespan_accuracy", "count_if(l_linestatus = 'O') AS frames_onscreen", "count_if(l_linestatus <> 'O') AS frames_offscreen")])
+    long = S.long_metrics(wide, ["run", "block"], ["mean_soft_iou", "onscreen", "lifespan_cells", "lifespan_accuracy", "frames_onscreen", "frames_offscreen"])
+    layout = spark.createDataFrame(REPORT, "section string, ordinal int, label string, block string, metric string, decimals int, needs string")
+    held = load(spark, sf, "supplier").where("s_suppkey % 4 = 0").selectExpr("concat('shot', s_nationkey) AS shot", "concat('e', s_suppkey) AS element_id")
+    return S.results_report(long, layout, held)
+
+
 @query("compare_runs", f"""WITH {SEEDS}, now AS (
   SELECT metric, avg(value) AS now, max(value) - min(value) AS spread FROM long WHERE attempt = 'O' GROUP BY 1),
 prev AS (SELECT metric, avg(value) AS was FROM long WHERE attempt = 'F' GROUP BY 1),

@@ -285,19 +285,9 @@ def project_files(spark, sf, n=4):
 @query("project_ingest", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(round(100 * x::DOUBLE) AS INTEGER)) AS v
   FROM embeddings WHERE vec_id % 10 <> 7)
 SELECT CAST(vec_id AS VARCHAR) AS path, '0' AS node_id, 'opacity' AS track, label AS frame, 'linear' AS interp, 1 AS n_points, (vec_id % 101)::DOUBLE AS total FROM e
-UNION ALL SELECT CAST(vec_id AS VARCHAR), '0/0', 'path', 5, 'hold', 4, list_sum(v[1:8])::DOUBLE FROM e
-UNION ALL SELECT CAST(vec_id AS VARCHAR), '0/0', 'path', 1, 'hold', 4, list_sum(v[9:16])::DOUBLE FROM e""")
-def project_ingest(spark, sf):
-    keys = projects.ingest_projects(projects.parse_projects(project_files(spark, sf)))["keys"]
-    return keys.selectExpr("path", "node_id", "track", "frame", "interp", "n_points", "aggregate(value, 0D, (a, x) -> a + x) AS total")
-
-
-@query("project_ingest_all", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(round(100 * x::DOUBLE) AS INTEGER)) AS v
-  FROM embeddings WHERE vec_id % 10 <> 7)
-SELECT CAST(vec_id AS VARCHAR) AS path, '0' AS node_id, 'opacity' AS track, label AS frame, 'linear' AS interp, 1 AS n_points, (vec_id % 101)::DOUBLE AS total FROM e
 UNION ALL SELECT CAST(vec_id AS VARCHAR), '0/0', 'path', 5, 'hold', 16, list_sum(v[1:32])::DOUBLE FROM e
-UNION ALL SELECT CAST(vec_id AS VARCHAR), '0/0', 'path', 1, 'hold', 16, list_sum(v[33:64])::DOUBLE FROM e""")
-def project_ingest_all(spark, sf):
+UNION ALL SELECT CAST(vec_id AS VARCHAR), '0/0', 'path', 1, 'hold', 16, list_sum(v[33:64])::DOUBLE FROM e""", also="project_ingest_all")
+def project_ingest(spark, sf):
     """Whole vectors: all 32 points over the two outlines."""
     keys = projects.ingest_projects(projects.parse_projects(project_files(spark, sf, 16)))["keys"]
     return keys.selectExpr("path", "node_id", "track", "frame", "interp", "n_points", "aggregate(value, 0D, (a, x) -> a + x) AS total")

@@ -51,6 +51,19 @@ POINTS_SQL = """points AS (
   FROM embeddings, range(32) r(i))"""
 
 
+HALVES_SQL = f"""{POINTS_SQL}, halves AS (
+  SELECT vec_id * 2 + part AS vec_id, label, point_idx - part * k AS idx, CAST(CASE part WHEN 0 THEN k ELSE 32 - k END AS INTEGER) AS n, x, y
+  FROM (SELECT *, CASE WHEN point_idx < k THEN 0 ELSE 1 END AS part FROM (
+    SELECT *, CAST(CASE WHEN vec_id % 29 > 24 THEN 32 ELSE 4 + vec_id % 29 END AS INTEGER) AS k FROM points)))"""
+
+
+def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(vec_id, label, idx, n, x, y)``: the points of each vector as two outlines, 2 * id and 2 * id + 1, of 4 to 32 points in all sizes."""
+    p = points(spark, sf_dir).withColumn("k", F.expr("CAST(CASE WHEN vec_id % 29 > 24 THEN 32 ELSE 4 + vec_id % 29 END AS INT)"))
+    p = p.withColumn("part", F.expr("CASE WHEN point_idx < k THEN 0 ELSE 1 END"))
+    return p.selectExpr("vec_id * 2 + part AS vec_id", "label", "point_idx - part * k AS idx", "CASE part WHEN 0 THEN k ELSE 32 - k END AS n", "x", "y")
+
+
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(side, frame, y, x, cov)``: two sparse coverage tables, zero pixels absent."""
     li = load(spark, sf_dir, "lineitem")
