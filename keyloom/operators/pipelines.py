@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.ordered import chunk_id, positions, stencil
+from ..functions.ordered import chunk_id, positions
 from . import geometry, lifespans, tracks
 from .simplify import refit, simplify
 
@@ -54,6 +58,9 @@ def rebuild(points: DataFrame, artist_keys: DataFrame, by: Sequence[str], tol: f
     return timed.join(xs, [*by, "frame"]).join(ys, [*by, "frame"])
 
 
+# The counting function travels with the job, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PAD_FRAME = -32768
 
 
@@ -79,37 +86,91 @@ def assemble_program(shapes: DataFrame, template_keys: DataFrame, pred_keys: Dat
     return path.unionByName(life).join(ok.where("_ok"), "element_id").drop("_ok")
 
 
+def _chunk_counts(pairs: list[tuple[float, float]], widest: int, by: list[str]):
+    """What one chunk of a track contributes to each threshold pair, for both states it may be entered in."""
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        frame, p = pdf["frame"].to_numpy(np.int64), pdf["p"].to_numpy(float)
+        truth = pdf["truth"].fillna(False).to_numpy(bool)
+        n, place, seen = len(pdf), np.arange(len(pdf)), np.concatenate([[0], np.cumsum(truth)])
+        rows = []
+        for k, (on, off) in enumerate(pairs):
+            up = p > on
+            told = np.maximum.accumulate(np.where(up | (p <= off), place, -1))
+            known = bool(up[told[-1]]) if told[-1] >= 0 else None
+            for entry in (False, True):
+                live = np.where(told >= 0, up[told], entry)
+                at = np.flatnonzero(live)
+                lo, hi = at[:-1], at[1:]
+                inner = (hi - lo > 1) & (frame[hi] - frame[lo] - 1 < widest)
+                lo, hi = lo[inner], hi[inner]
+                first, last = (int(at[0]), int(at[-1])) if len(at) else (None, None)
+                rows.append({
+                    "pair": k, "entry": entry, "known": known, "n": n, "tp": int((live & truth).sum()), "fp": int((live & ~truth).sum()),
+                    "truth": int(seen[-1]), "turns": int((live[1:] != live[:-1]).sum()), "truth_turns": int((truth[1:] != truth[:-1]).sum()),
+                    "enters": bool(live[0]), "leaves": bool(live[-1]), "truth_enters": bool(truth[0]), "truth_leaves": bool(truth[-1]),
+                    "first_live": None if first is None else int(frame[first]), "lead": None if first is None else [first, int(seen[first])],
+                    "last_live": None if last is None else int(frame[last]), "trail": None if last is None else [n - 1 - last, int(seen[-1] - seen[last + 1])],
+                    "gaps": [{"len": int(x), "rows": int(r), "hits": int(h)} for x, r, h in zip(frame[hi] - frame[lo] - 1, hi - lo - 1, seen[hi] - seen[lo + 1])]})
+        out = pd.DataFrame(rows)
+        out["known"] = out["known"].astype("boolean")
+        out["first_live"], out["last_live"] = out["first_live"].astype("Int64"), out["last_live"].astype("Int64")
+        for c in ["_chunk", *reversed(by)]:
+            out.insert(0, c, pdf[c].iloc[0])
+        return out
+    return count
+
+
+COUNTS = ("pair int, entry boolean, known boolean, n long, tp long, fp long, truth long, turns long, truth_turns long, enters boolean, leaves boolean, "
+          "truth_enters boolean, truth_leaves boolean, first_live long, lead array<long>, last_live long, trail array<long>, "
+          "gaps array<struct<len: long, rows: long, hits: long>>")
+
+
 def sweep(cells: DataFrame, by: Sequence[str], grid: DataFrame, prob: str = "p", truth: str = "truth",
           size: int = 65536) -> DataFrame:
     """Decode the same probabilities under every (on, off, gap) and score each cell of the grid.
 
-    ``grid`` is the small parameter table; off above on is not a cell. Cells of the grid are columns, so
-    the rows are shuffled once per step whatever the grid's size, and a threshold pair is decoded once for
-    all its gaps. Gaps are measured to the live frames on both sides, however far those are.
+    ``grid`` is the small parameter table; off above on is not a cell. Rows are shuffled once. Every chunk of a track counts hits,
+    turns and gaps for each pair of thresholds; chunks are joined by what they were entered and left in, and all
+    gap lengths are answered from the counts of gaps by length. So the plan does not depend on the grid, and a row is looked at
+    once per pair. Gaps are measured to the live frames on both sides, however far those are.
     """
-    from ..functions.ordered import last_known
+    by = list(by)
+    spark = cells.sparkSession
     points = sorted({(float(r[0]), float(r[1]), int(r[2])) for r in grid.where("off <= on").select("on", "off", "gap").collect()})
     if not points:
-        return cells.sparkSession.createDataFrame([], "on double, off double, gap int, cells long, accuracy double, fp_rate double, "
-                                                  "fn_rate double, transition_ratio double")
+        return spark.createDataFrame([], "on double, off double, gap int, cells long, accuracy double, fp_rate double, "
+                                         "fn_rate double, transition_ratio double")
     pairs = sorted({p[:2] for p in points})
-    states = {f"_s{i}": F.expr(f"CASE WHEN {prob} > {on}D THEN true WHEN {prob} <= {off}D THEN false END") for i, (on, off) in enumerate(pairs)}
-    keep = [*by, "frame", truth]
-    live = last_known(cells.select(*by, "frame", prob, truth), by, "frame", states, size, keep=keep).select(
-        *keep, *[F.coalesce(s, F.lit(False)).alias(f"_l{s[2:]}") for s in states])
-    lives = [f"_l{i}" for i in range(len(pairs))]
-    at = lambda way: {f"_{way}{i}": F.when(F.col(n), F.col("frame")) for i, n in enumerate(lives)}
-    near = last_known(live, by, "frame", at("p"), size, keep=[*keep, *lives])
-    near = last_known(near, by, "frame", at("n"), size, backward=True, keep=[*keep, *lives, *at("p")])
-    closed = near.select(*keep, *[
-        F.expr(f"_l{i} OR coalesce({gap} > 1 AND _n{i} - _p{i} - 1 < {gap}, false)").alias(f"_d{k}")
-        for k, (on, off, gap) in enumerate(points) for i in [pairs.index((on, off))]])
-    marks = [truth, *[f"_d{k}" for k in range(len(points))]]
-    st = stencil(closed, by, "frame", {f"_b_{m}": lambda w, m=m: F.lag(m).over(w) for m in marks}, 1, size)
-    one = st.agg(F.expr("count(1) AS cells"), *[F.expr(
-        f"struct({on}D AS on, {off}D AS off, {gap} AS gap, count_if(_d{k} = {truth}) / count(1) AS accuracy, "
-        f"count_if(_d{k} AND NOT {truth}) / count(1) AS fp_rate, count_if(NOT _d{k} AND {truth}) / count(1) AS fn_rate, "
-        f"count_if(_d{k} <> _b__d{k}) / greatest(1, count_if({truth} <> _b_{truth})) AS transition_ratio)").alias(f"_c{k}")
-        for k, (on, off, gap) in enumerate(points)])
-    rows = one.where("cells > 0").select("cells", F.explode(F.array(*[f"_c{k}" for k in range(len(points))])).alias("c"))
-    return rows.select("c.on", "c.off", "c.gap", "cells", "c.accuracy", "c.fp_rate", "c.fn_rate", "c.transition_ratio")
+    asked = spark.createDataFrame([(*p, pairs.index(p[:2])) for p in points], "on double, off double, gap int, pair int")
+    rows = cells.select(*by, F.col("frame").cast("long").alias("frame"), F.col(prob).cast("double").alias("p"), F.col(truth).alias("truth"),
+                        chunk_id("frame", size).alias("_chunk"))
+    types = dict(rows.dtypes)
+    ddl = ", ".join([*[f"{k} {types[k]}" for k in by], "_chunk long", COUNTS])
+    counts = rows.groupBy(*by, "_chunk").applyInPandas(_chunk_counts(pairs, max(p[2] for p in points), by), ddl)
+    track = Window.partitionBy(*by, "pair").orderBy("_chunk")
+    before = track.rowsBetween(Window.unboundedPreceding, -1)
+    # Both variants of a chunk tell the same ``known``, so the state it is entered in is that of the chunks before.
+    earlier = Window.partitionBy(*by, "pair").orderBy("_chunk").rangeBetween(Window.unboundedPreceding, -1)
+    told = counts.withColumn("_in", F.coalesce(F.last("known", ignorenulls=True).over(earlier), F.lit(False))).where("entry = _in")
+    seen = told.withColumns({"_n": F.coalesce(F.sum("n").over(before), F.lit(0)), "_t": F.coalesce(F.sum("truth").over(before), F.lit(0))})
+    left = F.when(F.col("last_live").isNotNull(), F.struct(
+        F.col("last_live").alias("frame"), (F.col("_n") + F.col("n") - F.col("trail")[0]).alias("n"), (F.col("_t") + F.col("truth") - F.col("trail")[1]).alias("t")))
+    seen = seen.withColumn("_left", left).withColumn("_before", F.last("_left", ignorenulls=True).over(before))
+    seen = seen.withColumns({c: F.lag(v).over(track) for c, v in (("_was", "leaves"), ("_truth_was", "truth_leaves"))})
+    gap = F.when(F.col("first_live").isNotNull() & F.col("_before").isNotNull(), F.array(F.struct(
+        (F.col("first_live") - F.col("_before.frame") - 1).alias("len"), (F.col("_n") + F.col("lead")[0] - F.col("_before.n")).alias("rows"),
+        (F.col("_t") + F.col("lead")[1] - F.col("_before.t")).alias("hits"))))
+    seen = seen.withColumn("gaps", F.concat("gaps", F.coalesce(gap, F.slice("gaps", 1, 0))))
+    base = seen.groupBy("pair").agg(
+        F.expr("sum(n) AS cells"), F.expr("sum(tp) AS tp"), F.expr("sum(fp) AS fp"), F.expr("sum(truth) AS truth"),
+        F.expr("sum(turns + IF(_was <> enters, 1, 0)) AS turns"), F.expr("sum(truth_turns + IF(_truth_was <> truth_enters, 1, 0)) AS truth_turns"))
+    lengths = seen.select("pair", F.explode("gaps").alias("g")).where("g.rows > 0").groupBy("pair", "g.len").agg(
+        F.expr("count(1) AS closed"), F.expr("sum(g.rows) AS rows"), F.expr("sum(g.hits) AS hits"))
+    # Both sides have at most one row per cell of the grid and gap length below its widest.
+    filled = asked.join(lengths, "pair").where("gap > 1 AND len < gap").groupBy("on", "off", "gap").agg(
+        *[F.sum(c).alias(c) for c in ("closed", "rows", "hits")])
+    out = asked.join(base, "pair").join(filled, ["on", "off", "gap"], "left").na.fill(0, ["closed", "rows", "hits"])
+    return out.select("on", "off", "gap", "cells", F.expr("(cells - truth - fp + tp + 2 * hits - rows) / cells AS accuracy"),
+                      F.expr("(fp + rows - hits) / cells AS fp_rate"), F.expr("(truth - tp - hits) / cells AS fn_rate"),
+                      F.expr("(turns - 2 * closed) / greatest(1, truth_turns) AS transition_ratio"))
