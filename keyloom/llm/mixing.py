@@ -21,7 +21,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .shared import stored
+from .shared import column, stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -91,42 +91,34 @@ def few(df: DataFrame) -> DataFrame:
 def with_repeats(docs: DataFrame, seed: int = 17, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = 3,
                  id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                  keep_columns: bool = False) -> DataFrame:
-    """doc_id, size, source_size, target, repeats per document (with ``keep_columns``: the input's columns first)."""
+    """row (the id; with ``keep_columns`` a struct of all columns), size, source_size, target, repeats per document."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    own = {"__source": F.col(source_col), "__size": F.regexp_count(text, F.lit(WORD)).cast("long"),
-           "__key": order_key(F.col(id_col), seed), "__digest": F.md5(text)}
-    named = [c.alias(n) for n, c in own.items()]
-    sized = stored(docs.select(*[c.alias(n[2:]) for n, c in own.items()]), "sized")
-    plan = few(mixing_plan(sized, weights, max_epochs))
-    kept = docs.columns if keep_columns else []
-    rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(id_col).cast("long").alias("__id"), *named)
-    rank = F.struct(F.col("__key").alias("key"), F.col("__size").alias("size"), F.col("__digest").alias("digest"))
-    plan = plan.select(*[F.col(c).alias(f"__p_{c}") for c in plan.columns])
-    joined = rows.join(plan, F.col("__source").eqNullSafe(F.col("__p_source")))
+    own = {"source": F.col(source_col), "size": F.regexp_count(text, F.lit(WORD)).cast("long"),
+           "key": order_key(F.col(id_col), seed), "digest": F.md5(text)}
+    named = F.struct(*[c.alias(n) for n, c in own.items()]).alias("own")
+    sized = stored(docs.select(named).select("own.*"), "sized")
+    plan = few(mixing_plan(sized, weights, max_epochs).select(F.struct("*").alias("plan")))
+    # The input's columns travel inside one column, so their names meet no others.
+    row = F.struct(*[column(c) for c in docs.columns]) if keep_columns else F.col(id_col).cast("long")
+    joined = docs.select(row.alias("row"), named).join(plan, F.col("own.source").eqNullSafe(F.col("plan.source")))
+    rank = F.struct("own.key", "own.size", "own.digest")
     # Without a document at or below the cut in its bucket, the earlier buckets still get their extra one.
-    extra = F.when(F.col("__p_bucket").isNull(), F.lit(False)).when(
-        F.substring("__key", 1, 4) < F.col("__p_bucket"), F.lit(True)).otherwise(
-        F.coalesce(rank <= F.col("__p_last"), F.lit(False)))
-    repeats = (F.col("__p_whole") + extra.cast("long")).alias("repeats")
-    if keep_columns:
-        # Where whole repetitions meet the target, a document without words gets no extra one either. ``mix`` follows its SQL there.
-        more = extra & (F.col("__p_target") > F.col("__p_whole") * F.col("__p_source_size"))
-        return joined.select(*[F.col(f"`{c}`") for c in kept], (F.col("__p_whole") + more.cast("long")).alias("__repeats"))
-    return joined.select(F.col("__id").alias("doc_id"), F.col("__size").alias("size"),
-                         F.col("__p_source_size").alias("source_size"), F.col("__p_target").alias("target"), repeats)
+    first = F.when(F.substring("own.key", 1, 4) < F.col("plan.bucket"), F.lit(True)).otherwise(F.coalesce(rank <= F.col("plan.last"), F.lit(False)))
+    # Where whole repetitions meet the target there is no extra one, and a document without words never needs it.
+    extra = (F.col("own.size") > 0) & (F.col("plan.target") > F.col("plan.whole") * F.col("plan.source_size")) & F.coalesce(first, F.lit(False))
+    return joined.select("row", "own.size", "plan.source_size", "plan.target", (F.col("plan.whole") + extra.cast("long")).alias("repeats"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken per document."""
+    """doc_id, size, source_size, target, taken and repeats per document."""
     return with_repeats(docs, **options).select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
+        F.col("row").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
 
 
 def expand(docs: DataFrame, **options) -> DataFrame:
     """The mixed table itself: every document as often as the mix takes it, with its own columns."""
-    rows = with_repeats(docs, keep_columns=True, **options)
-    copies = F.explode(F.sequence(F.lit(1), F.col("__repeats"))).alias("__copy")
-    return rows.where(F.col("__repeats") > 0).select(*[F.col(f"`{c}`") for c in docs.columns], copies).drop("__copy")
+    rows = with_repeats(docs, keep_columns=True, **options).where(F.col("repeats") > 0)
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select("row.*")
 
 
 ORACLE = r"""
@@ -157,7 +149,7 @@ placed AS (
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM sized s JOIN plan p ON s.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       CAST(size * (whole + CASE WHEN source_size > 0 AND before + size / 2.0::DOUBLE <= extra THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-       CAST(whole + CASE WHEN source_size > 0 AND before + size / 2.0::DOUBLE <= extra THEN 1 ELSE 0 END AS BIGINT) AS repeats
+       CAST(size * (whole + CASE WHEN size > 0 AND extra > 0 AND before + size / 2.0::DOUBLE <= extra THEN 1 ELSE 0 END) AS BIGINT) AS taken,
+       CAST(whole + CASE WHEN size > 0 AND extra > 0 AND before + size / 2.0::DOUBLE <= extra THEN 1 ELSE 0 END AS BIGINT) AS repeats
 FROM placed
 """
