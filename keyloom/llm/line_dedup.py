@@ -21,13 +21,14 @@ table gives an empty table.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import WHITE, slices, stored
+from .shared import WHITE, attach, column, slices, stored
 
 MIN_CHARS, MIN_DOCS = 20, 3
 FILTER_BITS = 1 << 27
@@ -96,9 +97,8 @@ def twice_filter(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
                 keys = [k for t in part.column("text").to_pylist() for k in text_keys(t, min_chars)]
                 if keys:
                     own.add(hashes(keys))
-        rows = list(own.blocks())
-        for i in range(0, len(rows), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 256]), kinds)], names=names)
+        for rows in itertools.batched(own.blocks(), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -110,9 +110,8 @@ def twice_filter(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
                 i, o = np.frombuffer(at, "<u2"), np.frombuffer(once, np.uint64)
                 all_twice[i] |= np.frombuffer(twice, np.uint64) | (all_once[i] & o)
                 all_once[i] |= o
-        rows = [(b, t.tobytes()) for b, (_, t) in held.items() if t.any()]
-        for i in range(0, len(rows), 256):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i:i + 256]), (pa.int32(), pa.binary()))],
+        for rows in itertools.batched(((b, t.tobytes()) for b, (_, t) in held.items() if t.any()), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))],
                                              names=["block", "twice"])
 
     names, kinds = ["block", "at", "once", "twice"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -146,9 +145,10 @@ def repeated_keys(rows: DataFrame, filter_bits: int, min_chars: int, min_docs: i
                                                   pa.array([keys[i] for i in hit], pa.binary())], names=["doc_id", "key"])
 
     suspects = stored(rows.mapInArrow(suspect, "doc_id long, key binary"), "suspects")
-    confirmed = (suspects.groupBy("key").agg(F.count_distinct("doc_id").alias("docs"), F.max("doc_id").alias("keeper"))
-                 .where(F.col("docs") >= min_docs).select("key", "keeper"))
-    lost = suspects.join(confirmed, "key").where(F.col("doc_id") != F.col("keeper"))
+    shared.unpersist()
+    confirmed = stored(suspects.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
+                       .where(F.col("n") >= min_docs), "confirmed")
+    lost = attach(suspects, confirmed, "key").where(F.col("doc_id") != F.col("fact.keeper"))
     return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))  # a document's own lines
 
 
@@ -161,7 +161,7 @@ def drop_lines(docs: DataFrame, filter_bits: int = FILTER_BITS, min_chars: int =
     with_id = docs.where(F.col(id_col).isNotNull())
     lost = repeated_keys(with_id.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")),
                          filter_bits, min_chars, min_docs)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("doc"),
+    rows = docs.select(F.struct(*[column(c) for c in docs.columns if c != text_col]).alias("doc"),
                        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     joined = rows.join(lost, "doc_id", "left")
 
@@ -185,9 +185,8 @@ def drop_lines(docs: DataFrame, filter_bits: int = FILTER_BITS, min_chars: int =
                      pa.array(digest, pa.string()), pa.array(kept, pa.binary())],
                     names=["doc", "n_lines", "n_dropped", "kept_sha256", "kept"])
 
-    kind = joined.schema["doc"].dataType.simpleString()
-    out = joined.select("doc", "text", "keys").mapInArrow(
-        cut, f"doc {kind}, n_lines long, n_dropped long, kept_sha256 string, kept binary")
+    found = T.StructType.fromDDL("n_lines long, n_dropped long, kept_sha256 string, kept binary")
+    out = joined.select("doc", "text", "keys").mapInArrow(cut, T.StructType([joined.schema["doc"], *found]))
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 

@@ -38,6 +38,8 @@ from .shared import keep, slices, stored
 PERCENT = 75
 MISS = 1e-4
 BLOCK = 256
+PAIRS = 1 << 15
+"""Pairs that a task holds before it hands them on; one stray's come on top."""
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -198,6 +200,9 @@ def strays_against_members(buckets: DataFrame, labels: DataFrame, hubs: DataFram
                             found.append(pair)
                         elif m > best.get(s[4], (-1,))[0]:
                             best[s[4]] = (m, *pair)
+                    if len(found) >= PAIRS:
+                        yield flush(found)
+                        found = []
             yield flush(found)
         yield flush([best_pair[1:] for best_pair in best.values()])
 

@@ -27,9 +27,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .shared import WHITE, keep, slices
+from .shared import WHITE, column, keep, slices
 
 # Frequent function words of each language.
 COMMON = {
@@ -120,14 +120,15 @@ def references(docs: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray | None
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
-                c, words = base_counts(text)
-                if fails_base(c):
-                    continue
-                lang = lang if lang in COMMON else OTHER
-                parts = [char_histogram(text.decode("utf-8", "replace")), word_histogram(words, c["n_words"], lang)]
-                vector = np.concatenate([np.rint(h * (PARTS / h.sum())).astype(np.int64) for h in parts if h is not None])
-                total[lang] = total.get(lang, 0) + vector
+            for part in slices(batch, "text"):
+                for text, lang in zip(part.column("text").to_pylist(), part.column("lang").to_pylist()):
+                    c, words = base_counts(text)
+                    if fails_base(c):
+                        continue
+                    lang = lang if lang in COMMON else OTHER
+                    own = [char_histogram(text.decode("utf-8", "replace")), word_histogram(words, c["n_words"], lang)]
+                    vector = np.concatenate([np.rint(h * (PARTS / h.sum())).astype(np.int64) for h in own if h is not None])
+                    total[lang] = total.get(lang, 0) + vector
         rows = [(g, i, int(v)) for g, t in total.items() for i, v in enumerate(t)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int64()))],
                                          names=["lang", "place", "parts"])
@@ -189,7 +190,7 @@ def judge(docs: DataFrame, char_limit: float = CHAR_LIMIT, word_share: float = W
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance",
              "word_distance", "kept"]
     types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.float64(), pa.bool_()]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), text, lang)
-    kind = rows.schema["doc"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc {kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-                           "n_repeat_words long, base_failed boolean, char_distance double, word_distance double, kept boolean")
+    rows = docs.select(F.struct(*[column(c) for c in docs.columns]).alias("doc"), text, lang)
+    found = T.StructType.fromDDL("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+                                 "base_failed boolean, char_distance double, word_distance double, kept boolean")
+    return rows.mapInArrow(run, T.StructType([rows.schema["doc"], *found]))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import tempfile
+import time
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,7 +12,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 WHITE = b" \t\n\x0b\x0c\r"
 """The white space of every word and line rule here: U+0020 and U+0009 to U+000D."""
@@ -34,6 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/keyloom-llm-{uuid.uuid4().hex}"
 
 
+def column(name: str) -> Column:
+    """A column of any name."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
@@ -42,16 +48,25 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def worker_cache() -> dict[Any, Any]:
-    """Objects that a reused Python worker keeps between tasks (loaded vocabularies, word caches)."""
+IDLE = 20.0
+
+
+def worker_cache() -> dict[Any, list]:
+    """Objects that a reused Python worker keeps between tasks (loaded vocabularies, word tables), each with the time of its last use."""
     return sys.modules.setdefault("_keyloom_worker", types.ModuleType("_keyloom_worker")).__dict__.setdefault("kept", {})
 
 
 def keep(key: Any, make: Callable[[], Any]) -> Any:
-    kept = worker_cache()
+    """The object of this key, made at its first use. Others that no task asked for in ``IDLE`` seconds are let go, so
+    that what one operator loaded does not stay in memory while the next one runs."""
+    kept, now = worker_cache(), time.monotonic()
     if key not in kept:
-        kept[key] = make()
-    return kept[key]
+        kept[key] = [make(), now]
+    kept[key][1] = now
+    if any(now - used > IDLE for _, used in kept.values()):
+        for other in [k for k, (_, used) in kept.items() if now - used > IDLE]:
+            del kept[other]
+    return kept[key][0]
 
 
 class Kept(dict):
@@ -66,11 +81,14 @@ class Kept(dict):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def put(self, key: Any, value: Any) -> None:
         if len(self) >= self.size:
             self.old = dict(self)
             self.clear()
         self[key] = value
-        return value
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
