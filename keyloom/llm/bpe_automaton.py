@@ -10,7 +10,8 @@ one state per merge. ``read`` reads a transition from the gadgets; ``allows`` ke
 **Encoding.** A word's symbols are matched against the token trie, longest token first, along arcs
 the automaton has. Every prefix of a word has one accepted path only, so each position is visited at
 most once. Words come from the vocabulary file's own normalisation and split (NFC, white space to
-space, per-character lower case; special tokens first), and recent results are kept in a bounded table.
+space, per-character lower case; special tokens first): by the same expression where a stretch is Latin script, by the
+library where it is not, as the two know different versions of Unicode. Recent results are kept in bounded tables.
 
 **Decoding.** The labels of the ids' arcs, joined as ``decode(ids, skip_special_tokens=False)`` does
 for a file without decoder: with single spaces.
@@ -32,7 +33,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import Kept, keep, slices
 
-KEPT = 250_000
+KEPT = 150_000
+"""Entries of a table of recent words, in each of two generations."""
+LATIN = "\u0250"
 
 
 def byte_symbols() -> list[str]:
@@ -111,28 +114,28 @@ class Tokenizer:
         self.auto = Automaton(base, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
-        self.sym = {bytes([i]).decode("latin-1"): s for i, s in enumerate(sym)}
+        self.sym = {chr(i): s for i, s in enumerate(sym)}
         self.labels = np.empty(max([*vocab.values(), *self.special.values()]) + 1, object)
         for s, i in [*vocab.items(), *self.special.items()]:
             self.labels[i] = s.encode()
-        # Two tries as tables of string to id: tokens inside a word, and tokens that end it.
+        # A trie as a table of prefixes: the ids of the token that is this prefix inside a word, and of the one that ends a word with it.
         e = len(self.end)
         usable = [(s, i) for s, i in vocab.items() if i in self.auto.born]
-        self.inner = {s: i for s, i in usable if not s.endswith(self.end)}
-        self.final = {s[:-e]: i for s, i in usable if s.endswith(self.end)}
-        self.longest = max(map(len, [*self.inner, *self.final]))
-        self.prefixes = {s[:k] for s in [*self.inner, *self.final] for k in range(1, len(s) + 1)}
+        inner = {s: i for s, i in usable if not s.endswith(self.end)}
+        final = {s[:-e]: i for s, i in usable if s.endswith(self.end)}
+        self.trie = {p: (inner.get(p), final.get(p)) for p in {s[:k] for s in [*inner, *final] for k in range(1, len(s) + 1)}}
         self.words = Kept(KEPT, lambda w: self.word("".join(map(self.sym.__getitem__, w.encode().decode("latin-1")))))
+        self.symbols = Kept(KEPT, self.word)
         self.pieces = Kept(KEPT, self.piece)
 
     def _arcs(self, word: str, at: int) -> list[tuple[int, int]]:
         """Tokens that match at a position as (next position, id), the longest last."""
-        out, n = [], len(word)
+        out, n, find = [], len(word), self.trie.get
         for to in range(at + 1, n + 1):
-            s = word[at:to]
-            if s not in self.prefixes:
+            ids = find(word[at:to])
+            if ids is None:
                 break
-            i = (self.final if to == n else self.inner).get(s)
+            i = ids[to == n]
             if i is not None:
                 out.append((to, i))
         return out
@@ -164,9 +167,16 @@ class Tokenizer:
 
     def plain(self, text: str) -> list[int]:
         """Ids of a stretch without special tokens."""
-        # Lower case is taken per character, as the vocabulary file's rule does: a final sigma stays a plain one.
-        text = "".join(map(str.lower, unicodedata.normalize("NFC", text))) if not text.isascii() else text.lower()
-        return [i for w in self.split.findall(text) for i in self.words[w]]
+        if text.isascii() or max(text) < LATIN:
+            # Lower case is taken per character, as the vocabulary file's rule does.
+            text = text.lower() if text.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+            return [i for w in self.split.findall(text) for i in self.words[w]]
+        # Which code points are letters and how they are folded is the library's own matter beyond Latin script.
+        if self.library is None:
+            import tokenizers
+            self.library = tokenizers.Tokenizer.from_file(self.path)
+        folded = self.library.normalizer.normalize_str(text)
+        return [i for w, _ in self.library.pre_tokenizer.pre_tokenize_str(folded) for i in self.symbols[w]]
 
     def piece(self, piece: str) -> bytes:
         ids: list[int] = []
