@@ -17,7 +17,6 @@ are all kept, ordered by text; an empty table gives empty files; other columns a
 
 from __future__ import annotations
 
-import array
 import json
 import os
 import re
@@ -35,7 +34,7 @@ from .shared import Kept, keep, slices
 BLOCK = 64
 SEGMENT_IDS = 1 << 18
 CACHED = 300_000
-LATIN = "\u0250"
+JOINED = 1000
 
 SEGMENTS = ("part int, seg int, n_docs int, n_ids long, before long, doc_ids array<bigint>, id_bytes int, "
             "ids binary, low_bits int, low binary, high binary, picks binary")
@@ -103,16 +102,15 @@ _CUT = re.compile(r"(?= \S)")
 
 
 class Encoder:
-    """``tokenizers`` with bounded tables of chunks and words.
+    """``tokenizers`` with a bounded table of chunks.
 
     A byte-level pre-tokenizer without prefix space always starts a new piece at a space that a
-    non-space follows, so a text is the chunks between such spaces, one after the other. A chunk of Latin
-    script is split as the pre-tokenizer does and its words go to the library's BPE model; other
-    chunks, texts with a special token's string, and vocabularies of another kind are encoded whole.
+    non-space follows, so a text is the chunks between such spaces, one after the other. Chunks that the table lacks
+    are encoded by the library many at a time, joined by spaces; in the ids, a chunk begins where a token
+    begins with a space. Texts with a special token's string and vocabularies of another kind are encoded whole.
     """
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tok = Tokenizer.from_file(path)
@@ -126,42 +124,44 @@ class Encoder:
                          and not pre.get("add_prefix_space") and model["type"] == "BPE" and not model.get("dropout") and not any(
                              t.get("lstrip") or t.get("rstrip") or t.get("single_word") or " " in t["content"]
                              for t in spec.get("added_tokens", [])))
-        self.kind = "H" if self.dtype == "<u2" else "I"
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        # The pre-tokenizer's pattern, and the characters that stand for bytes.
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-        self.signs = dict(enumerate(byte_symbols()))
-        self.model = self.tok.model
-        self.words = Kept(CACHED, self.word)
+        space = byte_symbols()[32]
+        self.begins = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
+        self.begins[[i for t, i in self.tok.get_vocab().items() if t.startswith(space)]] = True
         self.chunks = Kept(CACHED, self.chunk)
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def word(self, word: str) -> bytes:
-        signs = word.encode().decode("latin-1").translate(self.signs)
-        return array.array(self.kind, [t.id for t in self.model.tokenize(signs)]).tobytes()
-
     def chunk(self, chunk: str) -> bytes | None:
         """Ids of a chunk given without its space; None where a space before it is no sure boundary."""
-        if not chunk or chunk[0].isspace():
-            return None
-        if max(chunk) >= LATIN:
-            return self.whole([" " + chunk])[0]
-        return b"".join(map(self.words.__getitem__, self.split.findall(" " + chunk)))
+        return None if not chunk or chunk[0].isspace() else self.whole([" " + chunk])[0]
+
+    def learn(self, chunks: list[str]) -> None:
+        """Put chunks into the table, ``JOINED`` at a time."""
+        groups = [chunks[i:i + JOINED] for i in range(0, len(chunks), JOINED)]
+        width = np.dtype(self.dtype).itemsize
+        for group, ids in zip(groups, self.whole(["".join([" " + c for c in g]) for g in groups])):
+            at = np.flatnonzero(self.begins[np.frombuffer(ids, self.dtype)])
+            if len(at) == len(group):
+                cuts = (np.append(at, len(ids) // width) * width).tolist()
+                for chunk, i, j in zip(group, cuts, cuts[1:]):
+                    self.chunks.put(chunk, ids[i:j])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
         if not self.by_chunk:
             return self.whole(texts)
+        parts = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
+        asked = set().union(*[p[1:] for p in parts if p])
+        self.learn([c for c in asked if c and not c[0].isspace() and c not in self.chunks and c not in self.chunks.old])
         out = []
-        for text in texts:
-            head, *rest = text.split(" ")
-            if any(s in text for s in self.special):
+        for text, own in zip(texts, parts):
+            if own is None:
                 out.append(self.whole([text])[0])
                 continue
             try:
-                out.append(self.whole([head])[0] + b"".join(map(self.chunks.__getitem__, rest)))
+                out.append(self.whole([own[0]])[0] + b"".join(map(self.chunks.__getitem__, own[1:])))
             except TypeError:
                 out.append(b"".join(self.whole(_CUT.split(text))))
         return out
