@@ -10,8 +10,12 @@ the same work as any other pages, and one small row each in the shuffle.
 
 The wrapper tells where a host keeps its article: in ``article`` or ``main``, else in the deepest element that
 holds most of the text that differs between pages. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments are known by tag, role, class and id, and are left out inside and outside it. A
-page without that element is read by its own expression.
+scripts, styles and reader comments are known by tag, role, class and id, and are left out inside and outside it. A form, or an
+element whose name only contains such a word, is left out unless it holds more than half of the page's text (some pages are one form).
+A page without the host's element is read by its own expression, and, if that finds nothing, with whole names only.
+
+Html is read in one pass, and trees are ``DEEPEST`` levels deep at most: elements further down still end blocks and are still
+left out, but are no nodes of their own. Text of ``math`` and ``xmp`` is text.
 
 Blocks are joined by line feeds in page order; white space inside a block is one space; character references are
 decoded; line breaks count as white space. Null or empty html has no text; pages with a null url share a wrapper;
@@ -26,13 +30,14 @@ import html as entities
 import json
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import slices, stored
+from .shared import attach, slices, stored
 
 # Element names of HTML by role.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -48,84 +53,173 @@ MARKS = frozenset("ad ads advert adverts advertisement advertising adsense banne
                   "signup social sponsor sponsored subscribe toolbar widget".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
           "option": {"option"}}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|iframe|svg|math|object|xmp)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>"
-                   r".*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>",
-                   re.DOTALL | re.IGNORECASE)
+# Elements whose whole content is not page text; what they hold is not read as markup.
+RAW = {t: re.compile(rf"</{t}\s*>", re.IGNORECASE) for t in "script style noscript template iframe svg object".split()}
+PLAIN = {"xmp": re.compile(r"</xmp\s*>", re.IGNORECASE)}
+# Marks that no share of the page's text can lift: a long thread of comments stays a thread of comments.
+FIRM = frozenset("comment comments consent cookie cookies disqus recommended related replies reply respond".split())
+LIFTED = frozenset("has hide no non with without".split())
+"""Words that turn the mark after them into a statement about the page: no-comments, content-with-sidebar."""
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]++|\"[^\"]*+\"|'[^']*+')*+)>")
+DEEPEST = 120
+"""Levels of the tree; elements further down end a block like any other, but are no nodes of their own."""
+WIDEST = 256
+"""Parts of a wrapper's node; of more, those with the most text stay. It decides where the article lies, never what is read there."""
 # A name up to "=", "/" or white space, and its whole value: what stands inside a value is never a name.
 ATTRIBUTE = re.compile(r"([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 GROUP, SLOT = "()", "#"
 LONGEST_GROUP = 4
 
 
+SURE, MAYBE = 1, 2
+
+
 class Element:
     __slots__ = ("label", "skip", "parts")
 
-    def __init__(self, label: str, skip: bool):
+    def __init__(self, label: str, skip: int):
         self.label, self.skip, self.parts = label, skip, []
 
 
-def _marked(tag: str, rest: str, inside: bool) -> tuple[str, bool]:
-    """An element's label, and whether it is not of the article; ``inside`` an article, a header is its own."""
+def _named(name: str, exact: bool) -> int:
+    """How far a class or id marks what is not the article: a word of it does, unless the word before lifts that."""
+    words = [w for w in re.split(r"[^a-z0-9]+", name.lower()) if w]
+    if len(words) == 1:
+        return SURE if words[0] in MARKS else 0
+    hit = [w for before, w in zip(["", *words], words) if w in MARKS and before not in LIFTED]
+    return 0 if exact or not hit else SURE if FIRM.intersection(hit) else MAYBE
+
+
+def _marked(tag: str, rest: str, inside: bool, loose: bool = False) -> tuple[str, int]:
+    """An element's label, and whether it is not of the article: surely, or unless it holds most of the page's text.
+
+    ``inside`` an article, a header is its own. An article's own names mark it only if they are nothing but a mark; ``loose``
+    reads all elements so.
+    """
     found: dict[str, str] = {}
     if rest and not rest.isspace():
         for m in ATTRIBUTE.finditer(rest):
             found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     names = found.get("class", "").split()
-    words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower()))
-    top = not inside and (tag == "header" or "header" in words)
-    skip = tag not in ("html", "body") and (
-        tag in SKIPPED or top or bool(words & MARKS) or found.get("role", "").strip().lower() in ROLES or "hidden" in found)
-    return ".".join([tag, *names[:1]]), skip
+    label = ".".join([tag, *(re.sub(r"\d+", "0", n) for n in names[:1])])
+    if tag in ("html", "body"):
+        return label, 0
+    exact = loose or tag in ("article", "main")
+    skip = [_named(n, exact) for n in (*names, *found.get("id", "").split())]
+    if tag == "form":
+        skip.append(0 if loose else MAYBE)
+    if tag in SKIPPED and tag != "form" or found.get("role", "").strip().lower() in ROLES or "hidden" in found:
+        skip.append(SURE)
+    if not inside and (tag == "header" or any("header" in re.split(r"[^a-z0-9]+", n.lower()) for n in (*names, found.get("id", "")))):
+        skip.append(SURE)
+    return label, SURE if SURE in skip else max(skip, default=0)
+
+
+def tokens(html: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name or text, attributes) in page order: kind is text, open or close. One pass, whatever is left unclosed."""
+    at, n = 0, len(html)
+    last = html.rfind(">")
+    while at < n:
+        lt = html.find("<", at)
+        if lt < 0 or lt > last:
+            lt = n
+        if lt > at:
+            yield "text", html[at:lt], ""
+            at = lt
+            continue
+        follows = html[lt + 1:lt + 2]
+        if html.startswith("<!--", lt):
+            end = html.find("-->", lt + 4)
+            at = n if end < 0 else end + 3
+        elif follows in "!?":
+            at = html.find(">", lt) + 1
+        elif (m := TAG.match(html, lt)) or (follows.isalpha() or follows == "/" and html[lt + 2:lt + 3].isalpha()) and follows.isascii():
+            if m:
+                close, tag, rest, at = m[1], m[2].lower(), m[3], m.end()
+            else:  # an open quotation runs to the end: the tag ends where it can
+                at = html.find(">", lt) + 1
+                close, tag, rest = re.match(r"<(/?)([^\s/>]*)([^>]*)", html[lt:at]).groups()
+                tag = tag.lower()
+            if not close and tag in RAW:
+                end = RAW[tag].search(html, at)
+                at = end.end() if end else n
+            elif not close and tag in PLAIN:
+                end = PLAIN[tag].search(html, at)
+                yield "text", html[at:end.start() if end else n].replace("&", "&amp;"), ""
+                at = end.end() if end else n
+            else:
+                yield "close" if close else "open", tag, rest
+        else:
+            yield "text", "<", ""
+            at += 1
 
 
-def parse(html: str) -> Element:
+def parse(html: str, loose: bool = False) -> Element:
     """The tree of a page's block elements; inline markup is dropped and its text kept."""
-    root = Element("", False)
+    root = Element("", 0)
     stack: list[tuple[str, Element]] = [("", root)]
-    at = 0
+    is_open: Counter[str] = Counter()
 
-    def text(s: str) -> None:
-        if s:
-            stack[-1][1].parts.append(s)
+    def drop(to: int) -> None:
+        for tag, node in reversed(stack[to:]):
+            is_open[tag] -= 1
+            stack.pop()
+            if stack[-1][1] is node:  # no node of its own: it still ends a block
+                node.parts.append(Element("hr", 0))
 
-    for m in TOKEN.finditer(html):
-        text(html[at:m.start()])
-        at = m.end()
-        if m["tag"] is None:
+    for kind, tag, rest in tokens(html):
+        if kind == "text":
+            stack[-1][1].parts.append(tag)
             continue
-        tag = m["tag"].lower()
         if tag == "br":
-            text(" ")
+            stack[-1][1].parts.append(" ")
             continue
-        if m["end"]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+        if kind == "close":
+            if is_open[tag]:
+                drop(next(i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag))
             continue
-        inside = any(t in ("article", "main") for t, _ in stack)
-        label, skip = _marked(tag, m["rest"], inside)
+        label, skip = _marked(tag, rest, bool(is_open["article"] or is_open["main"]), loose)
         if tag not in BLOCKS and not skip:
             continue
-        if tag in VOID or m["rest"].endswith("/") and tag not in BLOCKS:
+        if tag in VOID or rest.endswith("/") and tag not in BLOCKS:
             if tag == "hr":
-                stack[-1][1].parts.append(Element("hr", False))
+                stack[-1][1].parts.append(Element("hr", 0))
             continue
         if tag in BLOCKS and stack[-1][0] == "p":
-            stack.pop()
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in CLOSES.get(tag, ()):
-                del stack[i:]
-                break
-            if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
-                break
+            drop(len(stack) - 1)
+        if any(is_open[t] for t in CLOSES.get(tag, ())):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i][0] in CLOSES[tag]:
+                    drop(i)
+                    break
+                if stack[i][0] in ("ul", "ol", "dl", "table", "select"):
+                    break
+        parent = stack[-1][1]
         node = Element(label, skip)
-        stack[-1][1].parts.append(node)
+        if len(stack) > DEEPEST and (not skip or parent.skip == SURE):
+            parent.parts.append(Element("hr", 0))
+            node = parent
+        else:
+            parent.parts.append(node)
         stack.append((tag, node))
-    text(html[at:])
+        is_open[tag] += 1
+    weigh(root)
     return root
 
 
+def weigh(root: Element) -> None:
+    """Elements that may not be of the article are of it if they hold more than half of the text that is not surely left out."""
+    order: list[Element] = [root]
+    for e in order:  # parents come before their parts
+        order.extend(p for p in e.parts if not isinstance(p, str) and p.skip != SURE)
+    held: dict[int, int] = {}
+    for e in reversed(order):
+        held[id(e)] = sum(len(p) - p.count(" ") if isinstance(p, str) else held.get(id(p), 0) for p in e.parts)
+    for e in order:
+        if e.skip == MAYBE:
+            e.skip = 0 if 2 * held[id(e)] > held[id(root)] else SURE
+
+
 def clean(pieces: list[str]) -> str:
     return " ".join(entities.unescape("".join(pieces)).split())
 
@@ -151,7 +245,7 @@ def expression(element: Element) -> list:
             flush()
             children.append(expression(part))
     flush()
-    return [element.label, "", 0, element.skip, fold(children)]
+    return [element.label, "", 0, bool(element.skip), fold(children)]
 
 
 def fold(children: list[list]) -> list[list]:
@@ -209,6 +303,9 @@ def align(a: list, b: list) -> list:
             else:
                 children.extend(optional(c) for c in (*mine[i:j], *other[k:l]))
         children = fold(children)
+    if len(children) > WIDEST:
+        rank = sorted(range(len(children)), key=lambda i: (-varying(children[i], True), i))
+        children = [children[i] for i in sorted(rank[:WIDEST])]
     return [a[0], mark, 0, a[3] and b[3], children]
 
 
@@ -287,6 +384,9 @@ def main_text(html: str, path: list[str] | None) -> str:
     got = blocks(root, path) if path is not None else None
     if not got:
         got = blocks(root, article_path(expression(root), 1))
+    if not got:  # names that merely contain a mark, or a form around everything, have hidden it all
+        root = parse(html, loose=True)
+        got = blocks(root, article_path(expression(root), 1))
     return "\n".join(got or [])
 
 
@@ -368,9 +468,15 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(text, pa.string()),
                                                   pa.array([len(t) for t in text], pa.int64())], names=names)
 
+    def hosted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            host = pa.array([host_of(u) for u in batch.column("url").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, host], names=[*batch.schema.names, "host"])
+
     out = "page_id long, url string, text string, n_chars long"
     if len(places) <= FEW_HOSTS:  # a bounded table of places travels with the tasks
         return rows.mapInArrow(extract, out)
     places = {}
-    host = F.udf(host_of, "string")
-    return rows.withColumn("host", host("url")).join(found, "host", "left").drop("host").mapInArrow(extract, out)
+    facts = stored(found.join(known.select("host", F.col("pages").alias("n")), "host"), "places")
+    named = stored(rows.mapInArrow(hosted, "page_id long, url string, html string, host string"), "hosts")
+    return attach(named, facts, "host").select("page_id", "url", "html", F.col("fact.path").alias("path")).mapInArrow(extract, out)
