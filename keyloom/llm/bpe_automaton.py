@@ -124,6 +124,7 @@ class Tokenizer:
         inner = {s: i for s, i in usable if not s.endswith(self.end)}
         final = {s[:-e]: i for s, i in usable if s.endswith(self.end)}
         self.trie = {p: (inner.get(p), final.get(p)) for p in {s[:k] for s in [*inner, *final] for k in range(1, len(s) + 1)}}
+        self.path, self.library = path, None
         self.words = Kept(KEPT, lambda w: self.word("".join(map(self.sym.__getitem__, w.encode().decode("latin-1")))))
         self.symbols = Kept(KEPT, self.word)
         self.pieces = Kept(KEPT, self.piece)
