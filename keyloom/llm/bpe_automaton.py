@@ -22,6 +22,7 @@ encoded each on its own; an empty table gives an empty table; other columns are
 
 from __future__ import annotations
 
+import array
 import hashlib
 import json
 import unicodedata
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .shared import Kept, keep, slices
 
-KEPT = 150_000
+KEPT = 250_000
 """Entries of a table of recent words, in each of two generations."""
 LATIN = "\u0250"
 
@@ -113,17 +114,22 @@ class Tokenizer:
         base = [vocab[s + e] for s in sym for e in ("", self.end) if s + e in vocab]
         self.auto = Automaton(base, [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges])
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if not all("<" in s for s in self.special):
+            raise ValueError("this vocabulary file has special tokens of another kind")
         self.special_cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         self.sym = {chr(i): s for i, s in enumerate(sym)}
         self.labels = np.empty(max([*vocab.values(), *self.special.values()]) + 1, object)
         for s, i in [*vocab.items(), *self.special.items()]:
             self.labels[i] = s.encode()
-        # A trie as a table of prefixes: the ids of the token that is this prefix inside a word, and of the one that ends a word with it.
-        e = len(self.end)
-        usable = [(s, i) for s, i in vocab.items() if i in self.auto.born]
-        inner = {s: i for s, i in usable if not s.endswith(self.end)}
-        final = {s[:-e]: i for s, i in usable if s.endswith(self.end)}
-        self.trie = {p: (inner.get(p), final.get(p)) for p in {s[:k] for s in [*inner, *final] for k in range(1, len(s) + 1)}}
+        # A trie over byte symbols: each node has its children, the id of the token that ends here inside a word, and of the one
+        # that ends a word here.
+        self.trie: list = [{}, None, None]
+        for token, i in vocab.items():
+            if i in self.auto.born:
+                node, last = self.trie, token.endswith(self.end)
+                for c in token.removesuffix(self.end):
+                    node = node[0].setdefault(c, [{}, None, None])
+                node[1 + last] = i
         self.path, self.library = path, None
         self.words = Kept(KEPT, lambda w: self.word("".join(map(self.sym.__getitem__, w.encode().decode("latin-1")))))
         self.symbols = Kept(KEPT, self.word)
@@ -131,17 +137,18 @@ class Tokenizer:
 
     def _arcs(self, word: str, at: int) -> list[tuple[int, int]]:
         """Tokens that match at a position as (next position, id), the longest last."""
-        out, n, find = [], len(word), self.trie.get
-        for to in range(at + 1, n + 1):
-            ids = find(word[at:to])
-            if ids is None:
+        out, to, node, n = [], at, self.trie, len(word)
+        for c in word[at:]:
+            node = node[0].get(c)
+            if node is None:
                 break
-            i = ids[to == n]
+            to += 1
+            i = node[2] if to == n else node[1]
             if i is not None:
                 out.append((to, i))
         return out
 
-    def word(self, word: str) -> list[int]:
+    def word(self, word: str) -> bytes:
         """Ids of one pre-split word given in byte symbols."""
         n, allows = len(word), self.auto.allows
         path: list[int] = []
@@ -157,7 +164,7 @@ class Tokenizer:
                     continue
                 path.append(token)
                 if to == n:
-                    return path
+                    return array.array("I", path).tobytes()
                 seen.add(to)
                 stack.append((to, self._arcs(word, to)))
                 break
@@ -166,27 +173,27 @@ class Tokenizer:
                 if path:
                     path.pop()
 
-    def plain(self, text: str) -> list[int]:
+    def plain(self, text: str) -> bytes:
         """Ids of a stretch without special tokens."""
-        if text.isascii() or max(text) < LATIN:
+        if text.isascii():
+            text = text.lower()
+            return self.words[text] if text.isalpha() else b"".join([self.words[w] for w in self.split.findall(text)])
+        if max(text) < LATIN:
             # Lower case is taken per character, as the vocabulary file's rule does.
-            text = text.lower() if text.isascii() else "".join(map(str.lower, unicodedata.normalize("NFC", text)))
-            return [i for w in self.split.findall(text) for i in self.words[w]]
+            text = "".join(map(str.lower, unicodedata.normalize("NFC", text)))
+            return b"".join([self.words[w] for w in self.split.findall(text)])
         # Which code points are letters and how they are folded is the library's own matter beyond Latin script.
         if self.library is None:
             import tokenizers
             self.library = tokenizers.Tokenizer.from_file(self.path)
         folded = self.library.normalizer.normalize_str(text)
-        return [i for w, _ in self.library.pre_tokenizer.pre_tokenize_str(folded) for i in self.symbols[w]]
+        return b"".join([self.symbols[w] for w, _ in self.library.pre_tokenizer.pre_tokenize_str(folded)])
 
     def piece(self, piece: str) -> bytes:
-        ids: list[int] = []
-        for stretch in self.special_cut.split(piece) if self.special_cut and "<" in piece else (piece,):
-            if stretch in self.special:
-                ids.append(self.special[stretch])
-            elif stretch:
-                ids.extend(self.plain(stretch))
-        return np.array(ids, "<u4").tobytes()
+        if "<" not in piece or not self.special_cut:
+            return self.plain(piece)
+        parts = [np.array([self.special[s]], "<u4").tobytes() if s in self.special else self.plain(s) for s in self.special_cut.split(piece)]
+        return b"".join(parts)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian 32-bit integers. A space is dropped by the split and never composes, so
