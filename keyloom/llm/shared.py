@@ -84,6 +84,14 @@ class Kept(dict):
         self.put(key, value)
         return value
 
+    def recall(self, keys: set) -> None:
+        """Make room for ``keys`` and bring back those that the former generation knows, before they are used."""
+        known = {k: v for k in keys if (v := self.old.get(k)) is not None}
+        if len(self) + len(keys) > self.size:
+            self.old = dict(self)
+            self.clear()
+        self.update(known)
+
     def put(self, key: Any, value: Any) -> None:
         if len(self) >= self.size:
             self.old = dict(self)

@@ -33,8 +33,9 @@ from .shared import Kept, keep, slices
 
 BLOCK = 64
 SEGMENT_IDS = 1 << 18
-CACHED = 300_000
+CACHED = 500_000
 JOINED = 1000
+SIGNS = ",.;:!?"
 
 SEGMENTS = ("part int, seg int, n_docs int, n_ids long, before long, doc_ids array<bigint>, id_bytes int, "
             "ids binary, low_bits int, low binary, high binary, picks binary")
@@ -128,6 +129,7 @@ class Encoder:
         space = byte_symbols()[32]
         self.begins = np.zeros(max(self.tok.get_vocab().values()) + 1, bool)
         self.begins[[i for t, i in self.tok.get_vocab().items() if t.startswith(space)]] = True
+        self.signs = dict(zip(SIGNS, self.whole([*SIGNS])))
         self.chunks = Kept(CACHED, self.chunk)
 
     def whole(self, texts: list[str]) -> list[bytes]:
@@ -138,23 +140,32 @@ class Encoder:
         return None if not chunk or chunk[0].isspace() else self.whole([" " + chunk])[0]
 
     def learn(self, chunks: list[str]) -> None:
-        """Put chunks into the table, ``JOINED`` at a time."""
-        groups = [chunks[i:i + JOINED] for i in range(0, len(chunks), JOINED)]
+        """Put chunks into the table. Letters before a sign are a piece of their own, so ``word,`` needs ``word`` only; all others are
+        encoded ``JOINED`` at a time."""
+        table = self.chunks
+        signed = [c for c in chunks if c[-1] in SIGNS and c.isascii() and c[:-1].isalpha()]
+        apart = set(signed)
+        whole = list({*(c for c in chunks if c not in apart), *(c[:-1] for c in signed if c[:-1] not in table)})
+        groups = [whole[i:i + JOINED] for i in range(0, len(whole), JOINED)]
         width = np.dtype(self.dtype).itemsize
         for group, ids in zip(groups, self.whole(["".join([" " + c for c in g]) for g in groups])):
             at = np.flatnonzero(self.begins[np.frombuffer(ids, self.dtype)])
             if len(at) == len(group):
                 cuts = (np.append(at, len(ids) // width) * width).tolist()
                 for chunk, i, j in zip(group, cuts, cuts[1:]):
-                    self.chunks.put(chunk, ids[i:j])
+                    table.put(chunk, ids[i:j])
+        for c in signed:
+            table.put(c, table[c[:-1]] + self.signs[c[-1]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes."""
         if not self.by_chunk:
             return self.whole(texts)
         parts = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
-        asked = set().union(*[p[1:] for p in parts if p])
-        self.learn([c for c in asked if c and not c[0].isspace() and c not in self.chunks and c not in self.chunks.old])
+        table = self.chunks
+        asked = {c for p in parts if p for c in p if c not in table}
+        table.recall(asked)
+        self.learn([c for c in asked if c and not c[0].isspace() and c not in table])
         out = []
         for text, own in zip(texts, parts):
             if own is None:
@@ -162,8 +173,11 @@ class Encoder:
                 continue
             try:
                 out.append(self.whole([own[0]])[0] + b"".join(map(self.chunks.__getitem__, own[1:])))
-            except TypeError:
-                out.append(b"".join(self.whole(_CUT.split(text))))
+            except TypeError:  # a space that white space follows is no boundary: pieces with one inside are encoded apart
+                first, *rest = _CUT.split(text)
+                odd = [first, *(p for p in rest if " " in p[1:])]
+                known = dict(zip(odd, self.whole(odd)))
+                out.append(known[first] + b"".join([known[p] if " " in p[1:] else table[p[1:]] for p in rest]))
         return out
 
 
