@@ -33,7 +33,7 @@ from .shared import Kept, keep, slices
 
 BLOCK = 64
 SEGMENT_IDS = 1 << 18
-CACHED = 500_000
+CACHED = 800_000
 JOINED = 1000
 SIGNS = ",.;:!?"
 
