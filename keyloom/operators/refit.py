@@ -19,9 +19,11 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.groups import by_group, list_array, lists, numbers, whole
 from ..functions.lineage import cut
 from ..functions.ordered import CHUNK, chunk_id, last_known, positions, stencil
 
@@ -70,20 +72,19 @@ def pseudo_inverse(m: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray]
     return (vector[:, real] / value[real]) @ vector[:, real].T, vector[:, ~real]
 
 
-def inner_keys(at: np.ndarray, rows: Sequence, y: np.ndarray, first: int, border: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def inner_keys(at: np.ndarray, i: np.ndarray, j: np.ndarray, a: np.ndarray, y: np.ndarray, first: int,
+               border: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Solve one chunk for its inner keys.
 
-    ``at`` are its key numbers, ``rows`` their equations as (j, a) entries, ``first`` its first key, ``border`` the first key of its own
+    ``at`` are its key numbers, ``(i, j, a)`` the entries of their equations, ``first`` its first key, ``border`` the first key of its own
     border (None for the last chunk). Unknowns are ordered: border before, inner keys, own border. Gives z and w, with inner keys
     = z - w @ (border before, own border), and the 6 x 6 matrix and right side that are left to the borders.
     """
     inner = at < border if border is not None else np.ones(len(at), bool)
     m, n = int(inner.sum()), len(at)
     full = np.zeros((BAND + n, BAND + n))
-    for i, row in zip(at, rows):
-        for e in row:
-            if e["j"] < first + n:  # what couples the own border to the next chunk is that chunk's to report
-                full[BAND + i - first, BAND + e["j"] - first] = e["a"]
+    here = j < first + n  # what couples the own border to the next chunk is that chunk's to report
+    full[BAND + i[here] - first, BAND + j[here] - first] = a[here]
     # Equations of the border before belong to the chunk before; only their coupling to inner keys is needed.
     core = slice(BAND, BAND + m)
     outer = np.r_[0:BAND, BAND + m:BAND + n]
@@ -156,44 +157,61 @@ def refit(raw: DataFrame, keys: DataFrame, by: Sequence[str], value: str = "valu
     eq = where.select(*by, F.col("kidx").alias("i")).join(normal_equations(raw, keys, by, value), [*by, "i"], "left")
     eq = eq.withColumn("_chunk", F.floor(F.col("i") / chunk))
 
-    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        at = pdf["i"].to_numpy(np.int64)
-        c = int(pdf["_chunk"].iloc[0])
-        # A chunk that is not full ends its track and has no border of its own.
-        border = (c + 1) * chunk - BAND if len(at) == chunk else None
-        rows = [() if r is None else r for r in pdf["row"]]
-        z, w, left, right = inner_keys(at, rows, pdf["y"].fillna(0.0).to_numpy(float), c * chunk, border)
-        m = len(z)
-        out = pd.DataFrame({"_chunk": c, "i": pd.array([*at[:m].tolist(), None], dtype="Int64"),
-                            "z": [*z.tolist(), None], "w": [*w.tolist(), None],
-                            "left": [None] * m + [left.ravel().tolist()], "right": [None] * m + [right.tolist()],
-                            "ends": [None] * m + [border is not None]})
-        for k in reversed(by):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    solved = cut(eq.groupBy(*by, "_chunk").applyInPandas(
-        inside, f"{key_ddl}, _chunk long, i long, z double, w array<double>, left array<double>, right array<double>, ends boolean"))
-
-    def borders(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_chunk")
-        left = np.stack(pdf["left"].to_numpy()).reshape(-1, 2 * BAND, 2 * BAND)
-        right = np.stack(pdf["right"].to_numpy())
-        n = len(left)
-        if pdf["ends"].iloc[-1]:  # a full chunk ends the track: nothing follows its border
-            left, right = np.concatenate([left, np.zeros((1, *left.shape[1:]))]), np.concatenate([right, np.zeros((1, 2 * BAND))])
-        x, vectors = border_values(left, right)
-        around = np.concatenate([np.vstack([np.zeros((1, BAND)), x[:n - 1]]), x[:n]], axis=1)
-        nulls: list[list] = [[] for _ in range(n)]
-        for v, vector in enumerate(vectors):
-            for c in {k for b in vector for k in (b, b + 1) if k < n}:
-                both = np.concatenate([vector.get(c - 1, np.zeros(BAND)), vector.get(c, np.zeros(BAND))])
-                nulls[c].append({"id": v, "v": both.tolist()})
-        return pdf[by].assign(_chunk=pdf["_chunk"], ends=pdf["ends"], b=around.tolist(), nulls=nulls)
-
-    found = solved.where("left IS NOT NULL").groupBy(*by).applyInPandas(
-        borders, f"{key_ddl}, _chunk long, ends boolean, b array<double>, nulls array<struct<id: int, v: array<double>>>")
+    def inside(table: pa.Table, bounds: np.ndarray):
+        at, chunks = table["i"].to_numpy(), table["_chunk"].to_numpy()
+        y = numbers(table["y"])
+        y = np.where(np.isnan(y), 0.0, y)
+        entries, starts = lists(table["row"])
+        row = np.repeat(at, np.diff(starts))
+        j, a = entries.field("j").to_numpy(zero_copy_only=False), entries.field("a").to_numpy(zero_copy_only=False)
+        got, places, full = [], [], []
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            c = int(chunks[lo])
+            # A chunk that is not full ends its track and has no border of its own.
+            border = (c + 1) * chunk - BAND if hi - lo == chunk else None
+            e = slice(starts[lo], starts[hi])
+            got.append(inner_keys(at[lo:hi], row[e], j[e], a[e], y[lo:hi], c * chunk, border))
+            places.append(at[lo:lo + len(got[-1][0])])
+            full.append(border is not None)
+        z, w, left, right = (np.concatenate([part.ravel() for part in parts]) for parts in zip(*got))
+        inner, n = [len(p) for p in places], len(got)
+        # The inner keys of all chunks, then one report a chunk.
+        report = np.repeat([False, True], [len(z), n])
+        wide = lambda items, on, size: list_array(pa.array(items), np.where(on, size, 0), ~on)
+        return [*np.repeat(np.arange(n), inner), *range(n)], {
+            "i": pa.array(np.concatenate([*places, np.zeros(n, np.int64)]), mask=report),
+            "z": pa.array(np.concatenate([z, np.zeros(n)]), mask=report), "w": wide(w, ~report, 2 * BAND),
+            "left": wide(left, report, 4 * BAND * BAND), "right": wide(right, report, 2 * BAND),
+            "ends": pa.array(np.concatenate([np.zeros(len(z), bool), full]), mask=~report)}
+
+    solved = cut(by_group(eq, [*by, "_chunk"], "i", inside,
+                          "i long, z double, w array<double>, left array<double>, right array<double>, ends boolean"))
+
+    def borders(table: pa.Table, bounds: np.ndarray):
+        lefts = lists(table["left"])[0].to_numpy().reshape(-1, 2 * BAND, 2 * BAND)
+        rights = lists(table["right"])[0].to_numpy().reshape(-1, 2 * BAND)
+        ends = whole(table["ends"]).to_numpy(zero_copy_only=False).astype(bool)
+        around = np.zeros((table.num_rows, 2 * BAND))
+        nulls: list[list] = [[] for _ in range(table.num_rows)]
+        for lo, hi in zip(bounds[:-1], bounds[1:]):
+            if hi - lo == 1 and not ends[lo]:  # one chunk without borders
+                continue
+            left, right, n = lefts[lo:hi], rights[lo:hi], hi - lo
+            if ends[hi - 1]:  # a full chunk ends the track: nothing follows its border
+                left, right = np.concatenate([left, np.zeros((1, *left.shape[1:]))]), np.concatenate([right, np.zeros((1, 2 * BAND))])
+            x, vectors = border_values(left, right)
+            around[lo:hi] = np.concatenate([np.vstack([np.zeros((1, BAND)), x[:n - 1]]), x[:n]], axis=1)
+            for v, vector in enumerate(vectors):
+                for c in {k for b in vector for k in (b, b + 1) if k < n}:
+                    both = np.concatenate([vector.get(c - 1, np.zeros(BAND)), vector.get(c, np.zeros(BAND))])
+                    nulls[lo + c].append({"id": v, "v": both.tolist()})
+        kind = pa.list_(pa.struct([("id", pa.int32()), ("v", pa.list_(pa.float64()))]))
+        return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), {
+            "_chunk": whole(table["_chunk"]), "ends": whole(table["ends"]),
+            "b": list_array(pa.array(around.ravel()), np.full(len(around), 2 * BAND)), "nulls": pa.array(nulls, kind)}
+
+    found = by_group(solved.where("left IS NOT NULL").select(*by, "_chunk", "left", "right", "ends"), by, "_chunk", borders,
+                     "_chunk long, ends boolean, b array<double>, nulls array<struct<id: int, v: array<double>>>")
     found = cut(found)
     at_border = f"transform(sequence(0, {BAND - 1}), k -> struct((_chunk + 1) * {chunk} - {BAND} + k AS i, b[{BAND} + k] AS x, " \
                 f"transform(nulls, e -> struct(e.id AS id, e.v[{BAND} + k] AS n)) AS nulls))"
