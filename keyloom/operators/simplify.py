@@ -19,10 +19,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.lineage import work_dir
+from ..functions.groups import by_group, lists, numbers
+from ..functions.lineage import cut, work_dir
 from ..functions.ordered import CHUNK, chunk_id, last_known, with_totals
 from .refit import basis_weights, refit  # noqa: F401  (the other half of rebuilding a track)
 
@@ -212,32 +214,40 @@ def _rows_of(pdf: pd.DataFrame) -> Rows:
                 None if np.isnan(scale).any() else scale)
 
 
-def _solve_group(tol: float, keys: list[str], dp_frames: int, patience: int):
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = _rows_of(pdf)
-        budget = tol if rows.scale is None else 1.0
-        if 2 < len(rows) <= dp_frames:
-            own = rows.take(minimax_knots(rows.pts, rows.scale, budget))
-            found, method = list(zip(own.pos.tolist(), own.frame.tolist())), "dp"
-        else:
-            walk = Walk(budget, patience)
-            walk.feed(rows)
-            walk.finish()
-            found, method = walk.found, "greedy" if len(rows) > 2 else "trivial"
-        out = pd.DataFrame(found, columns=["pos", "frame"])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        out["method"] = method
-        return out
+def _solve_groups(tol: float, dp_frames: int, patience: int):
+    """The knots of whole tracks, one after the other."""
+    def solve(table: pa.Table, bounds: np.ndarray):
+        items, starts = lists(table["pts"])
+        pos, frame, scales = table["pos"].to_numpy(), table["frame"].to_numpy(), numbers(table["inv_tol"])
+        values = numbers(pa.chunked_array([items]))
+        group, places, frames, methods = [], [], [], []
+        for g, (lo, hi) in enumerate(zip(bounds[:-1], bounds[1:])):
+            scale = scales[lo:hi]
+            rows = Rows(pos[lo:hi], frame[lo:hi], values[starts[lo]:starts[hi]].reshape(hi - lo, -1, 2),
+                        None if np.isnan(scale).any() else scale)
+            budget = tol if rows.scale is None else 1.0
+            if 2 < len(rows) <= dp_frames:
+                at, method = minimax_knots(rows.pts, rows.scale, budget), "dp"
+                found = list(zip(rows.pos[at].tolist(), rows.frame[at].tolist()))
+            else:
+                walk = Walk(budget, patience)
+                walk.feed(rows)
+                walk.finish()
+                found, method = walk.found, "greedy" if len(rows) > 2 else "trivial"
+            group += [g] * len(found)
+            places += [p for p, _ in found]
+            frames += [f for _, f in found]
+            methods += [method] * len(found)
+        return group, {"pos": pa.array(places, pa.int64()), "frame": pa.array(frames, pa.int64()), "method": pa.array(methods, pa.string())}
     return solve
 
 
 def _long_knots(rows: DataFrame, by: list[str], tol: float, key_ddl: str, chunk: int, patience: int) -> DataFrame:
     """``(by, pos, frame)`` of the knots of long tracks; every round walks the next chunk of each."""
     spark, folder = rows.sparkSession, work_dir(rows.sparkSession)
-    cut = rows.withColumn("_chunk", chunk_id("pos", chunk))
-    cut.write.partitionBy("_chunk").parquet(f"{folder}/rows")
-    written = spark.read.schema(cut.schema).parquet(f"{folder}/rows")
+    chunked = rows.withColumn("_chunk", chunk_id("pos", chunk))
+    chunked.write.partitionBy("_chunk").parquet(f"{folder}/rows")
+    written = spark.read.schema(chunked.schema).parquet(f"{folder}/rows")
     types = dict(rows.dtypes)
 
     def step(pdf: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
@@ -284,17 +294,16 @@ def simplify(track: DataFrame, by: Sequence[str], tol: float, inv_tol: str | Non
     scale = F.col(inv_tol).cast("double") if inv_tol else F.lit(None).cast("double")
     rows = track.select(*by, F.col("pos").cast("long").alias("pos"), F.col("frame").cast("long").alias("frame"),
                         "pts", scale.alias("inv_tol"))
-    solve = _solve_group(tol, by, dp_frames, patience)
-    ddl = f"{key_ddl}, pos long, frame long, method string"
+    solve, ddl = _solve_groups(tol, dp_frames, patience), "pos long, frame long, method string"
     # A position at or past the limit is what makes a track long.
     long = rows.where(F.col("pos") >= limit).agg(F.max(F.size("pts")).alias("width")).first()[0]
     if long is None:
-        return rows.groupBy(*by).applyInPandas(solve, ddl)
+        return by_group(rows, by, "pos", solve, ddl)
     chunk = chunk or max(GROUP_LIMIT, min(CHUNK, CHUNK_BYTES // (8 * max(1, long))))
     rows = with_totals(rows, by, {"_t": ("count", F.lit(1))}, chunk_id("pos"))
     short = rows.where(F.col("_t") <= limit).select(*by, "pos", "frame", "pts", "inv_tol")
     knots = _long_knots(rows.where(F.col("_t") > limit), by, tol, key_ddl, chunk, patience)
-    return short.groupBy(*by).applyInPandas(solve, ddl).unionByName(knots.withColumn("method", F.lit("greedy")))
+    return by_group(short, by, "pos", solve, ddl).unionByName(knots.withColumn("method", F.lit("greedy")))
 
 
 def selection(track: DataFrame, knots: DataFrame, by: Sequence[str], size: int = CHUNK, tol: float | None = None,
@@ -305,6 +314,7 @@ def selection(track: DataFrame, knots: DataFrame, by: Sequence[str], size: int =
     use is reported too: that value, or the frames' own, 1 / ``inv_tol``.
     """
     by = list(by)
+    knots = cut(knots)  # read twice
     marked = track.select(*by, "pos", "pts").join(
         knots.select(*by, "pos", F.lit(True).alias("_k")), [*by, "pos"], "left")
     here = F.when(F.col("_k"), F.struct(F.col("pos").alias("p"), F.col("pts").alias("v")))
