@@ -6,10 +6,12 @@ import sys
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions.groups import by_group, list_array, numbers, whole
+from ..functions.lineage import cut
 from ..functions.ordered import chunk_id, positions
 from . import geometry, lifespans, tracks
 from .simplify import refit, simplify
@@ -86,38 +88,49 @@ def assemble_program(shapes: DataFrame, template_keys: DataFrame, pred_keys: Dat
     return path.unionByName(life).join(ok.where("_ok"), "element_id").drop("_ok")
 
 
-def _chunk_counts(pairs: list[tuple[float, float]], widest: int, by: list[str]):
-    """What one chunk of a track contributes to each threshold pair, for both states it may be entered in."""
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame")
-        frame, p = pdf["frame"].to_numpy(np.int64), pdf["p"].to_numpy(float)
-        truth = pdf["truth"].fillna(False).to_numpy(bool)
-        n, place, seen = len(pdf), np.arange(len(pdf)), np.concatenate([[0], np.cumsum(truth)])
-        rows = []
+def _chunk_counts(pairs: list[tuple[float, float]], widest: int):
+    """What chunks of tracks contribute to each threshold pair, for both states they may be entered in; many chunks at once."""
+    def count(table: pa.Table, bounds: np.ndarray):
+        frame, p = table["frame"].to_numpy(), numbers(table["p"])
+        truth = whole(table["truth"]).cast(pa.bool_()).fill_null(False).to_numpy(zero_copy_only=False)
+        rows, start, end, n = table.num_rows, bounds[:-1], bounds[1:], np.diff(bounds)
+        place, group, every = np.arange(rows), np.repeat(np.arange(len(n)), n), np.arange(len(n))
+        seen = np.concatenate([[0], np.cumsum(truth)])
+        inner = group[1:] == group[:-1]
+        per = lambda on, of: np.bincount(of, weights=on, minlength=len(n)).astype(np.int64)
+        truth_turns = per((truth[1:] != truth[:-1]) & inner, group[1:])
+        parts: list[dict[str, np.ndarray]] = []
         for k, (on, off) in enumerate(pairs):
             up = p > on
             told = np.maximum.accumulate(np.where(up | (p <= off), place, -1))
-            known = bool(up[told[-1]]) if told[-1] >= 0 else None
+            of_own = told >= start[group]
+            state = up[told] & of_own
             for entry in (False, True):
-                live = np.where(told >= 0, up[told], entry)
+                live = np.where(of_own, state, entry)
                 at = np.flatnonzero(live)
+                first, last = np.full(len(n), -1), np.full(len(n), -1)
+                first[group[at][::-1]], last[group[at]] = at[::-1], at
                 lo, hi = at[:-1], at[1:]
-                inner = (hi - lo > 1) & (frame[hi] - frame[lo] - 1 < widest)
-                lo, hi = lo[inner], hi[inner]
-                first, last = (int(at[0]), int(at[-1])) if len(at) else (None, None)
-                rows.append({
-                    "pair": k, "entry": entry, "known": known, "n": n, "tp": int((live & truth).sum()), "fp": int((live & ~truth).sum()),
-                    "truth": int(seen[-1]), "turns": int((live[1:] != live[:-1]).sum()), "truth_turns": int((truth[1:] != truth[:-1]).sum()),
-                    "enters": bool(live[0]), "leaves": bool(live[-1]), "truth_enters": bool(truth[0]), "truth_leaves": bool(truth[-1]),
-                    "first_live": None if first is None else int(frame[first]), "lead": None if first is None else [first, int(seen[first])],
-                    "last_live": None if last is None else int(frame[last]), "trail": None if last is None else [n - 1 - last, int(seen[-1] - seen[last + 1])],
-                    "gaps": [{"len": int(x), "rows": int(r), "hits": int(h)} for x, r, h in zip(frame[hi] - frame[lo] - 1, hi - lo - 1, seen[hi] - seen[lo + 1])]})
-        out = pd.DataFrame(rows)
-        out["known"] = out["known"].astype("boolean")
-        out["first_live"], out["last_live"] = out["first_live"].astype("Int64"), out["last_live"].astype("Int64")
-        for c in ["_chunk", *reversed(by)]:
-            out.insert(0, c, pdf[c].iloc[0])
-        return out
+                wide = (group[lo] == group[hi]) & (hi - lo > 1) & (frame[hi] - frame[lo] - 1 < widest)
+                lo, hi = lo[wide], hi[wide]
+                parts.append({
+                    "pair": np.full(len(n), k, np.int32), "entry": np.full(len(n), entry), "known": state[end - 1], "told": of_own[end - 1], "n": n,
+                    "tp": per(live & truth, group), "fp": per(live & ~truth, group), "truth": seen[end] - seen[start],
+                    "turns": per((live[1:] != live[:-1]) & inner, group[1:]), "truth_turns": truth_turns,
+                    "enters": live[start], "leaves": live[end - 1], "truth_enters": truth[start], "truth_leaves": truth[end - 1],
+                    "any": first >= 0, "first_live": frame[first], "lead": np.stack([first - start, seen[first] - seen[start]], 1),
+                    "last_live": frame[last], "trail": np.stack([end - 1 - last, seen[end] - seen[last + 1]], 1),
+                    "gaps": per(np.ones(len(lo)), group[lo]), "len": frame[hi] - frame[lo] - 1, "rows": hi - lo - 1, "hits": seen[hi] - seen[lo + 1]})
+        all_of = {c: np.concatenate([part[c] for part in parts]) for c in parts[0]}
+        none = ~all_of["any"]
+        out = {c: pa.array(all_of[c]) for c in ("pair", "entry", "n", "tp", "fp", "truth", "turns", "truth_turns", "enters", "leaves",
+                                                "truth_enters", "truth_leaves")}
+        out |= {"known": pa.array(all_of["known"], mask=~all_of["told"])}
+        out |= {c: pa.array(all_of[c], mask=none) for c in ("first_live", "last_live")}
+        out |= {c: list_array(pa.array(all_of[c][~none].ravel()), np.where(none, 0, 2), none) for c in ("lead", "trail")}
+        gaps = pa.StructArray.from_arrays([pa.array(all_of[c]) for c in ("len", "rows", "hits")], names=["len", "rows", "hits"])
+        out["gaps"] = list_array(gaps, all_of["gaps"])
+        return np.tile(every, len(parts)), out
     return count
 
 
@@ -145,9 +158,7 @@ def sweep(cells: DataFrame, by: Sequence[str], grid: DataFrame, prob: str = "p",
     asked = spark.createDataFrame([(*p, pairs.index(p[:2])) for p in points], "on double, off double, gap int, pair int")
     rows = cells.select(*by, F.col("frame").cast("long").alias("frame"), F.col(prob).cast("double").alias("p"), F.col(truth).alias("truth"),
                         chunk_id("frame", size).alias("_chunk"))
-    types = dict(rows.dtypes)
-    ddl = ", ".join([*[f"{k} {types[k]}" for k in by], "_chunk long", COUNTS])
-    counts = rows.groupBy(*by, "_chunk").applyInPandas(_chunk_counts(pairs, max(p[2] for p in points), by), ddl)
+    counts = cut(by_group(rows, [*by, "_chunk"], "frame", _chunk_counts(pairs, max(p[2] for p in points)), COUNTS))  # read twice
     track = Window.partitionBy(*by, "pair").orderBy("_chunk")
     before = track.rowsBetween(Window.unboundedPreceding, -1)
     # Both variants of a chunk tell the same ``known``, so the state it is entered in is that of the chunks before.
