@@ -35,6 +35,19 @@ def _shared(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(*[F.col(k) for k in keys])
 
 
+TASK_ROWS = 1 << 20
+"""Rows that one task may hold in the table of an aggregation."""
+
+
+def enough(df: DataFrame, rows: int) -> int:
+    """How many partitions ``rows`` rows need, the session's shuffle partitions at least.
+
+    Adaptive execution joins partitions up to 64 MB of compressed rows, which can be many millions, and a fixed number
+    grows with the table. A partitioning by this number does neither, so what a task holds is bounded.
+    """
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+
+
 def _touch(column: Column, kind: T.DataType) -> Column:
     """A number that reads a column of any type, so that its maximum keeps a fixed-width buffer."""
     if isinstance(kind, (T.StringType, T.BinaryType)):

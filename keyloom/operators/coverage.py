@@ -11,35 +11,38 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.distribution import exact_quantiles
-from ..functions.ordered import stencil
+from ..functions.ordered import enough, stencil
 
 LEVELS = 65535
 
 
-def paired(a: DataFrame, b: DataFrame, by: Sequence[str]) -> DataFrame:
+def paired(a: DataFrame, b: DataFrame, by: Sequence[str], parts: int | None = None) -> DataFrame:
     """Both coverages on one row per pixel, 0 where one side is absent.
 
     A full outer join of two sparse tables written as one aggregation over their union: a single
-    exchange with map-side combining.
+    exchange with map-side combining. With ``parts`` the rows are dealt to so many tasks first and combined there, so
+    that none holds more than its share.
     """
     cols = [*by, "y", "x"]
     both = a.select(*cols, F.col("cov").alias("a"), F.lit(0.0).alias("b")).unionByName(
         b.select(*cols, F.lit(0.0).alias("a"), F.col("cov").alias("b")))
+    if parts:
+        both = both.repartition(parts, *cols)
     return both.groupBy(*cols).agg(F.max("a").alias("a"), F.max("b").alias("b"))
 
 
 def overlap_scores(a: DataFrame, b: DataFrame, frames: DataFrame, by: Sequence[str],
-                   thr: float = 0.5) -> DataFrame:
+                   thr: float = 0.5, parts: int | None = None) -> DataFrame:
     """Soft and hard IoU per frame of the frame list; nothing drawn on either side is 1.0."""
-    s = paired(a, b, by).groupBy(*by).agg(
+    s = paired(a, b, by, parts).groupBy(*by).agg(
         F.expr("sum(least(a, b)) / sum(greatest(a, b)) AS soft_iou"),
         F.expr(f"try_divide(count_if(a > {thr} AND b > {thr}), count_if(a > {thr} OR b > {thr})) AS iou"))
     return frames.join(s, list(by), "left").select(
         *frames.columns, F.expr("coalesce(soft_iou, 1D) AS soft_iou"), F.expr("coalesce(iou, 1D) AS iou"))
 
 
-def soft_iou(a: DataFrame, b: DataFrame, frames: DataFrame, by: Sequence[str]) -> DataFrame:
-    return overlap_scores(a, b, frames, by).drop("iou")
+def soft_iou(a: DataFrame, b: DataFrame, frames: DataFrame, by: Sequence[str], parts: int | None = None) -> DataFrame:
+    return overlap_scores(a, b, frames, by, parts=parts).drop("iou")
 
 
 def hard_iou(a: DataFrame, b: DataFrame, frames: DataFrame, by: Sequence[str], thr: float = 0.5) -> DataFrame:
@@ -98,8 +101,11 @@ def quantise(df: DataFrame, cov: str = "cov") -> DataFrame:
     return df.withColumn(cov, F.expr(f"bround(least(greatest({cov}, 0D), 1D) * {LEVELS}) / {LEVELS}"))
 
 
-def shift_cov(pixels: DataFrame, by: Sequence[str], dx: str, dy: str, width: int, height: int) -> DataFrame:
-    """Bilinear translate by (dx, dy); what leaves the window is lost, what enters is 0."""
+def shift_cov(pixels: DataFrame, by: Sequence[str], dx: str, dy: str, width: int, height: int, rows: int | None = None) -> DataFrame:
+    """Bilinear translate by (dx, dy); what leaves the window is lost, what enters is 0.
+
+    ``rows`` is a bound on the number of pixels, where one is known; else they are counted.
+    """
     x, y = f"(x + {dx})", f"(y + {dy})"
     fx, fy = f"({x} - floor({x}))", f"({y} - floor({y}))"
     cells = ", ".join(
@@ -108,8 +114,14 @@ def shift_cov(pixels: DataFrame, by: Sequence[str], dx: str, dy: str, width: int
         for i in (0, 1) for j in (0, 1))
     t = pixels.select(*by, "cov", F.explode(F.expr(f"filter(array({cells}), e -> e.w > 0)")).alias("_t"))
     t = t.select(*by, F.col("_t.ty").alias("y"), F.col("_t.tx").alias("x"), F.expr("cov * _t.w AS cov"))
-    return t.where(f"x BETWEEN 0 AND {width - 1} AND y BETWEEN 0 AND {height - 1}").groupBy(*by, "y", "x").agg(
-        F.sum("cov").alias("cov"))
+    t = t.where(f"x BETWEEN 0 AND {width - 1} AND y BETWEEN 0 AND {height - 1}")
+    t = t.repartition(enough(t, 4 * (pixels.count() if rows is None else rows)), *by, "y", "x")
+    return t.groupBy(*by, "y", "x").agg(F.sum("cov").alias("cov"))
+
+
+def scanline_parts(polylines: DataFrame, height: int, ss: int = 2) -> int:
+    """Partitions for the pixels of polylines: a point's edge crosses all scanlines at most, and half of them as a rule."""
+    return enough(polylines, polylines.count() * height * ss // 2)
 
 
 def fill_coverage(polylines: DataFrame, by: Sequence[str], width: int, height: int, ss: int = 2) -> DataFrame:
@@ -126,18 +138,19 @@ def fill_coverage(polylines: DataFrame, by: Sequence[str], width: int, height: i
     lo = f"greatest(CAST(ceil(least(y, y2) * {ss} - 0.5) AS BIGINT), 0L)"
     hi = f"least(CAST(ceil(greatest(y, y2) * {ss} - 0.5) AS BIGINT) - 1, {height * ss - 1}L)"
     cross = edge.where(f"{hi} >= {lo}").select(*by, "x", "y", "x2", "y2", F.explode(F.expr(f"sequence({lo}, {hi})")).alias("r"))
-    cross = cross.select(*by, "r", F.expr(f"x + ((r + 0.5D) / {ss} - y) * (x2 - x) / (y2 - y) AS cx"))
-    w = Window.partitionBy(*by, "r").orderBy("cx")
-    span = cross.select(*by, "r", "cx", F.row_number().over(w).alias("_i"), F.lead("cx").over(w).alias("cx2"))
+    cross = cross.select(*by, F.expr(f"r div {ss} AS py"), "r", F.expr(f"x + ((r + 0.5D) / {ss} - y) * (x2 - x) / (y2 - y) AS cx"))
+    cross = cross.repartition(scanline_parts(polylines, height, ss), *by, "py")
+    w = Window.partitionBy(*by, "py", "r").orderBy("cx")
+    span = cross.select(*by, "py", "r", "cx", F.row_number().over(w).alias("_i"), F.lead("cx").over(w).alias("cx2"))
     span = span.where("_i % 2 = 1 AND cx2 IS NOT NULL").select(
-        *by, "r", F.expr(f"greatest(CAST(ceil(cx * {ss} - 0.5) AS BIGINT), 0L) AS s0"),
+        *by, "py", F.expr(f"greatest(CAST(ceil(cx * {ss} - 0.5) AS BIGINT), 0L) AS s0"),
         F.expr(f"least(CAST(ceil(cx2 * {ss} - 0.5) AS BIGINT) - 1, {width * ss - 1}L) AS s1")).where("s1 >= s0")
     return _span_pixels(span, by, ss)
 
 
 def _span_pixels(spans: DataFrame, by: Sequence[str], ss: int) -> DataFrame:
-    """Disjoint spans of sub-pixels ``(by, r, s0, s1)`` to coverage per pixel."""
-    px = spans.select(*by, F.expr(f"r div {ss} AS y"), "s0", "s1", F.explode(F.expr(
+    """Disjoint spans of sub-pixels ``(by, py, s0, s1)``, partitioned by row of pixels, to coverage per pixel."""
+    px = spans.select(*by, F.col("py").alias("y"), "s0", "s1", F.explode(F.expr(
         f"sequence(s0 div {ss}, s1 div {ss})")).alias("x"))
     return px.groupBy(*by, "y", "x").agg(F.expr(
         f"sum(least(s1, x * {ss} + {ss - 1}) - greatest(s0, x * {ss}) + 1) / {float(ss * ss)}D AS cov"))
@@ -159,6 +172,7 @@ def stroke_coverage(polylines: DataFrame, by: Sequence[str], width: int, height:
     yhi = f"least(CAST(floor((greatest(y, y2) + {half}D) * {ss} - 0.5) AS BIGINT), {height * ss - 1}L)"
     rows = seg.where(f"{yhi} >= {ylo}").select(*by, "x", "y", "x2", "y2", F.expr("x2 - x AS dx"), F.expr("y2 - y AS dy"),
                                               F.explode(F.expr(f"sequence({ylo}, {yhi})")).alias("r"))
+    rows = rows.withColumn("row", F.expr(f"r div {ss}")).repartition(scanline_parts(polylines, height, ss), *by, "row")
     rows = rows.withColumn("py", F.expr(f"(r + 0.5D) / {ss}")).withColumn("l2", F.expr("dx * dx + dy * dy"))
 
     def end(x: str, y: str) -> tuple[str, str]:
@@ -173,7 +187,7 @@ def stroke_coverage(polylines: DataFrame, by: Sequence[str], width: int, height:
     rows = rows.select("*", *[F.expr(e).alias(n) for n, e in zip(
         ("a0", "a1", "b0", "b1", "s0", "s1", "p0", "p1"), (*end("x", "y"), *end("x2", "y2"), *strip, *slab))])
     body = "s0 IS NOT NULL AND p0 IS NOT NULL AND l2 > 0 AND greatest(s0, p0) <= least(s1, p1)"
-    rows = rows.select(*by, "r", "x", "y", "dx", "dy", "py", F.expr(f"least(a0, b0, CASE WHEN {body} THEN greatest(s0, p0) END) AS lo"),
+    rows = rows.select(*by, "row", "r", "x", "y", "dx", "dy", "py", F.expr(f"least(a0, b0, CASE WHEN {body} THEN greatest(s0, p0) END) AS lo"),
                        F.expr(f"greatest(a1, b1, CASE WHEN {body} THEN least(s1, p1) END) AS hi")).where("lo IS NOT NULL")
 
     def inside(s: str) -> str:
@@ -182,12 +196,12 @@ def stroke_coverage(polylines: DataFrame, by: Sequence[str], width: int, height:
         return f"power({px} - x - {t} * dx, 2) + power(py - y - {t} * dy, 2) <= {half * half}D"
     rows = rows.select("*", F.expr(f"CAST(ceil(lo * {ss} - 0.5) AS BIGINT) AS e0"), F.expr(f"CAST(floor(hi * {ss} - 0.5) AS BIGINT) AS e1"))
     rows = rows.select(
-        *by, "r", F.expr(f"greatest(CASE WHEN {inside('(e0 - 1)')} THEN e0 - 1 WHEN {inside('e0')} THEN e0 ELSE e0 + 1 END, 0L) AS s0"),
+        *by, "row", "r", F.expr(f"greatest(CASE WHEN {inside('(e0 - 1)')} THEN e0 - 1 WHEN {inside('e0')} THEN e0 ELSE e0 + 1 END, 0L) AS s0"),
         F.expr(f"least(CASE WHEN {inside('(e1 + 1)')} THEN e1 + 1 WHEN {inside('e1')} THEN e1 ELSE e1 - 1 END, {width * ss - 1}L) AS s1")
     ).where("s1 >= s0")
-    before = Window.partitionBy(*by, "r").orderBy("s0", "s1").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*by, "row", "r").orderBy("s0", "s1").rowsBetween(Window.unboundedPreceding, -1)
     fresh = rows.withColumn("s0", F.greatest(F.col("s0"), F.coalesce(F.max("s1").over(before) + 1, F.col("s0")))).where("s1 >= s0")
-    return _span_pixels(fresh, by, ss)
+    return _span_pixels(fresh.withColumnRenamed("row", "py"), by, ss)
 
 
 def with_opacity(pixels: DataFrame, shapes: DataFrame, by: Sequence[str], width: int, height: int) -> DataFrame:

@@ -92,7 +92,8 @@ def quantise(spark, sf):
   FROM pixels, range(2) a(i), range(2) b(j))
 SELECT side, frame, y, x, round(sum(c), 6) AS cov FROM t WHERE x BETWEEN 0 AND 127 AND y BETWEEN 0 AND 7 GROUP BY ALL""", also="shift_cov_all")
 def shift_cov(spark, sf):
-    return rounded(C.shift_cov(pixels(spark, sf), ["side", "frame"], "1.25D", "0.5D", 128, 8))
+    return rounded(C.shift_cov(pixels(spark, sf), ["side", "frame"], "1.25D", "0.5D", 128, 8,
+                             load(spark, sf, "lineitem").count()))
 
 
 INK_SQL = """ink AS (SELECT DISTINCT l_suppkey % 20 AS element_id, l_linenumber AS shape_id, l_orderkey % 16 AS frame,
@@ -197,13 +198,13 @@ def ablate_points(spark, sf):
     from ..operators.geometry import decimate
     poly = polygons(spark, sf)
     ids = poly.select("vec_id").distinct()
-    exact = C.fill_coverage(poly, ["vec_id"], 32, 24)
+    exact, parts = C.fill_coverage(poly, ["vec_id"], 32, 24), C.scanline_parts(poly, 24)
     out = None
     for variant, keep in _POINT_VARIANTS.items():
         kept = decimate(poly.withColumn("n", F.col("cnt")), keep).select("vec_id", "x", "y", "idx")
         kept = positions(kept, ["vec_id"], ["idx"], chunk_id("idx"), "pos")
         kept = with_totals(kept, ["vec_id"], {"cnt": ("count", F.lit(1))}, chunk_id("pos"))
         drawn = C.fill_coverage(kept.selectExpr("vec_id", "pos AS idx", "cnt", "x", "y"), ["vec_id"], 32, 24)
-        s = C.soft_iou(drawn, exact, ids, ["vec_id"]).select(F.lit(variant).alias("variant"), "vec_id", "soft_iou")
+        s = C.soft_iou(drawn, exact, ids, ["vec_id"], parts).select(F.lit(variant).alias("variant"), "vec_id", "soft_iou")
         out = s if out is None else out.unionByName(s)
     return rounded(out)

@@ -168,6 +168,7 @@ def ledger(spark, sf):
     from ..operators import coverage as C
     from ..operators import splits as S
     from .coverage import side_frames
+    from ..functions.ordered import enough
     from .tables import pixels, track
     px = pixels(spark, sf)
     t = track(spark, sf).selectExpr("user_id AS element_id", "frame")
@@ -178,7 +179,7 @@ def ledger(spark, sf):
     meta = load(spark, sf, "pages").selectExpr("page_id", "'measured' AS convention", "true AS stroke_open")
     sets = spark.createDataFrame([("measured", True), ("default", False)], "convention string, stroke_open boolean")
     return Q.build_ledger([
-        Q.check_self_score(C.soft_iou(px, px, side_frames(spark, sf), ["side", "frame"])),
+        Q.check_self_score(C.soft_iou(px, px, side_frames(spark, sf), ["side", "frame"], enough(px, 2 * load(spark, sf, "lineitem").count()))),
         Q.check_quantised(C.quantise(px)).withColumn("measured", F.round("measured", 9)),
         Q.check_split(split, t.groupBy("element_id").agg(F.expr("count(1) AS n_frames"))),
         Q.check_held_shots(held), Q.check_conventions(meta, sets, ["stroke_open"]),

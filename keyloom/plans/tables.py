@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.ordered import positions
+from ..functions.ordered import enough, positions
 
 TRACK_BUCKET_MINUTES = 5
 """Width of the time buckets that bound one task's share of a track's history."""
@@ -67,9 +67,11 @@ def halves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(side, frame, y, x, cov)``: two sparse coverage tables, zero pixels absent."""
     li = load(spark, sf_dir, "lineitem")
-    return (li.groupBy(F.col("l_linestatus").alias("side"), F.col("l_suppkey").alias("frame"),
-                       F.col("l_linenumber").alias("y"), (F.col("l_partkey") % 128).alias("x"))
-            .agg(F.round(F.max("l_discount") * 10, 6).alias("cov")).where("cov > 0"))
+    key = ["side", "frame", "y", "x"]
+    # Few rows share a pixel, so they are dealt as they are and combined once, in tasks of a bounded number of rows.
+    cells = li.select(F.col("l_linestatus").alias("side"), F.col("l_suppkey").alias("frame"), F.col("l_linenumber").alias("y"),
+                      (F.col("l_partkey") % 128).alias("x"), "l_discount").repartition(enough(li, li.count()), *key)
+    return cells.groupBy(*key).agg(F.round(F.max("l_discount") * 10, 6).alias("cov")).where("cov > 0")
 
 
 PIXELS_SQL = """pixels AS (
